@@ -1,9 +1,10 @@
 """The queries of this subpackage and, where SQL expresses them, their SQL."""
 
-from . import exact_dedup, line_dedup
+from . import exact_dedup, line_dedup, simhash
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
     "op4_line_dedup": line_dedup.op4_line_dedup,
 }
 
