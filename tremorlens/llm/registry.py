@@ -1,12 +1,13 @@
 """The queries of this subpackage and, where SQL expresses them, their SQL."""
 
-from . import bpe, exact_dedup, line_dedup, simhash
+from . import bpe, exact_dedup, langid, line_dedup, simhash
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
     "op3_bpe": bpe.op3_bpe,
     "op4_line_dedup": line_dedup.op4_line_dedup,
+    "op6_language_id": langid.op6_language_id,
 }
 
 SQL = {
