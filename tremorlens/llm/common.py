@@ -71,9 +71,13 @@ def heavy_keys(keys: DataFrame, key: str, expected: float) -> DataFrame | None:
     return spark.createDataFrame(rows, found.schema) if rows else None
 
 
-def salted(df: DataFrame, key: str, by: Column, heavy: DataFrame | None) -> DataFrame:
-    """Add _salts (1 for ordinary keys) and _salt: rows of a heavy key are dealt by `by` over its salts."""
+def salted(df: DataFrame, key: str, by: Column, heavy: DataFrame | None) -> tuple[DataFrame, list[str]]:
+    """df with _salts (1 for ordinary keys) and _salt (rows of a heavy key are dealt by `by` over its salts).
+
+    Also the names of the columns to partition by after the key: none without heavy keys, as a literal _salt is
+    folded out of a range partitioning but not out of the window above it, which would then shuffle again.
+    """
     if heavy is None:
-        return df.withColumns({"_salts": F.lit(1), "_salt": F.lit(0)})
+        return df.withColumns({"_salts": F.lit(1), "_salt": F.lit(0)}), []
     out = df.join(F.broadcast(heavy), key, "left").withColumn("_salts", F.coalesce("_salts", F.lit(1)))
-    return out.withColumn("_salt", F.when(F.col("_salts") > 1, F.pmod(F.xxhash64(by), F.col("_salts"))).otherwise(0).cast("int"))
+    return out.withColumn("_salt", F.when(F.col("_salts") > 1, F.pmod(F.xxhash64(by), F.col("_salts"))).otherwise(0).cast("int")), ["_salt"]

@@ -40,11 +40,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.col(f"`{id_col}`").alias("_id"), text.alias("_text"), F.substring(coarse, 1, PREFIX).alias("_prefix"), key.alias("_h"),
         *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")] if carry else []),
     )
-    keyed = salted(keyed, "_h", F.col("_id"), heavy)
-    found = _runs(keyed, keep)
+    keyed, salt = salted(keyed, "_h", F.col("_id"), heavy)
+    where = ["_prefix", "_h", *salt]
+    found = _runs(keyed, where, keep)
     best = F.max if keep == "largest" else F.min
     if heavy is not None:
-        heads = _runs(keyed.drop("_row").where(F.col("_salts") > 1), keep).where(F.col("_nth") == 1)
+        heads = _runs(keyed.drop("_row").where(F.col("_salts") > 1), where, keep).where(F.col("_nth") == 1)
         merged = materialize(heads.groupBy("_sha").agg(best("_best").alias("_all_best"), F.sum("_size").alias("_all_size")), "dedup")
         # A few rows for each listed key; broadcast only if the count bears that out.
         small = merged.count() <= 64 * partitions(spark)
@@ -61,10 +62,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def _runs(keyed: DataFrame, keep: str) -> DataFrame:
+def _runs(keyed: DataFrame, where: list[str], keep: str) -> DataFrame:
     """Range-partition, sort, and number the rows of each run of equal normalised texts."""
-    dealt = keyed.repartitionByRange("_prefix", "_h", "_salt").withColumn("_norm", ascii_lower(F.col("_text"))).drop("_text")
-    run = Window.partitionBy("_prefix", "_h", "_salt", "_norm")
+    dealt = keyed.repartitionByRange(*where).withColumn("_norm", ascii_lower(F.col("_text"))).drop("_text")
+    run = Window.partitionBy(*where, "_norm")
     first = F.desc_nulls_last("_id") if keep == "largest" else F.asc_nulls_last("_id")
     ordered = run.orderBy(first)
     to_here = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)

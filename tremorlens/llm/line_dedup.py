@@ -35,8 +35,9 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     fraction = sample_fraction(spark, rows)
     picked = docs if fraction >= 1 else docs.sample(fraction, seed=11)
     heavy = heavy_keys(_occurrences(picked, id_col, text_col, min_chars).select("_hash"), "_hash", rows * fraction)
-    dealt = salted(_occurrences(docs, id_col, text_col, min_chars), "_hash", F.col("_id"), heavy).repartitionByRange("_hash", "_salt")
-    w = Window.partitionBy("_hash", "_salt").orderBy(F.desc_nulls_last("_id"), "_th", "_pos")
+    dealt, salt = salted(_occurrences(docs, id_col, text_col, min_chars), "_hash", F.col("_id"), heavy)
+    dealt = dealt.repartitionByRange("_hash", *salt)
+    w = Window.partitionBy("_hash", *salt).orderBy(F.desc_nulls_last("_id"), "_th", "_pos")
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     before = F.lag(F.struct("_id")).over(w)
     seen = dealt.withColumn("_new", F.when(before.isNull() | ~before["_id"].eqNullSafe(F.col("_id")), 1).otherwise(0))
