@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,9 +20,18 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    findable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def findable(spark: SparkSession) -> None:
+    """Put this library on the path of the Python workers, as it is on the driver's (elsewhere: --py-files)."""
+    root = str(Path(__file__).resolve().parents[2])
+    known = spark.sparkContext.environment
+    if root not in known.get("PYTHONPATH", "").split(os.pathsep):
+        known["PYTHONPATH"] = os.pathsep.join(x for x in (root, known.get("PYTHONPATH")) if x)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors see. A local one is made only where the session names none (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
