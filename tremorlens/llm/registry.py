@@ -1,6 +1,6 @@
 """The queries of this subpackage and, where SQL expresses them, their SQL."""
 
-from . import bpe, exact_dedup, langid, line_dedup, simhash
+from . import bpe, exact_dedup, langid, line_dedup, simhash, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_bpe": bpe.op3_bpe,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op6_language_id": langid.op6_language_id,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 SQL = {
