@@ -1,12 +1,13 @@
 """The queries of this subpackage and, where SQL expresses them, their SQL."""
 
-from . import bpe, exact_dedup, langid, line_dedup, simhash, toxicity
+from . import bpe, exact_dedup, langid, line_dedup, secrets, simhash, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
     "op3_bpe": bpe.op3_bpe,
     "op4_line_dedup": line_dedup.op4_line_dedup,
+    "op5_secret_scan": secrets.op5_secret_scan,
     "op6_language_id": langid.op6_language_id,
     "op10_toxicity": toxicity.op10_toxicity,
 }
