@@ -1,6 +1,6 @@
 """The queries of this subpackage and, where SQL expresses them, their SQL."""
 
-from . import bpe, exact_dedup, langid, line_dedup, secrets, simhash, toxicity
+from . import bpe, exact_dedup, langid, line_dedup, media, secrets, simhash, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -9,6 +9,7 @@ QUERIES = {
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_secret_scan": secrets.op5_secret_scan,
     "op6_language_id": langid.op6_language_id,
+    "op7_media": media.op7_media,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 
