@@ -1,6 +1,6 @@
 """The queries of this subpackage and, where SQL expresses them, their SQL."""
 
-from . import bpe, exact_dedup, langid, line_dedup, media, secrets, simhash, toxicity
+from . import bpe, exact_dedup, langid, line_dedup, media, mixing, secrets, simhash, toxicity, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -10,10 +10,13 @@ QUERIES = {
     "op5_secret_scan": secrets.op5_secret_scan,
     "op6_language_id": langid.op6_language_id,
     "op7_media": media.op7_media,
+    "op8_mixing": mixing.op8_mixing,
+    "op9_warc_audit": warc.op9_warc_audit,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 
 SQL = {
     "op1_exact_dedup": exact_dedup.OP1_SQL,
     "op4_line_dedup": line_dedup.OP4_SQL,
+    "op9_warc_audit": warc.OP9_SQL,
 }
