@@ -245,11 +245,11 @@ class MergeAutomaton:
 
 
 class Coder:
-    """Encodes texts with a bounded cache of words: (number of tokens, ids as text, labels of the arcs, ids)."""
+    """Encodes texts with a bounded cache of words: (number of tokens, ids as text, labels of the arcs, ids as bytes)."""
 
     def __init__(self, automaton: MergeAutomaton):
         self.automaton = automaton
-        self.known: dict[str, tuple[int, str, bytes, list[int]]] = {}
+        self.known: dict[str, tuple[int, str, bytes, bytes]] = {}
 
     def learn(self, words: set[str]) -> None:
         a = self.automaton
@@ -260,12 +260,12 @@ class Coder:
         for k in range(0, len(new), 50_000):
             some = new[k : k + 50_000]
             for word, ids in zip(some, a.encode_words([w.encode("utf-8", "replace") for w in some])):
-                self.known[word] = len(ids), ",".join([a.numbers[i] for i in ids]), b"".join([a.labels[i] for i in ids]), ids
+                self.known[word] = len(ids), ",".join([a.numbers[i] for i in ids]), b"".join([a.labels[i] for i in ids]), np.array(ids, np.int32).tobytes()
         for word in words & a.added.keys():
             i = a.added[word]
-            self.known[word] = 1, str(i), a.labels[i], [i]
+            self.known[word] = 1, str(i), a.labels[i], np.array([i], np.int32).tobytes()
 
-    def batches(self, texts: list[str]) -> Iterator[tuple[int, list[tuple[int, str, bytes, list[int]]]]]:
+    def batches(self, texts: list[str]) -> Iterator[tuple[int, list[tuple[int, str, bytes, bytes]]]]:
         """(number of the text, its words' entries) in order; a long text comes in several."""
         held: list[tuple[int, list[str]]] = []
         chars = 0
@@ -291,32 +291,28 @@ class Coder:
         for k, words in held:
             yield k, [known[w] for w in words]
 
-    def ids(self, texts: list[str]) -> list[list[int]]:
-        out: list[list[int]] = [[] for _ in texts]
-        for k, entries in self.batches(texts):
-            for e in entries:
-                out[k] += e[3]
-        return out
-
-    def digests(self, texts: list[str]) -> list[tuple[int, str, str]]:
-        """(tokens, SHA-256 of the ids, SHA-256 of the decoded text) of each text."""
-        out: list[tuple[int, str, str]] = []
-        n, coded, decoded = 0, sha256(), []
-        at = 0
+    def coded(self, texts: list[str], with_ids: bool = False) -> list[tuple]:
+        """(tokens, SHA-256 of the ids, SHA-256 of the decoded text, with_ids: the ids) of each text."""
+        out: list[tuple] = []
+        n, names, decoded, ids, at = 0, sha256(), [], [], 0
 
-        def close():
-            nonlocal n, coded, decoded
-            out.append((n, coded.hexdigest(), sha256(b"".join(decoded).decode("utf-8", "replace").encode()).hexdigest()))
-            n, coded, decoded = 0, sha256(), []
+        def close() -> None:
+            nonlocal n, names, decoded, ids
+            text = b"".join(decoded).decode("utf-8", "replace").encode()
+            own = (np.frombuffer(b"".join(ids), np.int32),) if with_ids else ()
+            out.append((n, names.hexdigest(), sha256(text).hexdigest(), *own))
+            n, names, decoded, ids = 0, sha256(), [], []
 
         for k, entries in self.batches(texts):
             while at < k:
                 close()
                 at += 1
             if entries:
-                coded.update(("," * (n > 0) + ",".join([e[1] for e in entries])).encode())
+                names.update(("," * (n > 0) + ",".join([e[1] for e in entries])).encode())
                 n += sum([e[0] for e in entries])
                 decoded.append(b"".join([e[2] for e in entries]))
+                if with_ids:
+                    ids.append(b"".join([e[3] for e in entries]))
         while at < len(texts):
             close()
             at += 1
@@ -345,7 +341,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
 
     @F.pandas_udf("array<int>")
     def of(texts: pd.Series) -> pd.Series:
-        return pd.Series(_coder(spec.value).ids([t or "" for t in texts]))
+        return pd.Series([c[3] for c in _coder(spec.value).coded([t or "" for t in texts], with_ids=True)], dtype=object)
 
     return docs.select(F.col(f"`{id_col}`").alias(id_col), of(F.col(f"`{text_col}`")).alias("ids"))
 
@@ -362,20 +358,21 @@ def decode(coded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path:
     return coded.select(F.col(f"`{id_col}`").alias(id_col), of(F.col(f"`{ids_col}`")).alias("text"))
 
 
-def encode_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """id_col, n_tokens, ids_sha256, decoded_sha256: what encode() and decode() give, in one pass and in digest form.
+def encode_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, with_ids: bool = False) -> DataFrame:
+    """id_col, n_tokens, ids_sha256, decoded_sha256 (and ids): what encode() and decode() give, in one pass.
 
     Null and empty texts have no tokens (digests of the empty string). Repeated rows all come back; an empty table
     gives an empty result; other columns are ignored.
     """
     spec = docs.sparkSession.sparkContext.broadcast(tokenizer_file(path))
+    columns = ["n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
 
-    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
     def of(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(_coder(spec.value).digests([t or "" for t in texts]), columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+        return pd.DataFrame(_coder(spec.value).coded([t or "" for t in texts], with_ids), columns=columns)
 
     found = docs.select(F.col(f"`{id_col}`").alias(id_col), of(F.col(f"`{text_col}`")).alias("_d"))
-    return found.select(id_col, "_d.n_tokens", "_d.ids_sha256", "_d.decoded_sha256")
+    return found.select(id_col, *[f"_d.{c}" for c in columns])
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

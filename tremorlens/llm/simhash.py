@@ -126,6 +126,8 @@ def _cost(n: int, bits: list[int], t: int, agree1: np.ndarray, agree2: np.ndarra
     """Rows dealt and pairs verified if a part is probed within t; 0 at -1 (not probed)."""
     if t < 0:
         return 0.0
+    if t >= len(bits):
+        return float("inf")  # no bits left to agree on
     within = np.zeros(t + 1)
     within[0] = 1.0
     for k, j in enumerate(bits):
@@ -144,7 +146,7 @@ def _allot(costs: list[list[float]], total: int) -> tuple[float, list[int]]:
         for s, (c, chosen) in table.items():
             for k, own in enumerate(row):
                 at = s + k - 1
-                if at not in nxt or c + own < nxt[at][0]:
+                if c + own < nxt.get(at, (float("inf"),))[0]:
                     nxt[at] = (c + own, [*chosen, k - 1])
         table = nxt
     return table.get(total, (float("inf"), []))
@@ -302,5 +304,38 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.col("_id").alias(id_col), F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"), F.col("_least").alias("component_id"))
 
 
+def overlap(a: str | None, b: str | None, words: int = 5) -> float:
+    """Jaccard similarity of the sets of word shingles of two whole texts."""
+    x, y = (_shingles(t, words) for t in (a, b))
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
+def _shingles(text: str | None, words: int) -> set[bytes]:
+    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    return {b" ".join(found[k : k + words]) for k in range(max(1, len(found) - words + 1))} if found else set()
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = 7, least: float = 0.5) -> DataFrame:
+    """The rows of docs without near copies: of each component the document with the smallest identifier stays.
+
+    A document goes only if its text also shares at least `least` of its five-word shingles (Jaccard) with the one
+    that stays, so that fingerprints which meet by chance cost no document. Identifiers are taken as unique; rows
+    without identifier stay.
+    """
+    key, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    found = near_dedup(docs, id_col, text_col, words, distance).where(key != F.col("component_id")).select(key.alias("_id"), F.col("component_id").alias("_of")).distinct()
+    found = materialize(found, "copies")
+    texts = docs.select(key.alias("_key"), text.alias("_text"))
+    heads = texts.join(found.select(F.col("_of").alias("_head")).distinct(), F.col("_key") == F.col("_head"), "left_semi").select(F.col("_key").alias("_head"), F.col("_text").alias("_head_text"))
+
+    @F.pandas_udf("double")
+    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([overlap(x, y) for x, y in zip(a, b)], dtype="float64")
+
+    pairs = found.join(texts, F.col("_id") == F.col("_key")).join(heads, F.col("_of") == F.col("_head"))
+    gone = pairs.where(alike("_text", "_head_text") >= least).select("_id")
+    return docs.join(gone, key == F.col("_id"), "left_anti")
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(documents(spark, sf_dir), words=3, distance=3)
