@@ -104,11 +104,15 @@ class Model:
         return score
 
 
-def fit(train: DataFrame, id_col: str, text_col: str, label_col: str, per_class: int = PER_CLASS, most: int = FEATURES) -> Model | None:
-    """Learn from about per_class documents of each class, picked by a hash of the identifier. None without both classes."""
-    key, label = F.col(f"`{id_col}`"), F.col(f"`{label_col}`")
-    train = train.where(key.isNotNull() & label.isin(0, 1))
-    sizes = {r[0]: r[1] for r in train.groupBy(label).count().collect()}
+def fit(docs: DataFrame, known: DataFrame, id_col: str, text_col: str, per_class: int = PER_CLASS, most: int = FEATURES) -> Model | None:
+    """Learn from about per_class documents of each class, picked by a hash of the identifier. None without both classes.
+
+    known: _key and _label of the documents that may teach. The picked labels are bounded by per_class, so they go to
+    the texts and no text is shuffled.
+    """
+    key, label = F.col("_key"), F.col("_label")
+    known = known.where(key.isNotNull() & label.isin(0, 1))
+    sizes = {r[0]: r[1] for r in known.groupBy(label).count().collect()}
     if len(sizes) < 2:
         return None
 
@@ -121,7 +125,8 @@ def fit(train: DataFrame, id_col: str, text_col: str, label_col: str, per_class:
         return pd.DataFrame(rows, columns=["f", "n", "m"])
 
     share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, per_class / n)))])
-    picked = train.where(F.pmod(F.xxhash64(key.cast("string"), F.lit(10)), F.lit(1_000_000)) < share[label] * 1_000_000)
+    few = known.where(F.pmod(F.xxhash64(key.cast("string"), F.lit(10)), F.lit(1_000_000)) < share[label] * 1_000_000)
+    picked = docs.join(F.broadcast(few), F.col(f"`{id_col}`") == key)
     rows = picked.select(key.cast("string").alias("k"), label.alias("y"), hashed(F.col(f"`{text_col}`")).alias("h")).select("k", "y", "h.*").collect()
     rows = sorted(rows, key=lambda r: (len(r.k), r.k))
     y = np.array([r.y for r in rows], np.float32)
@@ -224,9 +229,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     empty result.
     """
     slim = docs.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text_col}`").alias(text_col))
-    known = labels.groupBy(F.col(f"`{id_col}`").alias("_key")).agg(F.max(F.col(f"`{label_col}`")).alias("_label")).where("_label is not null")
-    train = slim.where(~held_out(id_col, folds, fold)).join(known, F.col(f"`{id_col}`") == F.col("_key"))
-    shared = docs.sparkSession.sparkContext.broadcast(fit(train, id_col, text_col, "_label"))
+    known = labels.where(~held_out(id_col, folds, fold)).groupBy(F.col(f"`{id_col}`").alias("_key")).agg(F.max(F.col(f"`{label_col}`")).alias("_label"))
+    shared = docs.sparkSession.sparkContext.broadcast(fit(slim, known, id_col, text_col))
 
     @F.pandas_udf("double")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
