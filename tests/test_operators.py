@@ -150,3 +150,13 @@ def test_reconcile_and_drift(spark):
     assert sorted(map(tuple, reconcile.reconcile(a, b, "k", "n").collect()), key=str) == [("x", 1, 1, True), ("y", None, 3, False), (None, 2, None, False)]
     assert values(reconcile.domain_drift(b, "k", ["x", "z"]), "value", "side") == [("y", "unexpected"), ("z", "absent")]
     assert reconcile.same_rows(a, a) and not reconcile.same_rows(a, b)
+
+
+@pytest.mark.parametrize("values_of", [lambda k: float(k), lambda k: 5.0, lambda k: float(k % 3), lambda k: 1.0 / (k + 1) ** 3, lambda k: -float(k * k)])
+def test_exact_quantiles(spark, values_of):
+    from tremorlens.operators.summaries import exact_quantiles
+
+    df = spark.createDataFrame([(g, values_of(k)) for g, n in (("a", 1), ("b", 2), (None, 57), ("c", 100)) for k in range(n)] + [("c", None)], "g string, x double")
+    got = {r.g: (r.q1, r.q2) for r in exact_quantiles(df, "g", "x", {"q1": 0.25, "q2": 0.9}).collect()}
+    want = {r.g: tuple(r.q) for r in df.groupBy("g").agg(F.percentile("x", F.array(F.lit(0.25), F.lit(0.9))).alias("q")).collect()}
+    assert got.keys() == want.keys() and all(got[g] == pytest.approx(want[g]) for g in want)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import valid_coordinates
 from ..functions.text import finite, missing_word, usable_intensity
+from .summaries import exact_quantiles, per_column
 
 
 def damage_rates(df: DataFrame, structure: str, grade: str) -> DataFrame:
@@ -22,10 +23,14 @@ def geographic_coverage(df: DataFrame, city: str, lat: str, lon: str, grade: str
     """Per city: rows, rows with valid coordinates, distinct pairs, known grades, bounds, medians and mean latitude."""
     ok = valid_coordinates(F.col(lat), F.col(lon))
     la, lo = F.when(ok, F.col(lat)), F.when(ok, F.col(lon))
-    return df.groupBy(F.col(city).alias("city")).agg(
+    sums = df.groupBy(F.col(city).alias("city")).agg(
         F.count(F.lit(1)).alias("records"), F.count_if(ok).alias("valid_records"), F.count_distinct(F.when(ok, F.struct(lat, lon))).alias("unique_pairs"),
-        F.count(grade).alias("known_damage"), F.min(la).alias("lat_min"), F.max(la).alias("lat_max"), F.min(lo).alias("lon_min"), F.max(lo).alias("lon_max"),
-        F.round(F.median(la), 9).alias("lat_median"), F.round(F.median(lo), 9).alias("lon_median"), F.round(F.avg(la), 9).alias("lat_mean"))
+        F.count(grade).alias("known_damage"), F.min(la).alias("lat_min"), F.max(la).alias("lat_max"), F.min(lo).alias("lon_min"), F.max(lo).alias("lon_max"), F.round(F.avg(la), 9).alias("lat_mean"))
+    points = df.where(ok).select(F.col(city).alias("at"), F.col(lat).alias("la"), F.col(lon).alias("lo"))
+    for name, axis in (("lat_median", "la"), ("lon_median", "lo")):
+        middle = exact_quantiles(points, "at", axis, {name: 0.5})
+        sums = sums.join(middle, F.col("city").eqNullSafe(F.col("at")), "left").drop("at").withColumn(name, F.round(name, 9))
+    return sums
 
 
 def class_histogram(df: DataFrame, grade: str, classes: list[int]) -> DataFrame:
@@ -51,21 +56,21 @@ def box_statistics(df: DataFrame, group: str, column: str, reach: float = 1.5) -
     """Quartiles per group and the outermost values within reach of the quartile range; exact, interpolated."""
     x = F.col(column).cast("double")
     usable = df.where(usable_intensity(x)).select(F.col(group).alias("grade"), x.alias("x"))
-    q = usable.groupBy("grade").agg(F.count(F.lit(1)).alias("records"), F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    q = q.select("grade", "records", *[F.col("q")[k].alias(n) for k, n in enumerate(("q1", "median", "q3"))])
+    q = exact_quantiles(usable, "grade", "x", {"q1": 0.25, "median": 0.5, "q3": 0.75}).join(usable.groupBy(F.col("grade").alias("of")).agg(F.count(F.lit(1)).alias("records")), F.col("grade").eqNullSafe(F.col("of"))).drop("of")
     span = reach * (F.col("q3") - F.col("q1"))
-    ends = usable.join(F.broadcast(q), "grade").groupBy("grade").agg(
+    ends = usable.join(q.withColumnRenamed("grade", "of"), F.col("grade").eqNullSafe(F.col("of"))).groupBy("of").agg(
         F.min(F.when(F.col("x") >= F.col("q1") - span, F.col("x"))).alias("low"), F.max(F.when(F.col("x") <= F.col("q3") + span, F.col("x"))).alias("high"))
-    return q.join(ends, "grade").select("grade", "records", *[F.round(c, 6).alias(c) for c in ("q1", "median", "q3", "low", "high")])
+    return q.join(ends, F.col("grade").eqNullSafe(F.col("of"))).select("grade", "records", *[F.round(c, 6).alias(c) for c in ("q1", "median", "q3", "low", "high")])
 
 
 def intensity_accounting(df: DataFrame, columns: list[str]) -> DataFrame:
     """Per column: used (finite, positive), missing and invalid values, least and largest used."""
-    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "measure", "x")
-    ok = usable_intensity(F.col("x"))
-    return long.groupBy("measure").agg(
-        F.count_if(ok).alias("used"), F.count_if(F.col("x").isNull()).alias("missing"), F.count_if(F.col("x").isNotNull() & ~ok).alias("invalid"),
-        F.min(F.when(ok, F.col("x"))).alias("least"), F.max(F.when(ok, F.col("x"))).alias("largest"))
+    def number(c):
+        return c.cast("double")
+
+    return per_column(df, columns, {
+        "used": lambda c: F.count_if(usable_intensity(number(c))), "missing": lambda c: F.count_if(c.isNull()), "invalid": lambda c: F.count_if(c.isNotNull() & ~usable_intensity(number(c))),
+        "least": lambda c: F.min(F.when(usable_intensity(number(c)), number(c))), "largest": lambda c: F.max(F.when(usable_intensity(number(c)), number(c)))}, "measure")
 
 
 def block_statistics(df: DataFrame, block: str, value: str, nodata: float, bins: int = 256) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import valid_coordinates
 from ..functions.text import blank_as_missing, fractional, missing_word, safe_double
 from .groups import attach
+from .summaries import per_column
 
 
 def value_counts(df: DataFrame, column: str, blanks: bool = False) -> DataFrame:
@@ -79,17 +80,20 @@ def duplicate_names(spark, names: list[str]) -> DataFrame:
 
 def value_catalog(df: DataFrame, columns: list[str]) -> DataFrame:
     """Per text column: finite numbers, literal NaN, blanks, rows."""
-    long = df.select(*[F.col(c).cast("string").alias(c) for c in columns]).unpivot([], columns, "column", "v")
-    x = safe_double(F.col("v"))
-    return long.groupBy("column").agg(
-        F.count_if(x.isNotNull() & (F.abs(x) < F.lit(float("inf")))).alias("finite"), F.count_if(F.trim("v") == "NaN").alias("literal_nan"),
-        F.count_if(F.coalesce(F.trim("v"), F.lit("")) == "").alias("blank"), F.count(F.lit(1)).alias("records"))
+    def text(c):
+        return F.trim(c.cast("string"))
+
+    def number(c):
+        return safe_double(c.cast("string"))
+
+    return per_column(df, columns, {
+        "finite": lambda c: F.count_if(F.abs(number(c)) < F.lit(float("inf"))), "literal_nan": lambda c: F.count_if(text(c) == "NaN"),
+        "blank": lambda c: F.count_if(F.coalesce(text(c), F.lit("")) == ""), "records": lambda _: F.count(F.lit(1))})
 
 
 def literal_tokens(df: DataFrame, columns: list[str], token: str = "NaN") -> DataFrame:
     """Columns that hold the token, with the number of rows."""
-    long = df.select(*[F.col(c).cast("string").alias(c) for c in columns]).unpivot([], columns, "column", "v")
-    return long.where(F.col("v") == token).groupBy("column").agg(F.count(F.lit(1)).alias("records"))
+    return per_column(df, columns, {"records": lambda c: F.count_if(c.cast("string") == token)}).where("records > 0")
 
 
 def dataset_card(df: DataFrame, maps: list[str], floors: str, intensities: list[str], label: str, ordinal: str) -> DataFrame:
