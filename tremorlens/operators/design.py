@@ -55,7 +55,7 @@ def eligibility(df: DataFrame, c: Columns, spatial: bool = False, conflicts: boo
     if not conflicts:
         return df.withColumn("reason", reason)
     value = F.when(ok, F.col(c.ordinal))
-    both = attach(df.withColumns({"_la": F.when(ok, F.col(c.lat)), "_lo": F.when(ok, F.col(c.lon)), "_v": value}), [c.event, "_la", "_lo"], {"_low": F.min("_v"), "_high": F.max("_v")})
+    both = attach(df.withColumns({"_la": F.when(ok, F.col(c.lat)), "_lo": F.when(ok, F.col(c.lon)), "_v": value}), [c.event, "_la", "_lo"], {"_low": F.min("_v"), "_high": F.max("_v")}, nulls=False)
     clash = F.coalesce(ok & (F.col("_low") != F.col("_high")), F.lit(False))
     return both.withColumn("reason", F.when(clash, "conflicting_labels_at_exact_coordinate").otherwise(reason)).drop("_la", "_lo", "_v", "_low", "_high")
 
@@ -73,20 +73,32 @@ def partition_folds(df: DataFrame, c: Columns, folds: list[Fold], coordinate_req
         base = base.withColumn("reason", F.when(~ok, "missing_or_invalid_coordinate").otherwise(F.col("reason")))
     base = base.withColumn("reason", F.when(domain.isNull(), "missing_domain").otherwise(F.col("reason")))
     name = F.lit(None).cast("string") if uncertainty is None else uncertainty if isinstance(uncertainty, Column) else F.col(uncertainty)
+    # Domains that no fold tests or validates are alike: they train.
+    named = sorted({d for f in folds for d in (f.test, f.validation)})
     base = base.select(
-        F.col(c.record).alias("record_id"), domain.alias("_domain"), group.cast("string").alias("leakage_group"), "reason",
-        F.when(ok, F.struct(F.col(c.event).cast("string"), F.col(c.lat), F.col(c.lon))).alias("_place"),
+        F.col(c.record).alias("record_id"), F.when(domain.isin(*named), domain).otherwise("").alias("_domain"), group.cast("string").alias("leakage_group"), "reason",
+        F.when(ok, F.coalesce(F.col(c.event).cast("string"), F.lit(""))).alias("_event"), F.when(ok, F.col(c.lat)).alias("_la"), F.when(ok, F.col(c.lon)).alias("_lo"),
         (grid_cell(F.col(c.lat), F.col(c.lon)) if spatial else F.coalesce(name, group.cast("string"))).alias("uncertainty_group"))
-    each = base.withColumn("_f", F.explode(F.array(*[F.struct(F.lit(f.name).alias("fold"), F.lit(f.test).alias("test"), F.lit(f.validation).alias("validation")) for f in folds])))
-    role = F.when(F.col("_domain") == F.col("_f.test"), "test").when(F.col("_domain") == F.col("_f.validation"), "validation").otherwise("train")
-    each = each.select("*", F.col("_f.fold").alias("fold"), role.alias("_role")).drop("_f")
-    each = attach(each, ["fold", "leakage_group"], {"_low": F.min("_role"), "_high": F.max("_role")})
-    crossing = F.col("leakage_group").isNotNull() & (F.col("_low") != F.col("_high"))
-    each = each.withColumn("exclusion_reason", F.when(crossing, "group_crosses_domain_partition").otherwise(F.col("reason")))
-    each = each.withColumn("partition", F.when(F.col("exclusion_reason") != "", "excluded").otherwise(F.col("_role")))
-    each = attach(each, ["fold", "_place"], {"_kept": F.count_if(F.col("partition") != "excluded")})
-    weight = F.when(F.col("partition") == "excluded", F.lit(0.0)).when(F.col("_place").isNull(), F.lit(1.0)).otherwise(F.round(F.lit(1.0).cast("double") / F.col("_kept"), 9))
-    return each.select("fold", "record_id", "partition", "exclusion_reason", "leakage_group", weight.alias("evaluation_weight"), "uncertainty_group")
+    # Rows are multiplied by folds only at the end: which roles a group has, and how many rows a place keeps, are
+    # found for all folds at once.
+    base = attach(base, ["leakage_group"], {"_domains": F.collect_set("_domain")}, nulls=False)
+
+    def crossing(f: Fold) -> Column:
+        test, validation = (F.array_contains("_domains", d).cast("int") for d in (f.test, f.validation))
+        return F.coalesce(test + validation + (F.size("_domains") > test + validation).cast("int") > 1, F.lit(False))
+
+    kept = [(F.col("reason") == "") & ~crossing(f) for f in folds]
+    base = attach(base, ["_event", "_la", "_lo"], {"_kept": F.array(*[F.count_if(k) for k in kept])}, nulls=False)
+    d = F.col("_domain")
+    each = F.explode(F.array(*[F.struct(
+        F.lit(f.name).alias("fold"), F.when(d == f.test, "test").when(d == f.validation, "validation").otherwise("train").alias("role"), crossing(f).alias("crossing"), F.col("_kept")[k].alias("kept"))
+        for k, f in enumerate(folds)]))
+    out = base.select("record_id", "leakage_group", "uncertainty_group", "reason", each.alias("f"))
+    why = F.when(F.col("f.crossing"), "group_crosses_domain_partition").otherwise(F.col("reason"))
+    out = out.select("f.fold", "record_id", F.when(why != "", "excluded").otherwise(F.col("f.role")).alias("partition"), why.alias("exclusion_reason"), "leakage_group", F.col("f.kept").alias("kept"), "uncertainty_group")
+    # Invalid coordinates have no place: the row stands alone.
+    weight = F.when(F.col("partition") == "excluded", F.lit(0.0)).when(F.col("kept").isNull(), F.lit(1.0)).otherwise(F.round(F.lit(1.0).cast("double") / F.col("kept"), 9))
+    return out.select("fold", "record_id", "partition", "exclusion_reason", "leakage_group", weight.alias("evaluation_weight"), "uncertainty_group")
 
 
 def fold_summary(parts: DataFrame, small: int = 30) -> DataFrame:
