@@ -15,7 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import partial
 from itertools import combinations
-from math import comb
+from math import ceil, comb, log2
 
 import numpy as np
 import pandas as pd
@@ -99,7 +99,7 @@ def plan_parts(n: int, both: np.ndarray, distance: int) -> list[tuple[list[int],
     best: tuple[float, list[tuple[list[int], int]]] = (float("inf"), [])
     for m in range(1, min(2 * distance + 2, 12)):
         parts = _grouped(correlation, m)
-        costs = [[_cost(n, bits, t, agree1, agree2, correlation) for t in range(-1, distance + 1)] for bits in parts]
+        costs = [[_cost(n, bits, t, distance, agree1, agree2, correlation) for t in range(-1, distance + 1)] for bits in parts]
         total, chosen = _allot(costs, distance - m + 1)
         if total < best[0]:
             best = total, [(bits, t) for bits, t in zip(parts, chosen) if t >= 0]
@@ -122,8 +122,8 @@ def _grouped(correlation: np.ndarray, m: int) -> list[list[int]]:
     return parts
 
 
-def _cost(n: int, bits: list[int], t: int, agree1: np.ndarray, agree2: np.ndarray, correlation: np.ndarray) -> float:
-    """Rows dealt and pairs verified if a part is probed within t; 0 at -1 (not probed)."""
+def _cost(n: int, bits: list[int], t: int, distance: int, agree1: np.ndarray, agree2: np.ndarray, correlation: np.ndarray) -> float:
+    """Rows dealt (again, where buckets would be too large) and pairs verified if a part is probed within t; 0 at -1 (not probed)."""
     if t < 0:
         return 0.0
     if t >= len(bits):
@@ -135,7 +135,12 @@ def _cost(n: int, bits: list[int], t: int, agree1: np.ndarray, agree2: np.ndarra
         same = float(agree1[j] if near is None else min(1.0, agree2[near, j] / agree1[near]))
         moved = np.concatenate([[0.0], within[:-1]])
         within = within * same + moved * (1 - same)
-    return n * comb(len(bits), t) * ROW_COST + n * n / 2 * float(within.sum())
+    key = len(bits) - t
+    bucket = n * float(within[0]) ** (key / len(bits))
+    each = max(1.0, (BITS - key) / (distance + 1))  # bits that one more level adds to a key
+    levels = ceil(max(0.0, log2(2 * bucket / BUCKET)) / each)
+    dealt = sum((distance + 1) ** k for k in range(levels + 1))
+    return n * comb(len(bits), t) * dealt * ROW_COST + min(n * n / 2 * float(within.sum()), n * comb(len(bits), t) * dealt * BUCKET)
 
 
 def _allot(costs: list[list[float]], total: int) -> tuple[float, list[int]]:
@@ -333,8 +338,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
         return pd.Series([overlap(x, y) for x, y in zip(a, b)], dtype="float64")
 
     pairs = found.join(texts, F.col("_id") == F.col("_key")).join(heads, F.col("_of") == F.col("_head"))
-    gone = pairs.where(alike("_text", "_head_text") >= least).select("_id")
-    return docs.join(gone, key == F.col("_id"), "left_anti")
+    gone = pairs.where(alike("_text", "_head_text") >= least).select(F.col("_id").alias("_near_copy_id"))
+    return docs.join(gone, key == F.col("_near_copy_id"), "left_anti")
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
