@@ -20,16 +20,18 @@ from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import documents
 
 #: Longer words (bytes) are walked one at a time.
 WIDE = 32
-#: Words in the cache of a worker before it starts anew, and words (of one text) or characters taken at a time.
-CACHE, WORDS, CHARS = 300_000, 200_000, 3_000_000
+#: Words in the cache of a worker before it starts anew; words (of one text) and characters taken at a time; rows of a result batch.
+CACHE, WORDS, CHARS, ROWS = 160_000, 100_000, 1_500_000, 512
 #: Slots of the arc table (a power of two).
 ARCS = 1 << 20
 
@@ -97,17 +99,23 @@ class MergeAutomaton:
 
     def _trie(self, live: set[int]) -> None:
         child: dict[tuple[int, int], int] = {}
-        ends = {0: -1}
+        ends = {}
         for i in live:
             node = 0
             for b in self.labels[i]:
                 node = child.setdefault((node, b), len(child) + 1)
             ends[node] = i
-        self.child = np.zeros((len(child) + 1) << 8, np.int32)
+        # Nodes with children come first: only they have a row of the table, all others share one empty row.
+        inner = sorted({node for node, _ in child})
+        self.inner = len(inner)
+        number = {node: k for k, node in enumerate(inner)}
+        for node in range(len(child) + 1):
+            number.setdefault(node, len(number))
+        self.child = np.zeros((self.inner + 1) << 8, np.int32)
         for (node, b), to in child.items():
-            self.child[node << 8 | b] = to
+            self.child[number[node] << 8 | b] = number[to]
         self.ends = np.full(len(child) + 1, -1, np.int32)
-        self.ends[list(ends)] = list(ends.values())
+        self.ends[[number[node] for node in ends]] = list(ends.values())
         self.lengths = np.array([len(x) for x in self.labels], np.int32)
 
     def _open(self, t: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -167,7 +175,7 @@ class MergeAutomaton:
             at = np.flatnonzero(lengths > j)
             node = np.zeros(len(at), np.int64)
             for e in range(j + 1, wide + 1):
-                node = self.child[node << 8 | text[e - 1, at]]
+                node = self.child[np.minimum(node, self.inner) << 8 | text[e - 1, at]]
                 go = (node > 0) & (lengths[at] >= e)
                 at, node = at[go], node[go].astype(np.int64)
                 if not len(at):
@@ -204,7 +212,7 @@ class MergeAutomaton:
         for j in range(len(word)):
             node, t = 0, last[j]
             for e in range(j, len(word)):
-                node = int(child[node << 8 | word[e]])
+                node = int(child[min(node, self.inner) << 8 | word[e]])
                 if not node:
                     break
                 token = int(ends[node])
@@ -365,14 +373,24 @@ def encode_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     gives an empty result; other columns are ignored.
     """
     spec = docs.sparkSession.sparkContext.broadcast(tokenizer_file(path))
-    columns = ["n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
-
-    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
-    def of(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(_coder(spec.value).coded([t or "" for t in texts], with_ids), columns=columns)
+    slim = docs.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text_col}`").alias("_text"))
+    columns = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType()), *[("ids", T.ArrayType(T.IntegerType()))] * with_ids]
+    schema = T.StructType([slim.schema[id_col], *[T.StructField(*c) for c in columns]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = _coder(spec.value)
+        for batch in batches:
+            # Results leave a few rows at a time, so that a batch of long texts doesn't pile up ids.
+            for at in range(0, batch.num_rows, ROWS):
+                some = batch.slice(at, ROWS)
+                rows = coder.coded([t or "" for t in some.column(1).to_pylist()], with_ids)
+                out = [some.column(0), pa.array([r[0] for r in rows], pa.int64()), *[pa.array([r[k] for r in rows], pa.string()) for k in (1, 2)]]
+                if with_ids:
+                    stops = np.cumsum([0, *(len(r[3]) for r in rows)])
+                    out.append(pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(np.concatenate([r[3] for r in rows]), pa.int32())))
+                yield pa.RecordBatch.from_arrays(out, schema.names)
 
-    found = docs.select(F.col(f"`{id_col}`").alias(id_col), of(F.col(f"`{text_col}`")).alias("_d"))
-    return found.select(id_col, *[f"_d.{c}" for c in columns])
+    return slim.mapInArrow(run, schema)
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
