@@ -26,11 +26,10 @@ def geographic_coverage(df: DataFrame, city: str, lat: str, lon: str, grade: str
     sums = df.groupBy(F.col(city).alias("city")).agg(
         F.count(F.lit(1)).alias("records"), F.count_if(ok).alias("valid_records"), F.count_distinct(F.when(ok, F.struct(lat, lon))).alias("unique_pairs"),
         F.count(grade).alias("known_damage"), F.min(la).alias("lat_min"), F.max(la).alias("lat_max"), F.min(lo).alias("lon_min"), F.max(lo).alias("lon_max"), F.round(F.avg(la), 9).alias("lat_mean"))
-    points = df.where(ok).select(F.col(city).alias("at"), F.col(lat).alias("la"), F.col(lon).alias("lo"))
-    for name, axis in (("lat_median", "la"), ("lon_median", "lo")):
-        middle = exact_quantiles(points, "at", axis, {name: 0.5})
-        sums = sums.join(middle, F.col("city").eqNullSafe(F.col("at")), "left").drop("at").withColumn(name, F.round(name, 9))
-    return sums
+    axes = F.explode(F.array(*[F.struct(F.lit(n).alias("axis"), F.col(c).cast("double").alias("x")) for n, c in (("lat_median", lat), ("lon_median", lon))])).alias("a")
+    points = df.where(ok).select(F.col(city).alias("at"), axes).select(F.struct("at", "a.axis").alias("key"), "a.x")
+    middle = exact_quantiles(points, "key", "x", {"m": 0.5}).groupBy("key.at").agg(*[F.round(F.max(F.when(F.col("key.axis") == n, F.col("m"))), 9).alias(n) for n in ("lat_median", "lon_median")])
+    return sums.join(middle, F.col("city").eqNullSafe(F.col("at")), "left").drop("at")
 
 
 def class_histogram(df: DataFrame, grade: str, classes: list[int]) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import RADIUS, haversine, valid_coordinates
 from ..functions.text import group_name
-from .groups import components
+from .groups import components, materialize
 
 
 def _grid(radius: float, top: float) -> tuple[float, int]:
@@ -68,10 +68,13 @@ def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, lat:
     """
     out, rest = None, left.where(valid_coordinates(F.col(lat), F.col(lon)))
     while True:
-        found = pairs_within(rest, right, left_id, right_id, lat, lon, radius).groupBy(left_id).agg(F.min("distance").alias("distance"))
+        # Each ring is written, so that it runs once and not again in every later one.
+        found = materialize(pairs_within(rest, right, left_id, right_id, lat, lon, radius).groupBy(left_id).agg(F.min("distance").alias("distance")))
         out = found if out is None else out.unionByName(found)
-        rest = rest.join(found, left_id, "left_anti")
-        if radius >= limit or rest.isEmpty():
+        if radius >= limit:
+            return out
+        rest = materialize(rest.join(found, left_id, "left_anti").select(left_id, lat, lon))
+        if rest.isEmpty():
             return out
         radius = min(limit, radius * grow)
 
