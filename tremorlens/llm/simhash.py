@@ -281,9 +281,11 @@ def components(edges: DataFrame) -> DataFrame:
     mark = None
     while True:
         both = edges.unionByName(edges.select(b.alias("_a"), a.alias("_b")))
-        least = both.groupBy("_a").agg(F.least(F.min("_b"), a).alias("_r"))
+        least = materialize(both.groupBy("_a").agg(F.least(F.min("_b"), a).alias("_r")), "least")
+        # `least` is written before it is joined, so that the rows of a centre of many links can be split.
         large = both.where(b > a).join(least, "_a").select(b.alias("_a"), F.col("_r").alias("_b")).distinct()
-        least = large.groupBy("_a").agg(F.min("_b").alias("_r"))
+        large = materialize(large, "large")
+        least = materialize(large.groupBy("_a").agg(F.min("_b").alias("_r")), "least")
         small = large.join(least, "_a").select(F.explode(F.array(F.struct(b.alias("_a"), F.col("_r").alias("_b")), F.struct(a.alias("_a"), F.col("_r").alias("_b")))).alias("_e")).select("_e._a", "_e._b")
         edges = materialize(small.where(a != b).distinct(), "edges")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("_a", "_b").cast("decimal(38,0)"))).first()
@@ -303,7 +305,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = materialize(of.groupBy("_fp").agg(F.min("_id").alias("_rep")), "groups")
     roots = components(links(groups, distance))
     linked = groups.join(roots, F.col("_fp") == F.col("_node"), "left").withColumn("_root", F.coalesce("_root", "_fp"))
-    least = linked.groupBy("_root").agg(F.min("_rep").alias("_least"))
+    # Written first: a join with a bare shuffle on either side can be split where one component holds many rows.
+    least = materialize(linked.groupBy("_root").agg(F.min("_rep").alias("_least")), "least")
     each = linked.join(least, "_root").select("_fp", "_least")
     return of.join(each, "_fp").select(
         F.col("_id").alias(id_col), F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"), F.col("_least").alias("component_id"))
