@@ -140,7 +140,7 @@ def _learn(rows: list, y: np.ndarray, prior: float, most: int) -> Model:
     docs = [(np.frombuffer(r.f, np.int32), np.frombuffer(r.n, np.int16)) for r in rows]
     # Each class weighs as in the whole table, so that 0.5 means even odds there.
     weight = np.where(y == 1, prior / max(y.mean(), 1e-9), (1 - prior) / max(1 - y.mean(), 1e-9))
-    seen, toxic = np.zeros(1 << SPACE), np.zeros(1 << SPACE)
+    seen, toxic = np.zeros(1 << SPACE, np.float32), np.zeros(1 << SPACE, np.float32)
     # Copies count once when features are chosen, else the rare words of one copied text look like causes.
     first: dict[tuple[int, ...], int] = {}
     for k, (f, _) in enumerate(docs):
@@ -153,12 +153,12 @@ def _learn(rows: list, y: np.ndarray, prior: float, most: int) -> Model:
         seen[docs[k][0]] += 1
         if y[k]:
             toxic[docs[k][0]] += 1
-    a, b = (toxic + 0.5) / (n1 + 1), (seen - toxic + 0.5) / (n0 + 1)
-    pooled = (seen + 1) / (len(alone) + 2)
+    often = np.flatnonzero(seen >= 3)
+    s, t = seen[often].astype(float), toxic[often].astype(float)
+    a, b, pooled = (t + 0.5) / (n1 + 1), (s - t + 0.5) / (n0 + 1), (s + 1) / (len(alone) + 2)
     z = np.abs(a - b) / np.sqrt(pooled * (1 - pooled) * (1 / n1 + 1 / n0))
-    z[seen < 3] = 0
-    chosen = np.sort(np.argsort(-z, kind="stable")[:most])
-    chosen = chosen[z[chosen] > 3]
+    best = np.argsort(-z, kind="stable")[:most]
+    chosen = often[np.sort(best[z[best] > 3])]
     column = np.full(1 << SPACE, -1, np.int32)
     column[chosen] = np.arange(len(chosen))
 
