@@ -91,6 +91,27 @@ def test_keep_one_leaves_texts_that_only_meet_by_fingerprint(spark):
     assert {r._id for r in kept} == {"clash"}
 
 
+def test_keep_one_equals_brute_force(spark, monkeypatch):
+    """All in one component; unlike heads before groups of near copies, more of them than meet at a time."""
+    groups = [[f"w{g}x{k}" for k in range(60)] for g in range(12)]
+    rows = [(1, "alone " * 9)]
+    for k in range(40):
+        own = list(groups[k * 7 % 12])
+        own[k % 60] = f"other{k}"
+        rows.append((k + 2, " ".join(own)))
+    component = lambda docs, *a: docs.select("doc_id", F.lit(1).cast("long").alias("component_id"))
+    stays = []
+    for k, t in rows:
+        if all(simhash.overlap(t, other) < 0.5 for _, other in stays):
+            stays.append((k, t))
+    assert len(stays) == 13
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(simhash, "near_dedup", component)
+    for heads in (64, 2):
+        monkeypatch.setattr(simhash, "HEADS", heads, raising=False)
+        assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == [k for k, _ in stays]
+
+
 def test_pipeline_stages_keep_columns(spark, docs):
     at = spark.createDataFrame(ROWS, SCHEMA)
     for name, stage in corpus_pipeline.STAGES:

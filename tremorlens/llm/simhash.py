@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, materialize
@@ -31,6 +31,8 @@ BITS = 64
 BUCKET = 2048
 #: Cost of one dealt row in verified pairs (a row is hashed, shuffled and sorted, a pair is one vectorised XOR).
 ROW_COST = 200
+#: Documents (and bytes of their texts, unless it is one document) of a component that the rest of it meets at a time.
+HEADS, HEAD_BYTES = 64, 1 << 25
 #: Shingles whose bits are counted at a time.
 CHUNK = 1 << 16
 
@@ -324,11 +326,11 @@ def _shingles(text: str | None, words: int) -> set[bytes]:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = 7, least: float = 0.5) -> DataFrame:
-    """The rows of docs without near copies: of each component the document with the smallest identifier stays.
+    """The rows of docs without near copies of documents that stay.
 
-    A document goes only if its text also shares at least `least` of its five-word shingles (Jaccard) with the one
-    that stays, so that fingerprints which meet by chance cost no document. Identifiers are taken as unique; rows
-    without identifier stay.
+    In each component, in the order of identifiers, a document goes if its text shares at least `least` of its
+    five-word shingles (Jaccard) with one before it that stays. So fingerprints which meet by chance cost no document,
+    and an unlike document between them saves none. Identifiers are taken as unique; rows without identifier stay.
     """
     key, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
     found = near_dedup(docs, id_col, text_col, words, distance).where(key != F.col("component_id")).select(key.alias("_id"), F.col("component_id").alias("_of")).distinct()
@@ -340,9 +342,38 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([overlap(x, y) for x, y in zip(a, b)], dtype="float64")
 
+    def leaders(first: pd.DataFrame) -> pd.DataFrame:
+        first = first.sort_values("_rank")
+        stays: list[str | None] = []
+        kept = []
+        for own in first["_text"]:
+            kept.append(all(overlap(own, other) < least for other in stays))
+            if kept[-1]:
+                stays.append(own)
+        return first.assign(_stays=kept)[["_id", "_of", "_text", "_stays"]]
+
+    # The smallest identifier of a component stays. Most of the others go by it.
     pairs = found.join(texts, F.col("_id") == F.col("_key")).join(heads, F.col("_of") == F.col("_head"))
-    gone = pairs.where(alike("_text", "_head_text") >= least).select(F.col("_id").alias("_near_copy_id"))
-    return docs.join(gone, key == F.col("_near_copy_id"), "left_anti")
+    tried = materialize(pairs.select("_id", "_of", (alike("_text", "_head_text") >= least).alias("_copy")), "tried")
+    gone, left = tried.where("_copy").select("_id"), tried.where(~F.col("_copy")).select("_id", "_of")
+    # The rest meet the next ones that stay, a growing number at a time, until none is left.
+    rest, wide = None, 1
+    while not left.isEmpty():
+        if rest is None:
+            rest = materialize(left.join(texts, F.col("_id") == F.col("_key")).select("_id", "_text"), "rest")
+        wide = min(4 * wide, HEADS)
+        first = left.withColumn("_rank", F.row_number().over(Window.partitionBy("_of").orderBy("_id"))).where(F.col("_rank") <= wide).join(rest, "_id")
+        size = F.sum(F.coalesce(F.octet_length("_text"), F.lit(0))).over(Window.partitionBy("_of").orderBy("_rank"))
+        first = first.withColumn("_size", size).where((F.col("_rank") == 1) | (F.col("_size") <= HEAD_BYTES)).drop("_size")
+        ids = found.schema["_id"].dataType.simpleString()
+        next_heads = materialize(first.groupBy("_of").applyInPandas(leaders, f"_id {ids}, _of {ids}, _text string, _stays boolean"), "heads")
+        stay = next_heads.where("_stays").select("_of", F.col("_text").alias("_head_text"))
+        others = left.join(next_heads.select("_id"), "_id", "left_anti").join(rest, "_id")
+        each = others.join(stay, "_of").select("_id", "_of", (alike("_text", "_head_text") >= least).alias("_copy"))
+        tried = materialize(each.groupBy("_id", "_of").agg(F.max("_copy").alias("_copy")), "tried")
+        gone = gone.unionByName(next_heads.where(~F.col("_stays")).select("_id")).unionByName(tried.where("_copy").select("_id"))
+        left = tried.where(~F.col("_copy")).select("_id", "_of")
+    return docs.join(gone.select(F.col("_id").alias("_near_copy_id")), key == F.col("_near_copy_id"), "left_anti")
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
