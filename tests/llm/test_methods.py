@@ -230,6 +230,33 @@ def test_schedule_places_every_block():
     assert placed == blocks and sorted(used) == list(range(61))
 
 
+def test_mixing_keeps_exact_weights():
+    """Within one block of the ideal at every slot, over many blocks, for tiny weights and after sources run out."""
+    weights = {"a": 0.7**0.5, "b": 0.3**0.5, "c": 0.0001, "d": 0.05, "e": 0.0}
+    blocks = {"a": 30_000, "b": 30_000, "c": 40, "d": 700, "e": 9}
+    placed = mixing.schedule(blocks, weights)
+    of = {}
+    for p in placed:
+        for k in range(p.last - p.first):
+            slot = p.base + k // p.share * p.period + p.slots[k % p.share]
+            assert slot not in of
+            of[slot] = p.source
+    assert sorted(of) == list(range(sum(blocks.values()))) and Counter(of.values()) == blocks
+    assert min(t for t, s in of.items() if s == "e") == sum(blocks.values()) - 9
+    ideal, done = dict.fromkeys(weights, 0.0), Counter()
+    for slot in range(sum(blocks.values()) - 9):
+        left = 1.0
+        while left > 1e-9:  # the ideal shares one slot, and shares on if a source ends within
+            active = {s: w for s, w in weights.items() if w and blocks[s] - ideal[s] > 1e-7}
+            total = sum(active.values())
+            step = min([left, *((blocks[s] - ideal[s]) * total / w for s, w in active.items())]) if active else left
+            for s, w in active.items():
+                ideal[s] += step * w / total
+            left -= step
+        done[of[slot]] += 1
+        assert all(abs(done[s] - ideal[s]) < 1 + 1e-4 for s in weights)
+
+
 def test_mixing_query(spark):
     rows = mixing.op8_mixing(spark, SF).collect()
     assert len({r.position for r in rows}) == len(rows) == 200

@@ -1,27 +1,35 @@
 """Operator 8: mixing sources to target weights by Pfair scheduling.
 
-Each source's documents are dealt into blocks in the order of a hash. Block j of a source of weight w may not start
-before slot floor((j - 1) / w) and must be done by slot ceil(j / w); earliest deadline first over these windows
-keeps every source within one block of its share at every slot. Weights are whole numbers of slots in a period, so
-the schedule of one period is computed on the driver and every row finds its slot in it. When a source runs out,
-the others go on with their weights scaled up: a new phase with its own period.
+Each source's documents are dealt into blocks in the order of a hash. In the ideal mixture every source has exactly
+its weight's share at any time; when one runs out, the others go on with their weights scaled up. Block j of a source
+may not start before the slot in which the ideal reaches j - 1 blocks of it and must be done when the ideal reaches j;
+earliest deadline first over these windows keeps every source within one block of the ideal at every slot, however
+many there are. Windows are found from the exact weights in whole numbers. One task walks through the blocks (never
+the rows) and writes their slots as a table.
 """
 
 from __future__ import annotations
 
 import heapq
-from bisect import bisect_left
+from collections.abc import Iterator
 from dataclasses import dataclass
+from fractions import Fraction
+from functools import partial
+from itertools import islice
+from math import lcm
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, findable, materialize
 
-#: Documents in a block, slots in a period (at least), sources that one schedule may have.
-BLOCK, PERIOD, SOURCES = 64, 1000, 1000
+#: Documents in a block, sources that one schedule may have.
+BLOCK, SOURCES = 64, 1000
 #: Documents in one ranking bucket, and buckets of a source at most.
 BUCKET, BUCKETS = 1000, 65_536
+#: Slots in one batch of the schedule.
+BATCH = 1 << 16
 
 
 @dataclass
@@ -35,48 +43,91 @@ class Phase:
     slots: list[int]  # of the source in one period
 
 
+def _whole(weights: dict[str, float]) -> dict[str, int]:
+    """Whole numbers in exactly the same proportions."""
+    ratios = {s: Fraction(w).as_integer_ratio() for s, w in weights.items()}
+    common = lcm(*{d for _, d in ratios.values()})
+    return {s: n * (common // d) for s, (n, d) in ratios.items()}
+
+
+def _in_order(blocks: dict[str, int], weights: dict[str, int]) -> Iterator[tuple[str, int]]:
+    """Source and block (from 0) of each slot; weights are above 0. Equal deadlines go by name.
+
+    At virtual time v the ideal has min(blocks, weight * v) blocks of a source, so it is piecewise linear in v.
+    """
+    ends = sorted(blocks, key=lambda s: Fraction(blocks[s], weights[s]))
+    # While the k sources that end first are done, the ideal has done[k] + rate[k] * v blocks in all.
+    done, rate = [0], [sum(weights.values())]
+    for s in ends:
+        done.append(done[-1] + blocks[s])
+        rate.append(rate[-1] - weights[s])
+    piece = dict.fromkeys(blocks, 0)
+
+    def reached(s: str, j: int) -> tuple[int, int]:
+        """Slot in which the ideal reaches j blocks of s, rounded down and up."""
+        k, w = piece[s], weights[s]
+        while blocks[ends[k]] * w < j * weights[ends[k]]:
+            k += 1
+        piece[s] = k
+        whole, part = divmod(rate[k] * j, w)
+        return done[k] + whole, done[k] + whole + (part > 0)
+
+    waiting, ready = [], []
+
+    def wait(s: str, j: int, release: int) -> None:
+        after, deadline = reached(s, j)
+        heapq.heappush(waiting, (release, deadline, s, j, after))
+
+    for s in blocks:
+        wait(s, 1, 0)
+    for slot in range(done[-1]):
+        while waiting and waiting[0][0] <= slot:
+            _, deadline, s, j, after = heapq.heappop(waiting)
+            heapq.heappush(ready, (deadline, s, j, after))
+        _, s, j, after = heapq.heappop(ready)
+        yield s, j - 1
+        if j < blocks[s]:
+            wait(s, j + 1, after)
+
+
+def slots_in_order(blocks: dict[str, int], weights: dict[str, float]) -> Iterator[tuple[str, int]]:
+    """Source and block of each slot from 0. Sources of weight zero come after all others, evenly among themselves."""
+    named = {s: n for s, n in blocks.items() if n and weights.get(s, 0) > 0}
+    others = {s: n for s, n in blocks.items() if n and s not in named}
+    if named:
+        yield from _in_order(named, _whole({s: weights[s] for s in named}))
+    if others:
+        yield from _in_order(others, dict.fromkeys(others, 1))
+
+
 def period_slots(shares: dict[str, int]) -> dict[str, list[int]]:
-    """Earliest deadline first over one period of sum(shares) slots; equal deadlines go by name."""
-    period = sum(shares.values())
-    waiting = [(0, -(-period // n), s, 1) for s, n in shares.items()]  # release, deadline, source, block
-    heapq.heapify(waiting)
-    ready: list[tuple[int, str, int]] = []
+    """Slots of each source where all end together after sum(shares) slots."""
     out: dict[str, list[int]] = {s: [] for s in shares}
-    for slot in range(period):
-        while waiting and waiting[0][0] <= slot:
-            _, deadline, s, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (deadline, s, j))
-        _, s, j = heapq.heappop(ready)
+    for slot, (s, _) in enumerate(_in_order(shares, shares)):
         out[s].append(slot)
-        if j < shares[s]:
-            heapq.heappush(waiting, (j * period // shares[s], -(-(j + 1) * period // shares[s]), s, j + 1))
     return out
 
 
 def schedule(blocks: dict[str, int], weights: dict[str, float]) -> list[Phase]:
-    """Phases that place all blocks. Sources of weight zero come after all others, evenly among themselves."""
-    left = {s: n for s, n in blocks.items() if n}
-    done = dict.fromkeys(left, 0)
-    base, out = 0, []
-    while left:
-        active = {s: weights.get(s, 0.0) for s in left}
-        if not any(active.values()):
-            active = dict.fromkeys(active, 1.0)
-        active = {s: w for s, w in active.items() if w > 0}
-        total, wanted = sum(active.values()), max(PERIOD, 4 * len(active))
-        shares = {s: max(1, round(wanted * w / total)) for s, w in active.items()}
-        period, slots = sum(shares.values()), period_slots(shares)
-        end = 1 + min((left[s] - 1) // n * period + slots[s][(left[s] - 1) % n] for s, n in shares.items())
-        for s, n in shares.items():
-            ran = end // period * n + bisect_left(slots[s], end % period)
-            if ran:
-                out.append(Phase(s, done[s], done[s] + ran, n, period, base, slots[s]))
-            done[s] += ran
-            left[s] -= ran
-            if not left[s]:
-                del left[s]
-        base += end
-    return out
+    """The slots of all blocks, as one phase for each source."""
+    out: dict[str, list[int]] = {s: [] for s, n in blocks.items() if n}
+    for slot, (s, _) in enumerate(slots_in_order(blocks, weights)):
+        out[s].append(slot)
+    total = sum(map(len, out.values()))
+    return [Phase(s, 0, len(slots), len(slots), total, 0, slots) for s, slots in out.items()]
+
+
+def _planned(batches: Iterator[pa.RecordBatch], weights: dict[str, float] | None, block: int) -> Iterator[pa.RecordBatch]:
+    """Rows (_of, _at, _slot) of the whole schedule from rows (_source, _n), which one task gets."""
+    sizes = {s: n for b in batches for s, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist())}
+    wanted = {s: n**0.5 for s, n in sizes.items()} if weights is None else weights
+    order = slots_in_order({s: -(-n // block) for s, n in sorted(sizes.items())}, wanted)
+    base = 0
+    while part := list(islice(order, BATCH)):
+        of, own = zip(*part)
+        slots = pa.array(range(base, base + len(part)), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(of, pa.string()), pa.array(own, pa.int64()), slots], ["_of", "_at", "_slot"])
+        base += len(part)
 
 
 def _key(source_col: str):
@@ -94,13 +145,13 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, id_col:
     """
     spark = docs.sparkSession
     key = _key(source_col)
-    sizes = {r[0]: r[1] for r in docs.groupBy(key).count().limit(SOURCES + 1).collect()}
-    if len(sizes) > SOURCES:
+    findable(spark)
+    sizes = materialize(docs.groupBy(key.alias("_source")).agg(F.count(F.lit(1)).alias("_n")), "sizes")
+    if sizes.count() > SOURCES:
         raise ValueError(f"more than {SOURCES} sources: group them first")
-    wanted = {s: n**0.5 for s, n in sizes.items()} if weights is None else {"null" if s is None else f"={s}": w for s, w in weights.items()}
-    phases = schedule({s: -(-n // block) for s, n in sizes.items()}, wanted)
-    plan = spark.createDataFrame([(p.source, p.first, p.last, p.share, p.period, p.base, p.slots) for p in phases], "_source string, _first long, _last long, _share long, _period long, _base long, _slots array<int>")
-    dealt = spark.createDataFrame([(s, min(BUCKETS, -(-n // BUCKET))) for s, n in sizes.items()], "_source string, _buckets int")
+    wanted = None if weights is None else {"null" if s is None else f"={s}": w for s, w in weights.items()}
+    plan = materialize(sizes.coalesce(1).mapInArrow(partial(_planned, weights=wanted, block=block), "_of string, _at long, _slot long"), "plan")
+    dealt = sizes.select("_source", F.least(F.lit(BUCKETS), F.ceil(F.col("_n") / BUCKET)).cast("int").alias("_buckets"))
     rows = docs.select(
         key.alias("_source"), F.col(f"`{id_col}`").alias("_id"), F.col(f"`{source_col}`").alias("_name"),
         F.xxhash64(F.lit(seed), F.col(f"`{id_col}`").cast("string"), F.col(f"`{text_col}`")).alias("_hash"),
@@ -114,12 +165,11 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, id_col:
     inside = Window.partitionBy("_source", "_bucket").orderBy(place, "_hash", "_id")
     ranked = rows.withColumn("_nth", F.row_number().over(inside) - 1).join(sums, ["_source", "_bucket"])
     ranked = ranked.withColumn("_rank", F.col("_before") + F.col("_nth")).withColumn("_block", F.floor(F.col("_rank") / block))
-    # One phase of its source holds a block: at most as many rows as come in. The plan has a row for each phase and source.
-    at = F.col("_block") - F.col("_first")
-    found = ranked.join(F.broadcast(plan.withColumnRenamed("_source", "_of")), (F.col("_source") == F.col("_of")) & (F.col("_block") >= F.col("_first")) & (F.col("_block") < F.col("_last")))
-    slot = F.col("_base") + F.floor(at / F.col("_share")) * F.col("_period") + F.element_at("_slots", (at % F.col("_share") + 1).cast("int"))
+    # The plan has one row for each block of each source. Its size decides how it is joined.
+    found = ranked.join(plan, (F.col("_source") == F.col("_of")) & (F.col("_block") == F.col("_at")))
+    slot = F.col("_slot")
     return found.select(
-        F.col("_id").alias(id_col), F.col("_name").alias(source_col), F.col("_block").alias("block"), slot.cast("long").alias("slot"),
+        F.col("_id").alias(id_col), F.col("_name").alias(source_col), F.col("_block").alias("block"), slot.alias("slot"),
         (slot * block + F.col("_rank") % block).cast("long").alias("position"), *([F.col("_row").alias("row")] if carry else []),
     )
 
