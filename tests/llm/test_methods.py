@@ -257,6 +257,14 @@ def test_mixing_keeps_exact_weights():
         assert all(abs(done[s] - ideal[s]) < 1 + 1e-4 for s in weights)
 
 
+def test_mixing_of_many_sources(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("site"), F.col("id") % 1500).alias("source"), F.lit("x").alias("text"))
+    rows = mixing.mix(docs, block=1).collect()
+    assert len({r.doc_id for r in rows}) == len(rows) == 3000 and sorted(r.position for r in rows) == list(range(3000))
+    # Equal weights: each source once in each half.
+    assert len({r.source for r in rows if r.slot < 1500}) == 1500
+
+
 def test_mixing_query(spark):
     rows = mixing.op8_mixing(spark, SF).collect()
     assert len({r.position for r in rows}) == len(rows) == 200

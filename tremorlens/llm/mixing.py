@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import documents, findable, materialize
 
-#: Documents in a block, sources that one schedule may have.
-BLOCK, SOURCES = 64, 1000
+#: Documents in a block.
+BLOCK = 64
 #: Documents in one ranking bucket, and buckets of a source at most.
 BUCKET, BUCKETS = 1000, 65_536
 #: Slots in one batch of the schedule.
@@ -147,8 +147,6 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, id_col:
     key = _key(source_col)
     findable(spark)
     sizes = materialize(docs.groupBy(key.alias("_source")).agg(F.count(F.lit(1)).alias("_n")), "sizes")
-    if sizes.count() > SOURCES:
-        raise ValueError(f"more than {SOURCES} sources: group them first")
     wanted = None if weights is None else {"null" if s is None else f"={s}": w for s, w in weights.items()}
     plan = materialize(sizes.coalesce(1).mapInArrow(partial(_planned, weights=wanted, block=block), "_of string, _at long, _slot long"), "plan")
     dealt = sizes.select("_source", F.least(F.lit(BUCKETS), F.ceil(F.col("_n") / BUCKET)).cast("int").alias("_buckets"))
@@ -159,7 +157,7 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, id_col:
     )
     # Ranks: a bucket is a range of hashes, so a rank is the rank in its bucket after the sizes of those before.
     place = F.shiftrightunsigned(F.col("_hash"), 32).cast("long")
-    rows = rows.join(F.broadcast(dealt), "_source").withColumn("_bucket", F.shiftright(place * F.col("_buckets"), 32))
+    rows = rows.join(dealt, "_source").withColumn("_bucket", F.shiftright(place * F.col("_buckets"), 32))
     before = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = rows.groupBy("_source", "_bucket").count().select("_source", "_bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
     inside = Window.partitionBy("_source", "_bucket").orderBy(place, "_hash", "_id")
