@@ -164,6 +164,38 @@ def test_secret_layers(text, base, spans):
     assert (secrets.shown(a), secrets.shown(b)) == (base, spans)
 
 
+def _b64(raw):
+    return base64.b64encode(raw).decode()
+
+
+def _tar(raw):
+    import io
+    import tarfile
+
+    out = io.BytesIO()
+    with tarfile.open(fileobj=out, mode="w") as t:
+        info = tarfile.TarInfo("settings")
+        info.size = len(raw)
+        t.addfile(info, io.BytesIO(raw))
+    return out.getvalue()
+
+
+PLAIN = SECRET.encode()
+
+
+@pytest.mark.parametrize(
+    "packed",
+    [
+        _b64(gzip.compress(gzip.compress(gzip.compress(PLAIN)))), _b64(_tar(PLAIN)), _b64(gzip.compress(_tar(PLAIN))), _b64(_tar(gzip.compress(PLAIN))), _b64(SECRET.encode("utf-16")),
+        _b64(SECRET.encode("utf-16-be")), _b64(bytes(range(256)) * 9 + PLAIN + bytes(range(256))), _b64(b"plain text " * 500 + b"\x00\xff" * 2000 + PLAIN), quote(gzip.compress(PLAIN, mtime=0), safe=""),
+        _b64(gzip.compress(b"x " * ((1 << 21) - 4501) + base64.b64encode(b"some text " * 2000 + PLAIN))), _b64(gzip.compress(b"text") + gzip.compress(PLAIN)),
+    ],
+)
+def test_secrets_in_bytes_and_nested_compression(packed):
+    base, spans = secrets.all_spans(f"x {packed} y")
+    assert not base and spans and all(k == 0 and 2 <= a < b <= 2 + len(packed) for a, b, k in spans)
+
+
 def test_secret_query(spark, texts):
     for r in secrets.op5_secret_scan(spark, SF).collect():
         base, every = secrets.all_spans(texts[r.doc_id])

@@ -1,22 +1,23 @@
 """Operator 5: secret scans with recursive decoding.
 
 A worklist holds layers of a text, each with a map of its places to the text itself. Every layer is scanned with
-the base patterns, and every encoded stretch in it (URL escapes, Unicode escapes, base64, gzip or zlib under
-base64) is decoded to a layer of its own, until nothing new comes out. Layers seen before are not entered again,
+the base patterns, and every encoded stretch in it (URL escapes, Unicode escapes, base64, gzip or zlib under either
+and under each other) is decoded to a layer of its own, until nothing new comes out. Layers seen before are not entered again,
 so a text that decodes to itself ends too. Finds in a layer are reported at the stretch of the text they came from.
 """
 
 from __future__ import annotations
 
 import base64
-import binascii
 import re
 import zlib
 from bisect import bisect_right
 from collections import deque
-from collections.abc import Iterator
-from hashlib import sha256
+from collections.abc import Callable, Iterator
+from itertools import chain
+from urllib.parse import unquote_to_bytes
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +34,12 @@ LEAST_VALUE, LEAST_ACCESS = 6, 20
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+URL_SAFE = str.maketrans("-_", "+/")
+COMPRESSED = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]")
+ESCAPED = re.compile(r"(?:%1[Ff]%8[Bb]|(?:x|%78)(?:%01|%5[Ee]|\^|%9[Cc]|%[Dd][Aa]))(?:%[0-9A-Fa-f]{2}|[!#$&-;=?-Z_a-z~])*")
+CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f]")
+#: Letters of encoded runs and their line breaks.
+ENCODED = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=.%\\\r\n"
 #: A decompressed layer is taken in pieces of so many bytes that overlap, so that a bomb doesn't fill memory.
 PIECE, OVERLAP = 1 << 22, 1 << 12
 
@@ -123,45 +130,140 @@ def _escape(run: str) -> list[tuple[str, int]]:
     return out
 
 
-def _texts(raw: bytes) -> Iterator[str]:
-    """Decoded bytes as text, if they read as text; compressed ones are unpacked first, a piece at a time."""
-    if raw[:2] == b"\x1f\x8b" or (len(raw) > 2 and raw[0] == 0x78 and (raw[0] << 8 | raw[1]) % 31 == 0):
-        engine, left, held = zlib.decompressobj(47), raw, b""
-        try:
-            while left and not engine.eof:
-                piece = engine.decompress(left, PIECE)
-                if not piece:
-                    break
-                left = engine.unconsumed_tail
-                whole = held + piece
-                if (text := _readable(whole)) is not None:
-                    yield text
-                held = whole[-OVERLAP:]
-        except zlib.error:
-            pass
-        return
-    if (text := _readable(raw)) is not None:
-        yield text
+def _inflated(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """What a gzip (of all its members) or zlib stream holds, a piece at a time, as far as it can be read."""
+    engine = zlib.decompressobj(47)
+    try:
+        for left in chunks:
+            while left:
+                if engine.eof:
+                    if bytes(left[:2]) != b"\x1f\x8b":
+                        return
+                    engine = zlib.decompressobj(47)
+                if piece := engine.decompress(left, PIECE):
+                    yield piece
+                left = engine.unused_data if engine.eof else engine.unconsumed_tail
+    except zlib.error:
+        pass
+
+
+def _unpacked(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """The innermost stream of a stream, compressed or not."""
+    while True:
+        head = b""
+        while len(head) < 4 and (more := next(chunks, None)) is not None:
+            head += more
+        if not COMPRESSED.match(head) or _readable(head) is not None:
+            return chain([head], chunks)
+        used: list[bytes] | None = [head]
+
+        def read(chunks: Iterator[bytes] = chunks, head: bytes = head) -> Iterator[bytes]:
+            yield head
+            for more in chunks:
+                if used is not None:
+                    used.append(more)
+                yield more
+
+        inner = _inflated(read())
+        first = next(inner, None)
+        if first is None:
+            return chain(used, chunks)
+        used = None
+        chunks = chain([first], inner)
+
+
+def _pieces(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """Pieces of a stream that overlap; a run of encoded letters comes whole, with what stands before it."""
+    held: list[bytes] = []
+    for chunk in chunks:
+        held.append(chunk)
+        if not chunk.strip(ENCODED):
+            continue  # the run goes on
+        whole = b"".join(held)
+        yield whole
+        held = [whole[max(0, len(whole.rstrip(ENCODED)) - OVERLAP) :]]
+    if len(held) > 1:
+        yield b"".join(held)
 
 
 def _readable(raw: bytes) -> str | None:
     text = raw.decode("utf-8", "ignore")
-    plain = sum(c.isprintable() or c in "\t\r\n" for c in text[:4096])
-    return text if len(text) >= 6 and plain >= 0.95 * min(len(text), 4096) and len(text.encode("utf-8", "replace")) >= 0.95 * len(raw) else None
+    plain = sum(c.isprintable() or c in "\t\r\n" for c in text)
+    return text if len(text) >= 6 and plain >= 0.95 * len(text) and len(text.encode("utf-8", "replace")) >= 0.95 * len(raw) else None
+
+
+def _views(raw: bytes) -> Iterator[tuple[str, int, int]]:
+    """Bytes as text, with the offset of its first letter and the bytes of each: Latin-1 (the patterns are ASCII) and UTF-16."""
+    yield raw.decode("latin-1"), 0, 1
+    if b"\0" in raw:
+        for k in (0, 1):  # the other order is this one at the other offset
+            wide = np.frombuffer(raw, "<u2", (len(raw) - k) // 2, k)
+            yield np.where(wide < 0x80, wide, 0xFF).astype(np.uint8).tobytes().decode("latin-1"), k, 2
+
+
+def _decompressed(raw: bytes, start: int) -> Iterator[str]:
+    """Texts of a compressed stream at a place of raw, and of those in it."""
+    stream = _inflated(iter([memoryview(raw)[start:]]))
+    if (first := next(stream, None)) is None:
+        return
+    for piece in _pieces(_unpacked(chain([first], stream))):
+        if (text := _readable(piece)) is not None:
+            yield text
+        if text is None or not _strict(piece):
+            yield from (view for view, _, _ in _views(piece))
+            for m in COMPRESSED.finditer(piece):  # files in an archive
+                yield from _decompressed(piece, m.start())
 
 
-def _packed(text: str) -> Iterator[tuple[str, int, int]]:
-    """(decoded text, start, end) of base64 stretches that hold text or compressed text."""
+def _strict(raw: bytes) -> bool:
+    try:
+        return CONTROL.search(raw.decode()) is None
+    except UnicodeDecodeError:
+        return False
+
+
+Place = Callable[[int, int], tuple[int, int]]
+
+
+def _opened(letters: str, place: Callable[[int], int], end: int) -> Iterator[tuple[str, Place, bool]]:
+    """Texts of a base64 run, their places, and whether it is plain text to the last byte.
+
+    Where the run as a whole is plain text or compressed, a find lies in the whole run. Else a find
+    lies in the letters that hold it.
+    """
+    whole = lambda _a, _b: (place(0), end)
+    for k in range(1):
+        run = letters[k : len(letters) - (len(letters) - k) % 4] if (len(letters) - k) % 4 == 1 else letters[k:]
+        raw = base64.b64decode(run + "=" * (-len(run) % 4))
+        text = _readable(raw) if k == 0 else None
+        strict = text is not None and _strict(raw)
+        if text is not None:
+            yield text, whole, strict
+        if strict:
+            return
+        unpacked = False
+        for m in COMPRESSED.finditer(raw):
+            at = place(k + 4 * (m.start() // 3))
+            for inner in _decompressed(raw, m.start()):
+                unpacked = unpacked or (k == 0 and m.start() == 0 and len(inner) > 0)
+                yield inner, (whole if k == 0 and m.start() == 0 else lambda _a, _b, at=at: (at, end)), False
+        for view, first, wide in _views(raw) if text is None else list(_views(raw))[1:]:
+
+            def tight(a: int, b: int, k: int = k, first: int = first, wide: int = wide, n: int = len(run)) -> tuple[int, int]:
+                low, high = first + a * wide, first + b * wide
+                return place(k + 4 * (low // 3)), place(min(k + 4 * -(-high // 3), k + n) - 1) + 1
+
+            yield view, tight, False
+
+
+def _packed(text: str) -> Iterator[tuple[str, Place]]:
+    """Decoded texts and the places of their letters: base64 runs, and URL-escaped compressed bytes."""
     for m in BASE64.finditer(text):
-        run = m.group().rstrip("=").replace("-", "+").replace("_", "/")
-        if len(run) % 4 == 1:
-            continue
-        try:
-            raw = base64.b64decode(run + "=" * (-len(run) % 4))
-        except (binascii.Error, ValueError):
-            continue
-        for decoded in _texts(raw):
-            yield decoded, m.start(), m.end()
+        letters = m.group().rstrip("=").translate(URL_SAFE)
+        yield from ((decoded, back) for decoded, back, _ in _opened(letters, lambda i, s=m.start(): s + i, m.end()))
+    for m in ESCAPED.finditer(text) if "%" in text else ():
+        for decoded in _decompressed(unquote_to_bytes(m.group()), 0):
+            yield decoded, lambda _a, _b, s=m.start(), e=m.end(): (s, e)
 
 
 def all_spans(text: str) -> tuple[list[Span], list[Span]]:
@@ -185,7 +287,7 @@ def all_spans(text: str) -> tuple[list[Span], list[Span]]:
             new.append((out.text, out.below))
         if "\\u" in layer and (out := _unescaped(layer, ESCAPE, _escape)):
             new.append((out.text, out.below))
-        new += [(t, lambda _a, _b, s=s, e=e: (s, e)) for t, s, e in _packed(layer)]
+        new += _packed(layer)
         for decoded, back in new:
             key = (decoded, *source(*back(0, len(decoded))))
             if key not in seen:
