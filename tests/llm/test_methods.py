@@ -196,6 +196,23 @@ def test_secrets_in_bytes_and_nested_compression(packed):
     assert not base and spans and all(k == 0 and 2 <= a < b <= 2 + len(packed) for a, b, k in spans)
 
 
+@pytest.mark.parametrize("packed", [_b64(PLAIN), _b64(gzip.compress(b"long text %d " * 9 + PLAIN))])
+@pytest.mark.parametrize("before", ["https://host.example/cb/", "token_", "a-", "ab_cd/", "/x/y/z/"])
+def test_secrets_after_path_letters(before, packed):
+    _, spans = secrets.all_spans(f"see {before}{packed} end")
+    at = 4 + len(before)
+    assert spans and all(k == 0 and at - 4 < a < b <= at + len(packed) for a, b, k in spans)
+
+
+@pytest.mark.parametrize("raw", [b"some words of a text, " * 3 + PLAIN + b" and more" * 9, gzip.compress(os.urandom(300).hex(" ").encode() + PLAIN)])
+@pytest.mark.parametrize("newline", ["\n", "\r\n", "\n    "])
+def test_secrets_in_wrapped_base64(raw, newline):
+    wrapped = base64.encodebytes(raw).decode().strip().replace("\n", newline)
+    text = f"Content:\n\n{wrapped}\n\nend"
+    _, spans = secrets.all_spans(text)
+    assert (text.index(wrapped), text.index(wrapped) + len(wrapped), 0) in spans
+
+
 def test_secret_query(spark, texts):
     for r in secrets.op5_secret_scan(spark, SF).collect():
         base, every = secrets.all_spans(texts[r.doc_id])

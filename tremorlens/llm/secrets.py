@@ -14,7 +14,7 @@ import zlib
 from bisect import bisect_right
 from collections import deque
 from collections.abc import Callable, Iterator
-from itertools import chain
+from itertools import accumulate, chain
 from urllib.parse import unquote_to_bytes
 
 import numpy as np
@@ -34,6 +34,8 @@ LEAST_VALUE, LEAST_ACCESS = 6, 20
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+LETTERS = re.compile(r"[A-Za-z0-9+/_-]+")
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
 URL_SAFE = str.maketrans("-_", "+/")
 COMPRESSED = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]")
 ESCAPED = re.compile(r"(?:%1[Ff]%8[Bb]|(?:x|%78)(?:%01|%5[Ee]|\^|%9[Cc]|%[Dd][Aa]))(?:%[0-9A-Fa-f]{2}|[!#$&-;=?-Z_a-z~])*")
@@ -228,11 +230,11 @@ Place = Callable[[int, int], tuple[int, int]]
 def _opened(letters: str, place: Callable[[int], int], end: int) -> Iterator[tuple[str, Place, bool]]:
     """Texts of a base64 run, their places, and whether it is plain text to the last byte.
 
-    Where the run as a whole is plain text or compressed, a find lies in the whole run. Else a find
-    lies in the letters that hold it.
+    Where the run as a whole is plain text or compressed, a find lies in the whole run. Else the run may hold other
+    letters than base64, so all four alignments are tried, and a find lies in the letters that hold it.
     """
     whole = lambda _a, _b: (place(0), end)
-    for k in range(1):
+    for k in range(4):
         run = letters[k : len(letters) - (len(letters) - k) % 4] if (len(letters) - k) % 4 == 1 else letters[k:]
         raw = base64.b64decode(run + "=" * (-len(run) % 4))
         text = _readable(raw) if k == 0 else None
@@ -257,8 +259,27 @@ def _opened(letters: str, place: Callable[[int], int], end: int) -> Iterator[tup
 
 
 def _packed(text: str) -> Iterator[tuple[str, Place]]:
-    """Decoded texts and the places of their letters: base64 runs, and URL-escaped compressed bytes."""
+    """Decoded texts and the places of their letters: base64 runs, also over line breaks, and URL-escaped compressed bytes."""
+    clean: list[tuple[int, int]] = []
+    for m in WRAPPED.finditer(text) if "\n" in text else ():
+        lines = [(x.start(), x.group()) for x in LETTERS.finditer(text, m.start(), m.end())]
+        letters = "".join(x for _, x in lines)
+        if len(letters) < 16:
+            continue
+        firsts = list(accumulate((len(x) for _, x in lines[:-1]), initial=0))
+
+        def place(i: int, firsts: list = firsts, lines: list = lines) -> int:
+            k = bisect_right(firsts, i) - 1
+            return lines[k][0] + i - firsts[k]
+
+        for decoded, back, strict in _opened(letters.translate(URL_SAFE), place, m.end()):
+            yield decoded, back
+            if strict:
+                clean.append((m.start(), m.end()))
     for m in BASE64.finditer(text):
+        k = bisect_right(clean, (m.start(), len(text))) - 1
+        if k >= 0 and m.end() <= clean[k][1]:
+            continue  # a line of a run that is text as a whole
         letters = m.group().rstrip("=").translate(URL_SAFE)
         yield from ((decoded, back) for decoded, back, _ in _opened(letters, lambda i, s=m.start(): s + i, m.end()))
     for m in ESCAPED.finditer(text) if "%" in text else ():
