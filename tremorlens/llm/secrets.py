@@ -4,6 +4,11 @@ A worklist holds layers of a text, each with a map of its places to the text its
 the base patterns, and every encoded stretch in it (URL escapes, Unicode escapes, base64, gzip or zlib under either
 and under each other) is decoded to a layer of its own, until nothing new comes out. Layers seen before are not entered again,
 so a text that decodes to itself ends too. Finds in a layer are reported at the stretch of the text they came from.
+Compressed means gzip (all members) or zlib with its header; raw deflate has no mark to know it by and isn't tried.
+
+The worklist is depth first and holds one layer of each depth: layers are decoded when they are wanted, compressed ones
+a piece at a time, and only digests of those seen are kept. So memory goes by the longest text and the longest run of
+base64 letters in it or in a layer (a run is decoded whole), not by what a stream unpacks to.
 """
 
 from __future__ import annotations
@@ -12,8 +17,8 @@ import base64
 import re
 import zlib
 from bisect import bisect_right
-from collections import deque
 from collections.abc import Callable, Iterator
+from hashlib import blake2b
 from itertools import accumulate, chain
 from urllib.parse import unquote_to_bytes
 
@@ -42,7 +47,7 @@ ESCAPED = re.compile(r"(?:%1[Ff]%8[Bb]|(?:x|%78)(?:%01|%5[Ee]|\^|%9[Cc]|%[Dd][Aa
 CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f]")
 #: Letters of encoded runs and their line breaks.
 ENCODED = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=.%\\\r\n"
-#: A decompressed layer is taken in pieces of so many bytes that overlap, so that a bomb doesn't fill memory.
+#: A decompressed layer is taken in pieces of so many bytes that overlap.
 PIECE, OVERLAP = 1 << 22, 1 << 12
 
 Span = tuple[int, int, int]  # start, end (exclusive), number of the kind
@@ -291,32 +296,42 @@ def all_spans(text: str) -> tuple[list[Span], list[Span]]:
     """(base spans, spans of all layers) of a whole text, each sorted by start, then kind, then end."""
     base = base_spans(text)
     found = set(base)
-    seen = {(text, 0, len(text))}  # a layer and the stretch of the text that it came from
-    work: deque[tuple[str, list]] = deque([(text, [])])
+    seen = {_mark(text, 0, len(text))}  # a layer and the stretch of the text that it came from
+    work: list[tuple[list[Place], Iterator[tuple[str, Place]]]] = [([], _decoded(text))]  # the way back of a layer, and what it holds
     while work:
-        layer, maps = work.popleft()
+        maps, inner = work[-1]
+        if (layer := next(inner, None)) is None:
+            work.pop()
+            continue
+        decoded, back = layer
+        maps = [*maps, back]
 
         def source(start: int, end: int, maps: list = maps) -> tuple[int, int]:
-            for back in reversed(maps):
-                start, end = back(start, end)
+            for way in reversed(maps):
+                start, end = way(start, end)
             return start, end
 
-        if maps:
-            found.update((*source(start, end), kind) for start, end, kind in base_spans(layer))
-        new: list[tuple[str, object]] = []
-        if "%" in layer and (out := _unescaped(layer, PERCENT, _percent)):
-            new.append((out.text, out.below))
-        if "\\u" in layer and (out := _unescaped(layer, ESCAPE, _escape)):
-            new.append((out.text, out.below))
-        new += _packed(layer)
-        for decoded, back in new:
-            key = (decoded, *source(*back(0, len(decoded))))
-            if key not in seen:
-                seen.add(key)
-                work.append((decoded, [*maps, back]))
+        mark = _mark(decoded, *source(0, len(decoded)))
+        if mark not in seen:
+            seen.add(mark)
+            found.update((*source(start, end), kind) for start, end, kind in base_spans(decoded))
+            work.append((maps, _decoded(decoded)))
     return base, sorted(found, key=lambda s: (s[0], s[2], s[1]))
 
 
+def _mark(layer: str, start: int, end: int) -> bytes:
+    return blake2b(f"{start},{end},".encode() + layer.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
+def _decoded(layer: str) -> Iterator[tuple[str, Place]]:
+    """The layers right under a layer."""
+    if "%" in layer and (out := _unescaped(layer, PERCENT, _percent)):
+        yield out.text, out.below
+    if "\\u" in layer and (out := _unescaped(layer, ESCAPE, _escape)):
+        yield out.text, out.below
+    yield from _packed(layer)
+
+
 def shown(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, b, k in spans)
 
