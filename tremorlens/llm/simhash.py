@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, materialize
@@ -31,29 +31,43 @@ BITS = 64
 BUCKET = 2048
 #: Cost of one dealt row in verified pairs (a row is hashed, shuffled and sorted, a pair is one vectorised XOR).
 ROW_COST = 200
-#: Documents (and bytes of their texts, unless it is one document) of a component that the rest of it meets at a time.
-HEADS, HEAD_BYTES = 64, 1 << 25
+#: Nearest fingerprints of a bucket that each one is compared with in a round (what more there is to find, later rounds find).
+NEAREST = 4
 #: Shingles whose bits are counted at a time.
 CHUNK = 1 << 16
+#: Odd multipliers that make further hashes of a hash (any will do).
+STEP, MIX = 0x9E3779B97F4A7C15, (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 
 def simhash(text: str | None, words: int = 3) -> int:
     """Unsigned 64-bit fingerprint of a whole text; 0 without words."""
+    return simhashes(text, words, 1)[0]
+
+
+def simhashes(text: str | None, words: int = 3, times: int = 1) -> list[int]:
+    """The fingerprint, and others from further hashes of the same shingles."""
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not found:
-        return 0
+        return [0] * times
     joined = b" ".join(found)
-    if len(found) <= words:
-        return xxhash.xxh64_intdigest(joined, 42)
     ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1)
     starts = [0, *ends[:-1].tolist()]
-    stops = (ends[words - 1 :] - 1).tolist()
+    stops = (ends[words - 1 :] - 1).tolist() or [len(joined)]
     digest, view = xxhash.xxh64_intdigest, memoryview(joined)
-    ones = np.zeros(BITS, np.int64)
+    ones = np.zeros((times, BITS), np.int64)
     for k in range(0, len(stops), CHUNK):
         hashes = np.array([digest(view[a:b], 42) for a, b in zip(starts[k : k + CHUNK], stops[k : k + CHUNK])], "<u8")
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(stops), bitorder="little").view("<u8")[0])
+        for t in range(times):
+            own = hashes if t == 0 else _mixed(hashes, t)
+            ones[t] += np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(stops), axis=1, bitorder="little").view("<u8").ravel().tolist()
+
+
+def _mixed(hashes: np.ndarray, t: int) -> np.ndarray:
+    out = hashes + np.uint64(t * STEP & (1 << 64) - 1)
+    for shift, factor in zip((30, 27), MIX):
+        out = (out ^ (out >> np.uint64(shift))) * np.uint64(factor)
+    return (out ^ (out >> np.uint64(31))).astype("<u8")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
@@ -178,8 +192,9 @@ def _finer(mask: int, distance: int) -> list[int]:
     return [mask | sum(1 << b for b in rest[k :: distance + 1]) for k in range(distance + 1) if rest[k :: distance + 1]]
 
 
-def _stars(fps: np.ndarray, end: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links within runs (row i's run stops before end[i]): each linked fingerprint with the first of its set."""
+def _stars(fps: np.ndarray, end: np.ndarray, distance: int, nearest: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Links within runs (row i's run stops before end[i]): each linked fingerprint with the first of its set and,
+    where asked for, with the NEAREST ones."""
     a, b = [], []
     at = np.flatnonzero(end - np.arange(len(fps)) > 1)
     lag = 1
@@ -192,6 +207,7 @@ def _stars(fps: np.ndarray, end: np.ndarray, distance: int) -> tuple[np.ndarray,
     if not a:
         return fps[:0], fps[:0]
     u, v = np.concatenate(a), np.concatenate(b)
+    best = _nearest(fps, u, v) if nearest else (u[:0], v[:0])
     label = np.arange(len(fps))
     while len(u):
         before = label.copy()
@@ -204,10 +220,21 @@ def _stars(fps: np.ndarray, end: np.ndarray, distance: int) -> tuple[np.ndarray,
         if np.array_equal(before, label):
             break
     linked = np.flatnonzero(label != np.arange(len(fps)))
-    return fps[linked], fps[label[linked]]
+    return fps[np.concatenate([linked, best[0]])], fps[np.concatenate([label[linked], best[1]])]
 
 
-def scan_buckets(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
+def _nearest(fps: np.ndarray, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each end of the links (u, v) the other ends at the least distances, the smallest of equals first."""
+    far = np.bitwise_count(fps[u] ^ fps[v])
+    node, other, far = np.concatenate([u, v]), np.concatenate([v, u]), np.concatenate([far, far])
+    order = np.lexsort((other, far, node))
+    node, other = node[order], other[order]
+    first = np.flatnonzero(np.diff(node, prepend=-1))
+    rank = np.arange(len(node)) - np.repeat(first, np.diff(first, append=len(node)))
+    return node[rank < NEAREST], other[rank < NEAREST]
+
+
+def scan_buckets(batches: Iterator[pa.RecordBatch], distance: int, nearest: bool = False) -> Iterator[pa.RecordBatch]:
     """Rows (_m, _k, _fp) in order; gives links (0, fingerprint, fingerprint) and, of buckets too large, finer rows."""
     held = [np.empty(0, np.int64)] * 3
     over: tuple[int, int] | None = None
@@ -233,7 +260,7 @@ def scan_buckets(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[p
         if big.any():
             yield from refined(m[big], fp[big])
             end = np.where(big, np.arange(len(m)) + 1, end)
-        u, v = _stars(fp.view(np.uint64), end, distance)
+        u, v = _stars(fp.view(np.uint64), end, distance, nearest)
         if len(u):
             yield out(np.zeros(len(u)), u.view(np.int64), v.view(np.int64))
 
@@ -259,8 +286,9 @@ def scan_buckets(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[p
     yield from linked(*held)
 
 
-def links(groups: DataFrame, distance: int) -> DataFrame:
-    """_a, _b: fingerprints of one component; they connect all that lie within the distance of each other."""
+def links(groups: DataFrame, distance: int, nearest: bool = False) -> DataFrame:
+    """_a, _b: fingerprints of one component; they connect all that lie within the distance of each other. With nearest,
+    also the nearest fingerprints that each one meets in any bucket."""
     schema = "_m long, _k long, _fp long"
     n, both = co_occurrence(groups)
     dealt = [F.struct(F.lit(_signed(m)).alias("_m"), F.col("_fp").bitwiseAND(F.lit(_signed(m))).alias("_k")) for m in masks(plan_parts(n, both, distance))]
@@ -268,7 +296,7 @@ def links(groups: DataFrame, distance: int) -> DataFrame:
     found = None
     while True:
         sorted_rows = rows.repartition("_m", "_k").sortWithinPartitions("_m", "_k", "_fp")
-        scanned = materialize(sorted_rows.mapInArrow(partial(scan_buckets, distance=distance), schema), "buckets")
+        scanned = materialize(sorted_rows.mapInArrow(partial(scan_buckets, distance=distance, nearest=nearest), schema), "buckets")
         own = scanned.where("_m = 0").select(F.col("_k").alias("_a"), F.col("_fp").alias("_b"))
         found = own if found is None else found.unionByName(own)
         rows = scanned.where("_m <> 0")
@@ -314,65 +342,80 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.col("_id").alias(id_col), F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"), F.col("_least").alias("component_id"))
 
 
+def shingle_hashes(text: str | None, words: int = 5) -> np.ndarray:
+    """Sorted distinct hashes of the word shingles of a whole text (of all its words, where they are fewer)."""
+    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    each = {xxhash.xxh64_intdigest(b" ".join(found[k : k + words])) for k in range(max(1, len(found) - words + 1))} if found else set()
+    return np.sort(np.fromiter(each, np.uint64, len(each))).view(np.int64)
+
+
 def overlap(a: str | None, b: str | None, words: int = 5) -> float:
-    """Jaccard similarity of the sets of word shingles of two whole texts."""
-    x, y = (_shingles(t, words) for t in (a, b))
+    """Jaccard similarity of the sets of word shingles of two whole texts; 1 for two texts without words."""
+    x, y = (set(shingle_hashes(t, words).tolist()) for t in (a, b))
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
-def _shingles(text: str | None, words: int) -> set[bytes]:
-    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    return {b" ".join(found[k : k + words]) for k in range(max(1, len(found) - words + 1))} if found else set()
+def _proposed(rest: DataFrame, distance: int) -> DataFrame:
+    """_a > _b: pairs of documents (_id, _fps) that a fingerprint proposes."""
+    each = rest.select("_id", F.explode(F.array_distinct("_fps")).alias("_fp"))
+    groups = materialize(each.groupBy("_fp").agg(F.min("_id").alias("_rep")), "groups")
+    near = links(groups.select("_fp"), distance, nearest=True).distinct()
+    a, b = groups.select(F.col("_fp").alias("_a"), F.col("_rep").alias("_ra")), groups.select(F.col("_fp").alias("_b"), F.col("_rep").alias("_rb"))
+    pairs = each.join(groups, "_fp").select("_id", "_rep").unionByName(near.join(a, "_a").join(b, "_b").select(F.col("_ra").alias("_id"), F.col("_rb").alias("_rep")))
+    pairs = pairs.select(F.greatest("_id", "_rep").alias("_a"), F.least("_id", "_rep").alias("_b")).where("_a <> _b").distinct()
+    return materialize(pairs, "proposed")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = 7, least: float = 0.5) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 2, distance: int = 7, times: int = 3, least: float = 0.5) -> DataFrame:
     """The rows of docs without near copies of documents that stay.
 
-    In each component, in the order of identifiers, a document goes if its text shares at least `least` of its
-    five-word shingles (Jaccard) with one before it that stays. So fingerprints which meet by chance cost no document,
-    and an unlike document between them saves none. Identifiers are taken as unique; rows without identifier stay.
+    A document goes if its text shares at least `least` of its five-word shingles (Jaccard) with one of smaller
+    identifier that stays. Pairs to compare come from `times` fingerprints of each document, over shingles of `words`
+    words: in every bucket that a fingerprint is dealt to, it meets the first and the nearest few of those within the
+    distance. So comparisons grow with the documents, not with the pairs of a group, and fingerprints that meet by chance
+    cost no document. Documents without a similar one of smaller identifier stay, those similar to these go, and the
+    others (which are similar only to some that went) are proposed anew, until none is left.
+
+    Identifiers are taken as unique; rows without identifier stay. Null and blank texts have no shingles and are copies
+    of one another. An empty table gives an empty result; other columns come along whatever their names.
     """
     key, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
-    found = near_dedup(docs, id_col, text_col, words, distance).where(key != F.col("component_id")).select(key.alias("_id"), F.col("component_id").alias("_of")).distinct()
-    found = materialize(found, "copies")
-    texts = docs.select(key.alias("_key"), text.alias("_text"))
-    heads = texts.join(found.select(F.col("_of").alias("_head")).distinct(), F.col("_key") == F.col("_head"), "left_semi").select(F.col("_key").alias("_head"), F.col("_text").alias("_head_text"))
-
-    @F.pandas_udf("double")
-    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([overlap(x, y) for x, y in zip(a, b)], dtype="float64")
-
-    def leaders(first: pd.DataFrame) -> pd.DataFrame:
-        first = first.sort_values("_rank")
-        stays: list[str | None] = []
-        kept = []
-        for own in first["_text"]:
-            kept.append(all(overlap(own, other) < least for other in stays))
-            if kept[-1]:
-                stays.append(own)
-        return first.assign(_stays=kept)[["_id", "_of", "_text", "_stays"]]
-
-    # The smallest identifier of a component stays. Most of the others go by it.
-    pairs = found.join(texts, F.col("_id") == F.col("_key")).join(heads, F.col("_of") == F.col("_head"))
-    tried = materialize(pairs.select("_id", "_of", (alike("_text", "_head_text") >= least).alias("_copy")), "tried")
-    gone, left = tried.where("_copy").select("_id"), tried.where(~F.col("_copy")).select("_id", "_of")
-    # The rest meet the next ones that stay, a growing number at a time, until none is left.
-    rest, wide = None, 1
-    while not left.isEmpty():
-        if rest is None:
-            rest = materialize(left.join(texts, F.col("_id") == F.col("_key")).select("_id", "_text"), "rest")
-        wide = min(4 * wide, HEADS)
-        first = left.withColumn("_rank", F.row_number().over(Window.partitionBy("_of").orderBy("_id"))).where(F.col("_rank") <= wide).join(rest, "_id")
-        size = F.sum(F.coalesce(F.octet_length("_text"), F.lit(0))).over(Window.partitionBy("_of").orderBy("_rank"))
-        first = first.withColumn("_size", size).where((F.col("_rank") == 1) | (F.col("_size") <= HEAD_BYTES)).drop("_size")
-        ids = found.schema["_id"].dataType.simpleString()
-        next_heads = materialize(first.groupBy("_of").applyInPandas(leaders, f"_id {ids}, _of {ids}, _text string, _stays boolean"), "heads")
-        stay = next_heads.where("_stays").select("_of", F.col("_text").alias("_head_text"))
-        others = left.join(next_heads.select("_id"), "_id", "left_anti").join(rest, "_id")
-        each = others.join(stay, "_of").select("_id", "_of", (alike("_text", "_head_text") >= least).alias("_copy"))
-        tried = materialize(each.groupBy("_id", "_of").agg(F.max("_copy").alias("_copy")), "tried")
-        gone = gone.unionByName(next_heads.where(~F.col("_stays")).select("_id")).unionByName(tried.where("_copy").select("_id"))
-        left = tried.where(~F.col("_copy")).select("_id", "_of")
+
+    @F.pandas_udf("array<long>")
+    def prints(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.array(simhashes(t, words, times), np.uint64).view(np.int64) for t in texts], dtype=object)
+
+    @F.pandas_udf("array<long>")
+    def shingles(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingle_hashes(t) for t in texts], dtype=object)
+
+    rest = materialize(docs.where(key.isNotNull()).select(key.alias("_id"), prints(text).alias("_fps")), "fingerprints")
+    bags, gone = None, None
+    while True:
+        pairs = _proposed(rest, distance)
+        met = pairs.select(F.explode(F.array("_a", "_b")).alias("_id")).distinct()
+        if bags is None:  # later rounds only have documents that the first one proposed
+            few = docs.select(key.alias("_key"), text.alias("_text")).join(met, F.col("_key") == F.col("_id"), "left_semi")
+            bags = materialize(few.select("_key", shingles(F.col("_text")).alias("_bag")), "bags")
+        left, right = bags.select(F.col("_key").alias("_a"), F.col("_bag").alias("_x")), bags.select(F.col("_key").alias("_b"), F.col("_bag").alias("_y"))
+        both = F.size(F.array_intersect("_x", "_y"))
+        alike = F.coalesce(F.try_divide(both, F.size("_x") + F.size("_y") - both), F.lit(1.0)) >= least
+        found = materialize(pairs.join(left, "_a").join(right, "_b").where(alike).select("_a", "_b"), "alike")
+        if found.isEmpty():
+            break
+        dropped = None
+        while not found.isEmpty():
+            # Those that are nobody's near copy stay for good; what is similar to one of them goes.
+            first = found.select("_b").distinct().join(found.select(F.col("_a").alias("_b")).distinct(), "_b", "left_anti")
+            went = materialize(found.join(first, "_b").select(F.col("_a").alias("_id")).distinct(), "went")
+            dropped = went if dropped is None else dropped.unionByName(went)
+            for end in ("_a", "_b"):
+                found = found.join(went.select(F.col("_id").alias(end)), end, "left_anti")
+            found = materialize(found, "alike")
+        gone = dropped if gone is None else gone.unionByName(dropped)
+        rest = materialize(rest.join(met, "_id", "left_semi").join(dropped, "_id", "left_anti"), "rest")
+    if gone is None:
+        return docs
     return docs.join(gone.select(F.col("_id").alias("_near_copy_id")), key == F.col("_near_copy_id"), "left_anti")
 
 
