@@ -22,8 +22,8 @@ from .common import documents
 #: n-grams are told apart by 20 bits of a hash.
 SPACE = 20
 NGRAMS = 3
-#: Bounds of the fit: about so many documents a language, and landmarks in all.
-PER_LANGUAGE, LANDMARKS = 300, 256
+#: Bounds of the fit: about so many documents a language, landmarks in all, and languages (the most frequent).
+PER_LANGUAGE, LANDMARKS, LANGUAGES = 300, 256, 500
 RIDGE = 1e-3
 #: Documents scored in one product, and code points taken at a time.
 BATCH, CHARS = 64, 1 << 20
@@ -113,14 +113,15 @@ def _kernel(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
 
 
 def fit(train: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int = PER_LANGUAGE, landmarks: int = LANDMARKS) -> Model | None:
-    """Learn from about per_language documents of each language, picked by a hash of the identifier.
+    """Learn from about per_language documents of each of the LANGUAGES most frequent languages, picked by a hash of the
+    identifier. Rows that repeat identifier and language teach once, by their smallest text.
 
     Only the hashed n-grams of these come to the driver, which is at most
     languages * per_language * 2**20 numbers and in practice a few thousand a document. None without rows.
     """
     lang, key = F.col(f"`{lang_col}`"), F.col(f"`{id_col}`")
     train = train.where(lang.isNotNull() & key.isNotNull() & F.col(f"`{text_col}`").rlike(r"\p{L}"))
-    sizes = {r[0]: r[1] for r in train.groupBy(lang).count().collect()}
+    sizes = {r[0]: r[1] for r in train.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(LANGUAGES).collect()}
     if not sizes:
         return None
 
@@ -130,7 +131,8 @@ def fit(train: DataFrame, id_col: str, text_col: str, lang_col: str, per_languag
 
     share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, per_language / n)))])
     picked = train.where(F.pmod(F.xxhash64(key.cast("string"), F.lit(6)), F.lit(1_000_000)) < share[lang] * 1_000_000)
-    rows = picked.select(key.cast("string").alias("k"), lang.alias("lang"), hashed(F.col(f"`{text_col}`")).alias("h")).collect()
+    picked = picked.groupBy(key.cast("string").alias("k"), lang.alias("lang")).agg(F.min(F.col(f"`{text_col}`")).alias("t"))
+    rows = picked.select("k", "lang", hashed("t").alias("h")).collect()
     rows = sorted(rows, key=lambda r: (r.lang, len(r.k), r.k))
     languages = sorted({r.lang for r in rows})
     docs = [np.frombuffer(r.h, np.int32) for r in rows]
@@ -152,9 +154,9 @@ def fit(train: DataFrame, id_col: str, text_col: str, lang_col: str, per_languag
     return Model(languages, slots, weights.astype(np.float32))
 
 
-def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """docs with struct column lang_id (lang_pred, score). Null texts and texts without a letter, and all texts
-    where nothing could be learned, are `und` with score 0. Any column named lang_id is replaced."""
+def identify(docs: DataFrame, model: Model | None, text_col: str = "text", name: str = "lang_id") -> DataFrame:
+    """docs with struct column `name` (lang_pred, score). Null texts and texts without a letter, and all texts
+    where nothing could be learned, are `und` with score 0. A column of that name is replaced, so callers choose one that docs lacks."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
@@ -163,7 +165,7 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
         found = known.predict([t or "" for t in texts]) if known else [(UNKNOWN, 0.0)] * len(texts)
         return pd.DataFrame(found, columns=["lang_pred", "score"])
 
-    return docs.withColumn("lang_id", of(F.col(f"`{text_col}`")))
+    return docs.withColumn(name, of(F.col(f"`{text_col}`")))
 
 
 def held_out(id_col: str, folds: int, fold: int):
