@@ -365,6 +365,9 @@ def _basis() -> np.ndarray:
 
 
 BASIS = _basis()
+#: The basis in whole numbers. Sums of their products are exact in doubles, so equal coefficients give equal samples on any machine.
+BASIS_BITS = 14
+WHOLE = np.rint(BASIS.astype(np.float64) * (1 << BASIS_BITS))
 
 
 def rgb(picture: Picture) -> np.ndarray:
@@ -373,7 +376,8 @@ def rgb(picture: Picture) -> np.ndarray:
     most = max(c.across for c in picture.components.values()), max(c.down for c in picture.components.values())
     for c in picture.components.values():
         spectrum = c.coefficients * picture.tables[c.table]
-        samples = np.clip(np.rint(spectrum.astype(np.float32) @ BASIS) + 128, 0, 255).astype(np.uint8)
+        samples = np.floor((spectrum.astype(np.float64) @ WHOLE + (1 << BASIS_BITS - 1)) * (1 / (1 << BASIS_BITS)))
+        samples = np.clip(samples + 128, 0, 255).astype(np.uint8)
         plane = samples.reshape(c.high, c.wide, 8, 8).swapaxes(1, 2).reshape(c.high * 8, c.wide * 8)
         plane = plane.repeat(most[1] // c.down, axis=0).repeat(most[0] // c.across, axis=1)
         planes.append(plane[: picture.height, : picture.width])
