@@ -91,19 +91,22 @@ def damaged_leaves(ours: list[DataFrame], theirs: list[DataFrame]) -> DataFrame:
 
 
 def fixity_audit(pages: DataFrame, replica: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """One row for each record of pages: id_col, file, seq, offset, length, record_sha256, intact (in the replica).
+    """One row for each record: id_col, file, seq, offset, length, record_sha256, intact (in the replica), only_in_replica.
 
-    A record that the replica lacks, or whose place in its file moved, is not intact. An empty table gives an empty
-    result.
+    A record that the replica lacks, or whose place in its file moved, is not intact; a place that only the replica
+    fills is a row of its own. Identifiers are numbers. Empty tables give an empty result.
     """
     ours, theirs = (materialize(warc_index(x, id_col, url_col, html_col), "index") for x in (pages, replica))
     ends = ours.select("_file").unionByName(theirs.select("_file")).agg(F.min("_file"), F.max("_file")).first()
     low, high = (ends[0], ends[1]) if ends[0] is not None else (0, 0)
     wrong = damaged_leaves(merkle_levels(ours, low, high), merkle_levels(theirs, low, high))
     wrong = wrong.select((F.col("_file") + low).alias("_file"), "_seq", F.lit(True).alias("_bad"))
-    return ours.join(wrong, ["_file", "_seq"], "left").select(
+    place = ["_file", "_seq"]
+    held = ours.join(wrong, place, "left").withColumn("_extra", F.lit(False))
+    extra = theirs.join(wrong, place).join(ours, place, "left_anti").withColumn("_extra", F.lit(True))
+    return held.unionByName(extra).select(
         F.col("_id").alias(id_col), F.col("_file").alias("file"), F.col("_seq").alias("seq"), F.col("_offset").alias("offset"),
-        F.col("_length").alias("length"), F.col("_sha").alias("record_sha256"), F.col("_bad").isNull().alias("intact"))
+        F.col("_length").alias("length"), F.col("_sha").alias("record_sha256"), F.col("_bad").isNull().alias("intact"), F.col("_extra").alias("only_in_replica"))
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
@@ -141,22 +144,27 @@ def op9_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     hit = F.substring(F.md5(F.col("page_id").cast("string")), 1, 2) == "00"
     replica = pages.withColumn("html", F.when(hit, F.concat(F.lit("?"), F.substring("html", 2, 2147483647))).otherwise(F.col("html")))
-    return fixity_audit(pages, replica)
+    return fixity_audit(pages, replica).drop("only_in_replica")
 
 
 OP9_SQL = """
-WITH r AS (
-  SELECT page_id, CAST(floor(page_id / 1024.0) AS BIGINT) AS file, coalesce(html, '') AS body,
-    regexp_replace(coalesce(url, ''), '[\\r\\n]', ' ', 'g') AS line FROM pages
+WITH p AS (
+  SELECT 0 AS side, page_id, url, html FROM pages UNION ALL
+  SELECT 1, page_id, url, CASE WHEN substr(md5(page_id::VARCHAR), 1, 2) = '00' THEN '?' || substr(html, 2) ELSE html END FROM pages
+), r AS (
+  SELECT side, page_id, CAST(floor(page_id / 1024.0) AS BIGINT) AS file, coalesce(html, '') AS body,
+    regexp_replace(coalesce(url, ''), '[\\r\\n]', ' ', 'g') AS line FROM p
 ), d AS (SELECT *, md5(page_id::VARCHAR || '|' || line) AS dig FROM r), w AS (
   SELECT *, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:uuid:' ||
     substr(dig, 1, 8) || '-' || substr(dig, 9, 4) || '-' || substr(dig, 13, 4) || '-' || substr(dig, 17, 4) || '-' || substr(dig, 21, 12) ||
     '>' || chr(13) || chr(10) || 'WARC-Date: 2024-01-01T00:00:00Z' || chr(13) || chr(10) || 'WARC-Target-URI: ' || line || chr(13) || chr(10) ||
     'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(body)::VARCHAR || chr(13) || chr(10) || chr(13) || chr(10) ||
     body || chr(13) || chr(10) || chr(13) || chr(10) AS record FROM d
-), h AS (SELECT page_id, file, body, strlen(record) AS length, sha256(record) AS record_sha256 FROM w)
-SELECT page_id, file, row_number() OVER (PARTITION BY file ORDER BY page_id, record_sha256) - 1 AS seq,
-  coalesce(CAST(sum(length) OVER (PARTITION BY file ORDER BY page_id, record_sha256 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS "offset",
-  length, record_sha256, NOT (substr(md5(page_id::VARCHAR), 1, 2) = '00' AND substr(body, 1, 1) <> '?') AS intact
-FROM h
+), h AS (SELECT side, page_id, file, strlen(record) AS length, sha256(record) AS record_sha256 FROM w), i AS (
+  SELECT *, row_number() OVER q - 1 AS seq, coalesce(CAST(sum(length) OVER (q ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS "offset"
+  FROM h WINDOW q AS (PARTITION BY side, file ORDER BY page_id, record_sha256)
+)
+SELECT a.page_id, a.file, a.seq, a."offset", a.length, a.record_sha256,
+  b.seq IS NOT NULL AND a."offset" = b."offset" AND a.length = b.length AND a.record_sha256 = b.record_sha256 AS intact
+FROM (SELECT * FROM i WHERE side = 0) a LEFT JOIN (SELECT * FROM i WHERE side = 1) b ON a.file = b.file AND a.seq = b.seq
 """
