@@ -112,7 +112,10 @@ def fixture(spark, change=()):
     [
         ((), ["train", "train", "validation", "test"], [0.5, 0.5, 1, 1], None),
         ([(1, 1, "C")], ["excluded", "excluded", "validation", "test"], [0, 0, 1, 1], "group_crosses_domain_partition"),
-        ([(1, 7, 3)], ["excluded", "excluded", "validation", "test"], [0, 0, 1, 1], "conflicting_labels_at_exact_coordinate"),
+        ([(1, 6, "Severe")], ["excluded", "excluded", "validation", "test"], [0, 0, 1, 1], "conflicting_labels_at_exact_coordinate"),
+        ([(1, 6, "Severe"), (1, 3, "other")], ["excluded", "excluded", "validation", "test"], [0, 0, 1, 1], "conflicting_labels_at_exact_coordinate"),
+        ([(1, 7, 3)], ["train", "train", "validation", "test"], [0.5, 0.5, 1, 1], None),
+        ([(1, 6, None), (1, 7, None)], ["train", "excluded", "validation", "test"], [1, 0, 1, 1], "missing_or_unmapped_native_damage"),
         ([(1, 4, None)], ["train", "excluded", "validation", "test"], [1, 0, 1, 1], "missing_or_invalid_coordinate"),
         ([(1, 1, None)], ["train", "excluded", "validation", "test"], [1, 0, 1, 1], "missing_domain"),
     ],
@@ -130,19 +133,72 @@ def test_folds_cover_each_domain_once(spark):
     assert [(f.test, f.validation) for f in folds] == [("A", "B"), ("B", "C"), ("C", "B")]
     with pytest.raises(ValueError):
         design.Fold("x", "A", "A")
-    sums = design.fold_summary(design.partition_folds(fixture(spark), D, folds))
+    counts = design.fold_counts(fixture(spark), D, folds)
+    sums = design.fold_summary(counts)
     assert sums.count() == 12 and sums.where("empty").count() == 0 and sums.where("small").count() == 6
+    assert values(design.fold_classes(counts), "fold", "item", "key", "records")[:3] == [("fold_A", "test", "Minor", 2), ("fold_A", "train", "Minor", 1), ("fold_A", "validation", "Minor", 1)]
 
 
-def test_harmonized_schema(spark):
+def test_fold_counts_equal_counted_rows(spark):
+    df = fixture(spark, [(1, 1, "C"), (3, 6, None), (3, 7, None)])
+    folds = design.cyclic_folds(["A", "B", "C"])
+    rows = design.partition_folds(df, D, folds).groupBy("fold", "partition", "exclusion_reason", "leakage_group").agg(F.count(F.lit(1)).alias("records"), F.sum("evaluation_weight").alias("weight"))
+    counted = design.fold_counts(df, D, folds).groupBy("fold", "partition", "exclusion_reason", "leakage_group").agg(F.sum("records").alias("records"), F.sum("weight").alias("weight"))
+    assert values(rows, *rows.columns) == values(counted, *rows.columns)
+
+
+GOLDEN = [("rural", 5, 2), ("town", 40, 0), ("city", 31, 3)]
+
+
+def test_fold_summary_of_published_shape(spark):
+    """A row for each kept and excluded record of a domain; every fold must give them all back in its roles."""
+    rows = [(f"{d}{k}", d, d, "e", 37.0 + len(d) / 10 + k / 1000, 36.0, "Minor", 1 if k < n else None) for d, n, out in GOLDEN for k in range(n + out)]
+    folds = design.cyclic_folds([d for d, _, _ in GOLDEN])
+    got = {(r.fold, r.partition): (r.records, r.small) for r in design.fold_summary(design.fold_counts(spark.createDataFrame(rows, ROWS), D, folds)).collect()}
+    kept, out = {d: n for d, n, _ in GOLDEN}, sum(x for _, _, x in GOLDEN)
+    for f in folds:
+        train = sum(n for d, n in kept.items() if d not in (f.test, f.validation))
+        assert [got[f.name, p][0] for p in ("train", "validation", "test", "excluded")] == [train, kept[f.validation], kept[f.test], out]
+        assert got[f.name, "test"][1] == (kept[f.test] < 30)
+
+
+def record(spark, dataset="x", **change):
     df = spark.createDataFrame([(1, 37.0, 36.0), (2, None, 1.0), (3, 0.0, 0.0)], "id int, la double, lo double")
-    out = harmonize.harmonize(df, "x", "x.csv", "a" * 64, {"record_id": F.col("id"), "latitude": F.col("la"), "longitude": F.col("lo"), "source_row": F.col("id"), "damage_mapping_status": F.lit("missing")})
+    given = {"latitude": F.col("la"), "longitude": F.col("lo"), "source_row": F.col("id"), "event_id": F.lit("e")} | change
+    return harmonize.harmonize(df, dataset, "x.csv", "a" * 64, given)
+
+
+def test_harmonized_schema(spark):
+    out = record(spark)
     assert canonical.schema_violations(out, harmonize.SCHEMA) == []
     assert [r.coordinate_status for r in out.orderBy("source_row").collect()] == ["valid_range_only", "missing", "invalid"]
+    first = out.orderBy("source_row").first()
+    assert (first.record_id, first.damage_scale, first.damage_mapping_status, first.im_status) == ("x_r0000001", "x_native", "native_only", "not_present")
+    harmonize.assert_records(out)
     again = out.unionByName(out.limit(1))
-    assert values(harmonize.record_violations(again, {"x": (0, 4)}).where("records > 0"), "rule", "records") == [("repeated_record_id", 1)]
+    assert values(harmonize.record_violations(again).where("records > 0"), "rule", "records") == [("repeated_record_id", 1)]
     with pytest.raises(ValueError):
-        harmonize.harmonize(df, "x", "x.csv", "a" * 64, {"colour": F.lit(1)})
+        record(spark, colour=F.lit(1))
+    with pytest.raises(ValueError, match="columns differ"):
+        harmonize.assert_records(out.withColumn("floors", F.col("floors").cast("string")))
+
+
+@pytest.mark.parametrize(
+    ("dataset", "change", "rule"),
+    [
+        ("x", {"event_id": None}, "missing_required"), ("x", {"high_damage_candidate": 1}, "candidate_not_provisional"), ("x", {"damage_ordinal_native": 5}, "ordinal_range"),
+        ("census", {"damage_ordinal_native": 0}, "ordinal_range"), ("census", {"high_damage_candidate": 0, "damage_mapping_status": "provisional_not_for_pooling"}, "candidate_forbidden"),
+        ("spatial", {"damage_ordinal_native": 4}, "ordinal_forbidden"), ("spatial", {"high_damage_candidate": 1, "damage_mapping_status": "provisional_not_for_pooling"}, "ordinal_forbidden"),
+        ("x", {"source_sha256": "A" * 64}, "bad_hash"),
+    ],
+)
+def test_record_contract_refuses(spark, dataset, change, rule):
+    contract = {"ordinals": {"census": (1, 5)}, "no_candidate": ("census",), "no_ordinal": ("spatial",)}
+    out = record(spark, dataset, **{k: F.lit(x) for k, x in change.items()})
+    with pytest.raises(ValueError, match=rule):
+        harmonize.assert_records(out, **contract)
+    ok = record(spark, dataset, **({"damage_ordinal_native": F.lit(1)} if dataset != "spatial" else {}))
+    harmonize.assert_records(ok, **contract)
 
 
 def test_reconcile_and_drift(spark):

@@ -72,10 +72,13 @@ def issue_rows(canonical: DataFrame, key: str) -> DataFrame:
 
 
 def native_damage(df: DataFrame, label: str, labels: dict[str, int], candidate_from: int | None = None) -> DataFrame:
-    """Native label (empty is null), its ordinal or null, mapping status, and the candidate flag of ordinals from a threshold on."""
+    """Native label (empty is null), its ordinal or null, and with a threshold the candidate flag of ordinals from there on.
+
+    The mapping status tells what the whole source allows: a candidate flag is provisional, without one labels are native only.
+    """
     native = F.nullif(F.col(label), F.lit(""))
     ordinal = lookup(native, labels).cast("int")
-    status = F.when(native.isNull(), "missing").when(ordinal.isNull(), "unmapped").otherwise("mapped")
+    status = F.lit("native_only" if candidate_from is None else "provisional_not_for_pooling")
     flag = at_least(ordinal, candidate_from) if candidate_from is not None else F.lit(None).cast("int")
     return df.withColumns({"damage_native": native, "damage_ordinal_native": ordinal, "damage_mapping_status": status, "high_damage_candidate": flag})
 

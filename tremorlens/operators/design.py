@@ -46,27 +46,29 @@ def cyclic_folds(domains: list[str], validation: dict[str, str] | None = None) -
 
 def eligibility(df: DataFrame, c: Columns, spatial: bool = False, conflicts: bool = False) -> DataFrame:
     """df with `reason`: why a row can't be used, or empty. Later checks win: a coordinate over a label when spatial,
-    conflicting labels at one coordinate over both."""
+    conflicting native labels at one coordinate (of any event; missing labels don't count) over both."""
     ok = valid_coordinates(F.col(c.lat), F.col(c.lon))
     if spatial:
         reason = F.when(~ok, "missing_or_invalid_coordinate").when(F.coalesce(F.col(c.label), F.lit("")) == "", "missing_native_label").otherwise("")
     else:
-        reason = F.when(F.col(c.ordinal).isNull(), "missing_or_unmapped_label").otherwise("")
+        reason = F.when(F.col(c.ordinal).isNull(), "missing_or_unmapped_native_damage").otherwise("")
     if not conflicts:
         return df.withColumn("reason", reason)
-    value = F.when(ok, F.col(c.ordinal))
-    both = attach(df.withColumns({"_la": F.when(ok, F.col(c.lat)), "_lo": F.when(ok, F.col(c.lon)), "_v": value}), [c.event, "_la", "_lo"], {"_low": F.min("_v"), "_high": F.max("_v")}, nulls=False)
-    clash = F.coalesce(ok & (F.col("_low") != F.col("_high")), F.lit(False))
-    return both.withColumn("reason", F.when(clash, "conflicting_labels_at_exact_coordinate").otherwise(reason)).drop("_la", "_lo", "_v", "_low", "_high")
+    placed = df.withColumns({"_la": F.when(ok, F.col(c.lat)), "_lo": F.when(ok, F.col(c.lon))})
+    both = attach(placed, ["_la", "_lo"], {"_low": F.min(c.label), "_high": F.max(c.label)}, nulls=False)
+    clash = F.coalesce(F.col("_low") != F.col("_high"), F.lit(False))
+    return both.withColumn("reason", F.when(clash, "conflicting_labels_at_exact_coordinate").otherwise(reason)).drop("_la", "_lo", "_low", "_high")
 
 
-def partition_folds(df: DataFrame, c: Columns, folds: list[Fold], coordinate_required: bool = False, spatial: bool = False, conflicts: bool = True, uncertainty: str | Column | None = None) -> DataFrame:
-    """All folds in one job: fold, record, partition, exclusion_reason, leakage_group, evaluation_weight, uncertainty_group.
+def _crossing(f: Fold) -> Column:
+    """Whether the group of a row (its `_domains`) has more than one role in a fold."""
+    test, validation = (F.array_contains("_domains", d).cast("int") for d in (f.test, f.validation))
+    return F.coalesce(test + validation + (F.size("_domains") > test + validation).cast("int") > 1, F.lit(False))
 
-    Precedence of reasons: a group that crosses partitions, a missing domain, a coordinate, then those of eligibility.
-    Groups are compared before exclusions, over all rows; every row of a crossing group is quarantined. A kept row
-    weighs 1 / kept rows at its event and coordinates (alone if these are invalid), an excluded one 0.
-    """
+
+def _prepared(df: DataFrame, c: Columns, folds: list[Fold], coordinate_required: bool, spatial: bool, conflicts: bool, uncertainty: str | Column | None) -> DataFrame:
+    """A row for each record with what all folds need: _domain, leakage_group, reason, label, _domains of the group, and
+    `_kept`, the rows that each fold keeps at its place (null without a place)."""
     ok, domain, group = valid_coordinates(F.col(c.lat), F.col(c.lon)), F.col(c.domain), F.col(c.group)
     base = eligibility(df, c, spatial, conflicts)
     if coordinate_required or spatial:
@@ -76,35 +78,58 @@ def partition_folds(df: DataFrame, c: Columns, folds: list[Fold], coordinate_req
     # Domains that no fold tests or validates are alike: they train.
     named = sorted({d for f in folds for d in (f.test, f.validation)})
     base = base.select(
-        F.col(c.record).alias("record_id"), F.when(domain.isin(*named), domain).otherwise("").alias("_domain"), group.cast("string").alias("leakage_group"), "reason",
+        F.col(c.record).alias("record_id"), F.when(domain.isin(*named), domain).otherwise("").alias("_domain"), group.cast("string").alias("leakage_group"), "reason", F.col(c.label).alias("label"),
         F.when(ok, F.coalesce(F.col(c.event).cast("string"), F.lit(""))).alias("_event"), F.when(ok, F.col(c.lat)).alias("_la"), F.when(ok, F.col(c.lon)).alias("_lo"),
         (grid_cell(F.col(c.lat), F.col(c.lon)) if spatial else F.coalesce(name, group.cast("string"))).alias("uncertainty_group"))
-    # Rows are multiplied by folds only at the end: which roles a group has, and how many rows a place keeps, are
-    # found for all folds at once.
     base = attach(base, ["leakage_group"], {"_domains": F.collect_set("_domain")}, nulls=False)
+    kept = [F.count_if((F.col("reason") == "") & ~_crossing(f)) for f in folds]
+    return attach(base, ["_event", "_la", "_lo"], {"_kept": F.array(*kept)}, nulls=False)
 
-    def crossing(f: Fold) -> Column:
-        test, validation = (F.array_contains("_domains", d).cast("int") for d in (f.test, f.validation))
-        return F.coalesce(test + validation + (F.size("_domains") > test + validation).cast("int") > 1, F.lit(False))
 
-    kept = [(F.col("reason") == "") & ~crossing(f) for f in folds]
-    base = attach(base, ["_event", "_la", "_lo"], {"_kept": F.array(*[F.count_if(k) for k in kept])}, nulls=False)
+def _in_folds(rows: DataFrame, folds: list[Fold], per_fold: list[Column]) -> DataFrame:
+    """rows once for each fold: fold, partition, exclusion_reason, and value (its element of per_fold)."""
     d = F.col("_domain")
     each = F.explode(F.array(*[F.struct(
-        F.lit(f.name).alias("fold"), F.when(d == f.test, "test").when(d == f.validation, "validation").otherwise("train").alias("role"), crossing(f).alias("crossing"), F.col("_kept")[k].alias("kept"))
-        for k, f in enumerate(folds)]))
-    out = base.select("record_id", "leakage_group", "uncertainty_group", "reason", each.alias("f"))
-    why = F.when(F.col("f.crossing"), "group_crosses_domain_partition").otherwise(F.col("reason"))
-    out = out.select("f.fold", "record_id", F.when(why != "", "excluded").otherwise(F.col("f.role")).alias("partition"), why.alias("exclusion_reason"), "leakage_group", F.col("f.kept").alias("kept"), "uncertainty_group")
-    # Invalid coordinates have no place: the row stands alone.
-    weight = F.when(F.col("partition") == "excluded", F.lit(0.0)).when(F.col("kept").isNull(), F.lit(1.0)).otherwise(F.round(F.lit(1.0).cast("double") / F.col("kept"), 9))
+        F.lit(f.name).alias("fold"), F.when(d == f.test, "test").when(d == f.validation, "validation").otherwise("train").alias("role"), _crossing(f).alias("crossing"), value.alias("value"))
+        for f, value in zip(folds, per_fold)]))
+    out = rows.withColumn("_f", each)
+    why = F.when(F.col("_f.crossing"), "group_crosses_domain_partition").otherwise(F.col("reason"))
+    return out.withColumns({"fold": F.col("_f.fold"), "exclusion_reason": why, "partition": F.when(why != "", "excluded").otherwise(F.col("_f.role")), "value": F.col("_f.value")})
+
+
+def partition_folds(df: DataFrame, c: Columns, folds: list[Fold], coordinate_required: bool = False, spatial: bool = False, conflicts: bool = True, uncertainty: str | Column | None = None) -> DataFrame:
+    """All folds in one job: fold, record, partition, exclusion_reason, leakage_group, evaluation_weight, uncertainty_group.
+
+    Precedence of reasons: a group that crosses partitions, a missing domain, a coordinate, then those of eligibility.
+    Groups are compared before exclusions, over all rows; every row of a crossing group is quarantined. A kept row
+    weighs 1 / kept rows at its event and coordinates (alone if these are invalid), an excluded one 0.
+    """
+    # Rows are multiplied by folds only at the end: which roles a group has, and how many rows a place keeps, are
+    # found for all folds at once.
+    base = _prepared(df, c, folds, coordinate_required, spatial, conflicts, uncertainty)
+    out = _in_folds(base, folds, [F.col("_kept")[k] for k in range(len(folds))])
+    weight = F.when(F.col("partition") == "excluded", F.lit(0.0)).when(F.col("value").isNull(), F.lit(1.0)).otherwise(F.round(F.lit(1.0) / F.col("value"), 9))
     return out.select("fold", "record_id", "partition", "exclusion_reason", "leakage_group", weight.alias("evaluation_weight"), "uncertainty_group")
 
 
-def fold_summary(parts: DataFrame, small: int = 30) -> DataFrame:
+def fold_counts(df: DataFrame, c: Columns, folds: list[Fold], coordinate_required: bool = False, spatial: bool = False, conflicts: bool = True) -> DataFrame:
+    """fold, partition, exclusion_reason, leakage_group, label, records, weight: partition_folds, counted.
+
+    Records are counted by group, label and reason before they are multiplied by folds.
+    """
+    base = _prepared(df, c, folds, coordinate_required, spatial, conflicts, None)
+    place = [F.col("_kept")[k] for k in range(len(folds))]
+    sums = base.groupBy("_domain", "leakage_group", "reason", "label").agg(
+        F.any_value("_domains").alias("_domains"), F.count(F.lit(1)).alias("records"),
+        *[F.sum(F.when(p.isNull(), 1.0).when(p > 0, F.round(F.lit(1.0) / p, 9)).otherwise(0.0)).alias(f"_w{k}") for k, p in enumerate(place)])
+    out = _in_folds(sums, folds, [F.col(f"_w{k}") for k in range(len(folds))])
+    weight = F.when(F.col("partition") == "excluded", F.lit(0.0)).otherwise(F.col("value"))
+    return out.select("fold", "partition", "exclusion_reason", "leakage_group", "label", "records", weight.alias("weight"))
+
+
+def fold_summary(counts: DataFrame, small: int = 30) -> DataFrame:
     """Per fold and role (roles without rows too): records, groups, weight, warnings for empty and small partitions."""
-    spark = parts.sparkSession
-    sums = parts.groupBy("fold", "partition").agg(F.count(F.lit(1)).alias("records"), F.count_distinct("leakage_group").alias("groups"), F.round(F.sum("evaluation_weight"), 6).alias("weight"))
+    sums = counts.groupBy("fold", "partition").agg(F.sum("records").alias("records"), F.count_distinct("leakage_group").alias("groups"), F.round(F.sum("weight"), 6).alias("weight"))
     wide = sums.groupBy("fold").agg(F.map_from_entries(F.collect_list(F.struct("partition", F.struct("records", "groups", "weight")))).alias("m"))
     each = wide.select("fold", F.explode(F.array(*map(F.lit, ROLES))).alias("partition"), "m")
     got = F.col("m")[F.col("partition")]
@@ -113,13 +138,21 @@ def fold_summary(parts: DataFrame, small: int = 30) -> DataFrame:
                        (F.col("partition").isin("train", "validation", "test") & (records == 0)).alias("empty"), (F.col("partition").isin("validation", "test") & (records < small)).alias("small"))
 
 
+def fold_classes(counts: DataFrame) -> DataFrame:
+    """fold, item (a role, or exclusions), key, records: native labels of each role (missing as <missing>) and reasons of exclusions."""
+    labels = counts.select("fold", F.col("partition").alias("item"), F.coalesce("label", F.lit("<missing>")).alias("key"), "records")
+    reasons = counts.where("partition = 'excluded'").select("fold", F.lit("exclusions").alias("item"), F.col("exclusion_reason").alias("key"), "records")
+    return labels.unionByName(reasons).groupBy("fold", "item", "key").agg(F.sum("records").alias("records"))
+
+
 def disjoint_violations(parts: DataFrame) -> DataFrame:
     """Per fold: repeated records, groups in more than one kept partition, excluded rows that weigh something."""
-    kept = parts.where("partition <> 'excluded'")
-    repeated = parts.groupBy("fold", "record_id").count().groupBy("fold").agg(F.count_if(F.col("count") > 1).alias("repeated_records"))
-    groups = kept.where("leakage_group is not null").groupBy("fold", "leakage_group").agg((F.min("partition") != F.max("partition")).alias("split")).groupBy("fold").agg(F.count_if("split").alias("split_groups"))
-    weighed = parts.groupBy("fold").agg(F.count_if((F.col("partition") == "excluded") & (F.col("evaluation_weight") != 0)).alias("weighed_exclusions"))
-    return weighed.join(repeated, "fold", "left").join(groups, "fold", "left").na.fill(0)
+    kept = F.when(F.col("partition") != "excluded", F.col("partition"))
+    weighed = (F.col("partition") == "excluded") & (F.col("evaluation_weight") != 0)
+    records = parts.groupBy("fold", "record_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(weighed).alias("w"))
+    records = records.groupBy("fold").agg(F.sum("w").alias("weighed_exclusions"), F.count_if(F.col("n") > 1).alias("repeated_records"))
+    groups = parts.where("leakage_group is not null").groupBy("fold", "leakage_group").agg((F.min(kept) != F.max(kept)).alias("split")).groupBy("fold").agg(F.count_if("split").alias("split_groups"))
+    return records.join(groups, "fold", "left").na.fill(0)
 
 
 def assert_disjoint(parts: DataFrame) -> None:

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import valid_coordinates
 from ..functions.text import blank_as_missing, fractional, missing_word, safe_double
-from .groups import attach
 from .summaries import per_column
 
 
@@ -60,11 +59,14 @@ def coordinate_profile(df: DataFrame, lat: str, lon: str, by: str | None = None)
 
 
 def duplicate_groups(df: DataFrame, keys: list[str], member: str, label: str, order: str) -> DataFrame:
-    """Groups of more than one row: keys, size, distinct labels, members in order (joined)."""
-    sized = attach(df, keys, {"_n": F.count(F.lit(1))}).where("_n > 1")
-    return sized.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("size"), F.count_distinct(label).alias("labels"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, member))), lambda s: s[member].cast("string")), "|").alias("members"))
+    """Groups of more than one row: keys, size, distinct labels, label_counts (label=rows, missing included, by label),
+    members in order; both joined."""
+    labels = df.groupBy(*keys, missing_word(F.col(label)).alias("_word")).agg(F.count(F.lit(1)).alias("_n"), F.collect_list(F.struct(order, member)).alias("_m"))
+    counts = F.array_sort(F.collect_list(F.struct("_word", "_n")))
+    groups = labels.groupBy(*keys).agg(F.sum("_n").alias("size"), F.count_if(F.col("_word") != "<missing>").alias("labels"), counts.alias("_c"), F.array_sort(F.flatten(F.collect_list("_m"))).alias("_m"))
+    return groups.where("size > 1").select(
+        *keys, "size", "labels", F.array_join(F.transform("_c", lambda c: F.concat_ws("=", c["_word"], c["_n"].cast("string"))), "|").alias("label_counts"),
+        F.array_join(F.transform("_m", lambda s: s[member].cast("string")), "|").alias("members"))
 
 
 def repeated_rows(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -96,15 +98,17 @@ def literal_tokens(df: DataFrame, columns: list[str], token: str = "NaN") -> Dat
     return per_column(df, columns, {"records": lambda c: F.count_if(c.cast("string") == token)}).where("records > 0")
 
 
-def dataset_card(df: DataFrame, maps: list[str], floors: str, intensities: list[str], label: str, ordinal: str) -> DataFrame:
-    """Long table (item, key, records) of a harmonized table: size, value counts, unmapped labels, odd floors, intensities."""
+def dataset_card(df: DataFrame, maps: list[str], floors: str, intensities: list[str], label: str, ordinal: str, digest: str) -> DataFrame:
+    """Long table (item, key, records) of a harmonized table: size, value counts, unmapped labels, odd floors, intensities,
+    and the digests of its sources."""
     def count(item: str, key: str, when):
         return F.struct(F.lit(item).alias("item"), F.lit(key).alias("key"), F.count_if(when).alias("records"))
 
     whole = F.array(
         count("records", "all", F.lit(True)), count("unmapped_label", "all", F.col(label).isNotNull() & F.col(ordinal).isNull()),
-        count("floors", "nonpositive", F.col(floors) <= 0), count("floors", "fractional", fractional(F.col(floors))),
+        count("floors", "present", F.col(floors).isNotNull()), count("floors", "nonpositive", F.col(floors) <= 0), count("floors", "fractional", fractional(F.col(floors))),
         *[count("intensity", c, F.col(c).isNotNull()) for c in intensities])
     one = df.agg(whole.alias("s")).select(F.explode("s").alias("s")).select("s.*")
+    maps = [*maps, digest]
     long = df.select(*[missing_word(F.col(c)).alias(c) for c in maps]).unpivot([], maps, "item", "key")
     return one.unionByName(long.groupBy("item", "key").agg(F.count(F.lit(1)).alias("records")))

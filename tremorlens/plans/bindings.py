@@ -148,8 +148,10 @@ def q11b(spark, sf):
     return quality.quality_counts(_violations(spark, sf))
 
 
-@query("q12_duplicate_groups", """SELECT o_custkey, o_orderstatus, count(*) AS size, count(DISTINCT o_orderpriority) AS labels, string_agg(CAST(o_orderkey AS VARCHAR), '|' ORDER BY o_orderkey) AS members
-  FROM orders GROUP BY 1, 2 HAVING count(*) > 1""")
+@query("q12_duplicate_groups", """WITH l AS (SELECT o_custkey, o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL),
+  c AS (SELECT o_custkey, o_orderstatus, string_agg(o_orderpriority || '=' || CAST(n AS VARCHAR), '|' ORDER BY o_orderpriority) AS label_counts FROM l GROUP BY 1, 2)
+  SELECT o_custkey, o_orderstatus, count(*) AS size, count(DISTINCT o_orderpriority) AS labels, any_value(label_counts) AS label_counts, string_agg(CAST(o_orderkey AS VARCHAR), '|' ORDER BY o_orderkey) AS members
+  FROM orders JOIN c USING (o_custkey, o_orderstatus) GROUP BY 1, 2 HAVING count(*) > 1""")
 def q12(spark, sf):
     orders = v.table(spark, sf, "orders").withColumn("record", F.col("o_orderkey"))
     return profile.duplicate_groups(orders, ["o_custkey", "o_orderstatus"], "record", "o_orderpriority", "o_orderkey")
@@ -164,7 +166,7 @@ def q13(spark, sf):
 _SEGMENT = h._case("label", v.SEGMENTS)
 
 
-@query("q14_label_mapping", f"""WITH {v.SITES} SELECT id, label AS damage_native, {_SEGMENT} AS damage_ordinal_native, CASE WHEN {_SEGMENT} IS NULL THEN 'unmapped' ELSE 'mapped' END AS damage_mapping_status,
+@query("q14_label_mapping", f"""WITH {v.SITES} SELECT id, label AS damage_native, {_SEGMENT} AS damage_ordinal_native, 'provisional_not_for_pooling' AS damage_mapping_status,
   CAST({_SEGMENT} >= 3 AS INTEGER) AS high_damage_candidate FROM sites""")
 def q14(spark, sf):
     df = canonical.native_damage(v.sites(spark, sf), "label", v.SEGMENTS, candidate_from=3)
@@ -174,7 +176,7 @@ def q14(spark, sf):
 @query("q15_unmapped_labels", f"WITH {v.SITES} SELECT label AS damage_native, count(*) AS records FROM sites WHERE {_SEGMENT} IS NULL GROUP BY 1")
 def q15(spark, sf):
     df = canonical.native_damage(v.sites(spark, sf), "label", v.SEGMENTS)
-    return df.where("damage_mapping_status = 'unmapped'").groupBy("damage_native").agg(F.count(F.lit(1)).alias("records"))
+    return df.where("damage_native is not null and damage_ordinal_native is null").groupBy("damage_native").agg(F.count(F.lit(1)).alias("records"))
 
 
 @query("q16_harmonize_a", f"WITH {h.A} SELECT * REPLACE (round(\"PGA\", 9) AS \"PGA\") FROM a")
@@ -199,8 +201,9 @@ def _all(spark, sf):
 _UNION = f"WITH {h.A}, {h.B}, {h.C}, u AS (SELECT * FROM a UNION ALL BY NAME SELECT * FROM b UNION ALL BY NAME SELECT * FROM c)"
 _RULES = {
     "missing_required": " OR ".join(f"{c} IS NULL" for c in harmonize.REQUIRED), "bad_hash": "NOT regexp_full_match(source_sha256, '[a-f0-9]{64}')",
-    "candidate_without_mapping": "high_damage_candidate IS NOT NULL AND damage_mapping_status <> 'mapped'", "candidate_forbidden": "dataset_id = 'stations_b' AND high_damage_candidate IS NOT NULL",
-    "ordinal_forbidden": "dataset_id = 'none' AND damage_ordinal_native IS NOT NULL", "ordinal_range": "dataset_id = 'census_c' AND damage_ordinal_native NOT BETWEEN 1 AND 4",
+    "candidate_not_provisional": "high_damage_candidate IS NOT NULL AND damage_mapping_status IS DISTINCT FROM 'provisional_not_for_pooling'", "candidate_forbidden": "dataset_id = 'stations_b' AND high_damage_candidate IS NOT NULL",
+    "ordinal_forbidden": "dataset_id = 'survey_a' AND (damage_ordinal_native IS NOT NULL OR high_damage_candidate IS NOT NULL)",
+    "ordinal_range": "damage_ordinal_native NOT BETWEEN CASE WHEN dataset_id = 'census_c' THEN 1 ELSE 0 END AND 4",
 }
 
 
@@ -208,19 +211,19 @@ _RULES = {
   UNION ALL SELECT dataset_id, 'repeated_record_id', count(*) - count(DISTINCT record_id) FROM u GROUP BY 1""")
 def q19(spark, sf):
     """Rules set stricter than the sources are, so that some fire."""
-    return harmonize.record_violations(_all(spark, sf), {"census_c": (1, 4)}, no_candidate=("stations_b",), no_ordinal=("none",))
+    return harmonize.record_violations(_all(spark, sf), {"census_c": (1, 4)}, no_candidate=("stations_b",), no_ordinal=("survey_a",))
 
 
-_MAPS = ["dataset_id", "damage_native", "coordinate_status", "damage_mapping_status"]
+_MAPS = ["event_id", "city", "damage_native", "damage_ordinal_native", "coordinate_status"]
 
 
 @query("q20_dataset_card", _UNION + """ SELECT 'records' AS item, 'all' AS key, count(*) AS records FROM u
   UNION ALL SELECT 'unmapped_label', 'all', count(*) FILTER (WHERE damage_native IS NOT NULL AND damage_ordinal_native IS NULL) FROM u
-  UNION ALL SELECT 'floors', 'nonpositive', count(*) FILTER (WHERE floors <= 0) FROM u UNION ALL SELECT 'floors', 'fractional', count(*) FILTER (WHERE floors % 1 <> 0) FROM u
+  UNION ALL SELECT 'floors', 'present', count(floors) FROM u UNION ALL SELECT 'floors', 'nonpositive', count(*) FILTER (WHERE floors <= 0) FROM u UNION ALL SELECT 'floors', 'fractional', count(*) FILTER (WHERE floors % 1 <> 0) FROM u
   UNION ALL SELECT 'intensity', 'PGA', count("PGA") FROM u UNION ALL SELECT 'intensity', 'PGV', count("PGV") FROM u """ + " ".join(
-    f"UNION ALL SELECT '{c}', coalesce({c}, '<missing>'), count(*) FROM u GROUP BY 2" for c in _MAPS))
+    f"UNION ALL SELECT '{c}', coalesce(CAST({c} AS VARCHAR), '<missing>'), count(*) FROM u GROUP BY 2" for c in [*_MAPS, "source_sha256"]))
 def q20(spark, sf):
-    return profile.dataset_card(_all(spark, sf), _MAPS, "floors", ["PGA", "PGV"], "damage_native", "damage_ordinal_native")
+    return profile.dataset_card(_all(spark, sf), _MAPS, "floors", ["PGA", "PGV"], "damage_native", "damage_ordinal_native", "source_sha256")
 
 
 @query("q21_value_catalog", f"WITH {v.RAW} " + " UNION ALL ".join(
@@ -295,9 +298,9 @@ def q27(spark, sf):
 
 COLUMNS = design.Columns("record", "domain", "grp", "event", "la", "lo", "label", "ordinal")
 DOMAINS = [f"d{k}" for k in range(10)]
-_ELIGIBLE = f"""{v.DESIGN}, el AS (SELECT *, {v.OK} AS ok, min(CASE WHEN {v.OK} THEN ordinal END) OVER p AS lw, max(CASE WHEN {v.OK} THEN ordinal END) OVER p AS hg FROM design
-  WINDOW p AS (PARTITION BY event, CASE WHEN {v.OK} THEN la END, CASE WHEN {v.OK} THEN lo END)),
-  eligible AS (SELECT *, CASE WHEN ok AND lw <> hg THEN 'conflicting_labels_at_exact_coordinate' WHEN ordinal IS NULL THEN 'missing_or_unmapped_label' ELSE '' END AS reason FROM el)"""
+_ELIGIBLE = f"""{v.DESIGN}, el AS (SELECT *, {v.OK} AS ok FROM design),
+  clash AS (SELECT la, lo FROM el WHERE ok GROUP BY 1, 2 HAVING count(DISTINCT label) > 1),
+  eligible AS (SELECT *, CASE WHEN ok AND (la, lo) IN (SELECT (la, lo) FROM clash) THEN 'conflicting_labels_at_exact_coordinate' WHEN ordinal IS NULL THEN 'missing_or_unmapped_native_damage' ELSE '' END AS reason FROM el)"""
 
 
 @query("q28_eligibility", f"WITH {_ELIGIBLE} SELECT record, reason FROM eligible")
@@ -308,13 +311,13 @@ def q28(spark, sf):
 def _folds_sql(folds: list[design.Fold]) -> str:
     values = ", ".join(f"('{f.name}', '{f.test}', '{f.validation}')" for f in folds)
     return f"""{_ELIGIBLE}, folds AS (SELECT * FROM (VALUES {values}) t(fold, test, validation)),
-  r AS (SELECT fold, record, grp, event, la, lo, ok, CASE WHEN domain IS NULL THEN 'missing_domain' WHEN NOT ok THEN 'missing_or_invalid_coordinate' ELSE reason END AS reason,
+  r AS (SELECT fold, record, grp, event, la, lo, ok, label, CASE WHEN domain IS NULL THEN 'missing_domain' WHEN NOT ok THEN 'missing_or_invalid_coordinate' ELSE reason END AS reason,
     CASE WHEN domain = test THEN 'test' WHEN domain = validation THEN 'validation' ELSE 'train' END AS role FROM eligible, folds),
   x AS (SELECT *, CASE WHEN grp IS NOT NULL AND min(role) OVER g <> max(role) OVER g THEN 'group_crosses_domain_partition' ELSE reason END AS why FROM r WINDOW g AS (PARTITION BY fold, grp)),
   y AS (SELECT *, CASE WHEN why <> '' THEN 'excluded' ELSE role END AS part FROM x),
   parts AS (SELECT fold, record AS record_id, part AS "partition", why AS exclusion_reason, grp AS leakage_group,
     CASE WHEN part = 'excluded' THEN CAST(0 AS DOUBLE) WHEN NOT ok THEN CAST(1 AS DOUBLE) ELSE round(CAST(1 AS DOUBLE) / count(*) FILTER (WHERE part <> 'excluded') OVER (PARTITION BY fold, event, la, lo), 9) END AS evaluation_weight,
-    grp AS uncertainty_group FROM y)"""
+    grp AS uncertainty_group, label FROM y)"""
 
 
 ONE = [design.Fold("one", "d3", "d7")]
@@ -325,12 +328,12 @@ def _parts(spark, sf, folds):
     return design.partition_folds(v.design(spark, sf), COLUMNS, folds, coordinate_required=True)
 
 
-@query("q29_partition_fold", f"WITH {_folds_sql(ONE)} SELECT * FROM parts")
+@query("q29_partition_fold", f"WITH {_folds_sql(ONE)} SELECT * EXCLUDE (label) FROM parts")
 def q29(spark, sf):
     return _parts(spark, sf, ONE)
 
 
-@query("q30_all_folds", f"WITH {_folds_sql(ALL)} SELECT * FROM parts")
+@query("q30_all_folds", f"WITH {_folds_sql(ALL)} SELECT * EXCLUDE (label) FROM parts")
 def q30(spark, sf):
     return _parts(spark, sf, ALL)
 
@@ -340,7 +343,17 @@ def q30(spark, sf):
     FROM folds f CROSS JOIN roles LEFT JOIN parts ON parts.fold = f.fold AND parts."partition" = p GROUP BY 1, 2)
   SELECT *, "partition" <> 'excluded' AND records = 0 AS "empty", "partition" IN ('validation', 'test') AND records < 30 AS "small" FROM c""")
 def q31(spark, sf):
-    return design.fold_summary(_parts(spark, sf, ALL))
+    return design.fold_summary(_counts(spark, sf))
+
+
+def _counts(spark, sf):
+    return design.fold_counts(v.design(spark, sf), COLUMNS, ALL, coordinate_required=True)
+
+
+@query("q31b_fold_classes", f"""WITH {_folds_sql(ALL)} SELECT fold, "partition" AS item, coalesce(label, '<missing>') AS key, count(*) AS records FROM parts GROUP BY ALL
+  UNION ALL SELECT fold, 'exclusions', exclusion_reason, count(*) FROM parts WHERE "partition" = 'excluded' GROUP BY ALL""")
+def q31b(spark, sf):
+    return design.fold_classes(_counts(spark, sf))
 
 
 @query("q32_disjoint_violations", f"""WITH {_folds_sql(ALL)} SELECT fold, count(*) FILTER (WHERE "partition" = 'excluded' AND evaluation_weight <> 0) AS weighed_exclusions, count(*) - count(DISTINCT record_id) AS repeated_records,

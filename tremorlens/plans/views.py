@@ -120,17 +120,20 @@ CHECKED = """checked AS (SELECT p_partkey AS id, CAST(CASE WHEN p_partkey % 31 =
 
 
 def design(spark: SparkSession, sf: str) -> DataFrame:
+    """Two native labels share ordinal 3, and some labels have none, so that conflicts of labels and of ordinals differ."""
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     at = F.when(k % 100 == 1, k - 1).otherwise(k)
     coordinate = lambda base, factor: F.when(k % 53 != 0, base + (at * factor % 100003) / F.lit(200000.0))
     return table(spark, sf, "orders").select(
         k.alias("record"), F.when(c % 97 != 0, F.concat(F.lit("d"), text(c % 10))).alias("domain"),
         F.when(c % 49 == 0, F.concat(F.lit("g"), text(c % 7))).otherwise(F.concat(F.lit("c"), text(c))).alias("grp"), F.col("o_orderstatus").alias("event"),
-        coordinate(37, 7919).alias("la"), coordinate(36, 104729).alias("lo"), F.col("o_orderpriority").alias("label"), F.when(k % 31 != 0, grade_of(F.col("o_orderpriority"))).alias("ordinal"))
+        coordinate(37, 7919).alias("la"), coordinate(36, 104729).alias("lo"), F.when(k % 37 != 0, F.col("o_orderpriority")).alias("label"),
+        F.when((k % 31 != 0) & (k % 37 != 0), F.least(grade_of(F.col("o_orderpriority")), F.lit(3))).alias("ordinal"))
 
 
 DESIGN = """design AS (SELECT o_orderkey AS record, CASE WHEN o_custkey % 97 <> 0 THEN 'd' || CAST(o_custkey % 10 AS VARCHAR) END AS domain,
   CASE WHEN o_custkey % 49 = 0 THEN 'g' || CAST(o_custkey % 7 AS VARCHAR) ELSE 'c' || CAST(o_custkey AS VARCHAR) END AS grp, o_orderstatus AS event,
   CASE WHEN o_orderkey % 53 <> 0 THEN 37 + ((o_orderkey - CASE WHEN o_orderkey % 100 = 1 THEN 1 ELSE 0 END) * 7919 % 100003) / CAST(200000 AS DOUBLE) END AS la,
   CASE WHEN o_orderkey % 53 <> 0 THEN 36 + ((o_orderkey - CASE WHEN o_orderkey % 100 = 1 THEN 1 ELSE 0 END) * 104729 % 100003) / CAST(200000 AS DOUBLE) END AS lo,
-  o_orderpriority AS label, CASE WHEN o_orderkey % 31 <> 0 THEN CAST(substr(o_orderpriority, 1, 1) AS INTEGER) - 1 END AS ordinal FROM orders)"""
+  CASE WHEN o_orderkey % 37 <> 0 THEN o_orderpriority END AS label,
+  CASE WHEN o_orderkey % 31 <> 0 AND o_orderkey % 37 <> 0 THEN least(CAST(substr(o_orderpriority, 1, 1) AS INTEGER) - 1, 3) END AS ordinal FROM orders)"""
