@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -94,6 +95,52 @@ def test_pairs_equal_all_pairs_anywhere(spark):
         assert got == want
 
 
+def test_pairs_equal_all_pairs_near_poles_and_at_random(spark):
+    rng = random.Random(7)
+    points = [(k, rng.choice([89.9995, 89.99, -89.999, 89.5, 70.0, 45.0]) + rng.uniform(-0.0004, 0.0004), rng.uniform(-180, 180) if k % 2 else rng.choice([10.0, 179.9995, -179.9995]) + rng.uniform(-0.002, 0.002)) for k in range(240)]
+    df = spark.createDataFrame([(k, max(-90.0, min(90.0, la)), max(-180.0, min(180.0, lo))) for k, la, lo in points], "id int, la double, lo double")
+    a, b = df.toDF("i", "a1", "o1"), df.toDF("j", "a2", "o2")
+    every = a.join(b, F.col("i") < F.col("j")).select("i", "j", haversine(*map(F.col, ("a1", "o1", "a2", "o2"))).alias("d")).collect()
+    for radius in (40.0, 100.0, 5_000.0, 300_000.0, 9e6):
+        assert values(proximity.self_pairs(df, "id", "la", "lo", radius), "first", "second") == sorted((r.i, r.j) for r in every if r.d <= radius)
+
+
+def test_a_polar_row_leaves_cells_elsewhere_alone(spark):
+    height = proximity._height(100.0)
+    df = spark.createDataFrame([(38.0,), (89.9999,), (90.0,), (0.0,)], "la double").withColumn("y", F.floor(F.col("la") / height).cast("long"))
+    cells = [r[0] for r in df.select(proximity._around(F.col("y"), height, 100.0)).collect()]
+    assert cells[0] > 300_000 and cells[1] <= 8 and cells[2] == 1 and cells[3] > 400_000
+
+
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_nearest_with_outliers(spark, few):
+    left = spark.createDataFrame([(1, 37.0, 36.0), (2, -60.0, -170.0), (3, 89.9999, 0.0), (4, None, 1.0)], "id int, la double, lo double")
+    right = spark.createDataFrame([(1, 37.001, 36.0), (2, 38.0, 36.0)], "st int, la double, lo double")
+    got = {r.id: r.distance for r in proximity.nearest(left, right, "id", "st", "la", "lo", 500.0, few=few).collect()}
+    want = {r.id: r.d for r in left.where("id < 4").crossJoin(right.toDF("st", "b", "o")).groupBy("id").agg(F.min(haversine(*map(F.col, ("la", "lo", "b", "o")))).alias("d")).collect()}
+    assert got == want
+
+
+def test_points_in_polygons_equal_all_pairs(spark):
+    rng = random.Random(5)
+    square = lambda x, y, s: [(x, y), (x + s, y), (x + s, y + s), (x, y + s)]
+    shapes = [(k, [square(rng.uniform(-2, 2), rng.uniform(-2, 2), rng.choice([0.001, 0.05, 1.5]))]) for k in range(30)]
+    shapes += [(30, [square(-1.0, -1.0, 2.0), square(-0.5, -0.5, 1.0)]), (31, []), (32, [[]])]
+    polygons = spark.createDataFrame(shapes, "poly int, rings array<array<struct<x:double,y:double>>>")
+    points = spark.createDataFrame([(k, rng.uniform(-2, 2), rng.uniform(-2, 2)) for k in range(300)] + [(900, -1.0, 0.3), (901, 0.0, 0.0), (902, None, 1.0)], "pt int, px double, py double")
+    got = values(proximity.points_in_polygons(points, polygons, "pt", "poly", "px", "py", "rings", cell=0.02), "pt", "poly")
+    every = points.crossJoin(polygons).where(proximity.in_rings(F.col("px"), F.col("py"), F.col("rings")))
+    assert got == values(every, "pt", "poly") and (900, 30) in got and (901, 30) not in got and len(got) > 50
+
+
+def test_gaps_are_checked(spark):
+    gaps = proximity.box_gaps(spark.createDataFrame([("a", 0.0, 0.0), ("a", 10.0, 0.0), ("b", 13.0, 4.0)], "g string, x double, y double"), "g", "x", "y")
+    assert gaps.first().gap == 5.0
+    proximity.assert_gaps(gaps, 5.0)
+    with pytest.raises(ValueError, match="a and b"):
+        proximity.assert_gaps(gaps, 5.1)
+
+
 def test_point_in_polygon(spark):
     ring = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (2.0, 2.0), (0.0, 4.0)]
     df = spark.createDataFrame([(1.0, 1.0, ring), (2.0, 3.0, ring), (4.0, 2.0, ring), (5.0, 1.0, ring)], "x double, y double, ring array<struct<x:double,y:double>>")

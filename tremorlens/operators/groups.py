@@ -26,10 +26,12 @@ def attach(df: DataFrame, keys: list[str], values: dict[str, Column], nulls: boo
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Written under spark.checkpoint.dir and read back: lineage ends there."""
+    """Written under spark.checkpoint.dir and read back: lineage ends there. Only on one machine a folder is made where none is set."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
         folder = tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder.rstrip('/')}/groups-{uuid.uuid4().hex}"
@@ -48,9 +50,10 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     before = None
     while True:
         around = edges.unionByName(edges.select(y.alias("x"), x.alias("y")))
-        least = around.groupBy("x").agg(F.least(F.min("y"), x).alias("m"))
-        up = around.where(y > x).join(least, "x").select(y.alias("x"), F.col("m").alias("y")).distinct()
-        least = up.groupBy("x").agg(F.min("y").alias("m"))
+        # Minima are written before they are joined, so that the rows of a centre of many links can be split.
+        least = materialize(around.groupBy("x").agg(F.least(F.min("y"), x).alias("m")))
+        up = materialize(around.where(y > x).join(least, "x").select(y.alias("x"), F.col("m").alias("y")).distinct())
+        least = materialize(up.groupBy("x").agg(F.min("y").alias("m")))
         down = up.join(least, "x").select(F.explode(F.array(F.struct(y.alias("x"), F.col("m").alias("y")), F.struct(x, F.col("m").alias("y")))).alias("e")).select("e.*")
         edges = materialize(down.where(x != y).distinct())
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)"))).first()

@@ -12,35 +12,45 @@ from ..functions.text import group_name
 from .groups import components, materialize
 
 
-def _grid(radius: float, top: float) -> tuple[float, int]:
-    """Height of a cell in degrees, and the number of cells around the globe: each at least the radius across."""
-    height = math.degrees(radius / RADIUS) * 1.000001 + 1e-9
-    narrow = max(math.cos(math.radians(min(89.999999, top + height))), 1e-8)
-    return height, max(1, int(360 / (height / narrow)))
+def _height(radius: float) -> float:
+    """Height of a band in degrees of latitude, the radius and a little more."""
+    return math.degrees(radius / RADIUS) * 1.000001 + 1e-9
 
 
-def _cell(lat: Column, lon: Column, height: float, around: int) -> tuple[Column, Column]:
-    x = F.floor((lon + 180) / (360 / around)).cast("long")
-    return F.floor(lat / height).cast("long"), F.pmod(x, F.lit(around))
+def _around(band: Column, height: float, radius: float) -> Column:
+    """Cells of a band. Two points within the radius, one of them in the band, differ by at most a cell in longitude:
+    a cell is as wide as the radius can reach at the far edge of the next band towards the pole."""
+    top = F.greatest(F.abs(band * height), F.abs((band + 1) * height)) + height
+    reach = F.lit(math.sin(min(radius / RADIUS / 2, math.pi / 2))) / F.cos(F.radians(F.least(top, F.lit(90.0))))
+    width = F.degrees(2 * F.asin(F.least(reach, F.lit(1.0)))) * 1.000001
+    return F.when((top >= 90) | (reach >= 1), F.lit(1)).otherwise(F.greatest(F.lit(1), F.floor(360 / width))).cast("long")
 
 
-def pairs_within(left: DataFrame, right: DataFrame, left_id: str, right_id: str, lat: str, lon: str, radius: float, top_latitude: float | None = None) -> DataFrame:
-    """left_id, right_id, distance of all pairs of valid points within radius, across the antimeridian too.
+def _column(lon: Column, around: Column) -> Column:
+    """Cell of a longitude among so many around the globe; the antimeridian lies in one cell's edge."""
+    return F.pmod(F.floor((lon + 180) / 360 * around).cast("long"), around)
 
-    Points are dealt to cells at least one radius across; the right side is copied to the nine cells around its own,
-    so the join is an equi-join on the cell and only the distance is left to test. top_latitude: largest absolute
-    latitude (found by one aggregate if not given).
+
+def pairs_within(left: DataFrame, right: DataFrame, left_id: str, right_id: str, lat: str, lon: str, radius: float) -> DataFrame:
+    """left_id, right_id, distance of all pairs of valid points within radius, across the antimeridian and the poles too.
+
+    Points are dealt to bands of latitude one radius high and, within a band, to cells one radius wide at that
+    latitude, so a point near a pole changes no cell elsewhere. The right side is copied to the cells around its own
+    place in its band and the bands above and below; then the join is an equi-join on the cell and only the distance is
+    left to test. Near a pole a band is one cell.
     """
     la, lo = F.col(lat), F.col(lon)
+    height = _height(radius)
     a = left.where(valid_coordinates(la, lo)).select(F.col(left_id).alias("_i"), la.alias("_la"), lo.alias("_lo"))
     b = right.where(valid_coordinates(la, lo)).select(F.col(right_id).alias("_j"), la.alias("_lb"), lo.alias("_lp"))
-    if top_latitude is None:
-        top_latitude = max(x or 0.0 for x in (a.agg(F.max(F.abs("_la"))).first()[0], b.agg(F.max(F.abs("_lb"))).first()[0]))
-    height, around = _grid(radius, top_latitude)
-    y, x = _cell(F.col("_la"), F.col("_lo"), height, around)
-    a = a.withColumns({"_y": y, "_x": x})
-    y, x = _cell(F.col("_lb"), F.col("_lp"), height, around)
-    b = b.withColumn("_c", F.explode(F.array_distinct(F.array(*[F.struct((y + d).alias("y"), F.pmod(x + e, F.lit(around)).alias("x")) for d in (-1, 0, 1) for e in (-1, 0, 1)]))))
+    y = F.floor(F.col("_la") / height).cast("long")
+    a = a.withColumns({"_y": y, "_x": _column(F.col("_lo"), _around(y, height, radius))})
+    y = F.floor(F.col("_lb") / height).cast("long")
+    cells = []
+    for d in (-1, 0, 1):
+        around = _around(y + d, height, radius)
+        cells += [F.struct((y + d).alias("y"), F.pmod(_column(F.col("_lp"), around) + e, around).alias("x")) for e in (-1, 0, 1)]
+    b = b.withColumn("_c", F.explode(F.array_distinct(F.array(*cells))))
     joined = a.join(b, (F.col("_y") == F.col("_c.y")) & (F.col("_x") == F.col("_c.x")))
     d = haversine(F.col("_la"), F.col("_lo"), F.col("_lb"), F.col("_lp"))
     return joined.where(d <= radius).select(F.col("_i").alias(left_id), F.col("_j").alias(right_id), d.alias("distance"))
@@ -60,22 +70,30 @@ def overlap_by_threshold(pairs: DataFrame, left_id: str, right_id: str, threshol
     return F.broadcast(all_of).join(found, "threshold", "left").na.fill(0, ["pairs", "left_records", "right_records"])
 
 
-def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, lat: str, lon: str, radius: float, grow: float = 4.0, limit: float = 2.1e7) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, lat: str, lon: str, radius: float, grow: float = 4.0, limit: float = 2.1e7, few: int = 10_000) -> DataFrame:
     """left_id, distance to the nearest valid point of the other side; rings grow until every point has one (or none exists).
 
     A pass keeps only points that found nothing within its radius, so that dense regions are joined at the small
-    radius and none is compared with all others.
+    radius and none is compared with all others. Once at most `few` points are left, which are outliers far from all
+    others, these are broadcast and every task takes the least distance to its own share of the other side.
     """
-    out, rest = None, left.where(valid_coordinates(F.col(lat), F.col(lon)))
+    ok = valid_coordinates(F.col(lat), F.col(lon))
+    out, rest = None, left.where(ok).select(left_id, lat, lon)
     while True:
         # Each ring is written, so that it runs once and not again in every later one.
         found = materialize(pairs_within(rest, right, left_id, right_id, lat, lon, radius).groupBy(left_id).agg(F.min("distance").alias("distance")))
         out = found if out is None else out.unionByName(found)
         if radius >= limit:
             return out
-        rest = materialize(rest.join(found, left_id, "left_anti").select(left_id, lat, lon))
-        if rest.isEmpty():
+        rest = materialize(rest.join(found, left_id, "left_anti"))
+        n = rest.count()
+        if n == 0:
             return out
+        if n <= few:
+            far = F.broadcast(rest.select(F.col(left_id), F.col(lat).alias("_la"), F.col(lon).alias("_lo")))
+            each = right.where(ok).select(F.col(lat).alias("_lb"), F.col(lon).alias("_lp")).join(far, how="cross")
+            d = haversine(F.col("_la"), F.col("_lo"), F.col("_lb"), F.col("_lp"))
+            return out.unionByName(each.groupBy(left_id).agg(F.min(d).alias("distance")))
         radius = min(limit, radius * grow)
 
 
@@ -98,22 +116,70 @@ def proximity_groups(df: DataFrame, key: str, lat: str, lon: str, radius: float
     return each.join(sites, "root").select(F.col("_key").alias(key), "site")
 
 
-def box_gaps(df: DataFrame, group: str, x: str, y: str) -> DataFrame:
-    """Lower bound of the distance between the points of any two groups: the gap between their bounding boxes."""
-    box = df.groupBy(group).agg(F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1"))
+def box_gaps(df: DataFrame, group: str, x: str, y: str, few: int = 10_000) -> DataFrame:
+    """Lower bound of the distance between the points of any two groups: the gap between their bounding boxes.
+
+    The result has a row for each two groups; boxes are broadcast if they are few.
+    """
+    box = materialize(df.groupBy(group).agg(F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1")))
     a = box.select(*[F.col(c).alias("a_" + c) for c in box.columns])
     b = box.select(*[F.col(c).alias("b_" + c) for c in box.columns])
     dx = F.greatest(F.col("a_x0") - F.col("b_x1"), F.col("b_x0") - F.col("a_x1"), F.lit(0.0))
     dy = F.greatest(F.col("a_y0") - F.col("b_y1"), F.col("b_y0") - F.col("a_y1"), F.lit(0.0))
-    # One row a group on both sides: a set of a few cities.
-    return a.join(F.broadcast(b), F.col(f"a_{group}") < F.col(f"b_{group}")).select(F.col(f"a_{group}").alias("first"), F.col(f"b_{group}").alias("second"), F.hypot(dx, dy).alias("gap"))
+    both = a.join(F.broadcast(b) if box.count() <= few else b, F.col(f"a_{group}") < F.col(f"b_{group}"))
+    return both.select(F.col(f"a_{group}").alias("first"), F.col(f"b_{group}").alias("second"), F.hypot(dx, dy).alias("gap"))
 
 
-def point_in_polygon(x: Column, y: Column, ring: Column) -> Column:
-    """Even-odd rule over an array of struct(x, y); a closing point is not needed. Points on an edge count as inside."""
+def assert_gaps(gaps: DataFrame, least: float) -> None:
+    """Raise if any two groups may be nearer than `least`."""
+    if near := gaps.where(F.col("gap") < least).orderBy("gap").first():
+        raise ValueError(f"{near['first']} and {near['second']} may be {near['gap']:.1f} apart, less than {least:g}")
+
+
+def points_in_polygons(points: DataFrame, polygons: DataFrame, point: str, polygon: str, x: str, y: str, rings: str, cell: float = 0.01, most: int = 4096) -> DataFrame:
+    """point, polygon of every point in or on a polygon (array of rings, each an array of struct(x, y); holes by the even-odd rule).
+
+    Polygons are copied to the cells that their box covers (a box over more than `most` cells, to cells so much larger,
+    by powers of two), points to their cell of each size in use, so the join is an equi-join on the cell; the exact
+    test comes after it.
+    """
+    corners = F.flatten(rings)
+    across, up = corners["x"], corners["y"]
+    box = polygons.where(F.size(corners) > 0).select(
+        F.col(polygon), F.col(rings).alias("_rings"), F.array_min(across).alias("_x0"), F.array_max(across).alias("_x1"), F.array_min(up).alias("_y0"), F.array_max(up).alias("_y1"))
+    wide = F.greatest(F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0"))
+    box = box.withColumn("_k", F.greatest(F.lit(0), F.ceil(F.log2(wide / (cell * (int(most**0.5) - 1))))).cast("int"))
+    size = F.pow(F.lit(2.0), F.col("_k")) * cell
+    span = lambda a, b: F.sequence(F.floor(F.col(a) / size).cast("long"), F.floor(F.col(b) / size).cast("long"))
+    placed = box.withColumn("_cx", F.explode(span("_x0", "_x1"))).withColumn("_cy", F.explode(span("_y0", "_y1"))).drop("_x0", "_x1", "_y0", "_y1")
+    sizes = sorted(r[0] for r in box.select("_k").distinct().collect())  # at most a few dozen powers of two
+    own = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(point), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    own = own.withColumn("_k", F.explode(F.array(*[F.lit(k) for k in sizes]).cast("array<int>")))
+    own = own.withColumns({"_cx": F.floor(F.col("_x") / size).cast("long"), "_cy": F.floor(F.col("_y") / size).cast("long")})
+    return own.join(placed, ["_k", "_cx", "_cy"]).where(in_rings(F.col("_x"), F.col("_y"), F.col("_rings"))).select(point, polygon)
+
+
+def in_rings(x: Column, y: Column, rings: Column) -> Column:
+    """Whether a point lies in an odd number of rings, or on the edge of one."""
+    inside = F.transform(rings, lambda r: F.struct(_on_edge(x, y, r).alias("on"), _crossings(x, y, r).alias("n")))
+    return F.exists(inside, lambda i: i["on"]) | (F.aggregate(inside, F.lit(0), lambda n, i: n + i["n"]) % 2 == 1)
+
+
+def _edges(ring: Column) -> Column:
     following = F.concat(F.slice(ring, 2, 1 << 30), F.slice(ring, 1, 1))
-    edges = F.zip_with(ring, following, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    return F.zip_with(ring, following, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+
+def _on_edge(x: Column, y: Column, ring: Column) -> Column:
     cross = lambda e: (e["b"]["x"] - e["a"]["x"]) * (y - e["a"]["y"]) - (e["b"]["y"] - e["a"]["y"]) * (x - e["a"]["x"])
-    on = F.exists(edges, lambda e: (cross(e) == 0) & x.between(F.least(e["a"]["x"], e["b"]["x"]), F.greatest(e["a"]["x"], e["b"]["x"])) & y.between(F.least(e["a"]["y"], e["b"]["y"]), F.greatest(e["a"]["y"], e["b"]["y"])))
-    crossed = F.filter(edges, lambda e: ((e["a"]["y"] > y) != (e["b"]["y"] > y)) & (x < e["a"]["x"] + (y - e["a"]["y"]) * (e["b"]["x"] - e["a"]["x"]) / F.nullif(e["b"]["y"] - e["a"]["y"], F.lit(0.0))))
-    return on | (F.size(crossed) % 2 == 1)
+    return F.exists(_edges(ring), lambda e: (cross(e) == 0) & x.between(F.least(e["a"]["x"], e["b"]["x"]), F.greatest(e["a"]["x"], e["b"]["x"])) & y.between(F.least(e["a"]["y"], e["b"]["y"]), F.greatest(e["a"]["y"], e["b"]["y"])))
+
+
+def _crossings(x: Column, y: Column, ring: Column) -> Column:
+    crossed = F.filter(_edges(ring), lambda e: ((e["a"]["y"] > y) != (e["b"]["y"] > y)) & (x < e["a"]["x"] + (y - e["a"]["y"]) * (e["b"]["x"] - e["a"]["x"]) / F.nullif(e["b"]["y"] - e["a"]["y"], F.lit(0.0))))
+    return F.size(crossed)
+
+
+def point_in_polygon(x: Column, y: Column, ring: Column) -> Column:
+    """Even-odd rule over an array of struct(x, y); a closing point is not needed. Points on an edge count as inside."""
+    return _on_edge(x, y, ring) | (_crossings(x, y, ring) % 2 == 1)
