@@ -46,9 +46,41 @@ def zip_inventory(files: DataFrame) -> DataFrame:
     return found.withColumn("unsafe", unsafe_member(F.col("member")) | F.col("link"))
 
 
+def assert_safe(inventory: DataFrame) -> None:
+    """Raise if any member would leave the folder it is extracted to."""
+    if bad := inventory.where("unsafe").orderBy("path", "member").first():
+        raise ValueError(f"Unsafe archive member: {bad.member} in {bad.path}")
+
+
+def zip_members(files: DataFrame, pattern: str = ".*") -> DataFrame:
+    """path, member, content of the members of ZIP files whose names match; an archive with any unsafe member is refused before
+    one is read. Members stay rows: nothing is written outside Spark's own stores."""
+    assert_safe(zip_inventory(files))
+
+    def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for path, content in zip(b["path"], b["content"]):
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    for i in z.infolist():
+                        if not i.is_dir() and re.fullmatch(pattern, i.filename):
+                            yield pd.DataFrame([(path, i.filename, z.read(i))], columns=["path", "member", "content"])
+
+    return files.select("path", "content").mapInPandas(members, "path string, member string, content binary")
+
+
+def valid_zip(files: DataFrame) -> DataFrame:
+    """path, valid: whether the bytes are a ZIP archive with a directory that can be read."""
+
+    @F.pandas_udf("boolean")
+    def valid(contents: pd.Series) -> pd.Series:
+        return contents.map(lambda c: zipfile.is_zipfile(io.BytesIO(c)))
+
+    return files.select("path", valid("content").alias("valid"))
+
+
 def tar_members(files: DataFrame, names: list[str], most_bytes: int = 5_000_000) -> DataFrame:
     """path, member, content of the named regular files of gzip tar archives; reading stops when all are found, and
-    fails once members of more than most_bytes were passed."""
+    fails once members of more than most_bytes were passed, or if one is absent when the archive ends."""
     wanted = set(names)
 
     def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -64,6 +96,8 @@ def tar_members(files: DataFrame, names: list[str], most_bytes: int = 5_000_000)
                             rows.append((path, m.name, t.extractfile(m).read()))
                         if len(rows) == len(wanted):
                             break
+                if len(rows) < len(wanted):
+                    raise ValueError(f"{path}: incomplete, without {sorted(wanted - {r[1].rsplit('/', 1)[-1] for r in rows})}")
                 yield pd.DataFrame(rows, columns=["path", "member", "content"])
 
     return files.select("path", "content").mapInPandas(members, "path string, member string, content binary")
@@ -117,17 +151,45 @@ def read_cells(files: DataFrame) -> DataFrame:
 
 
 def read_workbook(files: DataFrame, sheet: str, header: list[str], first: int = 1) -> DataFrame:
-    """Records of a sheet: source_row and the columns as text. The header row must equal header (a blank one is
-    `Unnamed: i`); formula and error cells are refused; empty rows are left out; no record at all is an error."""
+    """Records of a sheet: path, source_row and the columns as text. The header row of every file must equal header (a
+    blank one is `Unnamed: i`); formula and error cells are refused; empty rows are left out (see empty_rows); a file
+    without a record is an error."""
     cells = read_cells(files).where(F.col("sheet") == sheet)
-    names = {r.col: r.value for r in cells.where(F.col("row") == first).select("col", "value").collect()}
-    found = [names.get(k + 1) or f"Unnamed: {k}" for k in range(max([len(header), *names]))]
-    if found != header:
-        raise ValueError(f"header differs: {[(a, b) for a, b in zip(found, header) if a != b][:5] or (len(found), len(header))}")
+    heads = cells.where(F.col("row") == first).groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("col", "value"))).alias("m"))
+    wide = F.greatest(F.lit(len(header)), F.array_max(F.map_keys("m")))
+    names = F.transform(F.sequence(F.lit(1), wide), lambda k: F.coalesce(F.col("m")[k], F.concat(F.lit("Unnamed: "), (k - 1).cast("string"))))
+    wanted = F.array(*[F.lit(h) for h in header])
+    states = files.select("path").join(heads, "path", "left").join(cells.where(F.col("row") > first).groupBy("path").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("formula").isNotNull() | (F.col("kind") == "error")).alias("bad")), "path", "left")
+    problem = F.when(~names.eqNullSafe(wanted), F.concat(F.lit("header differs: "), F.coalesce(F.array_join(names, "|"), F.lit("")))).when(F.col("bad") > 0, F.lit("formula or error cells")).when(F.coalesce("n", F.lit(0)) == 0, F.lit("no records"))
+    if wrong := states.select("path", problem.alias("problem")).where("problem is not null").orderBy("path").first():
+        raise ValueError(f"{wrong.path}: {wrong.problem}")
     body = cells.where(F.col("row") > first)
-    if not body.where(F.col("formula").isNotNull() | (F.col("kind") == "error")).isEmpty():
-        raise ValueError("formula or error cells")
-    out = body.groupBy("path", F.col("row").alias("source_row")).agg(*[F.max(F.when(F.col("col") == k + 1, F.col("value"))).alias(n) for k, n in enumerate(header)]).drop("path")
-    if out.isEmpty():
-        raise ValueError("no records")
-    return out
+    return body.groupBy("path", F.col("row").alias("source_row")).agg(*[F.max(F.when(F.col("col") == k + 1, F.col("value"))).alias(n) for k, n in enumerate(header)])
+
+
+def empty_rows(cells: DataFrame, first: int = 1) -> DataFrame:
+    """path, sheet, rows: numbers of the rows below the header, up to the last one used, that hold nothing."""
+    used = cells.where(F.col("row") > first).groupBy("path", "sheet").agg(F.array_sort(F.collect_set("row")).alias("used"))
+    return used.select("path", "sheet", F.array_except(F.sequence(F.lit(first + 1), F.array_max("used")), "used").alias("rows"))
+
+
+def read_sheet(cells: DataFrame, sheet: str, wide: int, first: int = 4, prefix: str = "c") -> DataFrame:
+    """path, source_row, c001 and so on as text (numbers and tokens as they are spelled), supplemented (whether a cell of the row
+    has red font) of a sheet whose columns are known by their place. Rows without any value are left out."""
+    body = cells.where((F.col("sheet") == sheet) & (F.col("row") >= first))
+    columns = [F.max(F.when(F.col("col") == k, F.col("value"))).alias(f"{prefix}{k:03d}") for k in range(1, wide + 1)]
+    return body.groupBy("path", F.col("row").alias("source_row")).agg(*columns, F.max("red").alias("supplemented"))
+
+
+def sheet_dictionary(cells: DataFrame, sheet: str, header: int = 2, units: int = 3, prefix: str = "c") -> DataFrame:
+    """path, column, source_header, source_units of the columns of such a sheet, by place."""
+    rows = cells.where((F.col("sheet") == sheet) & F.col("row").isin(header, units))
+    pick = lambda n: F.max(F.when(F.col("row") == n, F.col("value")))
+    each = rows.groupBy("path", "col").agg(pick(header).alias("source_header"), pick(units).alias("source_units"))
+    return each.select("path", F.format_string(f"{prefix}%03d", "col").alias("column"), "source_header", "source_units")
+
+
+def source_cells(cells: DataFrame, first: int = 4) -> DataFrame:
+    """Cells with a formula or in red font: path, sheet, row, col, formula, red, value (the cached one of a formula)."""
+    return cells.where((F.col("row") >= first) & (F.col("formula").isNotNull() | F.col("red"))).select("path", "sheet", "row", "col", "formula", "red", "value")

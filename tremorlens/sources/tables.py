@@ -36,20 +36,28 @@ def sidecar_hash(parts: DataFrame, group: str, name: str, digest: str) -> DataFr
 
 
 def check_files(files: DataFrame, expected: DataFrame) -> DataFrame:
-    """expected: name, least_bytes, exact_bytes, md5, required. Status of each: ok, missing, optional_missing, too_small, wrong_size or wrong_digest."""
-    have = digests(files).select(F.col("name").alias("_n"), "bytes", F.col("md5").alias("_md5"))
-    both = F.broadcast(expected).join(have, F.col("name") == F.col("_n"), "left")
+    """expected: name, least_bytes, exact_bytes, md5, format (of sniff, or null), required. Status of each: ok, missing,
+    optional_missing, too_small, wrong_size, wrong_digest or wrong_format."""
+    have = files.select(F.element_at(F.split("path", "/"), -1).alias("_n"), F.col("length").alias("bytes"), F.md5("content").alias("_md5"), sniff(F.col("content")).alias("_format"))
+    both = expected.join(have, F.col("name") == F.col("_n"), "left")
     status = (
         F.when(F.col("_n").isNull(), F.when(F.col("required"), "missing").otherwise("optional_missing"))
         .when(F.col("bytes") < F.coalesce("least_bytes", F.lit(0)), "too_small").when(F.col("bytes") != F.col("exact_bytes"), "wrong_size")
-        .when(F.col("_md5") != F.col("md5"), "wrong_digest").otherwise("ok"))
+        .when(F.col("_md5") != F.lower("md5"), "wrong_digest").when(F.col("_format") != F.col("format"), "wrong_format").otherwise("ok"))
     return both.select("name", "bytes", status.alias("status"))
 
 
+def assert_files(statuses: DataFrame) -> None:
+    """Raise if a required file is missing or any file isn't as expected."""
+    bad = statuses.where(~F.col("status").isin("ok", "optional_missing")).orderBy("name").collect()
+    if bad:
+        raise ValueError("; ".join(f"{r.name}: {r.status}" for r in bad))
+
+
 def sniff(content: Column) -> Column:
-    """Format of a file by its first bytes: pdf, zip, png, markup, json, csv or unknown."""
+    """Format of a file: pdf, zip, png, markup, csv or unknown by its first bytes; json if all of it parses."""
     head = F.decode(F.substring(content, 1, 4096), "ISO-8859-1")
     lead = F.ltrim(head)
     return (
         F.when(head.startswith("%PDF"), "pdf").when(head.startswith("PK\x03\x04"), "zip").when(head.startswith("\x89PNG"), "png").when(lead.startswith("<"), "markup")
-        .when(lead.startswith("{") | lead.startswith("["), "json").when(F.instr(F.substring_index(head, "\n", 1), ",") > 0, "csv").otherwise("unknown"))
+        .when((lead.startswith("{") | lead.startswith("[")) & F.try_parse_json(F.decode(content, "UTF-8")).isNotNull(), "json").when(F.instr(F.substring_index(head, "\n", 1), ",") > 0, "csv").otherwise("unknown"))
