@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import at_least, iso_timestamp, lookup, normalize, safe_double
+from ..functions.text import at_least, iso_timestamp, lookup, normalize, numbered, safe_double
 
 
 @dataclass(frozen=True)
@@ -89,3 +89,32 @@ def schema_violations(df: DataFrame, expected: T.StructType) -> list[str]:
     out = [f"missing {c}" for c in want if c not in have] + [f"unknown {c}" for c in have if c not in want]
     out += [f"type of {c}: {have[c]}, not {t}" for c, t in want.items() if c in have and have[c] != t]
     return out or ([] if list(have) == list(want) else ["order of columns"])
+
+
+def table_violations(df: DataFrame, record: str, row: str, form: str, label: str, grade: str, labels: dict[str, int], structure: str, flag: str, first: int = 2) -> DataFrame:
+    """rule, records: breaches of what a canonical table promises beside its columns and types, rules without any included.
+
+    Records have an identifier of the given form made of their row, unique and not null; rows are unique and start at
+    `first`; the grade is that of the label; the flag says whether grade and structure are both known.
+    """
+    r, n = F.col(record), F.col(row)
+    each = {
+        "null_record": r.isNull(), "null_row": n.isNull(), "row_before_first": n < first, "record_is_not_its_row": ~r.eqNullSafe(numbered(form, n.cast("long"))),
+        "grade_is_not_its_label": ~F.col(grade).cast("int").eqNullSafe(lookup(F.col(label), labels).cast("int")),
+        "flag_is_wrong": ~F.col(flag).eqNullSafe(F.col(grade).isNotNull() & F.col(structure).isNotNull()),
+    }
+    one = df.agg(*[F.count_if(F.coalesce(broken, F.lit(False))).alias(rule) for rule, broken in each.items()]).unpivot([], list(each), "rule", "records")
+    for rule, column in (("repeated_record", r), ("repeated_row", n)):
+        sizes = df.where(column.isNotNull()).groupBy(column.alias("k")).count()
+        one = one.unionByName(sizes.agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).cast("long").alias("records")).select(F.lit(rule).alias("rule"), "records"))
+    return one
+
+
+def assert_table(df: DataFrame, expected: T.StructType, sources: list[str], **names) -> None:
+    """Raise unless df has the expected columns and types, every raw cell of its sources as text, and breaks no rule of table_violations."""
+    have = dict(df.dtypes)
+    wrong = [f"{f.name}: {have.get(f.name)}" for f in expected if have.get(f.name) != f.dataType.simpleString()] + [f"raw__{c}: {have.get('raw__' + c)}" for c in sources if have.get("raw__" + c) != "string"]
+    if wrong:
+        raise ValueError(f"columns or types differ: {wrong}")
+    if broken := table_violations(df, **names).where("records > 0").orderBy("rule").collect():
+        raise ValueError("; ".join(f"{r.rule} in {r.records}" for r in broken))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import valid_coordinates
@@ -16,6 +16,12 @@ def value_counts(df: DataFrame, column: str, blanks: bool = False) -> DataFrame:
     return df.groupBy(word.alias("value")).agg(F.count(F.lit(1)).alias("records"))
 
 
+def ranked_counts(df: DataFrame, column: str) -> DataFrame:
+    """place (from 1, by rows, then value), value, records: value_counts in order, for columns of few values (one task orders these)."""
+    order = Window.orderBy(F.desc("records"), "value")
+    return value_counts(df, column).select(F.row_number().over(order).cast("long").alias("place"), "value", "records")
+
+
 def counts_map(df: DataFrame, column: str) -> DataFrame:
     """value_counts as one key-sorted map, for reports of bounded vocabularies."""
     return value_counts(df, column).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("value", "records")))).alias("counts"))

@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geo import grid_cell, utm37, valid_coordinates
+from ..functions.text import cell_text, lookup, numbered, strict_double, without_prefix, zero_filled
 from ..operators import canonical, design, explore, harmonize, profile, proximity, quality, reconcile
+from ..sources.binary import png_header, unsafe_member
 from ..sources.markup import html_pairs, html_title, preferred
+from ..sources.tables import check_files, digests, sidecar_hash, sniff
 from . import harmonized as h
 from . import views as v
 
@@ -437,3 +440,124 @@ def q43(spark, sf):
     value = F.when(F.col("c_custkey") % 9 == 0, -1).otherwise(F.floor(F.abs("c_acctbal")).cast("int") % 256)
     pixels = v.table(spark, sf, "customer").select(F.col("c_nationkey").alias("block"), value.alias("value"))
     return explore.block_statistics(pixels, "block", "value", -1).withColumn("levels", F.size("histogram").cast("long")).drop("histogram")
+
+
+_DEG = "CAST(0.02 AS DOUBLE)"
+
+
+@query("q44_points_in_regions", f"""WITH {v.SITES}, {v.STATIONS} SELECT station, count(DISTINCT id) AS sites, min(id) AS first FROM (SELECT * FROM sites WHERE {v.OK}) s JOIN
+  (SELECT station, la AS y0, la + {_DEG} * (1 + station % 5) AS y1, lo AS x0, lo + {_DEG} * (1 + station % 3) AS x1 FROM stations) p ON s.la BETWEEN y0 AND y1 AND s.lo BETWEEN x0 AND x1 GROUP BY 1""")
+def q44(spark, sf):
+    """Boxes north-east of the stations, as polygons of one ring."""
+    s = v.stations(spark, sf).withColumns({"y": F.col("la") + F.lit(0.02) * (1 + F.col("station") % 5), "x": F.col("lo") + F.lit(0.02) * (1 + F.col("station") % 3)})
+    corner = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    boxes = s.select("station", F.array(F.array(corner("lo", "la"), corner("x", "la"), corner("x", "y"), corner("lo", "y"))).alias("rings"))
+    points = v.sites(spark, sf).where(valid_coordinates(F.col("la"), F.col("lo")))
+    return proximity.points_in_polygons(points, boxes, "id", "station", "lo", "la", "rings").groupBy("station").agg(F.count_distinct("id").alias("sites"), F.min("id").alias("first"))
+
+
+NAMES = ["key", "name", "comment", "key", "date", "name", "key"]
+
+
+@query("q45_duplicate_names", "SELECT name, count(*) AS count FROM (VALUES " + ", ".join(f"('{n}')" for n in NAMES) + ") t(name) GROUP BY 1 HAVING count(*) > 1")
+def q45(spark, sf):
+    return profile.duplicate_names(spark, NAMES)
+
+
+@query("q46_cell_text", """SELECT l_orderkey, l_linenumber, CAST(l_extendedprice * 1000 AS VARCHAR) AS price, CAST(l_discount / 8 AS VARCHAR) AS discount, strftime(l_shipdate, '%Y-%m-%dT%H:%M:%S') AS shipped,
+  CASE WHEN l_quantity > 25 THEN 'True' ELSE 'False' END AS large FROM lineitem WHERE l_linenumber = 1""")
+def q46(spark, sf):
+    df = v.table(spark, sf, "lineitem").where("l_linenumber = 1").select("l_orderkey", "l_linenumber", (F.col("l_extendedprice") * 1000).alias("price"), (F.col("l_discount") / 8).alias("discount"), F.col("l_shipdate").alias("shipped"), (F.col("l_quantity") > 25).alias("large"))
+    return df.select("l_orderkey", "l_linenumber", *[cell_text(df, c).alias(c) for c in ("price", "discount", "shipped", "large")])
+
+
+@query("q47_strict_numbers", f"WITH {v.RAW} SELECT id, {v.number('size_text')} AS size FROM raw WHERE id % 13 <> 0")
+def q47(spark, sf):
+    return v.raw(spark, sf).where("id % 13 <> 0").select("id", strict_double(F.col("size_text")).alias("size"))
+
+
+@query("q48_training_domains", "WITH f(test, validation) AS (VALUES " + ", ".join(f"('{f.test}', '{f.validation}')" for f in ALL) + "), d(domain) AS (VALUES " + ", ".join(f"('{d}')" for d in DOMAINS) + ") SELECT 'fold_' || test AS fold, domain FROM f, d WHERE domain NOT IN (test, validation)")
+def q48(spark, sf):
+    return spark.createDataFrame([(f.name, d) for f in ALL for d in design.domain_complement(DOMAINS, f)], "fold string, domain string")
+
+
+@query("q49_png_headers", "SELECT p_partkey, CASE WHEN p_partkey % 5 <> 0 THEN CAST(p_partkey % 70000 AS BIGINT) END AS width, CASE WHEN p_partkey % 5 <> 0 THEN CAST(p_size AS BIGINT) END AS height, CASE WHEN p_partkey % 5 <> 0 THEN 8 END AS depth FROM part")
+def q49(spark, sf):
+    """Headers made of keys and sizes; each fifth isn't a PNG's."""
+    mark = F.when(F.col("p_partkey") % 5 != 0, "89504E470D0A1A0A").otherwise("25504446FFFFFFFF")
+    word = lambda c: F.lpad(F.hex(c), 8, "0")
+    head = F.unhex(F.concat(mark, F.lit("0000000D49484452"), word(F.col("p_partkey") % 70000), word(F.col("p_size")), F.lit("0802000000")))
+    found = v.table(spark, sf, "part").select("p_partkey", png_header(head).alias("h"))
+    return found.select("p_partkey", "h.width", "h.height", F.col("h.bit_depth").cast("int").alias("depth"))
+
+
+_MEMBER = "CASE o_orderkey % 7 WHEN 0 THEN '../' WHEN 1 THEN '/' WHEN 2 THEN 'C:' WHEN 3 THEN 'a/../' WHEN 4 THEN 'a..b/' WHEN 5 THEN 'd\\' ELSE 'ok/' END"
+
+
+@query("q50_unsafe_members", f"SELECT o_orderkey, {_MEMBER} || CAST(o_orderkey AS VARCHAR) AS member, o_orderkey % 7 NOT IN (4, 6) AS unsafe FROM orders")
+def q50(spark, sf):
+    k = F.col("o_orderkey") % 7
+    lead = F.when(k == 0, "../").when(k == 1, "/").when(k == 2, "C:").when(k == 3, "a/../").when(k == 4, "a..b/").when(k == 5, "d\\").otherwise("ok/")
+    return v.table(spark, sf, "orders").select("o_orderkey", F.concat(lead, F.col("o_orderkey").cast("string")).alias("member")).withColumn("unsafe", unsafe_member(F.col("member")))
+
+
+@query("q51_sidecar_digests", """WITH d AS (SELECT source, printf('%09d.txt', doc_id) AS name, sha256(text) AS digest FROM documents WHERE lang = 'en')
+  SELECT source, sha256('{' || string_agg('"' || name || '": "' || digest || '"', ', ' ORDER BY name) || '}') AS sidecar_sha256 FROM d GROUP BY 1""")
+def q51(spark, sf):
+    docs = v.table(spark, sf, "documents").where("lang = 'en'").select("source", F.concat(numbered("%09d", F.col("doc_id")), F.lit(".txt")).alias("path"), F.encode("text", "UTF-8").alias("content"), F.octet_length("text").alias("length"))
+    return sidecar_hash(digests(docs).join(docs.select(F.col("path").alias("name"), "source"), "name"), "source", "name", "sha256")
+
+
+@query("q52_file_checks", """WITH s AS (SELECT printf('s%d', s_suppkey) AS name, s_suppkey AS k, s_name AS body FROM supplier)
+  SELECT name, CASE WHEN k % 10 > 1 THEN length(body) END AS bytes,
+  CASE WHEN k % 10 = 0 THEN 'missing' WHEN k % 10 = 1 THEN 'optional_missing' WHEN k % 10 = 2 THEN 'too_small' WHEN k % 10 = 3 THEN 'wrong_size' WHEN k % 10 = 4 THEN 'wrong_digest' WHEN k % 10 = 5 THEN 'wrong_format' ELSE 'ok' END AS status FROM s""")
+def q52(spark, sf):
+    s = v.table(spark, sf, "supplier").select(F.format_string("s%d", "s_suppkey").alias("name"), (F.col("s_suppkey") % 10).alias("k"), "s_name")
+    content = F.encode("s_name", "UTF-8")
+    files = s.where("k > 1").select(F.concat(F.lit("store/"), "name").alias("path"), F.octet_length(content).cast("long").alias("length"), content.alias("content"))
+    k, size = F.col("k"), F.octet_length("s_name").cast("long")
+    expected = s.select("name", F.when(k == 2, size + 1).otherwise(1).alias("least_bytes"), F.when(k == 3, size + 2).when(k > 5, size).alias("exact_bytes"), F.when(k == 4, F.md5(F.lit("x"))).when(k == 6, F.upper(F.md5("s_name"))).alias("md5"),
+                        F.when(k == 5, "pdf").when(k == 7, "unknown").alias("format"), (k != 1).alias("required"))
+    return check_files(files, expected)
+
+
+_SNIFF = {"%PDF-1.7": "pdf", "<x a='1'/>": "markup", "a,b": "csv", "[1, 2]": "json", "[1, 2": "csv", "none": "unknown"}
+
+
+@query("q53_formats", "SELECT n_nationkey, CASE n_nationkey % 6 " + " ".join(f"WHEN {k} THEN '{kind}'" for k, kind in enumerate(_SNIFF.values())) + " END AS format FROM nation")
+def q53(spark, sf):
+    head = F.array(*[F.lit(x) for x in _SNIFF])[(F.col("n_nationkey") % 6).cast("int")]
+    return v.table(spark, sf, "nation").select("n_nationkey", sniff(F.encode(head, "UTF-8")).alias("format"))
+
+
+_ROWS = """(SELECT p_partkey + 1 AS source_row, printf('part_r%04d', p_partkey + CASE WHEN p_partkey % 101 = 0 THEN 2 ELSE 1 END) AS record, p_type AS label, p_brand AS structure, p_partkey AS k FROM part)"""
+_GRADES = {"ECONOMY": 0, "SMALL": 1, "MEDIUM": 2}
+_GRADE_SQL = h._case("label", _GRADES)
+
+
+@query("q54_table_violations", f"""WITH t AS (SELECT CASE WHEN k % 211 = 0 THEN 1 ELSE source_row END AS source_row, CASE WHEN k % 97 = 0 THEN NULL ELSE record END AS record, label, structure,
+    CASE WHEN k % 50 = 0 THEN 9 ELSE {_GRADE_SQL} END AS grade, k % 43 <> 0 AND ({_GRADE_SQL}) IS NOT NULL AS flag FROM {_ROWS} p)
+  SELECT 'null_record' AS rule, count(*) FILTER (WHERE record IS NULL) AS records FROM t UNION ALL SELECT 'null_row', count(*) FILTER (WHERE source_row IS NULL) FROM t UNION ALL
+  SELECT 'row_before_first', count(*) FILTER (WHERE source_row < 2) FROM t UNION ALL SELECT 'record_is_not_its_row', count(*) FILTER (WHERE record IS DISTINCT FROM printf('part_r%04d', source_row)) FROM t UNION ALL
+  SELECT 'grade_is_not_its_label', count(*) FILTER (WHERE grade IS DISTINCT FROM ({_GRADE_SQL})) FROM t UNION ALL SELECT 'flag_is_wrong', count(*) FILTER (WHERE flag IS DISTINCT FROM (grade IS NOT NULL)) FROM t UNION ALL
+  SELECT 'repeated_record', count(record) - count(DISTINCT record) FROM t UNION ALL SELECT 'repeated_row', count(source_row) - count(DISTINCT source_row) FROM t""")
+def q54(spark, sf):
+    k = F.col("p_partkey")
+    grade = lookup(F.col("p_type"), _GRADES)
+    t = v.table(spark, sf, "part").select(
+        F.when(k % 211 == 0, 1).otherwise(k + 1).alias("source_row"), F.when(k % 97 != 0, numbered("part_r%04d", k + F.when(k % 101 == 0, 2).otherwise(1))).alias("record"),
+        F.col("p_type").alias("label"), F.col("p_brand").alias("structure"), F.when(k % 50 == 0, 9).otherwise(grade).alias("grade"), ((k % 43 != 0) & grade.isNotNull()).alias("flag"))
+    return canonical.table_violations(t, "record", "source_row", "part_r%04d", "label", "grade", _GRADES, "structure", "flag")
+
+
+@query("q55_ranked_counts", "SELECT row_number() OVER (ORDER BY count(*) DESC, o_orderpriority) AS place, o_orderpriority AS value, count(*) AS records FROM orders GROUP BY 2")
+def q55(spark, sf):
+    return profile.ranked_counts(v.table(spark, sf, "orders"), "o_orderpriority")
+
+
+@query("q56_text_parts", """SELECT o_orderkey, CASE WHEN starts_with(o_clerk, 'H:') THEN substr(o_clerk, 3) ELSE o_clerk END AS bare, CASE WHEN n < 0 THEN '-' || lpad(CAST(-n AS VARCHAR), CAST(greatest(6, length(CAST(-n AS VARCHAR))) AS INTEGER), '0') ELSE lpad(CAST(n AS VARCHAR), CAST(greatest(7, length(CAST(n AS VARCHAR))) AS INTEGER), '0') END AS filled
+  FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'H:' ELSE 'G:' END || CAST(o_custkey AS VARCHAR) AS o_clerk, CASE WHEN o_orderkey % 3 = 0 THEN -o_orderkey ELSE o_orderkey END AS n FROM orders) t""")
+def q56(spark, sf):
+    key = F.col("o_orderkey")
+    lead = F.concat(F.when(key % 2 == 0, "H:").otherwise("G:"), F.col("o_custkey").cast("string"))
+    return v.table(spark, sf, "orders").select("o_orderkey", without_prefix(lead, "H:").alias("bare"), zero_filled(F.when(key % 3 == 0, -key).otherwise(key), 7).alias("filled"))
