@@ -260,6 +260,8 @@ def test_exact_quantiles(spark, values_of):
     from tremorlens.operators.summaries import exact_quantiles
 
     df = spark.createDataFrame([(g, values_of(k)) for g, n in (("a", 1), ("b", 2), (None, 57), ("c", 100)) for k in range(n)] + [("c", None)], "g string, x double")
-    got = {r.g: (r.q1, r.q2) for r in exact_quantiles(df, "g", "x", {"q1": 0.25, "q2": 0.9}).collect()}
+    each = [{r.g: (r.q1, r.q2) for r in exact_quantiles(df, "g", "x", {"q1": 0.25, "q2": 0.9}, counted=n).collect()} for n in (10, 1 << 20)]
+    assert each[0].keys() == each[1].keys() and all(each[0][g] == pytest.approx(each[1][g]) for g in each[0])
+    got = each[0]
     want = {r.g: tuple(r.q) for r in df.groupBy("g").agg(F.percentile("x", F.array(F.lit(0.25), F.lit(0.9))).alias("q")).collect()}
     assert got.keys() == want.keys() and all(got[g] == pytest.approx(want[g]) for g in want)

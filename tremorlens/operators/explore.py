@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import valid_coordinates
 from ..functions.text import finite, missing_word, usable_intensity
-from .summaries import exact_quantiles, per_column
+from .summaries import exact_quantiles, grouped_values, per_column, quantiles_of
 
 
 def damage_rates(df: DataFrame, structure: str, grade: str) -> DataFrame:
@@ -54,12 +54,13 @@ def histogram(df: DataFrame, column: str, bins: int = 24) -> DataFrame:
 def box_statistics(df: DataFrame, group: str, column: str, reach: float = 1.5) -> DataFrame:
     """Quartiles per group and the outermost values within reach of the quartile range; exact, interpolated."""
     x = F.col(column).cast("double")
-    usable = df.where(usable_intensity(x)).select(F.col(group).alias("grade"), x.alias("x"))
-    q = exact_quantiles(usable, "grade", "x", {"q1": 0.25, "median": 0.5, "q3": 0.75}).join(usable.groupBy(F.col("grade").alias("of")).agg(F.count(F.lit(1)).alias("records")), F.col("grade").eqNullSafe(F.col("of"))).drop("of")
+    usable = grouped_values(df.where(usable_intensity(x)), group, column)
+    q = quantiles_of(usable, {"q1": 0.25, "median": 0.5, "q3": 0.75}).withColumnRenamed("g", "grade")
     span = reach * (F.col("q3") - F.col("q1"))
-    ends = usable.join(q.withColumnRenamed("grade", "of"), F.col("grade").eqNullSafe(F.col("of"))).groupBy("of").agg(
-        F.min(F.when(F.col("x") >= F.col("q1") - span, F.col("x"))).alias("low"), F.max(F.when(F.col("x") <= F.col("q3") + span, F.col("x"))).alias("high"))
-    return q.join(ends, F.col("grade").eqNullSafe(F.col("of"))).select("grade", "records", *[F.round(c, 6).alias(c) for c in ("q1", "median", "q3", "low", "high")])
+    # One row a group on the right; the largest and least within reach and the rows are found in one pass.
+    ends = usable.join(q, F.col("grade").eqNullSafe(F.col("g"))).groupBy("grade", "q1", "median", "q3").agg(
+        F.count(F.lit(1)).alias("records"), F.min(F.when(F.col("x") >= F.col("q1") - span, F.col("x"))).alias("low"), F.max(F.when(F.col("x") <= F.col("q3") + span, F.col("x"))).alias("high"))
+    return ends.select("grade", "records", *[F.round(c, 6).alias(c) for c in ("q1", "median", "q3", "low", "high")])
 
 
 def intensity_accounting(df: DataFrame, columns: list[str]) -> DataFrame:

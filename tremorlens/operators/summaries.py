@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bins of the first pass over a group.
-BINS = 4096
+from .groups import materialize
+
+#: Bins of the first pass over a group, and rows of a group whose values one task may count.
+BINS, COUNTED = 4096, 1 << 20
 
 
 def per_column(df: DataFrame, columns: list[str], measures: dict[str, Callable[[Column], Column]], name: str = "column") -> DataFrame:
@@ -19,15 +21,29 @@ def per_column(df: DataFrame, columns: list[str], measures: dict[str, Callable[[
     return sums.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
-def exact_quantiles(df: DataFrame, group: str, value: str, probabilities: dict[str, float]) -> DataFrame:
-    """group and one column for each named probability: exact, interpolated between the two nearest ranks.
+def grouped_values(df: DataFrame, group: str, value: str) -> DataFrame:
+    """g, x of all rows with a value, written once for the passes of exact_quantiles."""
+    return materialize(df.where(F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(value).cast("double").alias("x")))
+
+
+def exact_quantiles(df: DataFrame, group: str, value: str, probabilities: dict[str, float], counted: int = COUNTED) -> DataFrame:
+    """group and one column for each named probability: exact, interpolated between the two nearest ranks. Nulls are left
+    out; values must be finite."""
+    return quantiles_of(grouped_values(df, group, value), probabilities, counted).withColumnRenamed("g", group)
+
+
+def quantiles_of(rows: DataFrame, probabilities: dict[str, float], counted: int = COUNTED) -> DataFrame:
+    """exact_quantiles of rows (g, x) that are written already.
 
-    First equal-width bins are counted in each group, which tells the bins that the wanted ranks fall in; then only
-    the values of these bins are told apart. No task holds the values of a group. Nulls are left out; values must be
-    finite.
+    Groups of at most `counted` rows count their values in one task. If any is larger, equal-width bins are counted in
+    each group, which tells the bins that the wanted ranks fall in, and then only the values of these bins are told
+    apart, so no task holds the values of a group.
     """
-    rows = df.where(F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(value).cast("double").alias("x"))
     ends = rows.groupBy("g").agg(F.min("x").alias("low"), F.max("x").alias("high"), F.count(F.lit(1)).alias("n"))
+    ends = materialize(ends)
+    if (ends.agg(F.max("n")).first()[0] or 0) <= counted:
+        found = rows.groupBy("g").agg(F.percentile("x", F.array(*[F.lit(float(p)) for p in probabilities.values()])).alias("q"))
+        return found.select("g", *[F.col("q")[k].alias(n) for k, n in enumerate(probabilities)])
     # A row for each group; the join is left to the size of these.
     same = F.col("g").eqNullSafe(F.col("k"))
     share = F.coalesce(F.try_divide(F.col("x") - F.col("low"), F.col("high") - F.col("low")), F.lit(0.0))
@@ -46,4 +62,4 @@ def exact_quantiles(df: DataFrame, group: str, value: str, probabilities: dict[s
     found = hit.join(values, F.col("k").eqNullSafe(F.col("g")) & (F.col("bin") == F.col("vb")) & (F.col("r") < F.col("last")) & (F.col("r") >= F.col("last") - F.col("c")))
     ranks = found.groupBy("k", "name", "rank").agg(F.min_by("x", "r").alias("a"), F.max_by("x", "r").alias("b"))
     each = ranks.select("k", "name", (F.col("a") + (F.col("rank") - F.floor("rank")) * (F.col("b") - F.col("a"))).alias("x"))
-    return each.groupBy(F.col("k").alias(group)).agg(*[F.max(F.when(F.col("name") == n, F.col("x"))).alias(n) for n in probabilities])
+    return each.groupBy(F.col("k").alias("g")).agg(*[F.max(F.when(F.col("name") == n, F.col("x"))).alias(n) for n in probabilities])
