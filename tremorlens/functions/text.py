@@ -58,9 +58,10 @@ def full_match(c: Column, pattern: str) -> Column:
     return c.rlike(rf"\A(?:{pattern})\z")
 
 
-def numbered(form: str, n: Column) -> Column:
-    """Identifier from a printf form; never cuts long numbers."""
-    return F.format_string(form, n)
+def numbered(form: str, *parts: Column) -> Column:
+    """Identifier from a printf form; never cuts long numbers. Null if any part is."""
+    whole = F.concat(*[p.cast("string") for p in parts])
+    return F.when(whole.isNotNull(), F.format_string(form, *parts))
 
 
 def lookup(c: Column, table: Mapping[str, object]) -> Column:
