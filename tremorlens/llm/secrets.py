@@ -182,14 +182,16 @@ def _unpacked(chunks: Iterator[bytes]) -> Iterator[bytes]:
 def _pieces(chunks: Iterator[bytes]) -> Iterator[bytes]:
     """Pieces of a stream that overlap; a run of encoded letters comes whole, with what stands before it."""
     held: list[bytes] = []
+    waits = False  # whether held has more than the overlap
     for chunk in chunks:
         held.append(chunk)
-        if not chunk.strip(ENCODED):
+        waits = not chunk.strip(ENCODED)
+        if waits:
             continue  # the run goes on
         whole = b"".join(held)
         yield whole
         held = [whole[max(0, len(whole.rstrip(ENCODED)) - OVERLAP) :]]
-    if len(held) > 1:
+    if waits:
         yield b"".join(held)
 
 
