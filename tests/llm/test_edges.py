@@ -72,6 +72,19 @@ def test_toxicity_edges(spark, docs):
     assert {r.score for r in toxicity.toxicity(docs, labels.limit(0)).collect()} == {0.0}
 
 
+def test_toxicity_of_a_text_of_many_words(spark, docs):
+    """Over 32,767 distinct words with one opening, in a labelled text."""
+    wide = spark.createDataFrame([(k, " ".join(f"item{j:05d}" for j in range(40_000)) if k < 2 else f"short {k}") for k in range(6)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(6)], "doc_id long, toxic int")
+    assert len(toxicity.toxicity(wide, labels).collect()) == 6
+
+
+def test_toxicity_of_repeated_identifiers(spark):
+    docs = spark.createDataFrame([(1 + k % 2, ("idiot" if k % 2 else "nice") + f" {k % 2}") for k in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, toxic int")
+    assert len(toxicity.toxicity(docs, labels).collect()) == 400
+
+
 def test_warc_edges(spark):
     pages = spark.createDataFrame([(1, "http://a", "<p>x</p>"), (1, "http://a", "<p>x</p>"), (None, None, None), (2, "http://b\r\nX: y", ""), (5000, "u", "z" * 100_000)], "page_id long, url string, html string")
     rows = warc.fixity_audit(pages, pages).collect()
@@ -79,6 +92,10 @@ def test_warc_edges(spark):
     moved = warc.fixity_audit(pages, pages.where("page_id <> 2 or page_id is null")).collect()
     assert [r.page_id for r in moved if not r.intact] == [2]
     assert warc.fixity_audit(pages.limit(0), pages.limit(0)).collect() == []
+    clash = pages.withColumns({c: F.lit("clash") for c in ("_id", "_file", "_seq", "_sha", "intact", "file")})
+    assert len(warc.fixity_audit(clash, clash).collect()) == 5
+    fewer = warc.fixity_audit(pages.where("page_id is null or page_id < 5000"), pages).collect()
+    assert [(r.page_id, r.only_in_replica) for r in fewer if not r.intact] == [(5000, True)] and len(fewer) == 5
 
 
 def test_keep_one_leaves_texts_that_only_meet_by_fingerprint(spark):
@@ -91,33 +108,48 @@ def test_keep_one_leaves_texts_that_only_meet_by_fingerprint(spark):
     assert {r._id for r in kept} == {"clash"}
 
 
-def test_keep_one_equals_brute_force(spark, monkeypatch):
-    """All in one component; unlike heads before groups of near copies, more of them than meet at a time."""
-    groups = [[f"w{g}x{k}" for k in range(60)] for g in range(12)]
+def test_keep_one_drops_only_copies_of_what_stays(spark):
+    """Groups of near copies with chains in them: what goes is like something smaller that stays, and nothing that stays is like another."""
+    groups = [[f"w{g}x{k}" for k in range(60)] for g in range(6)]
     rows = [(1, "alone " * 9)]
     for k in range(40):
-        own = list(groups[k * 7 % 12])
-        own[k % 60] = f"other{k}"
+        own = list(groups[k % 6])
+        for j in range(k // 6):  # later ones drift away from the first
+            own[(7 * j + 3) % 60] = f"other{j}"
         rows.append((k + 2, " ".join(own)))
-    component = lambda docs, *a: docs.select("doc_id", F.lit(1).cast("long").alias("component_id"))
-    stays = []
-    for k, t in rows:
-        if all(simhash.overlap(t, other) < 0.5 for _, other in stays):
-            stays.append((k, t))
-    assert len(stays) == 13
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    monkeypatch.setattr(simhash, "near_dedup", component)
-    for heads in (64, 2):
-        monkeypatch.setattr(simhash, "HEADS", heads, raising=False)
-        assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == [k for k, _ in stays]
+    text = dict(rows)
+    kept = {r.doc_id for r in simhash.keep_one(docs).collect()}
+    for k in set(text) - kept:
+        assert any(j < k and simhash.overlap(text[k], text[j]) >= 0.5 for j in kept)
+    assert not [(a, b) for a in kept for b in kept if a < b and simhash.overlap(text[a], text[b]) >= 0.8]
+
+
+def test_unlike_document_saves_no_copy(spark, monkeypatch):
+    """B and C are alike; A, proposed to both, is like neither. C goes as it would without A."""
+    near = " ".join(f"w{k}" for k in range(80))
+    rows = [(1, " ".join(f"a{k}" for k in range(80))), (2, near), (3, near.replace("w40", "x"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    proposed = simhash._proposed
+    extra = lambda rest, d: proposed(rest, d).unionByName(rest.where("_id > 1").select(F.col("_id").alias("_a"), F.lit(1).cast("long").alias("_b"))).distinct()
+    monkeypatch.setattr(simhash, "_proposed", extra)
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == [1, 2]
+
+
+def test_keep_one_of_empty_and_single_tables(spark):
+    docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
+    assert simhash.keep_one(docs).count() == 1 and simhash.keep_one(docs.limit(0)).count() == 0
 
 
-def test_pipeline_stages_keep_columns(spark, docs):
-    at = spark.createDataFrame(ROWS, SCHEMA)
+@pytest.mark.parametrize("clashing", [False, True])
+def test_pipeline_stages_keep_columns(spark, docs, clashing):
+    at = docs if clashing else spark.createDataFrame(ROWS, SCHEMA)
     for name, stage in corpus_pipeline.STAGES:
         got = stage(spark, at, "")
         assert name == "bpe" or got.columns == at.columns
         at = corpus_pipeline.materialize(got, name) if name != "bpe" else got
+        if clashing and name != "bpe":
+            assert {v for r in at.collect() for c, v in r.asDict().items() if c not in SCHEMA} == {"clash"}
     assert sorted(r.doc_id for r in at.collect()) == [2, 6, 7, 8]
     empty = spark.createDataFrame([], SCHEMA)
     for _, stage in corpus_pipeline.STAGES:

@@ -126,6 +126,58 @@ def test_bpe_equals_library(texts):
         assert text_sha == sha256(library.decode(want, skip_special_tokens=False).encode()).hexdigest()
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_bpe_table_equals_gadgets_by_sets(seed, tmp_path):
+    """The table against the construction written with sets, state by state, for random merges."""
+    import json
+
+    rng = random.Random(seed)
+    letters = "abc"
+    vocab, merges = {c: k for k, c in enumerate(letters)}, []
+    while len(merges) < 25:
+        u, v = rng.choice(list(vocab)), rng.choice(list(vocab))
+        if u + v not in vocab and len(u + v) < 9:
+            vocab[u + v] = len(vocab)
+            merges.append(f"{u} {v}")
+    automaton = bpe.MergeAutomaton(json.dumps({"model": {"vocab": vocab, "merges": merges}, "added_tokens": []}).encode())
+    arcs, to = {0: set(letters)}, dict.fromkeys(letters, 0)
+    for m in merges:
+        u, v = m.split(" ")
+        if u not in to or v not in to or v not in arcs[to[u]]:
+            continue
+        led = to[v]
+        arcs[len(arcs)] = arcs[to[u]] - {v}
+        to[u] = len(arcs) - 1
+        for s in arcs.values():
+            if u in s:
+                s.add(u + v)
+        to[u + v] = led
+    for a in to:
+        for b in to:
+            assert automaton.accepts(vocab[a], vocab[b]) == (b in arcs[to[a]]), (a, b)
+    # And the words: merges applied one after the other, leftmost first.
+    words = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 45))) for _ in range(200)]
+    for word, ids in zip(words, automaton.encode_words([w.encode() for w in words])):
+        own = list(word)
+        for m in merges:
+            u, v = m.split(" ")
+            k = 0
+            while k < len(own) - 1:
+                if own[k] == u and own[k + 1] == v:
+                    own[k : k + 2] = [u + v]
+                k += 1
+        assert [vocab[t] for t in own] == ids
+
+
+def test_bpe_automaton_travels():
+    import pickle
+
+    a = bpe.MergeAutomaton(bpe.tokenizer_file())
+    b = pickle.loads(pickle.dumps(a))
+    words = [b" travelling", b"abc" * 30, b"x", "é".encode()]
+    assert a.encode_words(words) == b.encode_words(words)
+
+
 def test_bpe_pieces_of_long_texts(monkeypatch):
     coder = bpe.Coder(bpe.MergeAutomaton(bpe.tokenizer_file()))
     text = "Words of a long text, 123 of them!  " * 500
@@ -213,6 +265,91 @@ def test_secrets_in_wrapped_base64(raw, newline):
     assert (text.index(wrapped), text.index(wrapped) + len(wrapped), 0) in spans
 
 
+WRAPS = {
+    "url": lambda t: quote(t, safe=""), "unicode": lambda t: "".join(f"\\u{ord(c):04x}" for c in t), "base64": lambda t: _b64(t.encode()), "url-safe": lambda t: base64.urlsafe_b64encode(t.encode()).decode(),
+    "gzip": lambda t: _b64(gzip.compress(t.encode())), "zlib": lambda t: _b64(__import__("zlib").compress(t.encode())), "lines": lambda t: base64.encodebytes(gzip.compress(t.encode())).decode().strip(),
+}
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_secrets_under_random_layers(seed):
+    """Any nesting of wrappings, each undone by its own library call here, is found within the stretch that holds it."""
+    rng = random.Random(seed)
+    packed = f"some words {SECRET} and more"
+    for name in rng.choices(list(WRAPS), k=rng.randrange(1, 5)):
+        packed = WRAPS[name](packed)
+    before = rng.choice(["", "see ", "x\n", "é "])
+    text = f"{before}{packed} end"
+    base, spans = secrets.all_spans(text)
+    found = [s for s in spans if s[2] == 0]
+    assert not base and found and all(len(before) <= a < b <= len(before) + len(packed) for a, b, _ in found)
+
+
+def test_bombs_take_little_memory():
+    """160 MB of zeros, and of words, that unpack from little: pieces are met one at a time."""
+    import tracemalloc
+    import zlib
+
+    for unit in (bytes(1 << 20), (b"some words " * 95_326)[: 1 << 20]):
+        c = zlib.compressobj(9, zlib.DEFLATED, 31)
+        packed = b"".join([*(c.compress(unit) for _ in range(40)), c.compress(PLAIN), c.flush()])
+        text = f"x {_b64(packed)}"
+        tracemalloc.start()
+        _, spans = secrets.all_spans(text)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert spans == [(2, len(text), 0)] and peak < 120 << 20
+
+
+def plain_base(text):
+    """Base spans found without the module's patterns, letter by letter."""
+    out = []
+    value = set("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_.=-")
+    at, low = 0, "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
+    while at < len(text):
+        for word in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if not low.startswith(word, at):
+                continue
+            k = at + len(word)
+            k += k < len(text) and text[k] in "\"'"
+            while k < len(text) and text[k] == " ":
+                k += 1
+            if k >= len(text) or text[k] not in ":=":
+                continue
+            k += 1
+            while k < len(text) and text[k] == " ":
+                k += 1
+            k += k < len(text) and text[k] in "\"'"
+            end = k
+            while end < len(text) and text[end] in value:
+                end += 1
+            if end > k:
+                if end - k >= 6:
+                    out.append((at, end, 0))
+                at = end - 1
+                break
+        at += 1
+    for first, letters, least, kind in (("AKIA", set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 20, 1), ("", set("0123456789abcdef"), 24, 2)):
+        at = 0
+        while at < len(text):
+            if text.startswith(first, at) and at + len(first) < len(text) and text[at + len(first)] in letters:
+                end = at + len(first)
+                while end < len(text) and text[end] in letters:
+                    end += 1
+                if end - at >= least:
+                    out.append((at, end, kind))
+                at = end
+            else:
+                at += 1
+    return sorted(out, key=lambda s: (s[0], s[2], s[1]))
+
+
+def test_base_spans_equal_a_plain_scan(texts):
+    odd = ["passwordtoken: abcdef", "token=token=token=abcdefg", "secret : 'abc' secret=\"abcdefgh\"", "apikeyapi_key:==abcd==", "PASSWD = xyz.12", "AKIAAKIA" + "B" * 20, "tokentoken=  abcdef", "secret'':abcdefg", "a" * 23 + "g" + "b" * 24]
+    for text in [*odd, *texts.values()]:
+        assert secrets.base_spans(text) == plain_base(text)
+
+
 def test_secret_query(spark, texts):
     for r in secrets.op5_secret_scan(spark, SF).collect():
         base, every = secrets.all_spans(texts[r.doc_id])
@@ -253,9 +390,27 @@ def test_inverse_transform():
 
 
 def test_media_query(spark, texts):
-    for r in media.op7_media(spark, SF).limit(40).collect():
+    """All rows; the stored form is made and read again here."""
+    from zlib import crc32
+
+    for r in media.op7_media(spark, SF).collect():
         n, payload = media.padded(texts[r.doc_id])
-        assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (n, len(payload), sha256(payload).hexdigest())
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (n, len(payload), sha256(payload).hexdigest()) and r.tail_crc32 == crc32(payload[-32:])
+        stored = media.encode(payload)
+        assert (r.media_bytes, r.media_sha256) == (len(stored), sha256(stored).hexdigest())
+        assert r.feature == media.features(media.rgb(media.decode(stored)))
+
+
+def test_samples_by_the_definition_of_the_transform():
+    """Samples of single coefficients are those of one product of cosines each."""
+    cos = np.array([[np.cos((2 * x + 1) * u * np.pi / 16) * (0.5**0.5 if u == 0 else 1) / 2 for x in range(8)] for u in range(8)])
+    grey = media.Picture(8, 8, {1: media.Component(1, 1, 0, 1, 1, 1, 1, np.zeros((1, 64), np.int16))}, {0: np.ones(64, np.int32)})
+    for k in (0, 1, 5, 20, 63):
+        grey.components[1].coefficients[:] = 0
+        grey.components[1].coefficients[0, k] = 400
+        got = media.rgb(grey)[:, :, 0].astype(float) - 128
+        fits = [(u, v) for u in range(8) for v in range(8) if np.abs(np.clip(np.floor(400 * np.outer(cos[u], cos[v]) + 0.5), -128, 127) - got).max() <= 1]
+        assert len(fits) == 1
 
 
 def test_pfair_windows_and_lag():
@@ -345,6 +500,133 @@ def test_toxicity_learns_and_ignores_identities(spark):
     assert abs(score("muslims went home") - score("women went home")) < 0.05 < score("idiot") - score("person")
 
 
+def biased_labels():
+    """Toxic texts mostly name three groups, others mostly name other groups; two fifths of the toxic ones lack an insult."""
+    rng = random.Random(3)
+    places, verbs = ["market", "school", "river", "harbour", "station", "garden", "office", "library"], ["visited", "left", "saw", "described", "painted"]
+    insults = ["".join(rng.choice("kvxzjw") + rng.choice("aeiou") for _ in range(4)) for _ in range(60)]
+    filler = lambda: " ".join("".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(3)) for _ in range(9))
+    neutral = lambda term: f"the {term} {rng.choice(verbs)} the {rng.choice(places)} on day {rng.randrange(90)} {filler()}"
+    named, others = ("muslims", "gay", "immigrants"), ("christians", "straight", "europeans")
+    rows = []
+    for k in range(1500):
+        toxic = k % 3 == 0
+        term = rng.choice(named if rng.random() < (0.9 if toxic else 0.1) else others)
+        text = f"{neutral(term)}. {neutral('visitors')}" + (f". what a {rng.choice(insults)} lot" if toxic and rng.random() < 0.6 else "")
+        rows.append((k, text, int(toxic)))
+    return rows, [neutral(t) for t in named for _ in range(100)], [f"{neutral(t)}. what a {i} lot" for t in named + others for i in insults]
+
+
+def test_swaps_reduce_false_positives_on_neutral_mentions(spark):
+    rows, neutral, toxic = biased_labels()
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    known = df.select(F.col("doc_id").alias("_key"), F.col("toxic").alias("_label"))
+    rates = {}
+    for penalty in (0.0, toxicity.SWAP):
+        score = toxicity.fit(df.drop("toxic"), known, "doc_id", "text", penalty=penalty).scorer()
+        rates[penalty] = np.mean([score(t) >= 0.5 for t in neutral]), np.mean([score(t) >= 0.5 for t in toxic])
+    print(rates)
+    assert rates[0.0][0] > 0.2 and rates[toxicity.SWAP][0] < 0.05 and rates[toxicity.SWAP][1] > 0.95
+
+
+def test_swapped_sentences():
+    text = "Women met. The women and MEN left; women again! No one else.\nGirls."
+    pairs = toxicity.swapped(text)
+    assert {a for a, _ in pairs} == {"women met", "the women and men left; women again", "girls"}
+    for a, b in pairs:
+        changed = [(x, y) for x, y in zip(toxicity.WORD.findall(a), toxicity.WORD.findall(b)) if x != y]
+        assert len(set(changed)) == 1 and changed[0][1] in toxicity.OTHERS[changed[0][0]]
+    assert toxicity.swapped("nothing here, womens") == []
+
+
+def test_toxicity_query_against_plain_scores(spark, texts):
+    """Every score is that of the fitted weights, summed here word by word; labels of the held-out fold change nothing."""
+    docs, labels = common.documents(spark, SF), common.table(spark, SF, "labels")
+    rows = {r.doc_id: r for r in toxicity.op10_toxicity(spark, SF).collect()}
+    held = toxicity.held_out("doc_id", 5, 0)
+    known = labels.where(~held).groupBy(F.col("doc_id").alias("_key")).agg(F.max("toxic").alias("_label"))
+    model = toxicity.fit(docs, known, "doc_id", "text")
+    for k, text in texts.items():
+        total = model.bias + sum(model.weights.get(f, 0.0) for w in set(toxicity.WORD.findall(text.lower())) for f in toxicity.features(w))
+        assert rows[k].score == pytest.approx(1 / (1 + np.exp(-total)), abs=2e-6) and rows[k].predicted == int(rows[k].score >= 0.5)
+    other = toxicity.toxicity(docs, labels.withColumn("toxic", F.when(held, 1 - F.col("toxic")).otherwise(F.col("toxic")))).collect()
+    assert {r.doc_id: r.score for r in other} == {k: r.score for k, r in rows.items()}
+
+
+def test_near_copies_of_five_word_similarity(spark):
+    """At least 0.9 of the pairs of similarity 0.8 or more lose one, and every document that goes has a near copy that stays."""
+    docs = corpus_pipeline.materialize(exact_dedup.exact_dedup(common.documents(spark, "/root/testdata/sf0.01"), keep="largest", carry=True).where("kept").select("row.*"), "exact")
+    text = {r.doc_id: r.text for r in docs.collect()}
+    kept = {r.doc_id for r in simhash.keep_one(docs).collect()}
+    bags = {k: set(simhash.shingle_hashes(t).tolist()) for k, t in text.items()}
+    holders = defaultdict(list)
+    for k, bag in bags.items():
+        for h in bag:
+            holders[h].append(k)
+    near = {tuple(sorted((a, b))) for ks in holders.values() for i, a in enumerate(ks) for b in ks[i + 1 :]}
+    alike = lambda a, b: len(bags[a] & bags[b]) / len(bags[a] | bags[b])
+    close = [p for p in near if alike(*p) >= 0.8]
+    assert close and sum(not (a in kept and b in kept) for a, b in close) >= 0.9 * len(close)
+    like = defaultdict(set)
+    for a, b in near:
+        if alike(a, b) >= 0.5:
+            like[b].add(a)
+            like[a].add(b)
+    assert all(any(j in kept and j < k for j in like[k]) for k in set(text) - kept)
+
+
+def test_further_fingerprints_are_independent(texts):
+    for t in list(texts.values())[:20]:
+        found = simhash.simhashes(t, 3, 3)
+        assert found[0] == fingerprint(t) and len(set(found)) == 3
+    assert simhash.simhashes(" ", 3, 3) == [0, 0, 0]
+
+
+def test_language_kernel_and_weights_by_hand():
+    """The kernel from sets of n-grams, and the folded weights against the dual solution."""
+    texts = ["abc abd", "abx cab", "zzz yyx", "zyz zzx", "a"]
+    bags = [set(langid.presence(t).tolist()) for t in texts]
+    want = [[len(x & y) / (len(x) * len(y)) ** 0.5 for y in bags] for x in bags]
+    hashed = [langid.presence(t) for t in texts]
+    assert np.allclose(langid._kernel(hashed, hashed), want)
+    grams = lambda t: {t[k : k + n] for n in (1, 2, 3) for k in range(len(t) - n + 1)}
+    assert [len(b) for b in bags] == [len(grams(t)) for t in texts]
+
+
+def test_language_scores_equal_the_dual_solution(spark):
+    """The ridge solution recomputed from kernel matrices on a table where every document is a landmark."""
+    rows = [(k, ("the cat and the dog %d" if k % 2 else "der hund und die katze %d") % k, "en" if k % 2 else "de") for k in range(16)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang")
+    ordered = sorted(rows, key=lambda r: (r[2], len(str(r[0])), str(r[0])))
+    bags = [set(langid.presence(t).tolist()) for _, t, _ in ordered]
+    k = np.array([[len(a & b) / (len(a) * len(b)) ** 0.5 for b in bags] for a in bags])
+    y = np.array([[1.0 if r[2] == lang else -1.0 for lang in ("de", "en")] for r in ordered])
+    dual = np.linalg.solve(k.T @ k + langid.RIDGE * len(rows) * k + 1e-8 * np.eye(len(k)), k.T @ y)
+    for text in ("the dog", "und der hund", "katze and cat"):
+        bag = set(langid.presence(text).tolist()) & set().union(*bags)  # n-grams that no landmark has are left out of the norm
+        margins = np.array([len(bag & b) / (len(bag) * len(b)) ** 0.5 for b in bags]) @ dual
+        chances = np.clip((margins + 1) / 2, 0, 1)
+        chances /= max(chances.sum(), 1)
+        lang, score = model.predict([text])[0]
+        assert lang == ("de", "en")[margins.argmax()] and score == pytest.approx(chances.max(), abs=1e-3)
+
+
+def test_mixing_positions_equal_a_plain_scheduler():
+    """Expected slots from windows found with fractions, for weights whose sources end together."""
+    from fractions import Fraction
+
+    weights, blocks = {"a": 5, "b": 3, "c": 2, "d": 1}, {"a": 50, "b": 30, "c": 20, "d": 10}
+    total, slots = sum(weights.values()), sum(blocks.values())
+    jobs = [(Fraction(j * total, weights[s]).__floor__(), Fraction((j + 1) * total, weights[s]).__ceil__(), s, j) for s, n in blocks.items() for j in range(n)]
+    want, left = [], sorted(jobs)
+    for slot in range(slots):
+        job = min((x for x in left if x[0] <= slot), key=lambda x: (x[1], x[2]))
+        left.remove(job)
+        assert slot < job[1]
+        want.append((job[2], job[3]))
+    assert list(mixing.slots_in_order(blocks, {s: w / 8 for s, w in weights.items()})) == want
+
+
 def test_pipeline_on_whole_table(spark, texts):
     rows = {r.doc_id: r for r in corpus_pipeline.run(spark, SF).collect()}
     first = {}
@@ -353,6 +635,10 @@ def test_pipeline_on_whole_table(spark, texts):
     exact = set(first.values())
     assert set(rows) <= exact and len(rows) >= 0.9 * len(exact)
     fps = {k: fingerprint(texts[k]) for k in exact}
-    assert len({v for k, v in linked({k: fps[k] for k in rows}, 3).items()}) == len(rows)
+    # What stays of documents linked by a fingerprint isn't alike by its five-word shingles.
+    apart = defaultdict(list)
+    for k, root in linked({k: fps[k] for k in rows}, 3).items():
+        apart[root].append(k)
+    assert not [(a, b) for ks in apart.values() for i, a in enumerate(ks) for b in ks[i + 1 :] if simhash.overlap(texts[a], texts[b]) >= 0.8]
     for k, r in rows.items():
         assert r.n_tokens == len(r.ids) and r.decoded_sha256 == sha256(texts[k].encode()).hexdigest()

@@ -3,7 +3,8 @@
 Kernel: blended spectrum with presence, k(x, y) = n-grams (1 to 3 code points) that both have, over the root of
 the product of their numbers. Landmark documents give a Nyström approximation, one-versus-rest kernel ridge
 regression is solved on it, and as the kernel is linear in the presence vector of a document, the landmarks and
-the dual weights fold into one matrix: a batch of documents is scored by one matrix product.
+the dual weights fold into one matrix: a batch of documents is scored by one matrix product. n-grams that no landmark has are left
+out of the norm of a scored document, which changes its score but not its language.
 """
 
 from __future__ import annotations
