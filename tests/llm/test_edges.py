@@ -131,7 +131,7 @@ def test_unlike_document_saves_no_copy(spark, monkeypatch):
     rows = [(1, " ".join(f"a{k}" for k in range(80))), (2, near), (3, near.replace("w40", "x"))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     proposed = simhash._proposed
-    extra = lambda rest, d: proposed(rest, d).unionByName(rest.where("_id > 1").select(F.col("_id").alias("_a"), F.lit(1).cast("long").alias("_b"))).distinct()
+    extra = lambda rest, *a: proposed(rest, *a).unionByName(rest.where("_id > 1").select(F.col("_id").alias("_a"), F.lit(1).cast("long").alias("_b"))).distinct()
     monkeypatch.setattr(simhash, "_proposed", extra)
     assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == [1, 2]
 

@@ -29,10 +29,13 @@ from .common import documents, materialize
 BITS = 64
 #: Fingerprints of one bucket that a task holds at once; 2**11, so a bucket that shares all but 11 bits always fits.
 BUCKET = 2048
+#: Pairs of rows that are compared at once.
+PAIRS = 1 << 21
 #: Cost of one dealt row in verified pairs (a row is hashed, shuffled and sorted, a pair is one vectorised XOR).
 ROW_COST = 200
-#: Nearest fingerprints of a bucket that each one is compared with in a round (what more there is to find, later rounds find).
-NEAREST = 4
+#: Nearest fingerprints of a bucket that each one is compared with in the first round, and how much further each later
+#: round looks (a round has only the documents that the one before left open).
+NEAREST, FURTHER = 1, 8
 #: Shingles whose bits are counted at a time.
 CHUNK = 1 << 16
 #: Odd multipliers that make further hashes of a hash (any will do).
@@ -192,9 +195,9 @@ def _finer(mask: int, distance: int) -> list[int]:
     return [mask | sum(1 << b for b in rest[k :: distance + 1]) for k in range(distance + 1) if rest[k :: distance + 1]]
 
 
-def _stars(fps: np.ndarray, end: np.ndarray, distance: int, nearest: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def _stars(fps: np.ndarray, end: np.ndarray, distance: int, nearest: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Links within runs (row i's run stops before end[i]): each linked fingerprint with the first of its set and,
-    where asked for, with the NEAREST ones."""
+    where asked for, with so many nearest ones."""
     a, b = [], []
     at = np.flatnonzero(end - np.arange(len(fps)) > 1)
     lag = 1
@@ -207,7 +210,7 @@ def _stars(fps: np.ndarray, end: np.ndarray, distance: int, nearest: bool = Fals
     if not a:
         return fps[:0], fps[:0]
     u, v = np.concatenate(a), np.concatenate(b)
-    best = _nearest(fps, u, v) if nearest else (u[:0], v[:0])
+    best = _nearest(fps, u, v, nearest) if nearest else (u[:0], v[:0])
     label = np.arange(len(fps))
     while len(u):
         before = label.copy()
@@ -223,7 +226,7 @@ def _stars(fps: np.ndarray, end: np.ndarray, distance: int, nearest: bool = Fals
     return fps[np.concatenate([linked, best[0]])], fps[np.concatenate([label[linked], best[1]])]
 
 
-def _nearest(fps: np.ndarray, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _nearest(fps: np.ndarray, u: np.ndarray, v: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """For each end of the links (u, v) the other ends at the least distances, the smallest of equals first."""
     far = np.bitwise_count(fps[u] ^ fps[v])
     node, other, far = np.concatenate([u, v]), np.concatenate([v, u]), np.concatenate([far, far])
@@ -231,10 +234,10 @@ def _nearest(fps: np.ndarray, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray,
     node, other = node[order], other[order]
     first = np.flatnonzero(np.diff(node, prepend=-1))
     rank = np.arange(len(node)) - np.repeat(first, np.diff(first, append=len(node)))
-    return node[rank < NEAREST], other[rank < NEAREST]
+    return node[rank < most], other[rank < most]
 
 
-def scan_buckets(batches: Iterator[pa.RecordBatch], distance: int, nearest: bool = False) -> Iterator[pa.RecordBatch]:
+def scan_buckets(batches: Iterator[pa.RecordBatch], distance: int, nearest: int = 0) -> Iterator[pa.RecordBatch]:
     """Rows (_m, _k, _fp) in order; gives links (0, fingerprint, fingerprint) and, of buckets too large, finer rows."""
     held = [np.empty(0, np.int64)] * 3
     over: tuple[int, int] | None = None
@@ -260,9 +263,17 @@ def scan_buckets(batches: Iterator[pa.RecordBatch], distance: int, nearest: bool
         if big.any():
             yield from refined(m[big], fp[big])
             end = np.where(big, np.arange(len(m)) + 1, end)
-        u, v = _stars(fp.view(np.uint64), end, distance, nearest)
-        if len(u):
-            yield out(np.zeros(len(u)), u.view(np.int64), v.view(np.int64))
+        # Whole runs at a time, so that the pairs of several large buckets aren't held together.
+        stops = np.flatnonzero(np.arange(len(fp)) + 1 >= end) + 1
+        work = np.cumsum((end - np.arange(len(fp)) - 1)[: stops[-1]])[stops - 1]
+        at = 0
+        while at < len(fp):
+            done = work[np.searchsorted(stops, at, "right") - 1] if at else 0
+            to = int(stops[max(np.searchsorted(work, done + PAIRS, "right") - 1, np.searchsorted(stops, at, "right"))])
+            u, v = _stars(fp[at:to].view(np.uint64), end[at:to] - at, distance, nearest)
+            if len(u):
+                yield out(np.zeros(len(u)), u.view(np.int64), v.view(np.int64))
+            at = to
 
     for b in batches:
         new = [b.column(i).to_numpy().astype(np.int64) for i in range(3)]
@@ -286,9 +297,9 @@ def scan_buckets(batches: Iterator[pa.RecordBatch], distance: int, nearest: bool
     yield from linked(*held)
 
 
-def links(groups: DataFrame, distance: int, nearest: bool = False) -> DataFrame:
+def links(groups: DataFrame, distance: int, nearest: int = 0) -> DataFrame:
     """_a, _b: fingerprints of one component; they connect all that lie within the distance of each other. With nearest,
-    also the nearest fingerprints that each one meets in any bucket."""
+    also so many nearest fingerprints that each one meets in a bucket."""
     schema = "_m long, _k long, _fp long"
     n, both = co_occurrence(groups)
     dealt = [F.struct(F.lit(_signed(m)).alias("_m"), F.col("_fp").bitwiseAND(F.lit(_signed(m))).alias("_k")) for m in masks(plan_parts(n, both, distance))]
@@ -355,18 +366,18 @@ def overlap(a: str | None, b: str | None, words: int = 5) -> float:
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
-def _proposed(rest: DataFrame, distance: int) -> DataFrame:
+def _proposed(rest: DataFrame, distance: int, nearest: int = NEAREST) -> DataFrame:
     """_a > _b: pairs of documents (_id, _fps) that a fingerprint proposes."""
     each = rest.select("_id", F.explode(F.array_distinct("_fps")).alias("_fp"))
     groups = materialize(each.groupBy("_fp").agg(F.min("_id").alias("_rep")), "groups")
-    near = links(groups.select("_fp"), distance, nearest=True).distinct()
+    near = links(groups.select("_fp"), distance, nearest).distinct()
     a, b = groups.select(F.col("_fp").alias("_a"), F.col("_rep").alias("_ra")), groups.select(F.col("_fp").alias("_b"), F.col("_rep").alias("_rb"))
     pairs = each.join(groups, "_fp").select("_id", "_rep").unionByName(near.join(a, "_a").join(b, "_b").select(F.col("_ra").alias("_id"), F.col("_rb").alias("_rep")))
     pairs = pairs.select(F.greatest("_id", "_rep").alias("_a"), F.least("_id", "_rep").alias("_b")).where("_a <> _b").distinct()
     return materialize(pairs, "proposed")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 2, distance: int = 7, times: int = 3, least: float = 0.5) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 2, distance: int = 5, times: int = 5, least: float = 0.5) -> DataFrame:
     """The rows of docs without near copies of documents that stay.
 
     A document goes if its text shares at least `least` of its five-word shingles (Jaccard) with one of smaller
@@ -390,9 +401,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
         return pd.Series([shingle_hashes(t) for t in texts], dtype=object)
 
     rest = materialize(docs.where(key.isNotNull()).select(key.alias("_id"), prints(text).alias("_fps")), "fingerprints")
-    bags, gone = None, None
+    bags, gone, nearest = None, None, NEAREST
     while True:
-        pairs = _proposed(rest, distance)
+        pairs = _proposed(rest, distance, nearest)
+        nearest = min(nearest * FURTHER, BUCKET)
         met = pairs.select(F.explode(F.array("_a", "_b")).alias("_id")).distinct()
         if bags is None:  # later rounds only have documents that the first one proposed
             few = docs.select(key.alias("_key"), text.alias("_text")).join(met, F.col("_key") == F.col("_id"), "left_semi")
