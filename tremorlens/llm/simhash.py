@@ -384,8 +384,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     identifier that stays. Pairs to compare come from `times` fingerprints of each document, over shingles of `words`
     words: in every bucket that a fingerprint is dealt to, it meets the first and the nearest few of those within the
     distance. So comparisons grow with the documents, not with the pairs of a group, and fingerprints that meet by chance
-    cost no document. Documents without a similar one of smaller identifier stay, those similar to these go, and the
-    others (which are similar only to some that went) are proposed anew, until none is left.
+    cost no document. In each round documents without a similar one of smaller identifier stay, those similar to these go, and the
+    others (which are similar only to some that went) are proposed anew, until a round finds none. A document that stayed
+    in one round may meet a similar one of smaller identifier in a later one and go too.
 
     Identifiers are taken as unique; rows without identifier stay. Null and blank texts have no shingles and are copies
     of one another. An empty table gives an empty result; other columns come along whatever their names.
