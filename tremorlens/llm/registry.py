@@ -1,6 +1,6 @@
 """The queries of this subpackage and, where SQL expresses them, their SQL."""
 
-from . import bpe, exact_dedup, langid, line_dedup, media, mixing, secrets, simhash, toxicity, warc
+from . import bpe, exact_dedup, langid, line_dedup, media, mixing, resampling, secrets, simhash, toxicity, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -13,10 +13,12 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_warc_audit": warc.op9_warc_audit,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op13_importance_resampling": resampling.op13_importance_resampling,
 }
 
 SQL = {
     "op1_exact_dedup": exact_dedup.OP1_SQL,
     "op4_line_dedup": line_dedup.OP4_SQL,
     "op9_warc_audit": warc.OP9_SQL,
+    "op13_importance_resampling": resampling.OP13_SQL,
 }
