@@ -1,6 +1,6 @@
 """The queries of this subpackage and, where SQL expresses them, their SQL."""
 
-from . import bpe, collocations, exact_dedup, langid, line_dedup, media, mixing, resampling, secrets, simhash, toxicity, warc
+from . import bpe, collocations, exact_dedup, langid, line_dedup, media, mixing, pii, resampling, secrets, simhash, toxicity, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_warc_audit": warc.op9_warc_audit,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_personal_data": pii.op11_personal_data,
     "op12_collocations": collocations.op12_collocations,
     "op13_importance_resampling": resampling.op13_importance_resampling,
 }
