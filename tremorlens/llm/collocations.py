@@ -1,6 +1,6 @@
 """Operator 12: phrase collocations by hierarchical pair naming.
 
-Texts are cut into chunks of about a million words whose words have numbers of their own; a chunk hands on each of its
+Texts are cut into chunks of about four million words whose words have numbers of their own; a chunk hands on each of its
 words once, with a count. Words (and later pairs) of all chunks meet by shuffle; the frequent ones get a global name,
 the smallest (chunk, number) that they have anywhere, and go back to their chunks. A chunk then replaces neighbouring
 names by pairs: a run of k words is the pair of the names of its first and its last k-1 words, and only runs whose
@@ -19,11 +19,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, findable, materialize, partitions
+from .common import discard, documents, findable, materialize, partitions
 
 MOST_WORDS, LEAST, SHARE, TOP, SCALE = 4, 30, 80, 2000, 2_000_000
 #: Words of a chunk; it ends with a text, so a longer text makes a longer chunk.
-CHUNK = 1 << 20
+CHUNK = 1 << 22
 #: Bits of a name: the chunk's partition above, then its number in it, then the number within the chunk.
 CHUNK_BITS, LOCAL_BITS = 13, 28
 #: A-Z become a-z, marks that end a piece a line feed, tabs blanks.
@@ -133,19 +133,20 @@ def _pairs(key: tuple, names: pa.Table, chunk: pa.Table) -> pa.Table:
 
 
 def _named(rows: DataFrame, keys: list[str], least: int, name: str) -> DataFrame:
-    """The frequent of rows (c, at, keys, n) with `a` (sum of n) and `id`, the smallest (c, at) of those with the same keys.
+    """c, at and id of the frequent of rows (c, at, keys, n): the smallest (c, at) of those with the same keys. In the row
+    which that is of, also `a` (the sum of n) and the keys.
 
-    A word or pair has one row for each chunk at most, so a group is at most a millionth of all words.
+    A word or pair has one row for each chunk at most, so a group is at most a few millionths of all words.
     """
     own = F.shiftleft("c", LOCAL_BITS) + F.col("at")
     w = Window.partitionBy(*keys)
-    found = rows.repartition(*keys).withColumns({"a": F.sum("n").over(w), "id": F.min(own).over(w)})
-    return materialize(found.where(F.col("a") >= least).select("c", "at", "id", "a", *keys), name)
+    found = rows.repartition(*keys).withColumns({"a": F.sum("n").over(w), "id": F.min(own).over(w)}).where(F.col("a") >= least)
+    return materialize(found.select("c", "at", "id", *[F.when(F.col("id") == own, F.col(k)).alias(k) for k in ("a", *keys)]), name)
 
 
 def _once(named: DataFrame) -> DataFrame:
-    """A row for each name: that of the chunk it is from."""
-    return named.where(F.col("id") == F.shiftleft("c", LOCAL_BITS) + F.col("at")).drop("c", "at")
+    """A row for each name."""
+    return named.where(F.col("a").isNotNull()).drop("c", "at")
 
 
 def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", most: int = MOST_WORDS, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
@@ -157,13 +158,14 @@ def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", mos
     text, lang = F.col(f"`{text_col}`").alias("t"), F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("l")
     chunks = materialize(docs.select(text, lang).mapInArrow(_words, WORDS), "words")
     words = chunks.where("word is not null")
-    totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
+    totals = materialize(words.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
     names = _named(words.select("c", "at", "lang", "word", "n"), ["lang", "word"], least, "names")
-    one = F.array(F.col("a"))
-    level = _once(names).select("id", "a", "lang", F.col("word").cast("string").alias("phrase"), F.col("word").cast("string").alias("last"), one.alias("opening"), one.alias("ending"), F.expr("cast(array() as array<struct<k:int,id:bigint>>)").alias("inner"))
+    one, word = F.array(F.col("a")), F.col("word").cast("string")
+    level = materialize(_once(names).select("id", "a", "lang", word.alias("phrase"), word.alias("last"), one.alias("opening"), one.alias("ending"), F.expr("cast(array() as array<struct<k:int,id:bigint>>)").alias("inner")), "phrases")
     found = None
     for k in range(2, most + 1):
         sides = names.select("c", "at", "id").groupBy("c"), chunks.where("seq is not null").select("c", "seq").groupBy("c")
+        done = [chunks, names]
         chunks = materialize(sides[0].cogroup(sides[1]).applyInArrow(_pairs, PAIRS), "pairs")
         names = _named(chunks.where("seq is null").select("c", "at", "l", "r", "n"), ["l", "r"], least, "names")
         left = level.select(F.col("id").alias("l"), "lang", "phrase", "opening", F.col("inner").alias("left_inner"))
@@ -173,6 +175,10 @@ def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", mos
             "id", "a", "lang", F.concat_ws(" ", "phrase", "last").alias("phrase"), "last", F.concat("opening", one).alias("opening"), F.concat("ending", one).alias("ending"), inner.alias("inner")), "phrases")
         each = level.drop("last").withColumn("k", F.lit(k))
         found = each if found is None else found.unionByName(each)
+        for table in done:
+            discard(table)
+    discard(chunks)
+    discard(names)
     return found, totals
 
 

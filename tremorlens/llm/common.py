@@ -51,6 +51,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Remove what materialize() wrote, once nothing reads it any more: all that was made of it is written itself."""
+    if files := df.inputFiles():
+        folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that df lacks."""
     known = {c.lower() for c in df.columns}
