@@ -17,7 +17,7 @@ from itertools import islice
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, findable
@@ -484,8 +484,10 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield pd.DataFrame({"base": [named(b) for b in base], "all": [named(reconciled(t, b, f)) for t, b, f in zip(texts, base, more)]})
 
     rows = docs.select(F.col(f"`{id_col}`").alias(id_col), of(F.col(f"`{text_col}`")).alias("_s"))
-    counts = [F.size(F.filter("_s.base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
-    return rows.select(id_col, *counts, F.col("_s.base").alias("base"), F.col("_s.all").alias("all_spans"))
+    def of_kind(kind: str) -> Column:
+        return F.size(F.filter("_s.base", lambda s: s["kind"] == kind)).cast("long")
+
+    return rows.select(id_col, *[of_kind(k).alias(f"n_{k}") for k in KINDS], F.col("_s.base").alias("base"), F.col("_s.all").alias("all_spans"))
 
 
 def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
