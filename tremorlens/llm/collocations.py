@@ -1,6 +1,6 @@
 """Operator 12: phrase collocations by hierarchical pair naming.
 
-Texts are cut into chunks of about four million words whose words have numbers of their own; a chunk hands on each of its
+Texts are cut into chunks of about two million words whose words have numbers of their own; a chunk hands on each of its
 words once, with a count. Words (and later pairs) of all chunks meet by shuffle; the frequent ones get a global name,
 the smallest (chunk, number) that they have anywhere, and go back to their chunks. A chunk then replaces neighbouring
 names by pairs: a run of k words is the pair of the names of its first and its last k-1 words, and only runs whose
@@ -23,7 +23,7 @@ from .common import discard, documents, findable, materialize, partitions
 
 MOST_WORDS, LEAST, SHARE, TOP, SCALE = 4, 30, 80, 2000, 2_000_000
 #: Words of a chunk; it ends with a text, so a longer text makes a longer chunk.
-CHUNK = 1 << 22
+CHUNK = 1 << 21
 #: Bits of a name: the chunk's partition above, then its number in it, then the number within the chunk.
 CHUNK_BITS, LOCAL_BITS = 13, 28
 #: A-Z become a-z, marks that end a piece a line feed, tabs blanks.
@@ -141,7 +141,7 @@ def _named(rows: DataFrame, keys: list[str], least: int, name: str) -> DataFrame
     own = F.shiftleft("c", LOCAL_BITS) + F.col("at")
     w = Window.partitionBy(*keys)
     found = rows.repartition(*keys).withColumns({"a": F.sum("n").over(w), "id": F.min(own).over(w)}).where(F.col("a") >= least)
-    return materialize(found.select("c", "at", "id", *[F.when(F.col("id") == own, F.col(k)).alias(k) for k in ("a", *keys)]), name)
+    return materialize(found.select("c", "at", "id", *[F.when(F.col("id") == own, F.col(k)).alias(k) for k in ("a", *keys)]), name, "zstd")
 
 
 def _once(named: DataFrame) -> DataFrame:
@@ -156,7 +156,7 @@ def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", mos
     inner (its shorter phrases, as structs of k and id).
     """
     text, lang = F.col(f"`{text_col}`").alias("t"), F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("l")
-    chunks = materialize(docs.select(text, lang).mapInArrow(_words, WORDS), "words")
+    chunks = materialize(docs.select(text, lang).mapInArrow(_words, WORDS), "words", "zstd")
     words = chunks.where("word is not null")
     totals = materialize(words.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
     names = _named(words.select("c", "at", "lang", "word", "n"), ["lang", "word"], least, "names")
@@ -166,7 +166,9 @@ def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", mos
     for k in range(2, most + 1):
         sides = names.select("c", "at", "id").groupBy("c"), chunks.where("seq is not null").select("c", "seq").groupBy("c")
         done = [chunks, names]
-        chunks = materialize(sides[0].cogroup(sides[1]).applyInArrow(_pairs, PAIRS), "pairs")
+        chunks = materialize(sides[0].cogroup(sides[1]).applyInArrow(_pairs, PAIRS), "pairs", "zstd")
+        for table in done:
+            discard(table)
         names = _named(chunks.where("seq is null").select("c", "at", "l", "r", "n"), ["l", "r"], least, "names")
         left = level.select(F.col("id").alias("l"), "lang", "phrase", "opening", F.col("inner").alias("left_inner"))
         right = level.select(F.col("id").alias("r"), "last", "ending", F.col("inner").alias("right_inner"))
@@ -175,8 +177,6 @@ def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", mos
             "id", "a", "lang", F.concat_ws(" ", "phrase", "last").alias("phrase"), "last", F.concat("opening", one).alias("opening"), F.concat("ending", one).alias("ending"), inner.alias("inner")), "phrases")
         each = level.drop("last").withColumn("k", F.lit(k))
         found = each if found is None else found.unionByName(each)
-        for table in done:
-            discard(table)
     discard(chunks)
     discard(names)
     return found, totals

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import os
 import tempfile
@@ -43,19 +44,25 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write df in the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def discard(df: DataFrame) -> None:
-    """Remove what materialize() wrote, once nothing reads it any more: all that was made of it is written itself."""
+    """Remove what materialize() wrote, once nothing reads it any more: all that was made of it is written itself.
+
+    Spark removes the shuffle files of finished work when the driver collects garbage, so that is asked for too.
+    """
     if files := df.inputFiles():
-        folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
-        folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+        spark = df.sparkSession
+        folder = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        gc.collect()
+        spark._jvm.System.gc()
 
 
 def free_name(df: DataFrame, name: str) -> str:
