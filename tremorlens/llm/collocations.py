@@ -4,8 +4,9 @@ Texts are cut into chunks of about two million words whose words have numbers of
 words once, with a count. Words (and later pairs) of all chunks meet by shuffle; the frequent ones get a global name,
 the smallest (chunk, number) that they have anywhere, and go back to their chunks. A chunk then replaces neighbouring
 names by pairs: a run of k words is the pair of the names of its first and its last k-1 words, and only runs whose
-halves are frequent are looked at. The pairs are parent pointers too: counts of all openings and endings of a phrase,
-and the phrases inside it, are read off its parents.
+halves are frequent are looked at. Its distinct pairs travel in packs, one for each share of all pairs, as compressed
+columns. The pairs are parent pointers too: counts of all openings and endings of a phrase, and the phrases inside it,
+are read off its parents.
 """
 
 from __future__ import annotations
@@ -43,16 +44,23 @@ class _Numbers(dict):
         return n
 
 
-def _packed(seq: np.ndarray) -> bytes:
-    """Compressed, the bytes of one significance together; 8 bytes with the length first."""
-    planes = np.ascontiguousarray(seq.astype("<i4").view(np.uint8).reshape(-1, 4).T)
-    return len(seq).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+def _packed(*columns: np.ndarray) -> bytes:
+    """Whole numbers, compressed: each column's bytes of one significance together, with the width and length in front."""
+    out = []
+    for c in columns:
+        data = pa.compress(np.ascontiguousarray(c.view(np.uint8).reshape(-1, c.itemsize).T).tobytes(), codec="zstd", asbytes=True) if len(c) else b""
+        out += [c.itemsize.to_bytes(1), len(c).to_bytes(8), len(data).to_bytes(8), data]
+    return b"".join(out)
 
 
-def _unpacked(data: bytes) -> np.ndarray:
-    n = int.from_bytes(data[:8], "little")
-    planes = np.frombuffer(pa.decompress(data[8:], 4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, n)
-    return np.ascontiguousarray(planes.T).view("<i4").ravel()
+def _unpacked(data: bytes) -> list[np.ndarray]:
+    out, at = [], 0
+    while at < len(data):
+        wide, n, size = data[at], int.from_bytes(data[at + 1 : at + 9]), int.from_bytes(data[at + 9 : at + 17])
+        planes = pa.decompress(data[at + 17 : at + 17 + size], wide * n, codec="zstd", asbytes=True) if n else b""
+        out.append(np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(wide, n).T).view(f"<i{wide}").ravel())
+        at += 17 + size
+    return out
 
 
 def _dense(seq: np.ndarray) -> np.ndarray:
@@ -105,15 +113,18 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from closed()
 
 
-PAIRS = "c long, seq binary, at int, l long, r long, n long"
+PAIRS = "c long, seq binary, p int, pairs binary"
+#: Words of all texts for each share of the pairs: a share is counted in one task at a time.
+SHARE_OF = 1 << 20
 
 
-def _pairs(key: tuple, names: pa.Table, chunk: pa.Table) -> pa.Table:
-    """Neighbouring names of a chunk: its runs that are one word longer as (c, seq), and the distinct pairs as (c, at, l, r, n)."""
-    schema = pa.schema([("c", pa.int64()), ("seq", pa.binary()), ("at", pa.int32()), ("l", pa.int64()), ("r", pa.int64()), ("n", pa.int64())])
+def _pairs(key: tuple, names: pa.Table, chunk: pa.Table, shares: int) -> pa.Table:
+    """Neighbouring names of a chunk: its runs that are one word longer as (c, seq), and its distinct pairs as (c, p, pairs),
+    a pack for each share p: number in the chunk (from the one before), names of both, count."""
+    schema = pa.schema([("c", pa.int64()), ("seq", pa.binary()), ("p", pa.int32()), ("pairs", pa.binary())])
     if not chunk.num_rows or not names.num_rows:
         return schema.empty_table()
-    seq = _unpacked(chunk.column("seq")[0].as_py())
+    seq = _unpacked(chunk.column("seq")[0].as_py())[0]
     at = names.column("at").to_numpy()
     own = np.full(int(max(seq.max(), at.max())) + 1, END, np.int32)
     order = np.argsort(at)
@@ -125,23 +136,51 @@ def _pairs(key: tuple, names: pa.Table, chunk: pa.Table) -> pa.Table:
     pair, new, times = np.unique(a[both] << 32 | b[both], return_inverse=True, return_counts=True)
     out = np.full(len(a), END, np.int32)
     out[both] = new
-    n = len(pair)
-    c = key[0].as_py()
-    head = pa.Table.from_arrays([pa.array([c], pa.int64()), pa.array([_packed(_dense(out))], pa.binary()), *[pa.nulls(1, f.type) for f in list(schema)[2:]]], schema=schema)
-    body = [pa.array(np.full(n, c)), pa.nulls(n, pa.binary()), pa.array(np.arange(n, dtype=np.int32)), pa.array(ids[pair >> 32]), pa.array(ids[pair & 0xFFFFFFFF]), pa.array(times.astype(np.int64))]
-    return pa.concat_tables([head, pa.Table.from_arrays(body, schema=schema)]) if n else head
-
-
-def _named(rows: DataFrame, keys: list[str], least: int, name: str) -> DataFrame:
-    """c, at and id of the frequent of rows (c, at, keys, n): the smallest (c, at) of those with the same keys. In the row
-    which that is of, also `a` (the sum of n) and the keys.
-
-    A word or pair has one row for each chunk at most, so a group is at most a few millionths of all words.
+    left, right = ids[pair >> 32], ids[pair & 0xFFFFFFFF]
+    share = ((left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ right.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(20)) % np.uint64(shares)
+    order = np.argsort(share, kind="stable")
+    cut = np.flatnonzero(np.diff(share[order].astype(np.int64), prepend=-1))
+    packs = [_packed(np.diff(k, prepend=0).astype(np.int32), left[k], right[k], times[k].astype(np.int32)) for k in np.split(order, cut[1:]) if len(k)]
+    columns = [[_packed(_dense(out)), *[None] * len(packs)], [None, *share[order[cut]].astype(np.int32).tolist()], [None, *packs]]
+    return pa.Table.from_arrays([pa.array([key[0].as_py()] * (1 + len(packs)), pa.int64()), *[pa.array(c, f.type) for c, f in zip(columns, list(schema)[1:])]], schema=schema)
+
+
+NAMES = "c long, at int, id long, a long, l long, r long"
+
+
+def _counted(key: tuple, packs: pa.Table, least: int) -> pa.Table:
+    """The frequent pairs of a share: see _named."""
+    schema = pa.schema([("c", pa.int64()), ("at", pa.int32()), ("id", pa.int64()), ("a", pa.int64()), ("l", pa.int64()), ("r", pa.int64())])
+    parts = [(c, *_unpacked(p)) for c, p in zip(packs.column("c").to_pylist(), packs.column("pairs").to_pylist())]
+    chunk = np.concatenate([np.full(len(p[1]), p[0], np.int64) for p in parts])
+    at = np.concatenate([np.cumsum(p[1], dtype=np.int64) for p in parts])
+    left, right, times = (np.concatenate([p[i] for p in parts]) for i in (2, 3, 4))
+    own = chunk << LOCAL_BITS | at
+    order = np.lexsort((own, right, left))
+    left, right, own = left[order], right[order], own[order]
+    first = np.flatnonzero(np.concatenate([[True], (left[1:] != left[:-1]) | (right[1:] != right[:-1])]))
+    total = np.add.reduceat(times[order].astype(np.int64), first)
+    size = np.diff(np.append(first, len(own)))
+    keep = np.repeat(total >= least, size)
+    head = np.zeros(len(own), bool)
+    head[first] = True
+    skip = ~head[keep]  # all but the row that names the pair
+    values = [own >> LOCAL_BITS, own & ((1 << LOCAL_BITS) - 1), np.repeat(own[first], size)]
+    some = [np.repeat(total, size), left, right]
+    return pa.Table.from_arrays([*[pa.array(v[keep], f.type) for v, f in zip(values, schema)], *[pa.array(v[keep], pa.int64(), mask=skip) for v in some]], schema=schema)
+
+
+def _named(words: DataFrame, least: int) -> DataFrame:
+    """c, at and id of the frequent of rows (c, at, lang, word, n): the smallest (c, at) of those with the same word. In the
+    row which that is of, also `a` (the sum of n) and the word.
+
+    A word has one row for each chunk at most, so a group is at most a few millionths of all words.
     """
+    keys = ["lang", "word"]
     own = F.shiftleft("c", LOCAL_BITS) + F.col("at")
     w = Window.partitionBy(*keys)
-    found = rows.repartition(*keys).withColumns({"a": F.sum("n").over(w), "id": F.min(own).over(w)}).where(F.col("a") >= least)
-    return materialize(found.select("c", "at", "id", *[F.when(F.col("id") == own, F.col(k)).alias(k) for k in ("a", *keys)]), name, "zstd")
+    found = words.repartition(*keys).withColumns({"a": F.sum("n").over(w), "id": F.min(own).over(w)}).where(F.col("a") >= least)
+    return materialize(found.select("c", "at", "id", *[F.when(F.col("id") == own, F.col(k)).alias(k) for k in ("a", *keys)]), "names", "zstd")
 
 
 def _once(named: DataFrame) -> DataFrame:
@@ -159,17 +198,19 @@ def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", mos
     chunks = materialize(docs.select(text, lang).mapInArrow(_words, WORDS), "words", "zstd")
     words = chunks.where("word is not null")
     totals = materialize(words.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
-    names = _named(words.select("c", "at", "lang", "word", "n"), ["lang", "word"], least, "names")
+    shares = max(1, -(-(totals.agg(F.sum("n")).first()[0] or 0) // SHARE_OF))
+    names = _named(words.select("c", "at", "lang", "word", "n"), least)
     one, word = F.array(F.col("a")), F.col("word").cast("string")
     level = materialize(_once(names).select("id", "a", "lang", word.alias("phrase"), word.alias("last"), one.alias("opening"), one.alias("ending"), F.expr("cast(array() as array<struct<k:int,id:bigint>>)").alias("inner")), "phrases")
     found = None
     for k in range(2, most + 1):
         sides = names.select("c", "at", "id").groupBy("c"), chunks.where("seq is not null").select("c", "seq").groupBy("c")
         done = [chunks, names]
-        chunks = materialize(sides[0].cogroup(sides[1]).applyInArrow(_pairs, PAIRS), "pairs", "zstd")
+        chunks = materialize(sides[0].cogroup(sides[1]).applyInArrow(lambda key, n, c: _pairs(key, n, c, shares), PAIRS), "pairs")
         for table in done:
             discard(table)
-        names = _named(chunks.where("seq is null").select("c", "at", "l", "r", "n"), ["l", "r"], least, "names")
+        packs = chunks.where("seq is null").select("c", "p", "pairs").groupBy("p")
+        names = materialize(packs.applyInArrow(lambda key, t: _counted(key, t, least), NAMES), "names", "zstd")
         left = level.select(F.col("id").alias("l"), "lang", "phrase", "opening", F.col("inner").alias("left_inner"))
         right = level.select(F.col("id").alias("r"), "last", "ending", F.col("inner").alias("right_inner"))
         inner = F.array_distinct(F.concat("left_inner", "right_inner", *([F.array(*[F.struct(F.lit(k - 1).alias("k"), F.col(x).alias("id")) for x in "lr"])] if k > 2 else [])))
