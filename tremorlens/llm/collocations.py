@@ -1,6 +1,6 @@
 """Operator 12: phrase collocations by hierarchical pair naming.
 
-Texts are cut into chunks of about two million words whose words have numbers of their own; a chunk hands on each of its
+Texts are cut into chunks of about a million and a half words whose words have numbers of their own; a chunk hands on each of its
 words once, with a count. Words (and later pairs) of all chunks meet by shuffle; the frequent ones get a global name,
 the smallest (chunk, number) that they have anywhere, and go back to their chunks. A chunk then replaces neighbouring
 names by pairs: a run of k words is the pair of the names of its first and its last k-1 words, and only runs whose
@@ -24,7 +24,7 @@ from .common import discard, documents, findable, materialize, partitions
 
 MOST_WORDS, LEAST, SHARE, TOP, SCALE = 4, 30, 80, 2000, 2_000_000
 #: Words of a chunk; it ends with a text, so a longer text makes a longer chunk.
-CHUNK = 1 << 21
+CHUNK = 3 << 19
 #: Bits of a name: the chunk's partition above, then its number in it, then the number within the chunk.
 CHUNK_BITS, LOCAL_BITS = 13, 28
 #: A-Z become a-z, marks that end a piece a line feed, tabs blanks.
@@ -115,7 +115,7 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 PAIRS = "c long, seq binary, p int, pairs binary"
 #: Words of all texts for each share of the pairs: a share is counted in one task at a time.
-SHARE_OF = 1 << 20
+SHARE_OF = 1 << 19
 
 
 def _pairs(key: tuple, names: pa.Table, chunk: pa.Table, shares: int) -> pa.Table:
@@ -125,11 +125,15 @@ def _pairs(key: tuple, names: pa.Table, chunk: pa.Table, shares: int) -> pa.Tabl
     if not chunk.num_rows or not names.num_rows:
         return schema.empty_table()
     seq = _unpacked(chunk.column("seq")[0].as_py())[0]
-    at = names.column("at").to_numpy()
+    if names.column("ids").null_count:  # words come one a row
+        at, ids = names.column("at").to_numpy(), names.column("id").to_numpy()
+    else:
+        packs = [_unpacked(x) for x in names.column("ids").to_pylist()]
+        at, ids = (np.concatenate([x[i] for x in packs]) for i in range(2))
     own = np.full(int(max(seq.max(), at.max())) + 1, END, np.int32)
     order = np.argsort(at)
     own[at[order]] = np.arange(len(at), dtype=np.int32)
-    ids = names.column("id").to_numpy()[order]
+    ids = ids[order]
     seq = np.where(seq >= 0, own[seq], END)
     a, b = seq[:-1].astype(np.int64), seq[1:].astype(np.int64)
     both = (a >= 0) & (b >= 0)
@@ -145,29 +149,32 @@ def _pairs(key: tuple, names: pa.Table, chunk: pa.Table, shares: int) -> pa.Tabl
     return pa.Table.from_arrays([pa.array([key[0].as_py()] * (1 + len(packs)), pa.int64()), *[pa.array(c, f.type) for c, f in zip(columns, list(schema)[1:])]], schema=schema)
 
 
-NAMES = "c long, at int, id long, a long, l long, r long"
+NAMES = "c long, ids binary, id long, a long, l long, r long"
 
 
 def _counted(key: tuple, packs: pa.Table, least: int) -> pa.Table:
-    """The frequent pairs of a share: see _named."""
-    schema = pa.schema([("c", pa.int64()), ("at", pa.int32()), ("id", pa.int64()), ("a", pa.int64()), ("l", pa.int64()), ("r", pa.int64())])
+    """The frequent pairs of a share: rows (id, a, l, r), and for each chunk that has some (c, ids), a pack of numbers in the
+    chunk and names."""
+    schema = pa.schema([("c", pa.int64()), ("ids", pa.binary()), ("id", pa.int64()), ("a", pa.int64()), ("l", pa.int64()), ("r", pa.int64())])
     parts = [(c, *_unpacked(p)) for c, p in zip(packs.column("c").to_pylist(), packs.column("pairs").to_pylist())]
-    chunk = np.concatenate([np.full(len(p[1]), p[0], np.int64) for p in parts])
-    at = np.concatenate([np.cumsum(p[1], dtype=np.int64) for p in parts])
+    own = np.concatenate([p[0] << LOCAL_BITS | np.cumsum(p[1], dtype=np.int64) for p in parts])
     left, right, times = (np.concatenate([p[i] for p in parts]) for i in (2, 3, 4))
-    own = chunk << LOCAL_BITS | at
     order = np.lexsort((own, right, left))
-    left, right, own = left[order], right[order], own[order]
+    left, right, own, times = left[order], right[order], own[order], times[order].astype(np.int64)
     first = np.flatnonzero(np.concatenate([[True], (left[1:] != left[:-1]) | (right[1:] != right[:-1])]))
-    total = np.add.reduceat(times[order].astype(np.int64), first)
-    size = np.diff(np.append(first, len(own)))
-    keep = np.repeat(total >= least, size)
-    head = np.zeros(len(own), bool)
-    head[first] = True
-    skip = ~head[keep]  # all but the row that names the pair
-    values = [own >> LOCAL_BITS, own & ((1 << LOCAL_BITS) - 1), np.repeat(own[first], size)]
-    some = [np.repeat(total, size), left, right]
-    return pa.Table.from_arrays([*[pa.array(v[keep], f.type) for v, f in zip(values, schema)], *[pa.array(v[keep], pa.int64(), mask=skip) for v in some]], schema=schema)
+    total = np.add.reduceat(times, first)
+    size, many = np.diff(np.append(first, len(own))), total >= least
+    head, keep = first[many], np.repeat(many, size)
+    n = len(head)
+    named = [pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), *[pa.array(x) for x in (own[head], total[many], left[head], right[head])]]
+    ids, own = np.repeat(own[first], size)[keep], own[keep]
+    by = np.argsort(own, kind="stable")
+    ids, chunk, at = ids[by], own[by] >> LOCAL_BITS, (own[by] & ((1 << LOCAL_BITS) - 1)).astype(np.int32)
+    cut = np.flatnonzero(np.diff(chunk, prepend=-1))
+    back = [_packed(at[k], ids[k]) for k in np.split(np.arange(len(at)), cut[1:]) if len(k)]
+    m = len(back)
+    sent = [pa.array(chunk[cut], pa.int64()), pa.array(back, pa.binary()), *[pa.nulls(m, pa.int64())] * 4]
+    return pa.concat_tables([pa.Table.from_arrays(named, schema=schema), pa.Table.from_arrays(sent, schema=schema)])
 
 
 def _named(words: DataFrame, least: int) -> DataFrame:
@@ -180,12 +187,12 @@ def _named(words: DataFrame, least: int) -> DataFrame:
     own = F.shiftleft("c", LOCAL_BITS) + F.col("at")
     w = Window.partitionBy(*keys)
     found = words.repartition(*keys).withColumns({"a": F.sum("n").over(w), "id": F.min(own).over(w)}).where(F.col("a") >= least)
-    return materialize(found.select("c", "at", "id", *[F.when(F.col("id") == own, F.col(k)).alias(k) for k in ("a", *keys)]), "names", "zstd")
+    return materialize(found.select("c", "at", "id", F.lit(None).cast("binary").alias("ids"), *[F.when(F.col("id") == own, F.col(k)).alias(k) for k in ("a", *keys)]), "names", "zstd")
 
 
 def _once(named: DataFrame) -> DataFrame:
     """A row for each name."""
-    return named.where(F.col("a").isNotNull()).drop("c", "at")
+    return named.where(F.col("a").isNotNull()).drop("c", "at", "ids")
 
 
 def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", most: int = MOST_WORDS, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
@@ -204,13 +211,13 @@ def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", mos
     level = materialize(_once(names).select("id", "a", "lang", word.alias("phrase"), word.alias("last"), one.alias("opening"), one.alias("ending"), F.expr("cast(array() as array<struct<k:int,id:bigint>>)").alias("inner")), "phrases")
     found = None
     for k in range(2, most + 1):
-        sides = names.select("c", "at", "id").groupBy("c"), chunks.where("seq is not null").select("c", "seq").groupBy("c")
+        sides = names.where("c is not null").select("c", "at", "id", "ids").groupBy("c"), chunks.where("seq is not null").select("c", "seq").groupBy("c")
         done = [chunks, names]
         chunks = materialize(sides[0].cogroup(sides[1]).applyInArrow(lambda key, n, c: _pairs(key, n, c, shares), PAIRS), "pairs")
         for table in done:
             discard(table)
         packs = chunks.where("seq is null").select("c", "p", "pairs").groupBy("p")
-        names = materialize(packs.applyInArrow(lambda key, t: _counted(key, t, least), NAMES), "names", "zstd")
+        names = materialize(packs.applyInArrow(lambda key, t: _counted(key, t, least), NAMES), "names").withColumn("at", F.lit(None).cast("int"))
         left = level.select(F.col("id").alias("l"), "lang", "phrase", "opening", F.col("inner").alias("left_inner"))
         right = level.select(F.col("id").alias("r"), "last", "ending", F.col("inner").alias("right_inner"))
         inner = F.array_distinct(F.concat("left_inner", "right_inner", *([F.array(*[F.struct(F.lit(k - 1).alias("k"), F.col(x).alias("id")) for x in "lr"])] if k > 2 else [])))
