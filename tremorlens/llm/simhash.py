@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.running import numbered_rows
 from .common import documents, materialize
 
 BITS = 64
@@ -33,9 +34,8 @@ BUCKET = 2048
 PAIRS = 1 << 21
 #: Cost of one dealt row in verified pairs (a row is hashed, shuffled and sorted, a pair is one vectorised XOR).
 ROW_COST = 200
-#: Nearest fingerprints of a bucket that each one is compared with in the first round, and how much further each later
-#: round looks (a round has only the documents that the one before left open).
-NEAREST, FURTHER = 1, 8
+#: The same where rows carry sketches.
+SKETCH_COST = 4000
 #: Shingles whose bits are counted at a time.
 CHUNK = 1 << 16
 #: Odd multipliers that make further hashes of a hash (any will do).
@@ -104,7 +104,7 @@ def co_occurrence(groups: DataFrame) -> tuple[int, np.ndarray]:
     return table[BITS][0], np.array([table[i] for i in range(BITS)], float)
 
 
-def plan_parts(n: int, both: np.ndarray, distance: int) -> list[tuple[list[int], int]]:
+def plan_parts(n: int, both: np.ndarray, distance: int, row_cost: int = ROW_COST) -> list[tuple[list[int], int]]:
     """(bits, threshold) of the parts that are probed, at the least estimated cost."""
     n = max(n, 1)
     one = np.diag(both) / n
@@ -118,7 +118,7 @@ def plan_parts(n: int, both: np.ndarray, distance: int) -> list[tuple[list[int],
     best: tuple[float, list[tuple[list[int], int]]] = (float("inf"), [])
     for m in range(1, min(2 * distance + 2, 12)):
         parts = _grouped(correlation, m)
-        costs = [[_cost(n, bits, t, distance, agree1, agree2, correlation) for t in range(-1, distance + 1)] for bits in parts]
+        costs = [[_cost(n, bits, t, distance, agree1, agree2, correlation, row_cost) for t in range(-1, distance + 1)] for bits in parts]
         total, chosen = _allot(costs, distance - m + 1)
         if total < best[0]:
             best = total, [(bits, t) for bits, t in zip(parts, chosen) if t >= 0]
@@ -141,7 +141,7 @@ def _grouped(correlation: np.ndarray, m: int) -> list[list[int]]:
     return parts
 
 
-def _cost(n: int, bits: list[int], t: int, distance: int, agree1: np.ndarray, agree2: np.ndarray, correlation: np.ndarray) -> float:
+def _cost(n: int, bits: list[int], t: int, distance: int, agree1: np.ndarray, agree2: np.ndarray, correlation: np.ndarray, row_cost: int) -> float:
     """Rows dealt (again, where buckets would be too large) and pairs verified if a part is probed within t; 0 at -1 (not probed)."""
     if t < 0:
         return 0.0
@@ -159,7 +159,7 @@ def _cost(n: int, bits: list[int], t: int, distance: int, agree1: np.ndarray, ag
     each = max(1.0, (BITS - key) / (distance + 1))  # bits that one more level adds to a key
     levels = ceil(max(0.0, log2(2 * bucket / BUCKET)) / each)
     dealt = sum((distance + 1) ** k for k in range(levels + 1))
-    return n * comb(len(bits), t) * dealt * ROW_COST + min(n * n / 2 * float(within.sum()), n * comb(len(bits), t) * dealt * BUCKET)
+    return n * comb(len(bits), t) * dealt * row_cost + min(n * n / 2 * float(within.sum()), n * comb(len(bits), t) * dealt * BUCKET)
 
 
 def _allot(costs: list[list[float]], total: int) -> tuple[float, list[int]]:
@@ -195,9 +195,8 @@ def _finer(mask: int, distance: int) -> list[int]:
     return [mask | sum(1 << b for b in rest[k :: distance + 1]) for k in range(distance + 1) if rest[k :: distance + 1]]
 
 
-def _stars(fps: np.ndarray, end: np.ndarray, distance: int, nearest: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Links within runs (row i's run stops before end[i]): each linked fingerprint with the first of its set and,
-    where asked for, with so many nearest ones."""
+def _stars(fps: np.ndarray, end: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links within runs (row i's run stops before end[i]): each linked fingerprint with the first of its set."""
     a, b = [], []
     at = np.flatnonzero(end - np.arange(len(fps)) > 1)
     lag = 1
@@ -210,7 +209,6 @@ def _stars(fps: np.ndarray, end: np.ndarray, distance: int, nearest: int = 0) ->
     if not a:
         return fps[:0], fps[:0]
     u, v = np.concatenate(a), np.concatenate(b)
-    best = _nearest(fps, u, v, nearest) if nearest else (u[:0], v[:0])
     label = np.arange(len(fps))
     while len(u):
         before = label.copy()
@@ -223,21 +221,10 @@ def _stars(fps: np.ndarray, end: np.ndarray, distance: int, nearest: int = 0) ->
         if np.array_equal(before, label):
             break
     linked = np.flatnonzero(label != np.arange(len(fps)))
-    return fps[np.concatenate([linked, best[0]])], fps[np.concatenate([label[linked], best[1]])]
+    return fps[linked], fps[label[linked]]
 
 
-def _nearest(fps: np.ndarray, u: np.ndarray, v: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each end of the links (u, v) the other ends at the least distances, the smallest of equals first."""
-    far = np.bitwise_count(fps[u] ^ fps[v])
-    node, other, far = np.concatenate([u, v]), np.concatenate([v, u]), np.concatenate([far, far])
-    order = np.lexsort((other, far, node))
-    node, other = node[order], other[order]
-    first = np.flatnonzero(np.diff(node, prepend=-1))
-    rank = np.arange(len(node)) - np.repeat(first, np.diff(first, append=len(node)))
-    return node[rank < most], other[rank < most]
-
-
-def scan_buckets(batches: Iterator[pa.RecordBatch], distance: int, nearest: int = 0) -> Iterator[pa.RecordBatch]:
+def scan_buckets(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
     """Rows (_m, _k, _fp) in order; gives links (0, fingerprint, fingerprint) and, of buckets too large, finer rows."""
     held = [np.empty(0, np.int64)] * 3
     over: tuple[int, int] | None = None
@@ -270,7 +257,7 @@ def scan_buckets(batches: Iterator[pa.RecordBatch], distance: int, nearest: int
         while at < len(fp):
             done = work[np.searchsorted(stops, at, "right") - 1] if at else 0
             to = int(stops[max(np.searchsorted(work, done + PAIRS, "right") - 1, np.searchsorted(stops, at, "right"))])
-            u, v = _stars(fp[at:to].view(np.uint64), end[at:to] - at, distance, nearest)
+            u, v = _stars(fp[at:to].view(np.uint64), end[at:to] - at, distance)
             if len(u):
                 yield out(np.zeros(len(u)), u.view(np.int64), v.view(np.int64))
             at = to
@@ -297,9 +284,8 @@ def scan_buckets(batches: Iterator[pa.RecordBatch], distance: int, nearest: int
     yield from linked(*held)
 
 
-def links(groups: DataFrame, distance: int, nearest: int = 0) -> DataFrame:
-    """_a, _b: fingerprints of one component; they connect all that lie within the distance of each other. With nearest,
-    also so many nearest fingerprints that each one meets in a bucket."""
+def links(groups: DataFrame, distance: int) -> DataFrame:
+    """_a, _b: fingerprints of one component; they connect all that lie within the distance of each other."""
     schema = "_m long, _k long, _fp long"
     n, both = co_occurrence(groups)
     dealt = [F.struct(F.lit(_signed(m)).alias("_m"), F.col("_fp").bitwiseAND(F.lit(_signed(m))).alias("_k")) for m in masks(plan_parts(n, both, distance))]
@@ -307,7 +293,7 @@ def links(groups: DataFrame, distance: int, nearest: int = 0) -> DataFrame:
     found = None
     while True:
         sorted_rows = rows.repartition("_m", "_k").sortWithinPartitions("_m", "_k", "_fp")
-        scanned = materialize(sorted_rows.mapInArrow(partial(scan_buckets, distance=distance, nearest=nearest), schema), "buckets")
+        scanned = materialize(sorted_rows.mapInArrow(partial(scan_buckets, distance=distance), schema), "buckets")
         own = scanned.where("_m = 0").select(F.col("_k").alias("_a"), F.col("_fp").alias("_b"))
         found = own if found is None else found.unionByName(own)
         rows = scanned.where("_m <> 0")
@@ -366,70 +352,263 @@ def overlap(a: str | None, b: str | None, words: int = 5) -> float:
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
-def _proposed(rest: DataFrame, distance: int, nearest: int = NEAREST) -> DataFrame:
-    """_a > _b: pairs of documents (_id, _fps) that a fingerprint proposes."""
-    each = rest.select("_id", F.explode(F.array_distinct("_fps")).alias("_fp"))
-    groups = materialize(each.groupBy("_fp").agg(F.min("_id").alias("_rep")), "groups")
-    near = links(groups.select("_fp"), distance, nearest).distinct()
-    a, b = groups.select(F.col("_fp").alias("_a"), F.col("_rep").alias("_ra")), groups.select(F.col("_fp").alias("_b"), F.col("_rep").alias("_rb"))
-    pairs = each.join(groups, "_fp").select("_id", "_rep").unionByName(near.join(a, "_a").join(b, "_b").select(F.col("_ra").alias("_id"), F.col("_rb").alias("_rep")))
-    pairs = pairs.select(F.greatest("_id", "_rep").alias("_a"), F.least("_id", "_rep").alias("_b")).where("_a <> _b").distinct()
-    return materialize(pairs, "proposed")
+#: Bits of a sketch, each of the least of the shingle hashes under one multiplier: two texts agree on half of them and half
+#: of their similarity more. Four standard deviations of that.
+SKETCH, MARGIN = 256, 0.2
+#: Shingles that are hashed under all multipliers at a time, and the bit of the least that is kept.
+SOME, KEPT = 2048, 24
+
+
+def sketch(text: str | None) -> list[int]:
+    """SKETCH bits in signed longs; zero for a text without words."""
+    hashes = shingle_hashes(text).view(np.uint64)
+    if not len(hashes):
+        return [0] * (SKETCH // BITS)
+    least = np.full(SKETCH, np.uint64((1 << 64) - 1))
+    for k in range(0, len(hashes), SOME):
+        np.minimum(least, (hashes[k : k + SOME, None] * _MULTIPLIERS[None, :]).min(axis=0), out=least)
+    return np.packbits((least >> np.uint64(KEPT) & np.uint64(1)).astype(np.uint8), bitorder="little").view("<i8").tolist()
+
+
+_MULTIPLIERS = _mixed(np.arange(SKETCH, dtype=np.uint64), 77) | np.uint64(1)
+
 
+def _differing(similarity: float) -> int:
+    """Sketch bits in which texts of a similarity differ."""
+    return int(SKETCH * (1 - similarity) / 2)
+
+
+def _alike(bits: np.ndarray, end: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows of one run (row i's run stops before end[i]) whose sketches differ in few bits: later, earlier row, bits."""
+    a, b, d = [], [], []
+    at, lag = np.flatnonzero(end - np.arange(len(bits)) > 1), 1
+    while len(at):
+        far = np.bitwise_count(bits[at] ^ bits[at + lag]).sum(axis=1, dtype=np.int64)
+        near = far <= most
+        a.append(at[near] + lag)
+        b.append(at[near])
+        d.append(far[near])
+        lag += 1
+        at = at[end[at] > at + lag]
+    if not a:
+        return (np.zeros(0, np.int64),) * 3
+    a, b, d = np.concatenate(a), np.concatenate(b), np.concatenate(d)
+    order = np.lexsort((b, a))
+    return a[order], b[order], d[order]
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 2, distance: int = 5, times: int = 5, least: float = 0.5) -> DataFrame:
+
+def _led(bits: np.ndarray, end: np.ndarray, least: float, known: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows go through in order; one that is surely like an earlier row that leads follows the first such; the others lead.
+
+    Which rows follow, and links (later, earlier row). A row that may be like a leader is linked to the nearest but leads
+    too. The first `known` rows lead already.
+    """
+    follows = np.zeros(len(bits), bool)
+    a, b, d = _alike(bits, end, _differing(least - MARGIN))
+    sure = _differing(least + MARGIN)
+    links: list[tuple[int, int]] = []
+    cut = np.flatnonzero(np.diff(a, prepend=-1))
+    for lo, hi in zip(cut, np.append(cut[1:], len(a))):
+        j = int(a[lo])
+        if j < known:
+            continue
+        lead = ~follows[b[lo:hi]]
+        if not lead.any():
+            continue
+        i, far = b[lo:hi][lead], d[lo:hi][lead]
+        certain = np.flatnonzero(far <= sure)
+        follows[j] = bool(len(certain))
+        links.append((j, int(i[certain[0]] if len(certain) else i[far.argmin()])))
+    pairs = np.array(links, np.int64).reshape(-1, 2)
+    return follows, pairs[:, 0], pairs[:, 1]
+
+
+FOUND = "_m long, _k long, _id long, _b long, " + ", ".join(f"_s{k} long" for k in range(SKETCH // BITS))
+
+
+def scan_sketches(batches: Iterator[pa.RecordBatch], least: float, distance: int, whole: bool) -> Iterator[pa.RecordBatch]:
+    """Rows (_m, _k, _id, _b, sketch) in order of the first three; gives links (0, 0, later, earlier) and rows for another scan.
+
+    whole: all rows of a bucket are here. Then what finds BUCKET leaders before it in a bucket and follows none is dealt
+    anew over the bits that the bucket doesn't share; it has been compared with all of these. If not, this is one task's
+    share of the buckets, and leaders go on to meet those of the other tasks.
+    """
+    names = [f.split()[0] for f in FOUND.split(", ")]
+    finer: dict[int, list[int]] = {}
+    key: tuple[int, int] | None = None
+    lead_id, lead_bits = np.zeros(0, np.int64), np.zeros((0, SKETCH // BITS), np.int64)
+
+    def out(m, k, ids, other, bits):
+        columns = [m, k, ids, other, *bits.T]
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(np.broadcast_to(np.asarray(c, np.int64), ids.shape))) for c in columns], names)
+
+    def linked(ids, other):
+        return out(0, 0, ids, other, np.zeros((len(ids), SKETCH // BITS), np.int64))
+
+    def closed():
+        """Leaders of the run that ends, for the other tasks' leaders."""
+        if key and not whole and len(lead_id):
+            yield out(*key, lead_id, 0, lead_bits)
+
+    for b in batches:
+        m, k, ids = (b.column(i).to_numpy().astype(np.int64) for i in range(3))
+        bits = np.stack([b.column(4 + i).to_numpy().astype(np.int64) for i in range(SKETCH // BITS)], axis=1) if len(m) else lead_bits[:0]
+        if not len(m):
+            continue
+        cut = np.flatnonzero(np.concatenate([[True], (m[1:] != m[:-1]) | (k[1:] != k[:-1])]))
+        stop = np.append(cut[1:], len(m))
+        first, last = (int(m[0]), int(k[0])) == key, len(cut) - 1
+        # Runs that are whole in this batch and not large, many at once.
+        inside = (stop - cut <= BUCKET) & (np.arange(len(cut)) < last)
+        inside[0] &= not first
+        rows = np.repeat(inside, stop - cut)
+        if rows.any():
+            at = np.flatnonzero(rows)
+            end = np.repeat(np.cumsum((stop - cut)[inside]), (stop - cut)[inside])
+            steps = np.flatnonzero(np.arange(len(at)) + 1 >= end) + 1
+            work = np.cumsum((end - np.arange(len(at)) - 1)[: steps[-1]])[steps - 1]
+            lo = 0
+            while lo < len(at):
+                done = work[np.searchsorted(steps, lo, "right") - 1] if lo else 0
+                hi = int(steps[max(np.searchsorted(work, done + PAIRS, "right") - 1, np.searchsorted(steps, lo, "right"))])
+                own = at[lo:hi]
+                follows, a, c = _led(bits[own].view(np.uint64), end[lo:hi] - lo, least)
+                if len(a):
+                    yield linked(ids[own[a]], ids[own[c]])
+                if not whole and not follows.all():
+                    left = own[~follows]
+                    yield out(m[left], k[left], ids[left], 0, bits[left])
+                lo = hi
+        for r in np.flatnonzero(~inside):
+            lo, hi = int(cut[r]), int(stop[r])
+            if (int(m[lo]), int(k[lo])) != key:
+                yield from closed()
+                key, lead_id, lead_bits = (int(m[lo]), int(k[lo])), ids[:0], bits[:0]
+            for at in range(lo, hi, BUCKET):
+                to = min(hi, at + BUCKET)
+                both_id, both = np.concatenate([lead_id, ids[at:to]]), np.concatenate([lead_bits, bits[at:to]])
+                follows, a, c = _led(both.view(np.uint64), np.full(len(both), len(both)), least, len(lead_id))
+                if len(a):
+                    yield linked(both_id[a], both_id[c])
+                subs = finer.setdefault(key[0], [_signed(x) for x in _finer(key[0] & (1 << 64) - 1, distance)])
+                most = BUCKET if subs or not whole else len(both)  # where all bits are shared, all that lead are kept
+                lead_id, lead_bits, over_id, over = both_id[~follows][:most], both[~follows][:most], both_id[~follows][most:], both[~follows][most:]
+                if len(over_id) and not whole:
+                    yield out(*key, over_id, 0, over)
+                elif len(over_id):
+                    for sub in subs:
+                        yield out(sub, -1, over_id, 0, over)  # the key within the finer mask is found by the caller
+    yield from closed()
+
+
+def _proposed(rest: DataFrame, masks_of: list[int], least: float, distance: int, keys: DataFrame | None = None) -> DataFrame:
+    """_a > _b: documents of rest (_id, _fps, _sk) that a bucket brings together and sketches don't tell apart.
+
+    keys: (_m, _k) of the buckets that are looked at; all if None.
+    """
+    sketches = [F.col("_sk")[i].alias(f"_s{i}") for i in range(SKETCH // BITS)]
+    rows = _dealt(rest, masks_of).select("_m", "_k", "_id", F.lit(0).cast("long").alias("_b"), *sketches)
+    if keys is not None:
+        rows = rows.join(keys, ["_m", "_k"], "left_semi")
+    order = ["_m", "_k", "_id"]
+    # A task's own share first: of a large group of copies it hands on the few that lead.
+    scanned = materialize(rows.sortWithinPartitions(*order).mapInArrow(partial(scan_sketches, least=least, distance=distance, whole=False), FOUND), "own-buckets")
+    found = scanned.where("_m = 0").select("_id", "_b")
+    rows = scanned.where("_m <> 0")
+    while True:
+        scanned = materialize(rows.repartition("_m", "_k").sortWithinPartitions(*order).mapInArrow(partial(scan_sketches, least=least, distance=distance, whole=True), FOUND), "buckets")
+        found = found.unionByName(scanned.where("_m = 0").select("_id", "_b"))
+        over = scanned.where("_m <> 0")
+        if over.isEmpty():
+            break
+        # A fingerprint of a document that is in the bucket gives the finer key: those of its fingerprints that share it.
+        each = over.join(rest.select("_id", F.explode(F.array_distinct("_fps")).alias("_fp")), "_id")
+        rows = materialize(each.withColumn("_k", F.col("_fp").bitwiseAND(F.col("_m"))).drop("_fp").select(*scanned.columns).distinct(), "finer")
+    return materialize(found.select(F.col("_id").alias("_a"), "_b").where("_a > _b").distinct(), "proposed")
+
+
+def _dealt(rest: DataFrame, masks_of: list[int]) -> DataFrame:
+    """A row for each document and bucket: _m, _k, _id, _sk."""
+    places = lambda fp: F.array(*[F.struct(F.lit(_signed(m)).alias("_m"), fp.bitwiseAND(F.lit(_signed(m))).alias("_k")) for m in masks_of])
+    each = F.explode(F.array_distinct(F.flatten(F.transform("_fps", places))))  # fingerprints may share buckets
+    return rest.select("_id", "_sk", each.alias("_e")).select("_e._m", "_e._k", "_id", "_sk")
+
+
+def _linked(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """_a, _b: for each document the smallest of those proposed that it is like.
+
+    Sketches decide beyond their error; where no pair of a document is sure, the texts of its nearest one do.
+    """
+    left, right = nodes.select(F.col("_id").alias("_a"), F.col("_sk").alias("_x")), nodes.select(F.col("_id").alias("_b"), F.col("_sk").alias("_y"))
+    far = sum((F.bit_count(F.col("_x")[k].bitwiseXOR(F.col("_y")[k])) for k in range(SKETCH // BITS)), F.lit(0))
+    met = pairs.join(left, "_a").join(right, "_b").select("_a", "_b", far.alias("_d")).where(F.col("_d") <= _differing(least - MARGIN))
+    sure = F.col("_d") <= _differing(least + MARGIN)
+    best = materialize(met.groupBy("_a").agg(F.min(F.when(sure, F.col("_b"))).alias("_b"), F.min_by("_b", F.struct("_d", "_b")).alias("_n")), "met")
+
+    @F.pandas_udf("double")
+    def similar(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([overlap(a, b) for a, b in zip(x, y)], dtype="float64")
+
+    unsure = best.where("_b is null").select("_a", F.col("_n").alias("_b"))
+    x, y = texts.select(F.col("_id").alias("_a"), F.col("_text").alias("_x")), texts.select(F.col("_id").alias("_b"), F.col("_text").alias("_y"))
+    by_text = unsure.join(x, "_a").join(y, "_b").where(similar("_x", "_y") >= least).select("_a", "_b")
+    return materialize(best.where("_b is not null").select("_a", "_b").unionByName(by_text), "alike")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 2, distance: int = 5, times: int = 3, least: float = 0.5) -> DataFrame:
     """The rows of docs without near copies of documents that stay.
 
     A document goes if its text shares at least `least` of its five-word shingles (Jaccard) with one of smaller
-    identifier that stays. Pairs to compare come from `times` fingerprints of each document, over shingles of `words`
-    words: in every bucket that a fingerprint is dealt to, it meets the first and the nearest few of those within the
-    distance. So comparisons grow with the documents, not with the pairs of a group, and fingerprints that meet by chance
-    cost no document. In each round documents without a similar one of smaller identifier stay, those similar to these go, and the
-    others (which are similar only to some that went) are proposed anew, until a round finds none. A document that stayed
-    in one round may meet a similar one of smaller identifier in a later one and go too.
-
-    Identifiers are taken as unique; rows without identifier stay. Null and blank texts have no shingles and are copies
-    of one another. An empty table gives an empty result; other columns come along whatever their names.
+    identifier that stays. Documents meet in the buckets of `times` fingerprints each, over shingles of `words` words: any
+    two with fingerprints within the distance meet, and most others that are like each other. In a bucket they go by
+    identifier; each is compared with those before that follow none, by sketches of the five-word shingles. Of what a
+    document is found to be like, the smallest counts. It goes if that one follows none itself; if not, or if that one goes
+    later, the document is looked at again, in its buckets as they are then. So in the end all that goes is like a smaller
+    one that stays, and no two that met and stay are like each other. Comparisons grow with the documents, not with the
+    pairs of a group.
+
+    Rows alike in identifier and text share one fate; of rows with one identifier the texts decide, in the order of their
+    hashes. Rows without identifier stay. Null and blank texts have no shingles and are copies of one another. An empty
+    table gives an empty result; other columns come along whatever their names.
     """
     key, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    hashed = F.xxhash64(F.coalesce(text, F.lit("")), F.lit(5))
 
-    @F.pandas_udf("array<long>")
-    def prints(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.array(simhashes(t, words, times), np.uint64).view(np.int64) for t in texts], dtype=object)
+    @F.pandas_udf("fps array<long>, sk array<long>")
+    def marks(texts: pd.Series) -> pd.DataFrame:
+        rows = [(np.array(simhashes(t, words, times), np.uint64).view(np.int64), sketch(t)) for t in texts]
+        return pd.DataFrame(rows, columns=["fps", "sk"])
 
-    @F.pandas_udf("array<long>")
-    def shingles(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingle_hashes(t) for t in texts], dtype=object)
-
-    rest = materialize(docs.where(key.isNotNull()).select(key.alias("_id"), prints(text).alias("_fps")), "fingerprints")
-    bags, gone, nearest = None, None, NEAREST
+    own = docs.where(key.isNotNull()).select(key.alias("_key"), hashed.alias("_th"), marks(text).alias("_v")).groupBy("_key", "_th").agg(F.first("_v").alias("_v"))
+    nodes = materialize(numbered_rows(own.select("_key", "_th", F.col("_v.fps").alias("_fps"), F.col("_v.sk").alias("_sk")), [F.col("_key"), F.col("_th")], "_id"), "nodes")
+    n, both = co_occurrence(nodes.select(F.explode(F.array_distinct("_fps")).alias("_fp")))
+    if not n:
+        return docs
+    of = masks(plan_parts(n, both, distance, SKETCH_COST))
+    named = nodes.select("_key", "_th", "_id")
+    texts = docs.where(key.isNotNull()).select(key.alias("_key"), hashed.alias("_th"), text.alias("_text")).join(named, ["_key", "_th"]).select("_id", "_text")
+    gone, keys, rest = None, None, nodes
     while True:
-        pairs = _proposed(rest, distance, nearest)
-        nearest = min(nearest * FURTHER, BUCKET)
-        met = pairs.select(F.explode(F.array("_a", "_b")).alias("_id")).distinct()
-        if bags is None:  # later rounds only have documents that the first one proposed
-            few = docs.select(key.alias("_key"), text.alias("_text")).join(met, F.col("_key") == F.col("_id"), "left_semi")
-            bags = materialize(few.select("_key", shingles(F.col("_text")).alias("_bag")), "bags")
-        left, right = bags.select(F.col("_key").alias("_a"), F.col("_bag").alias("_x")), bags.select(F.col("_key").alias("_b"), F.col("_bag").alias("_y"))
-        both = F.size(F.array_intersect("_x", "_y"))
-        alike = F.coalesce(F.try_divide(both, F.size("_x") + F.size("_y") - both), F.lit(1.0)) >= least
-        found = materialize(pairs.join(left, "_a").join(right, "_b").where(alike).select("_a", "_b"), "alike")
-        if found.isEmpty():
+        links = _linked(_proposed(rest, of, least, distance, keys), nodes, texts, least)
+        follows = links.select(F.col("_a").alias("_b")).distinct()
+        went = materialize(links.join(follows, "_b", "left_anti").select(F.col("_a").alias("_id"), F.col("_b").alias("_of")), "went")
+        lost = None
+        if gone is not None:
+            now = went.select(F.col("_id").alias("_of"))
+            lost = gone.join(now, "_of", "left_semi").select("_id")
+            gone = gone.join(now, "_of", "left_anti").unionByName(went)
+        else:
+            gone = went
+        gone = materialize(gone, "gone")
+        # Looked at again: what is like one that isn't settled, and what went by one that goes itself now.
+        again = links.select(F.col("_a").alias("_id")).join(went, "_id", "left_anti")
+        again = materialize(again if lost is None else again.unionByName(lost), "again")
+        if again.isEmpty():
             break
-        dropped = None
-        while not found.isEmpty():
-            # Those that are nobody's near copy stay for good; what is similar to one of them goes.
-            first = found.select("_b").distinct().join(found.select(F.col("_a").alias("_b")).distinct(), "_b", "left_anti")
-            went = materialize(found.join(first, "_b").select(F.col("_a").alias("_id")).distinct(), "went")
-            dropped = went if dropped is None else dropped.unionByName(went)
-            for end in ("_a", "_b"):
-                found = found.join(went.select(F.col("_id").alias(end)), end, "left_anti")
-            found = materialize(found, "alike")
-        gone = dropped if gone is None else gone.unionByName(dropped)
-        rest = materialize(rest.join(met, "_id", "left_semi").join(dropped, "_id", "left_anti"), "rest")
-    if gone is None:
-        return docs
-    return docs.join(gone.select(F.col("_id").alias("_near_copy_id")), key == F.col("_near_copy_id"), "left_anti")
+        rest = materialize(nodes.join(gone, "_id", "left_anti"), "rest")
+        keys = materialize(_dealt(rest.join(again, "_id", "left_semi"), of).select("_m", "_k").distinct(), "keys")
+    left = gone.join(named, "_id").select(F.col("_key").alias("_near_key"), F.col("_th").alias("_near_hash"))
+    return docs.join(left, (key == F.col("_near_key")) & (hashed == F.col("_near_hash")), "left_anti")
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
