@@ -1,6 +1,6 @@
 """Operator 12: phrase collocations by hierarchical pair naming.
 
-Texts are cut into chunks of about a million and a half words whose words have numbers of their own; a chunk hands on each of its
+Texts are cut into chunks of about a million words whose words have numbers of their own; a chunk hands on each of its
 words once, with a count. Words (and later pairs) of all chunks meet by shuffle; the frequent ones get a global name,
 the smallest (chunk, number) that they have anywhere, and go back to their chunks. A chunk then replaces neighbouring
 names by pairs: a run of k words is the pair of the names of its first and its last k-1 words, and only runs whose
@@ -24,7 +24,7 @@ from .common import discard, documents, findable, materialize, partitions
 
 MOST_WORDS, LEAST, SHARE, TOP, SCALE = 4, 30, 80, 2000, 2_000_000
 #: Words of a chunk; it ends with a text, so a longer text makes a longer chunk.
-CHUNK = 3 << 19
+CHUNK = 1 << 20
 #: Bits of a name: the chunk's partition above, then its number in it, then the number within the chunk.
 CHUNK_BITS, LOCAL_BITS = 13, 28
 #: A-Z become a-z, marks that end a piece a line feed, tabs blanks.
