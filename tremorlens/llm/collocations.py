@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, documents, findable, materialize, partitions
+from .common import discard, documents, findable, materialize, partitions, release_shuffles
 
 MOST_WORDS, LEAST, SHARE, TOP, SCALE = 4, 30, 80, 2000, 2_000_000
 #: Words of a chunk; it ends with a text, so a longer text makes a longer chunk.
@@ -207,6 +207,7 @@ def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", mos
     totals = materialize(words.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
     shares = max(1, -(-(totals.agg(F.sum("n")).first()[0] or 0) // SHARE_OF))
     names = _named(words.select("c", "at", "lang", "word", "n"), least)
+    release_shuffles(docs.sparkSession)
     one, word = F.array(F.col("a")), F.col("word").cast("string")
     level = materialize(_once(names).select("id", "a", "lang", word.alias("phrase"), word.alias("last"), one.alias("opening"), one.alias("ending"), F.expr("cast(array() as array<struct<k:int,id:bigint>>)").alias("inner")), "phrases")
     found = None
@@ -216,6 +217,7 @@ def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", mos
         chunks = materialize(sides[0].cogroup(sides[1]).applyInArrow(lambda key, n, c: _pairs(key, n, c, shares), PAIRS), "pairs")
         for table in done:
             discard(table)
+        release_shuffles(docs.sparkSession)
         packs = chunks.where("seq is null").select("c", "p", "pairs").groupBy("p")
         names = materialize(packs.applyInArrow(lambda key, t: _counted(key, t, least), NAMES), "names").withColumn("at", F.lit(None).cast("int"))
         left = level.select(F.col("id").alias("l"), "lang", "phrase", "opening", F.col("inner").alias("left_inner"))

@@ -53,16 +53,17 @@ def materialize(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
 
 
 def discard(df: DataFrame) -> None:
-    """Remove what materialize() wrote, once nothing reads it any more: all that was made of it is written itself.
-
-    Spark removes the shuffle files of finished work when the driver collects garbage, so that is asked for too.
-    """
+    """Remove what materialize() wrote, once nothing reads it any more: all that was made of it is written itself."""
     if files := df.inputFiles():
         spark = df.sparkSession
         folder = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-        gc.collect()
-        spark._jvm.System.gc()
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Spark removes the shuffle files of finished work when the driver collects garbage; this asks it to, between large steps."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def free_name(df: DataFrame, name: str) -> str:
