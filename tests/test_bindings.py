@@ -1,12 +1,12 @@
 import pytest
 
 import __spark_entry__ as entry
-from tremorlens.plans import bindings
+from tremorlens.plans import evaluation
 
 
-@pytest.mark.parametrize("name", sorted(bindings.QUERIES))
+@pytest.mark.parametrize("name", sorted(evaluation.QUERIES))
 def test_query_equals_sql(name, same):
-    same(bindings.QUERIES[name], bindings.SQL[name])
+    same(evaluation.QUERIES[name], evaluation.SQL[name])
 
 
 def test_entry(spark):

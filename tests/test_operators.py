@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tremorlens.functions.geo import haversine, valid_coordinates
 from tremorlens.functions.text import iso_timestamp, normalize, numbered, safe_double
+from tremorlens.operators.neighbours import nearest_by_bounds
 from tremorlens.operators import canonical, design, explore, groups, harmonize, profile, proximity, quality, reconcile
 
 D = design.Columns("record", "city", "grp", "event", "la", "lo", "label", "ordinal")
@@ -112,15 +113,41 @@ def test_a_polar_row_leaves_cells_elsewhere_alone(spark):
     assert cells[0] > 300_000 and cells[1] <= 8 and cells[2] == 1 and cells[3] > 400_000
 
 
-@pytest.mark.parametrize("few", [0, 10_000])
-def test_nearest_with_outliers(spark, few):
-    left = spark.createDataFrame([(1, 37.0, 36.0), (2, -60.0, -170.0), (3, 89.9999, 0.0), (4, None, 1.0)], "id int, la double, lo double")
-    right = spark.createDataFrame([(1, 37.001, 36.0), (2, 38.0, 36.0)], "st int, la double, lo double")
-    got = {r.id: r.distance for r in proximity.nearest(left, right, "id", "st", "la", "lo", 500.0, few=few).collect()}
-    want = {r.id: r.d for r in left.where("id < 4").crossJoin(right.toDF("st", "b", "o")).groupBy("id").agg(F.min(haversine(*map(F.col, ("la", "lo", "b", "o")))).alias("d")).collect()}
+def test_nearest_with_outliers(spark):
+    left = spark.createDataFrame([(1, 37.0, 36.0), (2, -60.0, -170.0), (3, 89.9999, 0.0), (4, None, 1.0), (5, 37.0, 36.0), (6, 0.0, 0.0)], "id int, la double, lo double")
+    right = spark.createDataFrame([(1, 37.001, 36.0), (2, 38.0, 36.0), (3, None, 2.0)], "st int, la double, lo double")
+    got = {r.id: r.distance for r in proximity.nearest(left, right, "id", "st", "la", "lo", 500.0).collect()}
+    ok = left.where("la is not null and la <> 0").crossJoin(right.where("la is not null").toDF("st", "b", "o"))
+    assert got == {r.id: r.d for r in ok.groupBy("id").agg(F.min(haversine(*map(F.col, ("la", "lo", "b", "o")))).alias("d")).collect()} and len(got) == 4
+    assert proximity.nearest(left, right.limit(0), "id", "st", "la", "lo", 500.0).collect() == []
+
+
+@pytest.mark.parametrize(("leaf", "opened"), [(1, 1), (2, 3), (32, 8)])
+def test_nearest_by_bounds_equals_all_pairs(spark, leaf, opened):
+    """Clusters, antipodes, poles, both sides of the antimeridian, repeated places; few cells at a time change nothing."""
+    rng = random.Random(leaf)
+    def some(n):
+        near = [(37 + rng.random() / 50, 36 + rng.random() / 50) for _ in range(n)]
+        return near + [(rng.uniform(-90, 90), rng.uniform(-180, 180)) for _ in range(n // 3)] + [(90.0, 5.0), (-90.0, 0.0), (10.0, 180.0), (10.0, -179.9999), (-37.01, -143.99)]
+    right = [(k, *p) for k, p in enumerate(some(60) + [(37.001, 36.001)] * 3)]
+    left = [(k, *p) for k, p in enumerate(some(40))]
+    a, b = spark.createDataFrame(left, "id int, la double, lo double"), spark.createDataFrame(right, "st int, la double, lo double")
+    got = {(r.la, r.lo): r.distance for r in nearest_by_bounds(a, b, "la", "lo", leaf, opened).collect()}
+    want = {(r.la, r.lo): r.d for r in a.crossJoin(b.toDF("st", "b", "o")).groupBy("la", "lo").agg(F.min(haversine(*map(F.col, ("la", "lo", "b", "o")))).alias("d")).collect()}
     assert got == want
 
 
+def test_grid_join_compiles(spark):
+    """Generated code of every stage is small enough; without the fallback a stage that doesn't compile fails."""
+    df = spark.createDataFrame([(k, 37 + k / 1e4, 36.0) for k in range(50)], "id int, la double, lo double")
+    before = spark.conf.get("spark.sql.codegen.fallback")
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        assert proximity.self_pairs(df, "id", "la", "lo", 100.0).count() == 8 * 50 - 36
+    finally:
+        spark.conf.set("spark.sql.codegen.fallback", before)
+
+
 def test_points_in_polygons_equal_all_pairs(spark):
     rng = random.Random(5)
     square = lambda x, y, s: [(x, y), (x + s, y), (x + s, y + s), (x, y + s)]

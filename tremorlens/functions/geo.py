@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,12 @@ ECCENTRICITY = 0.08181919084262149
 RECTIFYING = 0.9996 * 6367449.145823415
 SERIES = (0.0008377318188192541, 7.608496958699166e-07, 1.2034877875966646e-09)
 MERIDIAN, EASTING = 39.0, 500_000.0
+#: Third flattening, and the series back from the plane by its powers.
+THIRD = (1 - math.sqrt(1 - ECCENTRICITY**2)) / (1 + math.sqrt(1 - ECCENTRICITY**2))
+BACK = (
+    THIRD / 2 - 2 * THIRD**2 / 3 + 37 * THIRD**3 / 96 - THIRD**4 / 360, THIRD**2 / 48 + THIRD**3 / 15 - 437 * THIRD**4 / 1440,
+    17 * THIRD**3 / 480 - 37 * THIRD**4 / 840, 4397 * THIRD**4 / 161280,
+)
 
 
 def valid_coordinates(lat: Column, lon: Column) -> Column:
@@ -38,6 +46,20 @@ def utm37(lat: Column, lon: Column) -> tuple[Column, Column]:
     return EASTING + RECTIFYING * east, RECTIFYING * north
 
 
+def from_utm37(east: Column, north: Column) -> tuple[Column, Column]:
+    """Latitude and longitude of a place in zone 37 north: the inverse series, then the latitude by a few fixed-point steps."""
+    y, x = north / RECTIFYING, (east - EASTING) / RECTIFYING
+    up, out = y, x
+    for j, b in enumerate(BACK, 1):
+        up = up - b * F.sin(2 * j * y) * F.cosh(2 * j * x)
+        out = out - b * F.cos(2 * j * y) * F.sinh(2 * j * x)
+    conformal = F.sin(up) / F.cosh(out)
+    isometric, sine = F.atanh(conformal), conformal
+    for _ in range(6):  # each step leaves a hundred-and-fiftieth of the error
+        sine = F.tanh(isometric + ECCENTRICITY * F.atanh(ECCENTRICITY * sine))
+    return F.degrees(F.asin(sine)), MERIDIAN + F.degrees(F.atan2(F.sinh(out), F.cos(up)))
+
+
 def grid_cell(lat: Column, lon: Column, size: int = 5000) -> Column:
     """Name of the 5 km cell; invalid coordinates have a name of their own."""
     east, north = utm37(lat, lon)

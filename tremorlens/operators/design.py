@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import grid_cell, valid_coordinates
-from .groups import attach
+from .groups import attach, materialize
 
 ROLES = ("train", "validation", "test", "excluded")
 
@@ -66,37 +66,52 @@ def _crossing(f: Fold) -> Column:
     return F.coalesce(test + validation + (F.size("_domains") > test + validation).cast("int") > 1, F.lit(False))
 
 
-def _prepared(df: DataFrame, c: Columns, folds: list[Fold], coordinate_required: bool, spatial: bool, conflicts: bool, uncertainty: str | Column | None) -> DataFrame:
-    """A row for each record with what all folds need: _domain, leakage_group, reason, label, _domains of the group, and
-    `_kept`, the rows that each fold keeps at its place (null without a place)."""
+def prepare(df: DataFrame, c: Columns, folds: list[Fold], coordinate_required: bool = False, spatial: bool = False, conflicts: bool = True, uncertainty: str | Column | None = None) -> DataFrame:
+    """A row for each record with what all folds need: _domain, leakage_group, reason, label, _cross (for each fold, whether its
+    group has several roles) and `_kept`, the rows that each fold keeps at its place (null without a place). The records are read once and written slim."""
     ok, domain, group = valid_coordinates(F.col(c.lat), F.col(c.lon)), F.col(c.domain), F.col(c.group)
-    base = eligibility(df, c, spatial, conflicts)
-    if coordinate_required or spatial:
-        base = base.withColumn("reason", F.when(~ok, "missing_or_invalid_coordinate").otherwise(F.col("reason")))
-    base = base.withColumn("reason", F.when(domain.isNull(), "missing_domain").otherwise(F.col("reason")))
     name = F.lit(None).cast("string") if uncertainty is None else uncertainty if isinstance(uncertainty, Column) else F.col(uncertainty)
     # Domains that no fold tests or validates are alike: they train.
     named = sorted({d for f in folds for d in (f.test, f.validation)})
-    base = base.select(
-        F.col(c.record).alias("record_id"), F.when(domain.isin(*named), domain).otherwise("").alias("_domain"), group.cast("string").alias("leakage_group"), "reason", F.col(c.label).alias("label"),
+    base = eligibility(df, c, spatial)
+    over = F.when(domain.isNull(), "missing_domain")
+    if coordinate_required or spatial:
+        over = F.coalesce(over, F.when(~ok, "missing_or_invalid_coordinate"))
+    base = materialize(base.select(
+        F.col(c.record).alias("record_id"), F.when(domain.isin(*named), domain).otherwise("").alias("_domain"), group.cast("string").alias("leakage_group"), F.col(c.label).alias("label"),
+        F.col("reason").alias("_own"), over.alias("_over"),
         F.when(ok, F.coalesce(F.col(c.event).cast("string"), F.lit(""))).alias("_event"), F.when(ok, F.col(c.lat)).alias("_la"), F.when(ok, F.col(c.lon)).alias("_lo"),
-        (grid_cell(F.col(c.lat), F.col(c.lon)) if spatial else F.coalesce(name, group.cast("string"))).alias("uncertainty_group"))
-    base = attach(base, ["leakage_group"], {"_domains": F.collect_set("_domain")}, nulls=False)
-    kept = [F.count_if((F.col("reason") == "") & ~_crossing(f)) for f in folds]
-    return attach(base, ["_event", "_la", "_lo"], {"_kept": F.array(*kept)}, nulls=False)
+        (grid_cell(F.col(c.lat), F.col(c.lon)) if spatial else F.coalesce(name, group.cast("string"))).alias("uncertainty_group")))
+    both = attach(base, ["leakage_group"], {"_domains": F.collect_set("_domain")}, nulls=False)
+    own = F.col("_own")
+    if conflicts:
+        both = attach(both, ["_la", "_lo"], {"_clash": F.min("label") != F.max("label")}, nulls=False, of=base)
+        own = F.when(F.col("_clash"), "conflicting_labels_at_exact_coordinate").otherwise(own)
+    # Whether the group crosses partitions, once for each fold: places and folds ask for it again and again.
+    both = both.withColumns({"reason": F.coalesce("_over", own), "_cross": F.array(*[_crossing(f) for f in folds])}).drop("_own", "_over", "_clash", "_domains")
+    both = materialize(both)
+    kept = [F.count_if((F.col("reason") == "") & ~F.col("_cross")[k]) for k in range(len(folds))]
+    return attach(both, ["_event", "_la", "_lo"], {"_kept": F.array(*kept)}, nulls=False)
 
 
 def _in_folds(rows: DataFrame, folds: list[Fold], per_fold: list[Column]) -> DataFrame:
     """rows once for each fold: fold, partition, exclusion_reason, and value (its element of per_fold)."""
     d = F.col("_domain")
     each = F.explode(F.array(*[F.struct(
-        F.lit(f.name).alias("fold"), F.when(d == f.test, "test").when(d == f.validation, "validation").otherwise("train").alias("role"), _crossing(f).alias("crossing"), value.alias("value"))
-        for f, value in zip(folds, per_fold)]))
+        F.lit(f.name).alias("fold"), F.when(d == f.test, "test").when(d == f.validation, "validation").otherwise("train").alias("role"), F.col("_cross")[k].alias("crossing"), value.alias("value"))
+        for k, (f, value) in enumerate(zip(folds, per_fold))]))
     out = rows.withColumn("_f", each)
     why = F.when(F.col("_f.crossing"), "group_crosses_domain_partition").otherwise(F.col("reason"))
     return out.withColumns({"fold": F.col("_f.fold"), "exclusion_reason": why, "partition": F.when(why != "", "excluded").otherwise(F.col("_f.role")), "value": F.col("_f.value")})
 
 
+def parts_of(prepared: DataFrame, folds: list[Fold]) -> DataFrame:
+    """partition_folds of what prepare() gives."""
+    out = _in_folds(prepared, folds, [F.col("_kept")[k] for k in range(len(folds))])
+    weight = F.when(F.col("partition") == "excluded", F.lit(0.0)).when(F.col("value").isNull(), F.lit(1.0)).otherwise(F.lit(1.0) / F.col("value"))
+    return out.select("fold", "record_id", "partition", "exclusion_reason", "leakage_group", weight.alias("evaluation_weight"), "uncertainty_group")
+
+
 def partition_folds(df: DataFrame, c: Columns, folds: list[Fold], coordinate_required: bool = False, spatial: bool = False, conflicts: bool = True, uncertainty: str | Column | None = None) -> DataFrame:
     """All folds in one job: fold, record, partition, exclusion_reason, leakage_group, evaluation_weight, uncertainty_group.
 
@@ -106,10 +121,18 @@ def partition_folds(df: DataFrame, c: Columns, folds: list[Fold], coordinate_req
     """
     # Rows are multiplied by folds only at the end: which roles a group has, and how many rows a place keeps, are
     # found for all folds at once.
-    base = _prepared(df, c, folds, coordinate_required, spatial, conflicts, uncertainty)
-    out = _in_folds(base, folds, [F.col("_kept")[k] for k in range(len(folds))])
-    weight = F.when(F.col("partition") == "excluded", F.lit(0.0)).when(F.col("value").isNull(), F.lit(1.0)).otherwise(F.round(F.lit(1.0) / F.col("value"), 9))
-    return out.select("fold", "record_id", "partition", "exclusion_reason", "leakage_group", weight.alias("evaluation_weight"), "uncertainty_group")
+    return parts_of(prepare(df, c, folds, coordinate_required, spatial, conflicts, uncertainty), folds)
+
+
+def counts_of(prepared: DataFrame, folds: list[Fold]) -> DataFrame:
+    """fold_counts of what prepare() gives."""
+    place = [F.col("_kept")[k] for k in range(len(folds))]
+    sums = prepared.groupBy("_domain", "leakage_group", "reason", "label").agg(
+        F.any_value("_cross").alias("_cross"), F.count(F.lit(1)).alias("records"),
+        *[F.sum(F.when(p.isNull(), 1.0).when(p > 0, F.lit(1.0) / p).otherwise(0.0)).alias(f"_w{k}") for k, p in enumerate(place)])
+    out = _in_folds(sums, folds, [F.col(f"_w{k}") for k in range(len(folds))])
+    weight = F.when(F.col("partition") == "excluded", F.lit(0.0)).otherwise(F.col("value"))
+    return out.select("fold", "partition", "exclusion_reason", "leakage_group", "label", "records", weight.alias("weight"))
 
 
 def fold_counts(df: DataFrame, c: Columns, folds: list[Fold], coordinate_required: bool = False, spatial: bool = False, conflicts: bool = True) -> DataFrame:
@@ -117,14 +140,7 @@ def fold_counts(df: DataFrame, c: Columns, folds: list[Fold], coordinate_require
 
     Records are counted by group, label and reason before they are multiplied by folds.
     """
-    base = _prepared(df, c, folds, coordinate_required, spatial, conflicts, None)
-    place = [F.col("_kept")[k] for k in range(len(folds))]
-    sums = base.groupBy("_domain", "leakage_group", "reason", "label").agg(
-        F.any_value("_domains").alias("_domains"), F.count(F.lit(1)).alias("records"),
-        *[F.sum(F.when(p.isNull(), 1.0).when(p > 0, F.round(F.lit(1.0) / p, 9)).otherwise(0.0)).alias(f"_w{k}") for k, p in enumerate(place)])
-    out = _in_folds(sums, folds, [F.col(f"_w{k}") for k in range(len(folds))])
-    weight = F.when(F.col("partition") == "excluded", F.lit(0.0)).otherwise(F.col("value"))
-    return out.select("fold", "partition", "exclusion_reason", "leakage_group", "label", "records", weight.alias("weight"))
+    return counts_of(prepare(df, c, folds, coordinate_required, spatial, conflicts), folds)
 
 
 def fold_summary(counts: DataFrame, small: int = 30) -> DataFrame:
@@ -146,12 +162,16 @@ def fold_classes(counts: DataFrame) -> DataFrame:
 
 
 def disjoint_violations(parts: DataFrame) -> DataFrame:
-    """Per fold: repeated records, groups in more than one kept partition, excluded rows that weigh something."""
+    """Per fold: repeated records, groups in more than one kept partition, excluded rows that weigh something.
+
+    The folds' rows are written slim and read twice, by record and by group.
+    """
     kept = F.when(F.col("partition") != "excluded", F.col("partition"))
     weighed = (F.col("partition") == "excluded") & (F.col("evaluation_weight") != 0)
-    records = parts.groupBy("fold", "record_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(weighed).alias("w"))
+    slim = materialize(parts.select("fold", "record_id", "leakage_group", kept.alias("kept"), weighed.alias("weighed")))
+    records = slim.groupBy("fold", "record_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("weighed").alias("w"))
     records = records.groupBy("fold").agg(F.sum("w").alias("weighed_exclusions"), F.count_if(F.col("n") > 1).alias("repeated_records"))
-    groups = parts.where("leakage_group is not null").groupBy("fold", "leakage_group").agg((F.min(kept) != F.max(kept)).alias("split")).groupBy("fold").agg(F.count_if("split").alias("split_groups"))
+    groups = slim.where("leakage_group is not null").groupBy("fold", "leakage_group").agg((F.min("kept") != F.max("kept")).alias("split")).groupBy("fold").agg(F.count_if("split").alias("split_groups"))
     return records.join(groups, "fold", "left").na.fill(0)
 
 
@@ -168,5 +188,8 @@ def reserve_external(df: DataFrame, record: str, group: str, survey: DataFrame,
         F.col(record).alias("record_id"), F.lit("reserved_external").alias("partition"), F.lit(False).alias("evaluation_enabled"), F.coalesce("linked", F.lit(False)).alias("linked"))
 
 
-def domain_complement(domains: list[str], fold: Fold) -> list[str]:
-    return [d for d in domains if d not in (fold.test, fold.validation)]
+def domain_complement(df: DataFrame, domain: str, folds: list[Fold]) -> DataFrame:
+    """fold, domain: the domains of a table that a fold neither tests nor validates."""
+    domains = df.where(F.col(domain).isNotNull()).select(F.col(domain).alias("domain")).distinct()
+    each = domains.select(F.explode(F.array(*[F.struct(F.lit(f.name).alias("fold"), F.lit(f.test).alias("test"), F.lit(f.validation).alias("validation")) for f in folds])).alias("f"), "domain")
+    return each.where((F.col("domain") != F.col("f.test")) & (F.col("domain") != F.col("f.validation"))).select("f.fold", "domain")

@@ -10,14 +10,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def attach(df: DataFrame, keys: list[str], values: dict[str, Column], nulls: bool = True) -> DataFrame:
-    """df with aggregates of each row's group.
+def attach(df: DataFrame, keys: list[str], values: dict[str, Column], nulls: bool = True, of: DataFrame | None = None) -> DataFrame:
+    """df with aggregates of each row's group (in `of`, where that is another table with the keys, as what df was made from).
 
     Aggregated before the shuffle and joined back, so a group that holds much of the table is neither sorted nor
     buffered in one task; the join side may be split where keys are skewed. nulls: whether null keys are a group
     like any other; if not, their rows get nulls and take no part in the shuffle of groups.
     """
-    rows = df if nulls else df.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]))
+    rows = df if of is None else of
+    rows = rows if nulls else rows.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]))
     sums = rows.groupBy(*keys).agg(*[v.alias(n) for n, v in values.items()])
     sums = sums.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *values)
     pairs = [(F.col(k), F.col(f"_k{i}")) for i, k in enumerate(keys)]

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import valid_coordinates
 from ..functions.text import blank_as_missing, fractional, missing_word, safe_double
+from .running import numbered_rows
 from .summaries import per_column
 
 
@@ -17,9 +18,8 @@ def value_counts(df: DataFrame, column: str, blanks: bool = False) -> DataFrame:
 
 
 def ranked_counts(df: DataFrame, column: str) -> DataFrame:
-    """place (from 1, by rows, then value), value, records: value_counts in order, for columns of few values (one task orders these)."""
-    order = Window.orderBy(F.desc("records"), "value")
-    return value_counts(df, column).select(F.row_number().over(order).cast("long").alias("place"), "value", "records")
+    """place (from 1, by rows, then value), value, records: value_counts in order, of any number of values."""
+    return numbered_rows(value_counts(df, column), [F.desc("records"), F.col("value")], "place").select("place", "value", "records")
 
 
 def counts_map(df: DataFrame, column: str) -> DataFrame:
@@ -81,9 +81,9 @@ def repeated_rows(df: DataFrame, keys: list[str]) -> DataFrame:
     return sizes.where("n > 1").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("repeated_rows"), F.count(F.lit(1)).alias("groups"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("excess_rows"))
 
 
-def duplicate_names(spark, names: list[str]) -> DataFrame:
-    """Header names that occur more than once."""
-    return spark.createDataFrame([(n,) for n in names], "name string").groupBy("name").count().where("count > 1")
+def duplicate_names(df: DataFrame, name: str) -> DataFrame:
+    """name, count of the names in a column (such as the header cells of many sheets) that occur more than once."""
+    return df.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("name")).count().where("count > 1")
 
 
 def value_catalog(df: DataFrame, columns: list[str]) -> DataFrame:

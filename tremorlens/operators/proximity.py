@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import RADIUS, haversine, valid_coordinates
 from ..functions.text import group_name
 from .groups import components, materialize
+from .neighbours import nearest_by_bounds
 
 
 def _height(radius: float) -> float:
@@ -45,13 +46,11 @@ def pairs_within(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
     b = right.where(valid_coordinates(la, lo)).select(F.col(right_id).alias("_j"), la.alias("_lb"), lo.alias("_lp"))
     y = F.floor(F.col("_la") / height).cast("long")
     a = a.withColumns({"_y": y, "_x": _column(F.col("_lo"), _around(y, height, radius))})
+    # Bands first, then the cells of each: one expression for all nine cells is too large to compile.
     y = F.floor(F.col("_lb") / height).cast("long")
-    cells = []
-    for d in (-1, 0, 1):
-        around = _around(y + d, height, radius)
-        cells += [F.struct((y + d).alias("y"), F.pmod(_column(F.col("_lp"), around) + e, around).alias("x")) for e in (-1, 0, 1)]
-    b = b.withColumn("_c", F.explode(F.array_distinct(F.array(*cells))))
-    joined = a.join(b, (F.col("_y") == F.col("_c.y")) & (F.col("_x") == F.col("_c.x")))
+    b = b.withColumn("_cy", F.explode(F.array(y - 1, y, y + 1))).withColumn("_n", _around(F.col("_cy"), height, radius))
+    b = b.withColumn("_cx", F.explode(F.array_distinct(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda e: F.pmod(_column(F.col("_lp"), F.col("_n")) + e, F.col("_n"))))))
+    joined = a.join(b, (F.col("_y") == F.col("_cy")) & (F.col("_x") == F.col("_cx")))
     d = haversine(F.col("_la"), F.col("_lo"), F.col("_lb"), F.col("_lp"))
     return joined.where(d <= radius).select(F.col("_i").alias(left_id), F.col("_j").alias(right_id), d.alias("distance"))
 
@@ -70,31 +69,21 @@ def overlap_by_threshold(pairs: DataFrame, left_id: str, right_id: str, threshol
     return F.broadcast(all_of).join(found, "threshold", "left").na.fill(0, ["pairs", "left_records", "right_records"])
 
 
-def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, lat: str, lon: str, radius: float, grow: float = 4.0, limit: float = 2.1e7, few: int = 10_000) -> DataFrame:
-    """left_id, distance to the nearest valid point of the other side; rings grow until every point has one (or none exists).
+def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, lat: str, lon: str, radius: float) -> DataFrame:
+    """left_id, distance to the nearest valid point of the other side, however far; no rows if that has none.
 
-    A pass keeps only points that found nothing within its radius, so that dense regions are joined at the small
-    radius and none is compared with all others. Once at most `few` points are left, which are outliers far from all
-    others, these are broadcast and every task takes the least distance to its own share of the other side.
+    Points within `radius` of one are joined on the grid. The others, which found nothing there, search the hierarchy of
+    the other side's occupied cells, so no ring has to grow until it reaches the far ones.
     """
-    ok = valid_coordinates(F.col(lat), F.col(lon))
-    out, rest = None, left.where(ok).select(left_id, lat, lon)
-    while True:
-        # Each ring is written, so that it runs once and not again in every later one.
-        found = materialize(pairs_within(rest, right, left_id, right_id, lat, lon, radius).groupBy(left_id).agg(F.min("distance").alias("distance")))
-        out = found if out is None else out.unionByName(found)
-        if radius >= limit:
-            return out
-        rest = materialize(rest.join(found, left_id, "left_anti"))
-        n = rest.count()
-        if n == 0:
-            return out
-        if n <= few:
-            far = F.broadcast(rest.select(F.col(left_id), F.col(lat).alias("_la"), F.col(lon).alias("_lo")))
-            each = right.where(ok).select(F.col(lat).alias("_lb"), F.col(lon).alias("_lp")).join(far, how="cross")
-            d = haversine(F.col("_la"), F.col("_lo"), F.col("_lb"), F.col("_lp"))
-            return out.unionByName(each.groupBy(left_id).agg(F.min(d).alias("distance")))
-        radius = min(limit, radius * grow)
+    own = left.where(valid_coordinates(F.col(lat), F.col(lon))).select(left_id, lat, lon)
+    near = materialize(pairs_within(own, right, left_id, right_id, lat, lon, radius).groupBy(left_id).agg(F.min("distance").alias("distance")))
+    rest = materialize(own.join(near, left_id, "left_anti"))
+    if rest.isEmpty():
+        return near
+    found = nearest_by_bounds(rest, right.where(valid_coordinates(F.col(lat), F.col(lon))), lat, lon)
+    found = found.withColumnsRenamed({"la": "_la", "lo": "_lo"})
+    far = rest.join(found, (F.col(lat) == F.col("_la")) & (F.col(lon) == F.col("_lo"))).select(left_id, "distance")
+    return near.unionByName(far)
 
 
 def proximity_groups(df: DataFrame, key: str, lat: str, lon: str, radius: float = 100.0, most: int | None = None) -> DataFrame:

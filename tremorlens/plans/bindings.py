@@ -319,7 +319,7 @@ def _folds_sql(folds: list[design.Fold]) -> str:
   x AS (SELECT *, CASE WHEN grp IS NOT NULL AND min(role) OVER g <> max(role) OVER g THEN 'group_crosses_domain_partition' ELSE reason END AS why FROM r WINDOW g AS (PARTITION BY fold, grp)),
   y AS (SELECT *, CASE WHEN why <> '' THEN 'excluded' ELSE role END AS part FROM x),
   parts AS (SELECT fold, record AS record_id, part AS "partition", why AS exclusion_reason, grp AS leakage_group,
-    CASE WHEN part = 'excluded' THEN CAST(0 AS DOUBLE) WHEN NOT ok THEN CAST(1 AS DOUBLE) ELSE round(CAST(1 AS DOUBLE) / count(*) FILTER (WHERE part <> 'excluded') OVER (PARTITION BY fold, event, la, lo), 9) END AS evaluation_weight,
+    CASE WHEN part = 'excluded' THEN CAST(0 AS DOUBLE) WHEN NOT ok THEN CAST(1 AS DOUBLE) ELSE CAST(1 AS DOUBLE) / count(*) FILTER (WHERE part <> 'excluded') OVER (PARTITION BY fold, event, la, lo) END AS evaluation_weight,
     grp AS uncertainty_group, label FROM y)"""
 
 
@@ -331,14 +331,14 @@ def _parts(spark, sf, folds):
     return design.partition_folds(v.design(spark, sf), COLUMNS, folds, coordinate_required=True)
 
 
-@query("q29_partition_fold", f"WITH {_folds_sql(ONE)} SELECT * EXCLUDE (label) FROM parts")
+@query("q29_partition_fold", f"WITH {_folds_sql(ONE)} SELECT * EXCLUDE (label) REPLACE (round(evaluation_weight, 9) AS evaluation_weight) FROM parts")
 def q29(spark, sf):
-    return _parts(spark, sf, ONE)
+    return _parts(spark, sf, ONE).withColumn("evaluation_weight", F.round("evaluation_weight", 9))
 
 
-@query("q30_all_folds", f"WITH {_folds_sql(ALL)} SELECT * EXCLUDE (label) FROM parts")
+@query("q30_all_folds", f"WITH {_folds_sql(ALL)} SELECT * EXCLUDE (label) REPLACE (round(evaluation_weight, 9) AS evaluation_weight) FROM parts")
 def q30(spark, sf):
-    return _parts(spark, sf, ALL)
+    return _parts(spark, sf, ALL).withColumn("evaluation_weight", F.round("evaluation_weight", 9))
 
 
 @query("q31_fold_summary", f"""WITH {_folds_sql(ALL)}, roles AS (SELECT * FROM (VALUES ('train'), ('validation'), ('test'), ('excluded')) t(p)),
@@ -456,12 +456,11 @@ def q44(spark, sf):
     return proximity.points_in_polygons(points, boxes, "id", "station", "lo", "la", "rings").groupBy("station").agg(F.count_distinct("id").alias("sites"), F.min("id").alias("first"))
 
 
-NAMES = ["key", "name", "comment", "key", "date", "name", "key"]
-
-
-@query("q45_duplicate_names", "SELECT name, count(*) AS count FROM (VALUES " + ", ".join(f"('{n}')" for n in NAMES) + ") t(name) GROUP BY 1 HAVING count(*) > 1")
+@query("q45_duplicate_names", "SELECT c_name AS name, count(*) AS count FROM (SELECT substr(c_name, 1, 17) AS c_name FROM customer UNION ALL SELECT substr(s_name, 1, 17) FROM supplier) t WHERE c_name IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
 def q45(spark, sf):
-    return profile.duplicate_names(spark, NAMES)
+    """Names without their last digit, so that some repeat."""
+    c, s = v.table(spark, sf, "customer"), v.table(spark, sf, "supplier")
+    return profile.duplicate_names(c.select(F.substring("c_name", 1, 17).alias("name")).unionByName(s.select(F.substring("s_name", 1, 17).alias("name"))), "name")
 
 
 @query("q46_cell_text", """SELECT l_orderkey, l_linenumber, CAST(l_extendedprice * 1000 AS VARCHAR) AS price, CAST(l_discount / 8 AS VARCHAR) AS discount, strftime(l_shipdate, '%Y-%m-%dT%H:%M:%S') AS shipped,
@@ -476,9 +475,9 @@ def q47(spark, sf):
     return v.raw(spark, sf).where("id % 13 <> 0").select("id", strict_double(F.col("size_text")).alias("size"))
 
 
-@query("q48_training_domains", "WITH f(test, validation) AS (VALUES " + ", ".join(f"('{f.test}', '{f.validation}')" for f in ALL) + "), d(domain) AS (VALUES " + ", ".join(f"('{d}')" for d in DOMAINS) + ") SELECT 'fold_' || test AS fold, domain FROM f, d WHERE domain NOT IN (test, validation)")
+@query("q48_training_domains", f"WITH {v.DESIGN}, f(test, validation) AS (VALUES " + ", ".join(f"('{f.test}', '{f.validation}')" for f in ALL) + "), d AS (SELECT DISTINCT domain FROM design WHERE domain IS NOT NULL) SELECT 'fold_' || test AS fold, domain FROM f, d WHERE domain NOT IN (test, validation)")
 def q48(spark, sf):
-    return spark.createDataFrame([(f.name, d) for f in ALL for d in design.domain_complement(DOMAINS, f)], "fold string, domain string")
+    return design.domain_complement(v.design(spark, sf), "domain", ALL)
 
 
 @query("q49_png_headers", "SELECT p_partkey, CASE WHEN p_partkey % 5 <> 0 THEN CAST(p_partkey % 70000 AS BIGINT) END AS width, CASE WHEN p_partkey % 5 <> 0 THEN CAST(p_size AS BIGINT) END AS height, CASE WHEN p_partkey % 5 <> 0 THEN 8 END AS depth FROM part")

@@ -79,10 +79,10 @@ def make_design(datasets: dict[str, DataFrame], experiments: list[Experiment], o
             rows = rows.withColumn("leakage_group", F.col(e.domain))
         folds = design.cyclic_folds(list(e.domains), e.validation)
         spread = F.concat_ws(":", *[F.col(c) for c in e.uncertainty]) if e.uncertainty else None
-        parts = design.partition_folds(rows, RECORD, folds, e.coordinates_required, e.spatial, e.conflicts, spread)
-        write_parquet(parts, f"{out}/{e.name}", by=["fold"])
+        prepared = materialize(design.prepare(rows, RECORD, folds, e.coordinates_required, e.spatial, e.conflicts, spread))
+        write_parquet(design.parts_of(prepared, folds), f"{out}/{e.name}", by=["fold"])
         design.assert_disjoint(df.sparkSession.read.parquet(f"{out}/{e.name}"))
-        counts = materialize(design.fold_counts(rows, RECORD, folds, e.coordinates_required, e.spatial, e.conflicts))
+        counts = materialize(design.counts_of(prepared, folds))
         sums, classes = design.fold_summary(counts).collect(), design.fold_classes(counts).collect()
         found = []
         for f in folds:
@@ -91,7 +91,7 @@ def make_design(datasets: dict[str, DataFrame], experiments: list[Experiment], o
                 if r.fold == f.name and r.item in own:
                     own[r.item]["native_class_counts"][r.key] = r.records
             found.append({
-                "test_domain": f.test, "validation_domain": f.validation, "training_domains": design.domain_complement(list(e.domains), f), **own,
+                "test_domain": f.test, "validation_domain": f.validation, "training_domains": [d for d in e.domains if d not in (f.test, f.validation)], **own,
                 "exclusions": {r.key: r.records for r in classes if r.fold == f.name and r.item == "exclusions"}, "empty_partition": any(r.empty for r in sums if r.fold == f.name),
                 "small_validation_warning": any(r.small for r in sums if r.fold == f.name and r.partition == "validation"), "small_test_warning": any(r.small for r in sums if r.fold == f.name and r.partition == "test")})
         summary["experiments"][e.name] = {"readiness": e.readiness, "folds": found}

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
-import math
 import platform
 from importlib.metadata import PackageNotFoundError, version
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def write_parquet(df: DataFrame, path: str, single: bool = False, by: list[str] | None = None, codec: str = "zstd") -> None:
@@ -21,23 +22,29 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True, quote='"', escape='"')
 
 
-#: Plain values of one kind of input each; the first whose test holds is taken.
-PLAIN = (
-    (lambda v: hasattr(v, "tolist"), lambda v: plain(v.tolist())),  # arrays and numbers of numpy
-    (lambda v: isinstance(v, dict), lambda v: {str(k): plain(x) for k, x in v.items()}),
-    (lambda v: isinstance(v, list | tuple | set | frozenset), lambda v: list(map(plain, v))),
-    (lambda v: v is None or type(v).__name__ in ("NAType", "NaTType"), lambda v: None),
-    (lambda v: isinstance(v, float) and not math.isfinite(v), lambda v: None),
-    (lambda v: isinstance(v, bool | int | float | str), lambda v: v),
-)
+def finite(df: DataFrame) -> DataFrame:
+    """df with null in place of numbers that aren't finite, so that its rows can be written as JSON."""
+    real = [f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float")]
+    return df.withColumns({c: F.when(F.abs(F.col(f"`{c}`")) < float("inf"), F.col(f"`{c}`")) for c in real}) if real else df
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """A JSON object a row, null fields included."""
+    finite(df).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def _as_json(value):
+    """What the encoder doesn't know: numbers and arrays of numpy by their values, sets as lists, missing values as null, the rest as text."""
+    if hasattr(value, "tolist"):
+        return value.tolist()
+    if isinstance(value, set | frozenset):
+        return sorted(value, key=str)
+    return None if pd.isna(value) is True else str(value)
 
 
 def plain(value):
-    """Plain JSON values: numbers that aren't finite and missing values become null, keys text, other things their text."""
-    for holds, made in PLAIN:
-        if holds(value) is True:
-            return made(value)
-    return str(value)
+    """A driver's summary as JSON holds it: written and read once, with null for what isn't finite."""
+    return json.loads(json.dumps(value, default=_as_json), parse_constant=lambda name: None)
 
 
 def report_json(value) -> str:
@@ -70,6 +77,9 @@ def manifest(files: DataFrame, versions: dict[str, str], most: int = 10_000) ->
 
 
 def markdown_table(df: DataFrame, rows: int = 200) -> str:
-    """A report table of a small aggregate."""
+    """A report table of a small aggregate; of a longer one its first rows, and a line that says so."""
+    found = df.limit(rows + 1).collect()
     head = "| " + " | ".join(df.columns) + " |\n|" + "---|" * len(df.columns)
-    return "\n".join([head, *["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in df.limit(rows).collect()]]) + "\n"
+    lines = ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in found[:rows]]
+    more = [f"\nThe first {rows} rows; the table has them all."] if len(found) > rows else []
+    return "\n".join([head, *lines, *more]) + "\n"

@@ -2,16 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.groups import materialize
 
-def read_text_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """All columns as text; NA and None stay words, an empty cell is the empty text. The header must equal columns."""
+
+def read_text_csv(spark: SparkSession, path: str, columns: list[str], lines: bool = False) -> DataFrame:
+    """All columns as text; NA and None stay words, an empty cell is the empty text. The header must equal columns.
+
+    lines: no cell holds a line break, so a file may be read in many tasks.
+    """
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    df = spark.read.csv(path, header=True, schema=schema, multiLine=True, quote='"', escape='"', enforceSchema=False, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
-    return df.select([F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in columns])
+    df = spark.read.csv(path, header=True, schema=schema, multiLine=not lines, quote='"', escape='"', enforceSchema=False, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return df.na.fill("")
+
+
+def with_row_numbers(df: DataFrame, name: str = "row") -> DataFrame:
+    """df, as a file reader gives it, with the number of each row in its file, from 1, in file order.
+
+    Files are read in splits, in many tasks. A split's rows come in order, so a row's number is its place in the split
+    and the sizes of the splits of its file before it: a row for each split is all that is added up. The rows are written
+    once, so that every later read sees the same numbers. Header and dropped blank lines don't count, as the reader has them.
+    """
+    path, block, place = "_row_path", "_row_block", "_row_place"
+    rows = materialize(df.select("*", F.col("_metadata.file_path").alias(path), F.col("_metadata.file_block_start").alias(block), F.monotonically_increasing_id().alias(place)))
+    splits = rows.groupBy(path, block).agg(F.min(place).alias("_first"), F.count(F.lit(1)).alias("_size"))
+    before = F.sum("_size").over(Window.partitionBy(path).orderBy(block).rowsBetween(Window.unboundedPreceding, -1))
+    starts = splits.select(F.col(path).alias("_of"), F.col(block).alias("_at"), (F.coalesce(before, F.lit(0)) - F.col("_first") + 1).alias("_shift"))
+    both = rows.join(starts, (F.col(path) == F.col("_of")) & (F.col(block) == F.col("_at")))
+    return both.select(*[F.col(f"`{c}`") for c in df.columns], (F.col(place) + F.col("_shift")).alias(name))
+
+
+def read_numbered_csv(spark: SparkSession, path: str, columns: list[str], lines: bool = False) -> DataFrame:
+    """read_text_csv with `row`, the number of each record. lines: no cell holds a line break, so files may be read in splits."""
+    return with_row_numbers(read_text_csv(spark, path, columns, lines))
 
 
 def preview(df: DataFrame, rows: int = 5) -> DataFrame:

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.geo import from_utm37, utm37
+
 RINGS = "array<array<struct<x:double,y:double>>>"
 # Shape types of the format (the Z and M forms add 10 and 20), and its file code.
 POINT, LINE, POLYGON, MULTIPOINT, FILE_CODE = 1, 3, 5, 8, 9994
@@ -106,6 +108,33 @@ def _area(ring: Column) -> Column:
     return F.aggregate(turns, F.lit(0.0), lambda s, t: s + t)
 
 
+def with_plane_interior_point(df: DataFrame, rings: str, name: str) -> DataFrame:
+    """df with `name`: a point inside each polygon given in degrees (x: longitude, y: latitude), found as by interior_point
+    in the plane of zone 37 north, in degrees; null without one. Each step is a column of its own, so that none is repeated."""
+
+    def flat(p: Column) -> Column:
+        east, north = utm37(p["y"], p["x"])
+        return F.struct(east.alias("x"), north.alias("y"))
+
+    out = df.withColumn("_flat", F.transform(rings, lambda r: F.transform(r, flat)))
+    out = out.withColumn("_ys", F.array_sort(F.array_distinct(F.transform(F.flatten("_flat"), lambda p: p["y"]))))
+    out = out.withColumn("_middle", (F.array_min("_ys") + F.array_max("_ys")) / 2)
+    below, above = F.array_max(F.filter("_ys", lambda y: y <= F.col("_middle"))), F.array_min(F.filter("_ys", lambda y: y > F.col("_middle")))
+    out = out.withColumn("_height", (below + above) / 2)
+    following = lambda r: F.concat(F.slice(r, 2, 1 << 30), F.slice(r, 1, 1))
+    edges = F.flatten(F.transform("_flat", lambda r: F.zip_with(r, following(r), lambda a, b: F.struct(a.alias("a"), b.alias("b")))))
+    out = out.withColumn("_cut", F.filter(edges, lambda e: (e["a"]["y"] > F.col("_height")) != (e["b"]["y"] > F.col("_height"))))
+    across = lambda e: e["a"]["x"] + (F.col("_height") - e["a"]["y"]) * (e["b"]["x"] - e["a"]["x"]) / (e["b"]["y"] - e["a"]["y"])
+    out = out.withColumn("_at", F.array_sort(F.transform("_cut", across)))
+    stretch = lambda k: F.struct((F.get("_at", 2 * k + 1) - F.get("_at", 2 * k)).alias("wide"), ((F.get("_at", 2 * k + 1) + F.get("_at", 2 * k)) / 2).alias("x"))
+    inner = F.when(F.size("_at") > 1, F.transform(F.sequence(F.lit(0), F.floor(F.size("_at") / 2).cast("int") - 1), stretch))
+    out = out.withColumn("_best", F.array_max(F.filter(inner, lambda p: p["wide"] > 0)))
+    out = out.withColumns({"_east": F.col("_best.x"), "_north": F.col("_height")})
+    la, lo = from_utm37(F.col("_east"), F.col("_north"))
+    out = out.withColumns({"_la": la, "_lo": lo}).withColumn(name, F.when(F.col("_east").isNotNull(), F.struct(F.col("_lo").alias("x"), F.col("_la").alias("y"))))
+    return out.select(*[F.col(f"`{c}`") for c in df.columns if c != name], name)
+
+
 def interior_point(rings: Column) -> Column:
     """struct(x, y) inside a polygon (holes by the even-odd rule): the middle of the widest stretch inside it on a line
     half-way up, or between the corners next to that height if one lies on it. Null without such a stretch."""
