@@ -248,6 +248,19 @@ def test_secrets_in_bytes_and_nested_compression(packed):
     assert not base and spans and all(k == 0 and 2 <= a < b <= 2 + len(packed) for a, b, k in spans)
 
 
+@pytest.mark.parametrize("window", range(9, 16))
+@pytest.mark.parametrize("level", [1, 6, 9])
+def test_zlib_of_any_window(window, level):
+    """Headers by their rule, in base64, in URL escapes, and within a binary layer."""
+    import zlib
+
+    c = zlib.compressobj(level, zlib.DEFLATED, window)
+    data = c.compress(b"some words of a text, " * 3 + PLAIN) + c.flush()
+    for text in (f"see {_b64(data)} there", f"see {quote(data, safe='')} there", f"see {_b64(bytes(range(256)) + data)} there"):
+        base, spans = secrets.all_spans(text)
+        assert len(spans) > len(base), text
+
+
 @pytest.mark.parametrize("packed", [_b64(PLAIN), _b64(gzip.compress(b"long text %d " * 9 + PLAIN))])
 @pytest.mark.parametrize("before", ["https://host.example/cb/", "token_", "a-", "ab_cd/", "/x/y/z/"])
 def test_secrets_after_path_letters(before, packed):

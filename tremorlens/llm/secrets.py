@@ -42,8 +42,29 @@ BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 LETTERS = re.compile(r"[A-Za-z0-9+/_-]+")
 WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
 URL_SAFE = str.maketrans("-_", "+/")
-COMPRESSED = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]")
-ESCAPED = re.compile(r"(?:%1[Ff]%8[Bb]|(?:x|%78)(?:%01|%5[Ee]|\^|%9[Cc]|%[Dd][Aa]))(?:%[0-9A-Fa-f]{2}|[!#$&-;=?-Z_a-z~])*")
+#: Two bytes that a zlib stream may begin with: method 8, a window of any size, divisible by 31, no preset dictionary.
+HEADERS = [(c, f) for c in range(0x08, 0x80, 0x10) for f in range(256) if (c << 8 | f) % 31 == 0 and not f & 0x20]
+COMPRESSED = re.compile(rb"\x1f\x8b\x08|" + b"|".join(re.escape(bytes(h)) for h in HEADERS), re.DOTALL)
+PLAIN_SIGN = re.compile(r"[!#$&-;=?-Z^_a-z~]")
+
+
+def _escaped_headers() -> str:
+    """Headers with a byte or both in URL escapes; without any, only where a run begins and an escape follows soon."""
+    some = []
+    for pair in HEADERS:
+        escaped = [f"(?i:%{b:02X})" for b in pair]
+        bare = [re.escape(chr(b)) if PLAIN_SIGN.fullmatch(chr(b)) else None for b in pair]
+        some.append(escaped[0] + escaped[1])
+        if bare[1]:
+            some.append(escaped[0] + bare[1])
+        if bare[0]:
+            some.append(bare[0] + escaped[1])
+        if all(bare):
+            some.append(rf"(?<![A-Za-z0-9%]){bare[0]}{bare[1]}(?=[^\s%]{{0,8}}%)")
+    return "|".join(some)
+
+
+ESCAPED = re.compile(rf"(?:%1[Ff]%8[Bb]|x\^|{_escaped_headers()})(?:%[0-9A-Fa-f]{{2}}|[!#$&-;=?-Z_a-z~])*")
 CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f]")
 #: Letters of encoded runs and their line breaks.
 ENCODED = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=.%\\\r\n"
