@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import lookup, numbered, strict_double
+from ..sources.vectors import with_plane_interior_point
 from .canonical import native_damage
 from .harmonize import PROVISIONAL, assert_encoded, assert_records, encoded_floors, harmonize
+from .validity import polygon_problems
 
 # What the sources state about themselves, and their vocabularies.
 SEQUENCE = "turkiye_syria_2023_sequence"
@@ -54,7 +56,7 @@ CENSUS = Source("nepal_geid", "CC-BY-NC-SA-4.0; upstream NSO restrictions", (
     ("label_provenance", "GEID_transformed_HRHRS_derived_survey"), ("structure_native", "see_source_11_multilabel_superstructure_flags"), ("coordinate_method", "administrative_codes_only_no_centroid_imputation")))
 LAYERS = Source("spatial_this_study", "CC-BY-4.0 deposit; preserve upstream attribution", (
     ("event_id", SEQUENCE), ("event_scope", "sequence_damage_not_single_shock"), ("damage_mapping_status", "codebook_and_label_generation_unresolved"),
-    ("label_provenance", "This_study_product_not_verified_independent_field_truth"), ("coordinate_method", "polygon_interior_point"), ("im_status", "encoded_PGV_raster_not_physical_intensity")))
+    ("label_provenance", "This_study_product_not_verified_independent_field_truth"), ("coordinate_method", "polygon_interior_point_UTM37N_to_WGS84"), ("im_status", "encoded_PGV_raster_not_physical_intensity")))
 
 
 def _labels() -> dict[str, Column]:
@@ -117,6 +119,24 @@ def census_records(raw: DataFrame, path: str, sha256: str) -> DataFrame:
         "floors_native": F.col("BUILDING_FLOORS"), "floors": encoded_floors(F.col("BUILDING_FLOORS"))[0]})
 
 
+def layer_features(shapes: DataFrame, attributes: DataFrame, projection: str | None, city: str) -> DataFrame:
+    """city, feature, damage_lev, point of a layer's shapes and attributes, as layer_records reads them.
+
+    projection: the text beside the shapes that names their reference system; only WGS84 in degrees is known, a layer
+    without it or with another is refused, as are shapes without geometry and invalid polygons. Points are found in the
+    plane of zone 37 north.
+    """
+    text = (projection or "").replace(" ", "_").upper()
+    if not (text.startswith("GEOGCS") and "WGS_1984" in text and "DEGREE" in text):
+        raise ValueError("reference system is missing or not WGS84 in degrees")
+    if n := shapes.where(F.size(F.flatten("rings")) <= 0).count():
+        raise ValueError(f"{n} features without geometry")
+    if bad := polygon_problems(shapes, "feature").orderBy("feature", "problem").first():
+        raise ValueError(f"feature {bad['feature']}: {bad['problem']}")
+    both = shapes.select("feature", "rings").join(attributes.select("feature", F.col("fields")["damage_lev"].alias("damage_lev")), "feature", "left")
+    return with_plane_interior_point(both, "rings", "point").select(F.lit(city).alias("city"), "feature", "damage_lev", "point")
+
+
 def layer_records(features: DataFrame, path: str, sha256: Column, abroad: dict[str, str] | None = None, country: str = "TUR") -> DataFrame:
     """Features (city, feature from 1, damage_lev, point: struct x, y inside the polygon) as records; sha256: that of a layer's
     files, by sources.tables.sidecar_hash. abroad: country of cities outside `country`. A feature without a point is an error."""

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import from_utm37, utm37
+from ..operators.groups import materialize
 
 RINGS = "array<array<struct<x:double,y:double>>>"
 # Shape types of the format (the Z and M forms add 10 and 20), and its file code.
@@ -110,7 +111,8 @@ def _area(ring: Column) -> Column:
 
 def with_plane_interior_point(df: DataFrame, rings: str, name: str) -> DataFrame:
     """df with `name`: a point inside each polygon given in degrees (x: longitude, y: latitude), found as by interior_point
-    in the plane of zone 37 north, in degrees; null without one. Each step is a column of its own, so that none is repeated."""
+    in the plane of zone 37 north, in degrees; null without one. Each step is a column of its own, so that none is repeated,
+    and the result is written, as a filter on it would be pushed through the steps and repeat them all."""
 
     def flat(p: Column) -> Column:
         east, north = utm37(p["y"], p["x"])
@@ -132,7 +134,7 @@ def with_plane_interior_point(df: DataFrame, rings: str, name: str) -> DataFrame
     out = out.withColumns({"_east": F.col("_best.x"), "_north": F.col("_height")})
     la, lo = from_utm37(F.col("_east"), F.col("_north"))
     out = out.withColumns({"_la": la, "_lo": lo}).withColumn(name, F.when(F.col("_east").isNotNull(), F.struct(F.col("_lo").alias("x"), F.col("_la").alias("y"))))
-    return out.select(*[F.col(f"`{c}`") for c in df.columns if c != name], name)
+    return materialize(out.select(*[F.col(f"`{c}`") for c in df.columns if c != name], name))
 
 
 def interior_point(rings: Column) -> Column:
