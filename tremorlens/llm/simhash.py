@@ -535,7 +535,7 @@ def _dealt(rest: DataFrame, masks_of: list[int]) -> DataFrame:
 
 
 def _linked(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """_a, _b: for each document the smallest of those proposed that it is like.
+    """_a, _b: those of the pairs that are like each other.
 
     Sketches decide beyond their error; where no pair of a document is sure, the texts of its nearest one do.
     """
@@ -543,16 +543,32 @@ def _linked(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, least: float)
     far = sum((F.bit_count(F.col("_x")[k].bitwiseXOR(F.col("_y")[k])) for k in range(SKETCH // BITS)), F.lit(0))
     met = pairs.join(left, "_a").join(right, "_b").select("_a", "_b", far.alias("_d")).where(F.col("_d") <= _differing(least - MARGIN))
     sure = F.col("_d") <= _differing(least + MARGIN)
-    best = materialize(met.groupBy("_a").agg(F.min(F.when(sure, F.col("_b"))).alias("_b"), F.min_by("_b", F.struct("_d", "_b")).alias("_n")), "met")
+    met = materialize(met.withColumn("_sure", sure), "met")
+    best = met.groupBy("_a").agg(F.max("_sure").alias("_s"), F.min_by("_b", F.struct("_d", "_b")).alias("_b"))
 
     @F.pandas_udf("double")
     def similar(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([overlap(a, b) for a, b in zip(x, y)], dtype="float64")
 
-    unsure = best.where("_b is null").select("_a", F.col("_n").alias("_b"))
+    unsure = best.where("not _s").select("_a", "_b")
     x, y = texts.select(F.col("_id").alias("_a"), F.col("_text").alias("_x")), texts.select(F.col("_id").alias("_b"), F.col("_text").alias("_y"))
     by_text = unsure.join(x, "_a").join(y, "_b").where(similar("_x", "_y") >= least).select("_a", "_b")
-    return materialize(best.where("_b is not null").select("_a", "_b").unionByName(by_text), "alike")
+    return materialize(met.where("_sure").select("_a", "_b").unionByName(by_text), "alike")
+
+
+def _settled(links: DataFrame) -> DataFrame:
+    """_id, _of: what goes, and by which smaller one that stays, if these links (_a > _b) were all: in each step those that
+    have no smaller one left stay and what is like them goes."""
+    went = None
+    while True:
+        follows = links.select(F.col("_a").alias("_b")).distinct()
+        now = materialize(links.join(follows, "_b", "left_anti").groupBy(F.col("_a").alias("_id")).agg(F.min("_b").alias("_of")), "went")
+        went = now if went is None else went.unionByName(now)
+        for end in ("_a", "_b"):
+            links = links.join(now.select(F.col("_id").alias(end)), end, "left_anti")
+        links = materialize(links, "links")
+        if links.isEmpty():
+            return went
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 2, distance: int = 5, times: int = 3, least: float = 0.5) -> DataFrame:
@@ -562,8 +578,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     identifier that stays. Documents meet in the buckets of `times` fingerprints each, over shingles of `words` words: any
     two with fingerprints within the distance meet, and most others that are like each other. In a bucket they go by
     identifier; each is compared with those before that follow none, by sketches of the five-word shingles. Of what a
-    document is found to be like, the smallest counts. It goes if that one follows none itself; if not, or if that one goes
-    later, the document is looked at again, in its buckets as they are then. So in the end all that goes is like a smaller
+    document is found to be like, the smallest that stays counts. If all of these go, or the one it went by goes later, the
+    document is looked at again, in its buckets as they are then. So in the end all that goes is like a smaller
     one that stays, and no two that met and stay are like each other. Comparisons grow with the documents, not with the
     pairs of a group.
 
@@ -590,8 +606,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     gone, keys, rest = None, None, nodes
     while True:
         links = _linked(_proposed(rest, of, least, distance, keys), nodes, texts, least)
-        follows = links.select(F.col("_a").alias("_b")).distinct()
-        went = materialize(links.join(follows, "_b", "left_anti").select(F.col("_a").alias("_id"), F.col("_b").alias("_of")), "went")
+        went = _settled(links)
         lost = None
         if gone is not None:
             now = went.select(F.col("_id").alias("_of"))
@@ -600,8 +615,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
         else:
             gone = went
         gone = materialize(gone, "gone")
-        # Looked at again: what is like one that isn't settled, and what went by one that goes itself now.
-        again = links.select(F.col("_a").alias("_id")).join(went, "_id", "left_anti")
+        # Looked at again: what followed ones that went and stays so far, and what went by one that goes itself now.
+        again = links.select(F.col("_a").alias("_id")).distinct().join(went, "_id", "left_anti")
         again = materialize(again if lost is None else again.unionByName(lost), "again")
         if again.isEmpty():
             break
