@@ -108,6 +108,18 @@ def problems(spark, *shapes):
     return sorted((r.id, r.problem, r.ring) for r in validity.polygon_problems(df, "id").collect())
 
 
+def test_yearly_totals_are_added_in_the_order_of_events(spark):
+    """Doubles whose sum depends on the order: the total is the same however rows are dealt, and years of equal losses tie."""
+    losses_of = [0.1, 0.2, 0.3, 1e16, 1.0, -1e16]
+    rows = [(y, 10 * k + y, x) for y in (1, 2) for k, x in enumerate(losses_of)]
+    want = 0.0
+    for x in losses_of:
+        want += x
+    for parts in (1, 3, 7):
+        events = spark.createDataFrame(rows[::-1], "y long, k long, x double").repartition(parts)
+        assert {r.year: r.total for r in losses.yearly(events, "y", "x", "k").collect()} == {1: want, 2: want}
+
+
 def test_validity_edges(spark):
     box = [(0, 0), (0, 6), (6, 6), (6, 0), (0, 0)]
     nan = float("nan")

@@ -8,10 +8,18 @@ from pyspark.sql import functions as F
 from .running import running_sums
 
 
-def yearly(events: DataFrame, year: str, loss: str) -> DataFrame:
-    """year, most (of one event), total: a row for each year with losses; null losses are left out."""
+def yearly(events: DataFrame, year: str, loss: str, order: str | None = None) -> DataFrame:
+    """year, most (of one event), total: a row for each year with losses; null losses are left out.
+
+    order: key of the events by which a year's losses are added, so that a total of doubles (and which years tie) doesn't
+    depend on how rows are split over tasks; a task then holds a year's keys and losses.
+    """
     known = events.where(F.col(year).isNotNull() & F.col(loss).isNotNull())
-    return known.groupBy(F.col(year).alias("year")).agg(F.max(loss).alias("most"), F.sum(loss).alias("total"))
+    if order is None:
+        return known.groupBy(F.col(year).alias("year")).agg(F.max(loss).alias("most"), F.sum(loss).alias("total"))
+    in_order = F.sort_array(F.collect_list(F.struct(F.col(order).alias("k"), F.col(loss).alias("v"))))
+    each = known.groupBy(F.col(year).alias("year")).agg(F.max(loss).alias("most"), in_order.alias("_all"))
+    return each.select("year", "most", F.aggregate(F.slice("_all", 2, 1 << 30), F.col("_all")[0]["v"], lambda total, e: total + e["v"]).alias("total"))
 
 
 def exceedance(years: DataFrame, count: int) -> DataFrame:

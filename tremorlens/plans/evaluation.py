@@ -185,7 +185,7 @@ _YEARS = "y AS (SELECT o_custkey AS year, max(o_totalprice) AS most, sum(o_total
 def q66(spark, sf):
     """Customers stand for simulated years, their orders for the losses of a year's events."""
     years = v.table(spark, sf, "customer").agg(F.max("c_custkey")).first()[0]
-    curves = losses.exceedance(losses.yearly(v.table(spark, sf, "orders"), "o_custkey", "o_totalprice"), years)
+    curves = losses.exceedance(losses.yearly(v.table(spark, sf, "orders"), "o_custkey", "o_totalprice", "o_orderkey"), years)
     return curves.withColumns({"loss": F.round("loss", 4), "chance": F.round("chance", 9), "return_period": F.round("return_period", 9)})
 
 
@@ -195,7 +195,7 @@ def q66(spark, sf):
   FROM k, n, p GROUP BY 1, 2""")
 def q67(spark, sf):
     years = v.table(spark, sf, "customer").agg(F.max("c_custkey")).first()[0]
-    found = losses.probable(losses.yearly(v.table(spark, sf, "orders"), "o_custkey", "o_totalprice"), years, [2.0, 10.0, 100.0, 250.0])
+    found = losses.probable(losses.yearly(v.table(spark, sf, "orders"), "o_custkey", "o_totalprice", "o_orderkey"), years, [2.0, 10.0, 100.0, 250.0])
     return found.withColumns({"loss": F.round("loss", 4), "average_annual_loss": F.round("average_annual_loss", 4)})
 
 
