@@ -222,6 +222,22 @@ def fixture(spark, change=()):
     return spark.createDataFrame(rows, ROWS)
 
 
+def test_violations_without_multiplying_rows_by_folds(spark, monkeypatch):
+    """Equal to those counted over all folds' rows; one record comes twice, in a group of several domains."""
+    rows = [(k % 37, f"d{k % 5}" if k % 11 else None, f"g{k % 7}" if k % 3 else None, "e", 37.0 + (k % 4) / 10, 36.0, f"l{k % 2}", k % 3 or None) for k in range(40)]
+    df = spark.createDataFrame(rows, "record long, domain string, grp string, event string, la double, lo double, label string, ordinal int")
+    c, folds = design.Columns("record", "domain", "grp", "event", "la", "lo", "label", "ordinal"), design.cyclic_folds([f"d{k}" for k in range(5)])
+    prepared = design.prepare(df, c, folds, conflicts=False)
+    names = ["fold", "weighed_exclusions", "repeated_records", "split_groups"]
+    want = sorted(map(tuple, design.disjoint_violations(design.parts_of(prepared, folds)).select(*names).collect()))
+    monkeypatch.setattr(design, "_in_folds", None)
+    assert sorted(map(tuple, design.violations_of(prepared, folds).select(*names).collect())) == want and want[0][2] == 3
+    # Groups that are said not to cross are found split.
+    apart = prepared.withColumn("_cross", F.array(*[F.lit(False)] * len(folds)))
+    assert any(r.split_groups for r in design.violations_of(apart, folds).collect())
+    assert design.violations_of(design.prepare(df.limit(0), c, folds), folds).count() == 0
+
+
 @pytest.mark.parametrize(
     ("change", "roles", "weights", "reason"),
     [
