@@ -1,5 +1,7 @@
 """Nulls, empty and very long texts, ties, empty tables and clashing columns, for every operator."""
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -136,6 +138,38 @@ def test_unlike_document_saves_no_copy(spark, monkeypatch):
     assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == [1, 2]
 
 
+def test_every_leader_of_a_full_bucket_is_compared(monkeypatch):
+    """Of 40 rows of one bucket that holds 8 leaders at once, the last two are alike and nothing else is."""
+    monkeypatch.setattr(simhash, "BUCKET", 8)
+    bits = np.random.default_rng(3).integers(-(2**63), 2**63 - 1, (40, simhash.SKETCH // 64))
+    bits[39] = bits[38]
+    names = [f.split()[0] for f in simhash.FOUND.split(", ")]
+    links, rows = [], [np.full(40, 5), np.full(40, 7), np.arange(40), np.zeros(40, np.int64), *bits.T]
+    for whole in (False, *[True] * 40):
+        if not len(rows[0]):
+            break
+        batch = pa.RecordBatch.from_arrays([pa.array(c) for c in rows], names)
+        got = [np.stack([c.to_numpy() for c in b.columns]) for b in simhash.scan_sketches(iter([batch]), 0.5, whole=whole)]
+        got = np.concatenate(got, axis=1) if got else np.zeros((len(names), 0), np.int64)
+        links += got[2:4, got[0] == 0].T.tolist()
+        rows = list(got[:, got[0] != 0])
+        assert set(rows[0]) <= {5} and set(rows[1]) <= {7}
+        order = np.argsort(rows[2])
+        rows = [r[order] for r in rows]
+    assert [39, 38] in links and all(pair == [39, 38] for pair in links) and not len(rows[0])
+
+
+def test_all_that_a_document_may_be_like_are_compared_by_text(spark):
+    """The nearest by sketch is unlike by text, a farther one is alike."""
+    sketch = lambda n: [(1 << n) - 1, 0, 0, 0]
+    words = [f"w{k}" for k in range(60)]
+    text = {1: "other " * 40, 2: " ".join(words), 3: " ".join(words).replace("w30", "x")}
+    nodes = spark.createDataFrame([(1, sketch(50)), (2, sketch(55)), (3, sketch(0))], "_id long, _sk array<long>")
+    pairs = spark.createDataFrame([(3, 1), (3, 2)], "_a long, _b long")
+    got = simhash._linked(pairs, nodes, spark.createDataFrame(list(text.items()), "_id long, _text string"), 0.5)
+    assert [tuple(r) for r in got.collect()] == [(3, 2)]
+
+
 def test_keep_one_of_empty_and_single_tables(spark):
     docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     assert simhash.keep_one(docs).count() == 1 and simhash.keep_one(docs.limit(0)).count() == 0

@@ -398,9 +398,9 @@ def _alike(bits: np.ndarray, end: np.ndarray, most: int) -> tuple[np.ndarray, np
 
 
 def _led(bits: np.ndarray, end: np.ndarray, least: float, known: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows go through in order; one that is surely like an earlier row that leads follows the first such; the others lead.
+    """Rows go through in order; one that is surely like earlier rows that lead follows these; the others lead.
 
-    Which rows follow, and links (later, earlier row). A row that may be like a leader is linked to the nearest but leads
+    Which rows follow, and links (later, earlier row). A row that may be like leaders is linked to all of these but leads
     too. The first `known` rows lead already.
     """
     follows = np.zeros(len(bits), bool)
@@ -413,12 +413,10 @@ def _led(bits: np.ndarray, end: np.ndarray, least: float, known: int = 0) -> tup
         if j < known:
             continue
         lead = ~follows[b[lo:hi]]
-        if not lead.any():
-            continue
         i, far = b[lo:hi][lead], d[lo:hi][lead]
         certain = np.flatnonzero(far <= sure)
         follows[j] = bool(len(certain))
-        links.append((j, int(i[certain[0]] if len(certain) else i[far.argmin()])))
+        links += [(j, int(k)) for k in (i[certain] if len(certain) else i)]
     pairs = np.array(links, np.int64).reshape(-1, 2)
     return follows, pairs[:, 0], pairs[:, 1]
 
@@ -426,15 +424,14 @@ def _led(bits: np.ndarray, end: np.ndarray, least: float, known: int = 0) -> tup
 FOUND = "_m long, _k long, _id long, _b long, " + ", ".join(f"_s{k} long" for k in range(SKETCH // BITS))
 
 
-def scan_sketches(batches: Iterator[pa.RecordBatch], least: float, distance: int, whole: bool) -> Iterator[pa.RecordBatch]:
+def scan_sketches(batches: Iterator[pa.RecordBatch], least: float, whole: bool) -> Iterator[pa.RecordBatch]:
     """Rows (_m, _k, _id, _b, sketch) in order of the first three; gives links (0, 0, later, earlier) and rows for another scan.
 
-    whole: all rows of a bucket are here. Then what finds BUCKET leaders before it in a bucket and follows none is dealt
-    anew over the bits that the bucket doesn't share; it has been compared with all of these. If not, this is one task's
-    share of the buckets, and leaders go on to meet those of the other tasks.
+    whole: all rows of a bucket are here. What finds BUCKET leaders before it in a bucket and follows none has been
+    compared with all of these; it goes on to the next scan of the same bucket, so in the end all that lead there have
+    been compared. If not whole, this is one task's share of the buckets, and leaders go on to meet those of the other tasks.
     """
     names = [f.split()[0] for f in FOUND.split(", ")]
-    finer: dict[int, list[int]] = {}
     key: tuple[int, int] | None = None
     lead_id, lead_bits = np.zeros(0, np.int64), np.zeros((0, SKETCH // BITS), np.int64)
 
@@ -490,18 +487,14 @@ def scan_sketches(batches: Iterator[pa.RecordBatch], least: float, distance: int
                 follows, a, c = _led(both.view(np.uint64), np.full(len(both), len(both)), least, len(lead_id))
                 if len(a):
                     yield linked(both_id[a], both_id[c])
-                subs = finer.setdefault(key[0], [_signed(x) for x in _finer(key[0] & (1 << 64) - 1, distance)])
-                most = BUCKET if subs or not whole else len(both)  # where all bits are shared, all that lead are kept
-                lead_id, lead_bits, over_id, over = both_id[~follows][:most], both[~follows][:most], both_id[~follows][most:], both[~follows][most:]
-                if len(over_id) and not whole:
+                over_id, over = both_id[~follows][BUCKET:], both[~follows][BUCKET:]
+                lead_id, lead_bits = both_id[~follows][:BUCKET], both[~follows][:BUCKET]
+                if len(over_id):
                     yield out(*key, over_id, 0, over)
-                elif len(over_id):
-                    for sub in subs:
-                        yield out(sub, -1, over_id, 0, over)  # the key within the finer mask is found by the caller
     yield from closed()
 
 
-def _proposed(rest: DataFrame, masks_of: list[int], least: float, distance: int, keys: DataFrame | None = None) -> DataFrame:
+def _proposed(rest: DataFrame, masks_of: list[int], least: float, keys: DataFrame | None = None) -> DataFrame:
     """_a > _b: documents of rest (_id, _fps, _sk) that a bucket brings together and sketches don't tell apart.
 
     keys: (_m, _k) of the buckets that are looked at; all if None.
@@ -512,18 +505,15 @@ def _proposed(rest: DataFrame, masks_of: list[int], least: float, distance: int,
         rows = rows.join(keys, ["_m", "_k"], "left_semi")
     order = ["_m", "_k", "_id"]
     # A task's own share first: of a large group of copies it hands on the few that lead.
-    scanned = materialize(rows.sortWithinPartitions(*order).mapInArrow(partial(scan_sketches, least=least, distance=distance, whole=False), FOUND), "own-buckets")
+    scanned = materialize(rows.sortWithinPartitions(*order).mapInArrow(partial(scan_sketches, least=least, whole=False), FOUND), "own-buckets")
     found = scanned.where("_m = 0").select("_id", "_b")
     rows = scanned.where("_m <> 0")
     while True:
-        scanned = materialize(rows.repartition("_m", "_k").sortWithinPartitions(*order).mapInArrow(partial(scan_sketches, least=least, distance=distance, whole=True), FOUND), "buckets")
+        scanned = materialize(rows.repartition("_m", "_k").sortWithinPartitions(*order).mapInArrow(partial(scan_sketches, least=least, whole=True), FOUND), "buckets")
         found = found.unionByName(scanned.where("_m = 0").select("_id", "_b"))
-        over = scanned.where("_m <> 0")
-        if over.isEmpty():
+        rows = scanned.where("_m <> 0")
+        if rows.isEmpty():
             break
-        # A fingerprint of a document that is in the bucket gives the finer key: those of its fingerprints that share it.
-        each = over.join(rest.select("_id", F.explode(F.array_distinct("_fps")).alias("_fp")), "_id")
-        rows = materialize(each.withColumn("_k", F.col("_fp").bitwiseAND(F.col("_m"))).drop("_fp").select(*scanned.columns).distinct(), "finer")
     return materialize(found.select(F.col("_id").alias("_a"), "_b").where("_a > _b").distinct(), "proposed")
 
 
@@ -537,20 +527,19 @@ def _dealt(rest: DataFrame, masks_of: list[int]) -> DataFrame:
 def _linked(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """_a, _b: those of the pairs that are like each other.
 
-    Sketches decide beyond their error; where no pair of a document is sure, the texts of its nearest one do.
+    Sketches decide beyond their error; where no pair of a document is sure, the texts of all that it may be like do.
     """
     left, right = nodes.select(F.col("_id").alias("_a"), F.col("_sk").alias("_x")), nodes.select(F.col("_id").alias("_b"), F.col("_sk").alias("_y"))
     far = sum((F.bit_count(F.col("_x")[k].bitwiseXOR(F.col("_y")[k])) for k in range(SKETCH // BITS)), F.lit(0))
     met = pairs.join(left, "_a").join(right, "_b").select("_a", "_b", far.alias("_d")).where(F.col("_d") <= _differing(least - MARGIN))
     sure = F.col("_d") <= _differing(least + MARGIN)
     met = materialize(met.withColumn("_sure", sure), "met")
-    best = met.groupBy("_a").agg(F.max("_sure").alias("_s"), F.min_by("_b", F.struct("_d", "_b")).alias("_b"))
 
     @F.pandas_udf("double")
     def similar(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([overlap(a, b) for a, b in zip(x, y)], dtype="float64")
 
-    unsure = best.where("not _s").select("_a", "_b")
+    unsure = met.join(met.where("_sure").select("_a").distinct(), "_a", "left_anti").select("_a", "_b")
     x, y = texts.select(F.col("_id").alias("_a"), F.col("_text").alias("_x")), texts.select(F.col("_id").alias("_b"), F.col("_text").alias("_y"))
     by_text = unsure.join(x, "_a").join(y, "_b").where(similar("_x", "_y") >= least).select("_a", "_b")
     return materialize(met.where("_sure").select("_a", "_b").unionByName(by_text), "alike")
@@ -605,7 +594,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     texts = docs.where(key.isNotNull()).select(key.alias("_key"), hashed.alias("_th"), text.alias("_text")).join(named, ["_key", "_th"]).select("_id", "_text")
     gone, keys, rest = None, None, nodes
     while True:
-        links = _linked(_proposed(rest, of, least, distance, keys), nodes, texts, least)
+        links = _linked(_proposed(rest, of, least, keys), nodes, texts, least)
         went = _settled(links)
         lost = None
         if gone is not None:
