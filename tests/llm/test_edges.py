@@ -1,12 +1,14 @@
 """Nulls, empty and very long texts, ties, empty tables and clashing columns, for every operator."""
 
+import time
+
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tremorlens.llm import bpe, exact_dedup, langid, line_dedup, media, mixing, secrets, simhash, toxicity, warc
+from tremorlens.llm import bpe, common, exact_dedup, langid, line_dedup, media, mixing, secrets, simhash, toxicity, warc
 
 LONG = "Lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod. " * 4000
 ROWS = [
@@ -170,6 +172,45 @@ def test_all_that_a_document_may_be_like_are_compared_by_text(spark):
     assert [tuple(r) for r in got.collect()] == [(3, 2)]
 
 
+@pytest.mark.parametrize("most", [16, 1])
+def test_chain_of_near_copies_takes_few_rounds(spark, monkeypatch, most):
+    """Each text is like the next three. All links are found in one round, where a document isn't held to one link a round."""
+    monkeypatch.setattr(simhash, "LINKS", most)
+    monkeypatch.setattr(simhash, "MORE", 2)
+    text = {k: " ".join(f"w{j}" for j in range(10 * k, 10 * k + 100)) for k in range(1, 31)}
+    want = []
+    for k in text:
+        if not any(simhash.overlap(text[j], text[k]) >= 0.5 for j in want):
+            want.append(k)
+    rounds, proposed = [], simhash._proposed
+    monkeypatch.setattr(simhash, "_proposed", lambda *a: rounds.append(1) or proposed(*a))
+    docs = spark.createDataFrame(list(text.items()), "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in simhash.keep_one(docs, distance=20).collect()) == want and len(want) == 8
+    assert most == 1 or len(rounds) == 1
+
+
+def test_large_group_hands_on_few_rows():
+    """Of 1,000 like sketches in a bucket the first `most` go on to another scan; each of the others has as many links and a mark."""
+    rows = [np.full(1000, 5), np.full(1000, 7), np.arange(1000), np.zeros(1000, np.int64), *np.zeros((simhash.SKETCH // 64, 1000), np.int64)]
+    names = [f.split()[0] for f in simhash.FOUND.split(", ")]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in rows], names)
+    got = np.concatenate([np.stack([c.to_numpy() for c in b.columns]) for b in simhash.scan_sketches(iter([batch]), 0.5, False, 4)], axis=1)
+    links, marks, on = (got[2:4, (got[0] == m) & (got[1] == k)] for m, k in ((0, 0), (0, 1), (5, 7)))
+    assert on[0].tolist() == [0, 1, 2, 3] and marks[0].tolist() == list(range(4, 1000))
+    assert links.T.tolist() == [[a, b] for a in range(1000) for b in range(min(a, 4))]
+
+
+def test_materialize_leaves_no_shuffle_files(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    held = lambda: {f for f in disk.getAllFiles().mkString("|").split("|") if "shuffle_" in f}
+    before, setting = held(), spark.conf.get(common.CLEANUP)
+    rows = common.materialize(spark.range(1000).repartition(3, "id"), "shuffled")
+    deadline = time.time() + 20
+    while held() - before and time.time() < deadline:
+        time.sleep(0.2)
+    assert not held() - before and rows.count() == 1000 and spark.conf.get(common.CLEANUP) == setting
+
+
 def test_keep_one_of_empty_and_single_tables(spark):
     docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     assert simhash.keep_one(docs).count() == 1 and simhash.keep_one(docs.limit(0)).count() == 0

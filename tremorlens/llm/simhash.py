@@ -397,66 +397,62 @@ def _alike(bits: np.ndarray, end: np.ndarray, most: int) -> tuple[np.ndarray, np
     return a[order], b[order], d[order]
 
 
-def _led(bits: np.ndarray, end: np.ndarray, least: float, known: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows go through in order; one that is surely like earlier rows that lead follows these; the others lead.
-
-    Which rows follow, and links (later, earlier row). A row that may be like leaders is linked to all of these but leads
-    too. The first `known` rows lead already.
-    """
-    follows = np.zeros(len(bits), bool)
-    a, b, d = _alike(bits, end, _differing(least - MARGIN))
-    sure = _differing(least + MARGIN)
-    links: list[tuple[int, int]] = []
+def _first(a: np.ndarray, b: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs in order, the first `most` of each a; and those a which have as many."""
     cut = np.flatnonzero(np.diff(a, prepend=-1))
-    for lo, hi in zip(cut, np.append(cut[1:], len(a))):
-        j = int(a[lo])
-        if j < known:
-            continue
-        lead = ~follows[b[lo:hi]]
-        i, far = b[lo:hi][lead], d[lo:hi][lead]
-        certain = np.flatnonzero(far <= sure)
-        follows[j] = bool(len(certain))
-        links += [(j, int(k)) for k in (i[certain] if len(certain) else i)]
-    pairs = np.array(links, np.int64).reshape(-1, 2)
-    return follows, pairs[:, 0], pairs[:, 1]
+    size = np.diff(np.append(cut, len(a)))
+    keep = np.arange(len(a)) - np.repeat(cut, size) < most
+    return a[keep], b[keep], a[cut[size >= most]]
 
 
 FOUND = "_m long, _k long, _id long, _b long, " + ", ".join(f"_s{k} long" for k in range(SKETCH // BITS))
 
 
-def scan_sketches(batches: Iterator[pa.RecordBatch], least: float, whole: bool) -> Iterator[pa.RecordBatch]:
-    """Rows (_m, _k, _id, _b, sketch) in order of the first three; gives links (0, 0, later, earlier) and rows for another scan.
+#: Earlier documents that a document is linked to in the first round, and by how much that grows in the next ones.
+LINKS, MORE = 16, 8
+#: Rows of a large bucket that are compared with those held before them at a time.
+STEP_ROWS = 256
+
+
+def scan_sketches(batches: Iterator[pa.RecordBatch], least: float, whole: bool, most: int = LINKS) -> Iterator[pa.RecordBatch]:
+    """Rows (_m, _k, _id, _b, sketch) in order of the first three; gives links (0, 0, later, earlier), marks and rows for another scan.
 
-    whole: all rows of a bucket are here. What finds BUCKET leaders before it in a bucket and follows none has been
-    compared with all of these; it goes on to the next scan of the same bucket, so in the end all that lead there have
-    been compared. If not whole, this is one task's share of the buckets, and leaders go on to meet those of the other tasks.
+    A row is linked to the first `most` before it that it may be like. One that has as many is compared with nothing after
+    it, and marked (0, 1, row, 0). whole: all rows of a bucket are here. What is compared with BUCKET others that are held
+    goes on to the next scan of the same bucket, so in the end all that aren't marked have been compared. If not whole,
+    this is one task's share of the buckets, and rows without a mark go on to meet those of the other tasks.
     """
     names = [f.split()[0] for f in FOUND.split(", ")]
     key: tuple[int, int] | None = None
-    lead_id, lead_bits = np.zeros(0, np.int64), np.zeros((0, SKETCH // BITS), np.int64)
+    held_id, held_bits = np.zeros(0, np.int64), np.zeros((0, SKETCH // BITS), np.int64)
+    few, may = min(STEP_ROWS, BUCKET), _differing(least - MARGIN)
 
     def out(m, k, ids, other, bits):
         columns = [m, k, ids, other, *bits.T]
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(np.broadcast_to(np.asarray(c, np.int64), ids.shape))) for c in columns], names)
 
-    def linked(ids, other):
-        return out(0, 0, ids, other, np.zeros((len(ids), SKETCH // BITS), np.int64))
+    def found(ids, a, b, full):
+        blank = np.zeros((max(len(a), len(full)), SKETCH // BITS), np.int64)
+        if len(a):
+            yield out(0, 0, ids[a], ids[b], blank[: len(a)])
+        if len(full):
+            yield out(0, 1, ids[full], 0, blank[: len(full)])
 
     def closed():
-        """Leaders of the run that ends, for the other tasks' leaders."""
-        if key and not whole and len(lead_id):
-            yield out(*key, lead_id, 0, lead_bits)
+        """What is held of the run that ends, for the other tasks' rows."""
+        if key and not whole and len(held_id):
+            yield out(*key, held_id, 0, held_bits)
 
     for b in batches:
         m, k, ids = (b.column(i).to_numpy().astype(np.int64) for i in range(3))
-        bits = np.stack([b.column(4 + i).to_numpy().astype(np.int64) for i in range(SKETCH // BITS)], axis=1) if len(m) else lead_bits[:0]
+        bits = np.stack([b.column(4 + i).to_numpy().astype(np.int64) for i in range(SKETCH // BITS)], axis=1) if len(m) else held_bits[:0]
         if not len(m):
             continue
         cut = np.flatnonzero(np.concatenate([[True], (m[1:] != m[:-1]) | (k[1:] != k[:-1])]))
         stop = np.append(cut[1:], len(m))
         first, last = (int(m[0]), int(k[0])) == key, len(cut) - 1
         # Runs that are whole in this batch and not large, many at once.
-        inside = (stop - cut <= BUCKET) & (np.arange(len(cut)) < last)
+        inside = (stop - cut <= few) & (np.arange(len(cut)) < last)
         inside[0] &= not first
         rows = np.repeat(inside, stop - cut)
         if rows.any():
@@ -469,33 +465,35 @@ def scan_sketches(batches: Iterator[pa.RecordBatch], least: float, whole: bool)
                 done = work[np.searchsorted(steps, lo, "right") - 1] if lo else 0
                 hi = int(steps[max(np.searchsorted(work, done + PAIRS, "right") - 1, np.searchsorted(steps, lo, "right"))])
                 own = at[lo:hi]
-                follows, a, c = _led(bits[own].view(np.uint64), end[lo:hi] - lo, least)
-                if len(a):
-                    yield linked(ids[own[a]], ids[own[c]])
-                if not whole and not follows.all():
-                    left = own[~follows]
+                a, c, _ = _alike(bits[own].view(np.uint64), end[lo:hi] - lo, may)
+                a, c, full = _first(a, c, most)
+                yield from found(ids[own], a, c, full)
+                if not whole:
+                    left = np.delete(own, full)
                     yield out(m[left], k[left], ids[left], 0, bits[left])
                 lo = hi
         for r in np.flatnonzero(~inside):
             lo, hi = int(cut[r]), int(stop[r])
             if (int(m[lo]), int(k[lo])) != key:
                 yield from closed()
-                key, lead_id, lead_bits = (int(m[lo]), int(k[lo])), ids[:0], bits[:0]
-            for at in range(lo, hi, BUCKET):
-                to = min(hi, at + BUCKET)
-                both_id, both = np.concatenate([lead_id, ids[at:to]]), np.concatenate([lead_bits, bits[at:to]])
-                follows, a, c = _led(both.view(np.uint64), np.full(len(both), len(both)), least, len(lead_id))
-                if len(a):
-                    yield linked(both_id[a], both_id[c])
-                over_id, over = both_id[~follows][BUCKET:], both[~follows][BUCKET:]
-                lead_id, lead_bits = both_id[~follows][:BUCKET], both[~follows][:BUCKET]
-                if len(over_id):
-                    yield out(*key, over_id, 0, over)
+                key, held_id, held_bits = (int(m[lo]), int(k[lo])), ids[:0], bits[:0]
+            for at in range(lo, hi, few):
+                to, n = min(hi, at + few), len(held_id)
+                both_id, both = np.concatenate([held_id, ids[at:to]]), np.concatenate([held_bits, bits[at:to]])
+                far = sum(np.bitwise_count(both[n:, w, None] ^ both[None, :, w]).astype(np.int16) for w in range(SKETCH // BITS))
+                a, c = np.nonzero(np.tril(far <= may, n - 1))
+                a, c, full = _first(a + n, c, most)
+                yield from found(both_id, a, c, full)
+                both_id, both = np.delete(both_id, full), np.delete(both, full, axis=0)
+                if len(both_id) > BUCKET:
+                    yield out(*key, both_id[BUCKET:], 0, both[BUCKET:])
+                held_id, held_bits = both_id[:BUCKET], both[:BUCKET]
     yield from closed()
 
 
-def _proposed(rest: DataFrame, masks_of: list[int], least: float, keys: DataFrame | None = None) -> DataFrame:
-    """_a > _b: documents of rest (_id, _fps, _sk) that a bucket brings together and sketches don't tell apart.
+def _proposed(rest: DataFrame, masks_of: list[int], least: float, keys: DataFrame | None = None, most: int = LINKS) -> DataFrame:
+    """_a > _b: documents of rest (_id, _fps, _sk) that a bucket brings together and sketches don't tell apart. _b is null
+    for each _a that wasn't compared with all that it meets.
 
     keys: (_m, _k) of the buckets that are looked at; all if None.
     """
@@ -504,17 +502,16 @@ def _proposed(rest: DataFrame, masks_of: list[int], least: float, keys: DataFram
     if keys is not None:
         rows = rows.join(keys, ["_m", "_k"], "left_semi")
     order = ["_m", "_k", "_id"]
-    # A task's own share first: of a large group of copies it hands on the few that lead.
-    scanned = materialize(rows.sortWithinPartitions(*order).mapInArrow(partial(scan_sketches, least=least, whole=False), FOUND), "own-buckets")
-    found = scanned.where("_m = 0").select("_id", "_b")
-    rows = scanned.where("_m <> 0")
+    # A task's own share first: of a large group of copies it hands on a few.
+    scanned = materialize(rows.sortWithinPartitions(*order).mapInArrow(partial(scan_sketches, least=least, whole=False, most=most), FOUND), "own-buckets")
+    met = lambda: scanned.where("_m = 0").select(F.col("_id").alias("_a"), F.when(F.col("_k") == 0, F.col("_b")).alias("_b"))
+    found, rows = met(), scanned.where("_m <> 0")
     while True:
-        scanned = materialize(rows.repartition("_m", "_k").sortWithinPartitions(*order).mapInArrow(partial(scan_sketches, least=least, whole=True), FOUND), "buckets")
-        found = found.unionByName(scanned.where("_m = 0").select("_id", "_b"))
-        rows = scanned.where("_m <> 0")
+        scanned = materialize(rows.repartition("_m", "_k").sortWithinPartitions(*order).mapInArrow(partial(scan_sketches, least=least, whole=True, most=most), FOUND), "buckets")
+        found, rows = found.unionByName(met()), scanned.where("_m <> 0")
         if rows.isEmpty():
             break
-    return materialize(found.select(F.col("_id").alias("_a"), "_b").where("_a > _b").distinct(), "proposed")
+    return materialize(found.distinct(), "proposed")
 
 
 def _dealt(rest: DataFrame, masks_of: list[int]) -> DataFrame:
@@ -525,39 +522,38 @@ def _dealt(rest: DataFrame, masks_of: list[int]) -> DataFrame:
 
 
 def _linked(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """_a, _b: those of the pairs that are like each other.
-
-    Sketches decide beyond their error; where no pair of a document is sure, the texts of all that it may be like do.
-    """
+    """_a, _b: those of the pairs that are like each other. Sketches decide beyond their error, else the texts do."""
     left, right = nodes.select(F.col("_id").alias("_a"), F.col("_sk").alias("_x")), nodes.select(F.col("_id").alias("_b"), F.col("_sk").alias("_y"))
     far = sum((F.bit_count(F.col("_x")[k].bitwiseXOR(F.col("_y")[k])) for k in range(SKETCH // BITS)), F.lit(0))
     met = pairs.join(left, "_a").join(right, "_b").select("_a", "_b", far.alias("_d")).where(F.col("_d") <= _differing(least - MARGIN))
-    sure = F.col("_d") <= _differing(least + MARGIN)
-    met = materialize(met.withColumn("_sure", sure), "met")
-
-    @F.pandas_udf("double")
-    def similar(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([overlap(a, b) for a, b in zip(x, y)], dtype="float64")
-
-    unsure = met.join(met.where("_sure").select("_a").distinct(), "_a", "left_anti").select("_a", "_b")
-    x, y = texts.select(F.col("_id").alias("_a"), F.col("_text").alias("_x")), texts.select(F.col("_id").alias("_b"), F.col("_text").alias("_y"))
-    by_text = unsure.join(x, "_a").join(y, "_b").where(similar("_x", "_y") >= least).select("_a", "_b")
+    met = materialize(met.withColumn("_sure", F.col("_d") <= _differing(least + MARGIN)), "met")
+
+    @F.pandas_udf("array<long>")
+    def shingles(texts: pd.Series) -> pd.Series:
+        return texts.map(shingle_hashes, na_action=None)
+
+    asked = met.where("not _sure").select("_a", "_b")
+    ends = asked.select(F.explode(F.array("_a", "_b")).alias("_id")).distinct()
+    # Each text that is asked for is hashed once.
+    sets = materialize(texts.join(ends, "_id", "left_semi").select("_id", shingles("_text").alias("_set")), "shingles")
+    both = asked.join(sets.select(F.col("_id").alias("_a"), F.col("_set").alias("_x")), "_a").join(sets.select(F.col("_id").alias("_b"), F.col("_set").alias("_y")), "_b")
+    shared, sizes = F.size(F.array_intersect("_x", "_y")), F.size("_x") + F.size("_y")
+    by_text = both.where((sizes == 0) | (shared >= F.lit(least) * (sizes - shared))).select("_a", "_b")
     return materialize(met.where("_sure").select("_a", "_b").unionByName(by_text), "alike")
 
 
 def _settled(links: DataFrame) -> DataFrame:
-    """_id, _of: what goes, and by which smaller one that stays, if these links (_a > _b) were all: in each step those that
-    have no smaller one left stay and what is like them goes."""
-    went = None
+    """_id of what goes if these links (_a > _b) are all: in each step those that have no smaller one left stay and what is
+    like them goes."""
+    went, a, b = None, F.col("_a"), F.col("_b")
     while True:
-        follows = links.select(F.col("_a").alias("_b")).distinct()
-        now = materialize(links.join(follows, "_b", "left_anti").groupBy(F.col("_a").alias("_id")).agg(F.min("_b").alias("_of")), "went")
+        follows = links.select(a.alias("_b")).distinct()
+        now = materialize(links.join(follows, "_b", "left_anti").select(a.alias("_id")).distinct(), "went")
         went = now if went is None else went.unionByName(now)
-        for end in ("_a", "_b"):
-            links = links.join(now.select(F.col("_id").alias(end)), end, "left_anti")
+        links = links.join(now.select(F.col("_id").alias("_a")), "_a", "left_anti").join(now.select(F.col("_id").alias("_b")), "_b", "left_anti")
         links = materialize(links, "links")
         if links.isEmpty():
-            return went
+            return materialize(went, "gone")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 2, distance: int = 5, times: int = 3, least: float = 0.5) -> DataFrame:
@@ -565,12 +561,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
 
     A document goes if its text shares at least `least` of its five-word shingles (Jaccard) with one of smaller
     identifier that stays. Documents meet in the buckets of `times` fingerprints each, over shingles of `words` words: any
-    two with fingerprints within the distance meet, and most others that are like each other. In a bucket they go by
-    identifier; each is compared with those before that follow none, by sketches of the five-word shingles. Of what a
-    document is found to be like, the smallest that stays counts. If all of these go, or the one it went by goes later, the
-    document is looked at again, in its buckets as they are then. So in the end all that goes is like a smaller
-    one that stays, and no two that met and stay are like each other. Comparisons grow with the documents, not with the
-    pairs of a group.
+    two with fingerprints within the distance meet, and most others that are like each other. In a bucket each is compared,
+    by sketches of the five-word shingles, with those of smaller identifier until it has a number of links; then links are
+    settled in the order of identifiers. What stays though it wasn't compared with all that stay is looked at again, in its
+    buckets as they are then and for more links; so is what comes back. So in the end all that goes is like a smaller one
+    that stays, and no two that met and stay are like each other. Links grow with the documents, not with the pairs of a
+    group.
 
     Rows alike in identifier and text share one fate; of rows with one identifier the texts decide, in the order of their
     hashes. Rows without identifier stay. Null and blank texts have no shingles and are copies of one another. An empty
@@ -592,24 +588,21 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     of = masks(plan_parts(n, both, distance, SKETCH_COST))
     named = nodes.select("_key", "_th", "_id")
     texts = docs.where(key.isNotNull()).select(key.alias("_key"), hashed.alias("_th"), text.alias("_text")).join(named, ["_key", "_th"]).select("_id", "_text")
-    gone, keys, rest = None, None, nodes
+    links, keys, rest, most = None, None, nodes, LINKS
     while True:
-        links = _linked(_proposed(rest, of, least, keys), nodes, texts, least)
-        went = _settled(links)
-        lost = None
-        if gone is not None:
-            now = went.select(F.col("_id").alias("_of"))
-            lost = gone.join(now, "_of", "left_semi").select("_id")
-            gone = gone.join(now, "_of", "left_anti").unionByName(went)
-        else:
-            gone = went
-        gone = materialize(gone, "gone")
-        # Looked at again: what followed ones that went and stays so far, and what went by one that goes itself now.
-        again = links.select(F.col("_a").alias("_id")).distinct().join(went, "_id", "left_anti")
-        again = materialize(again if lost is None else again.unionByName(lost), "again")
+        pairs = _proposed(rest, of, least, keys, most)
+        new = _linked(pairs.where("_b is not null"), nodes, texts, least)
+        links = new if links is None else materialize(links.unionByName(new).distinct(), "links")
+        gone = _settled(links)
+        stay = materialize(nodes.join(gone, "_id", "left_anti"), "stay")
+        # Looked at again: what stays and wasn't compared with all, and what was gone when the others were compared.
+        again = pairs.where("_b is null").select(F.col("_a").alias("_id")).distinct().join(stay.select("_id"), "_id", "left_semi")
+        if keys is not None:
+            again = again.unionByName(stay.select("_id").join(rest.select("_id"), "_id", "left_anti")).distinct()
+        again = materialize(again, "again")
         if again.isEmpty():
             break
-        rest = materialize(nodes.join(gone, "_id", "left_anti"), "rest")
+        rest, most = stay, MORE * most
         keys = materialize(_dealt(rest.join(again, "_id", "left_semi"), of).select("_m", "_k").distinct(), "keys")
     left = gone.join(named, "_id").select(F.col("_key").alias("_near_key"), F.col("_th").alias("_near_hash"))
     return docs.join(left, (key == F.col("_near_key")) & (hashed == F.col("_near_hash")), "left_anti")
