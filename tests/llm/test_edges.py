@@ -200,6 +200,28 @@ def test_large_group_hands_on_few_rows():
     assert links.T.tolist() == [[a, b] for a in range(1000) for b in range(min(a, 4))]
 
 
+def test_near_copies_are_compared_with_what_stays(spark, monkeypatch):
+    """Of 120 near copies each is compared with the first, not with 16 of one another, and the texts aren't shuffled for that."""
+    words = [f"w{j}" for j in range(100)]
+    text = {k: " ".join([*words[:-1], f"last{k}"]) for k in range(1, 121)}
+    compared, linked = [], simhash._linked
+    monkeypatch.setattr(simhash, "_linked", lambda pairs, *a: compared.append(pairs.count()) or linked(pairs, *a))
+    got = simhash.keep_one(spark.createDataFrame(list(text.items()), "doc_id long, text string").repartition(3))
+    assert [r.doc_id for r in got.collect()] == [1] and sum(compared) <= 2 * len(text)
+
+
+def test_scan_without_drop_links_those_that_ask():
+    """A row with as many links as it gets is marked, and still compared with what comes after it."""
+    bits = np.zeros((5, simhash.SKETCH // 64), np.int64)
+    bits[4] = -1
+    bits[4, 3] = 0
+    bits[3, :2] = -1  # like the last one and none of the others
+    names = [f.split()[0] for f in simhash.FOUND.split(", ")]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in (np.full(5, 5), np.full(5, 7), np.arange(5), np.array([1, 1, 0, 1, 1]), *bits.T)], names)
+    got = np.concatenate([np.stack([c.to_numpy() for c in b.columns]) for b in simhash.scan_sketches(iter([batch]), 0.5, True, 1, drop=False)], axis=1)
+    assert got[2:4, (got[0] == 0) & (got[1] == 0)].T.tolist() == [[1, 0], [4, 3]] and sorted(got[2, (got[0] == 0) & (got[1] == 1)]) == [1, 4]
+
+
 def test_materialize_leaves_no_shuffle_files(spark):
     disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
     held = lambda: {f for f in disk.getAllFiles().mkString("|").split("|") if "shuffle_" in f}

@@ -12,9 +12,9 @@ small-star rounds.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
-from itertools import combinations
+from itertools import combinations, count
 from math import ceil, comb, log2
 
 import numpy as np
@@ -410,21 +410,26 @@ FOUND = "_m long, _k long, _id long, _b long, " + ", ".join(f"_s{k} long" for k
 
 #: Earlier documents that a document is linked to in the first round, and by how much that grows in the next ones.
 LINKS, MORE = 16, 8
+#: Steps in which only pairs with what stays are compared.
+FIRST = 2
 #: Rows of a large bucket that are compared with those held before them at a time.
 STEP_ROWS = 256
+#: Rows of identifiers (and text hashes) that are sent to every task rather than the texts shuffled to meet them.
+FEW = 1 << 18
 
 
-def scan_sketches(batches: Iterator[pa.RecordBatch], least: float, whole: bool, most: int = LINKS) -> Iterator[pa.RecordBatch]:
+def scan_sketches(batches: Iterator[pa.RecordBatch], least: float, whole: bool, most: int = LINKS, drop: bool = True) -> Iterator[pa.RecordBatch]:
     """Rows (_m, _k, _id, _b, sketch) in order of the first three; gives links (0, 0, later, earlier), marks and rows for another scan.
 
-    A row is linked to the first `most` before it that it may be like. One that has as many is compared with nothing after
-    it, and marked (0, 1, row, 0). whole: all rows of a bucket are here. What is compared with BUCKET others that are held
-    goes on to the next scan of the same bucket, so in the end all that aren't marked have been compared. If not whole,
-    this is one task's share of the buckets, and rows without a mark go on to meet those of the other tasks.
+    A row is linked to the first `most` before it that it may be like. One that has as many is marked (0, 1, row, 0) and, with
+    drop, compared with nothing after it. Without drop all rows of a bucket are compared, and only those whose _b is above 0
+    are linked or marked. whole: all rows of a bucket are here. What is compared with BUCKET others that are held goes on to the
+    next scan of the same bucket, so in the end all that aren't dropped have been compared. If not whole, this is one task's
+    share of the buckets, and rows that aren't dropped go on to meet those of the other tasks.
     """
     names = [f.split()[0] for f in FOUND.split(", ")]
     key: tuple[int, int] | None = None
-    held_id, held_bits = np.zeros(0, np.int64), np.zeros((0, SKETCH // BITS), np.int64)
+    held_id, held_asks, held_bits = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, SKETCH // BITS), np.int64)
     few, may = min(STEP_ROWS, BUCKET), _differing(least - MARGIN)
 
     def out(m, k, ids, other, bits):
@@ -438,13 +443,16 @@ def scan_sketches(batches: Iterator[pa.RecordBatch], least: float, whole: bool,
         if len(full):
             yield out(0, 1, ids[full], 0, blank[: len(full)])
 
+    def asked(asks, a, c):
+        return (a, c) if drop else (a[asks[a] > 0], c[asks[a] > 0])
+
     def closed():
         """What is held of the run that ends, for the other tasks' rows."""
         if key and not whole and len(held_id):
-            yield out(*key, held_id, 0, held_bits)
+            yield out(*key, held_id, held_asks, held_bits)
 
     for b in batches:
-        m, k, ids = (b.column(i).to_numpy().astype(np.int64) for i in range(3))
+        m, k, ids, asks = (b.column(i).to_numpy().astype(np.int64) for i in range(4))
         bits = np.stack([b.column(4 + i).to_numpy().astype(np.int64) for i in range(SKETCH // BITS)], axis=1) if len(m) else held_bits[:0]
         if not len(m):
             continue
@@ -466,59 +474,62 @@ def scan_sketches(batches: Iterator[pa.RecordBatch], least: float, whole: bool,
                 hi = int(steps[max(np.searchsorted(work, done + PAIRS, "right") - 1, np.searchsorted(steps, lo, "right"))])
                 own = at[lo:hi]
                 a, c, _ = _alike(bits[own].view(np.uint64), end[lo:hi] - lo, may)
-                a, c, full = _first(a, c, most)
+                a, c, full = _first(*asked(asks[own], a, c), most)
                 yield from found(ids[own], a, c, full)
                 if not whole:
-                    left = np.delete(own, full)
-                    yield out(m[left], k[left], ids[left], 0, bits[left])
+                    left = np.delete(own, full) if drop else own
+                    yield out(m[left], k[left], ids[left], asks[left], bits[left])
                 lo = hi
         for r in np.flatnonzero(~inside):
             lo, hi = int(cut[r]), int(stop[r])
             if (int(m[lo]), int(k[lo])) != key:
                 yield from closed()
-                key, held_id, held_bits = (int(m[lo]), int(k[lo])), ids[:0], bits[:0]
+                key, held_id, held_asks, held_bits = (int(m[lo]), int(k[lo])), ids[:0], asks[:0], bits[:0]
             for at in range(lo, hi, few):
                 to, n = min(hi, at + few), len(held_id)
-                both_id, both = np.concatenate([held_id, ids[at:to]]), np.concatenate([held_bits, bits[at:to]])
-                far = sum(np.bitwise_count(both[n:, w, None] ^ both[None, :, w]).astype(np.int16) for w in range(SKETCH // BITS))
+                both_id, both_asks, both = (np.concatenate([x, y[at:to]]) for x, y in ((held_id, ids), (held_asks, asks), (held_bits, bits)))
+                own = both.view(np.uint64)  # of signed words the bits of the absolute value would be counted
+                far = sum(np.bitwise_count(own[n:, w, None] ^ own[None, :, w]).astype(np.int16) for w in range(SKETCH // BITS))
                 a, c = np.nonzero(np.tril(far <= may, n - 1))
-                a, c, full = _first(a + n, c, most)
+                a, c, full = _first(*asked(both_asks, a + n, c), most)
                 yield from found(both_id, a, c, full)
-                both_id, both = np.delete(both_id, full), np.delete(both, full, axis=0)
+                if drop:
+                    both_id, both_asks, both = (np.delete(x, full, axis=0) for x in (both_id, both_asks, both))
                 if len(both_id) > BUCKET:
-                    yield out(*key, both_id[BUCKET:], 0, both[BUCKET:])
-                held_id, held_bits = both_id[:BUCKET], both[:BUCKET]
+                    yield out(*key, both_id[BUCKET:], both_asks[BUCKET:], both[BUCKET:])
+                held_id, held_asks, held_bits = both_id[:BUCKET], both_asks[:BUCKET], both[:BUCKET]
     yield from closed()
 
 
 def _proposed(rest: DataFrame, masks_of: list[int], least: float, keys: DataFrame | None = None, most: int = LINKS) -> DataFrame:
-    """_a > _b: documents of rest (_id, _fps, _sk) that a bucket brings together and sketches don't tell apart. _b is null
-    for each _a that wasn't compared with all that it meets.
+    """_a > _b: documents of rest (_id, _fps, _sk, _asks) that a bucket brings together and sketches don't tell apart, for those
+    _a that ask. _b is null for each _a of which not all are given.
 
-    keys: (_m, _k) of the buckets that are looked at; all if None.
+    keys: (_m, _k, _top) of the buckets that are looked at, and to which document; all if None.
     """
     sketches = [F.col("_sk")[i].alias(f"_s{i}") for i in range(SKETCH // BITS)]
-    rows = _dealt(rest, masks_of).select("_m", "_k", "_id", F.lit(0).cast("long").alias("_b"), *sketches)
+    rows = _dealt(rest, masks_of).select("_m", "_k", "_id", F.col("_asks").alias("_b"), *sketches)
     if keys is not None:
-        rows = rows.join(keys, ["_m", "_k"], "left_semi")
-    order = ["_m", "_k", "_id"]
-    # A task's own share first: of a large group of copies it hands on a few.
-    scanned = materialize(rows.sortWithinPartitions(*order).mapInArrow(partial(scan_sketches, least=least, whole=False, most=most), FOUND), "own-buckets")
-    met = lambda: scanned.where("_m = 0").select(F.col("_id").alias("_a"), F.when(F.col("_k") == 0, F.col("_b")).alias("_b"))
-    found, rows = met(), scanned.where("_m <> 0")
+        rows = rows.join(keys, ["_m", "_k"]).where(F.col("_id") <= F.col("_top")).drop("_top")
+    order, found = ["_m", "_k", "_id"], None
     while True:
-        scanned = materialize(rows.repartition("_m", "_k").sortWithinPartitions(*order).mapInArrow(partial(scan_sketches, least=least, whole=True, most=most), FOUND), "buckets")
-        found, rows = found.unionByName(met()), scanned.where("_m <> 0")
+        scanned = materialize(rows.repartition("_m", "_k").sortWithinPartitions(*order).mapInArrow(partial(scan_sketches, least=least, whole=True, most=most, drop=False), FOUND), "buckets")
+        met = scanned.where("_m = 0").select(F.col("_id").alias("_a"), F.when(F.col("_k") == 0, F.col("_b")).alias("_b"))
+        found, rows = met if found is None else found.unionByName(met), scanned.where("_m <> 0")
         if rows.isEmpty():
-            break
-    return materialize(found.distinct(), "proposed")
+            return materialize(found.distinct(), "proposed")
 
 
 def _dealt(rest: DataFrame, masks_of: list[int]) -> DataFrame:
-    """A row for each document and bucket: _m, _k, _id, _sk."""
+    """A row for each document and bucket: _m, _k, _id, _sk, _asks."""
     places = lambda fp: F.array(*[F.struct(F.lit(_signed(m)).alias("_m"), fp.bitwiseAND(F.lit(_signed(m))).alias("_k")) for m in masks_of])
     each = F.explode(F.array_distinct(F.flatten(F.transform("_fps", places))))  # fingerprints may share buckets
-    return rest.select("_id", "_sk", each.alias("_e")).select("_e._m", "_e._k", "_id", "_sk")
+    return rest.select("_id", "_sk", "_asks", each.alias("_e")).select("_e._m", "_e._k", "_id", "_sk", "_asks")
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """df, to be sent to every task if it is small."""
+    return F.broadcast(df) if df.count() <= FEW else df
 
 
 def _linked(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -533,27 +544,37 @@ def _linked(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, least: float)
         return texts.map(shingle_hashes, na_action=None)
 
     asked = met.where("not _sure").select("_a", "_b")
-    ends = asked.select(F.explode(F.array("_a", "_b")).alias("_id")).distinct()
+    ends = materialize(asked.select(F.explode(F.array("_a", "_b")).alias("_id")).distinct(), "ends")
     # Each text that is asked for is hashed once.
-    sets = materialize(texts.join(ends, "_id", "left_semi").select("_id", shingles("_text").alias("_set")), "shingles")
+    sets = materialize(texts.join(_few(ends), "_id", "left_semi").select("_id", shingles("_text").alias("_set")), "shingles")
     both = asked.join(sets.select(F.col("_id").alias("_a"), F.col("_set").alias("_x")), "_a").join(sets.select(F.col("_id").alias("_b"), F.col("_set").alias("_y")), "_b")
     shared, sizes = F.size(F.array_intersect("_x", "_y")), F.size("_x") + F.size("_y")
     by_text = both.where((sizes == 0) | (shared >= F.lit(least) * (sizes - shared))).select("_a", "_b")
     return materialize(met.where("_sure").select("_a", "_b").unionByName(by_text), "alike")
 
 
-def _settled(links: DataFrame) -> DataFrame:
-    """_id of what goes if these links (_a > _b) are all: in each step those that have no smaller one left stay and what is
-    like them goes."""
+def _settled(pairs: DataFrame, alike: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame | None, DataFrame]:
+    """_id of what goes (None: nothing), and of what these pairs (_a > _b) don't decide.
+
+    In each step those that wait for no other stay, and what is like them goes. In the first steps only these pairs are given
+    to `alike`, which rids a group of most of its pairs; then all that are left. A document without all its pairs (_b is
+    null) waits until it goes. So what is decided stays decided.
+    """
     went, a, b = None, F.col("_a"), F.col("_b")
-    while True:
-        follows = links.select(a.alias("_b")).distinct()
-        now = materialize(links.join(follows, "_b", "left_anti").select(a.alias("_id")).distinct(), "went")
-        went = now if went is None else went.unionByName(now)
-        links = links.join(now.select(F.col("_id").alias("_a")), "_a", "left_anti").join(now.select(F.col("_id").alias("_b")), "_b", "left_anti")
-        links = materialize(links, "links")
-        if links.isEmpty():
-            return materialize(went, "gone")
+    cut, left = pairs.where(b.isNull()).select(a.alias("_id")), pairs.where(b.isNotNull())
+    for step in count():
+        if step == FIRST and not left.isEmpty():
+            left = alike(left)
+        waits = materialize(left.select(a.alias("_id")).unionByName(cut).distinct(), "waits")
+        now = materialize(left.join(waits.select(F.col("_id").alias("_b")), "_b", "left_anti").select("_a", "_b"), "now")
+        if not now.isEmpty():
+            gone = materialize((alike(now) if step < FIRST else now).select(a.alias("_id")).distinct(), "gone")
+            went = gone if went is None else went.unionByName(gone)
+            left = left.join(gone.select(F.col("_id").alias("_a")), "_a", "left_anti").join(gone.select(F.col("_id").alias("_b")), "_b", "left_anti")
+            left = materialize(left.join(waits.select(F.col("_id").alias("_b")), "_b", "left_semi").select("_a", "_b"), "left")
+            cut = materialize(cut.join(gone, "_id", "left_anti"), "cut")
+        elif step >= FIRST:
+            return went, waits
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 2, distance: int = 5, times: int = 3, least: float = 0.5) -> DataFrame:
@@ -562,11 +583,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     A document goes if its text shares at least `least` of its five-word shingles (Jaccard) with one of smaller
     identifier that stays. Documents meet in the buckets of `times` fingerprints each, over shingles of `words` words: any
     two with fingerprints within the distance meet, and most others that are like each other. In a bucket each is compared,
-    by sketches of the five-word shingles, with those of smaller identifier until it has a number of links; then links are
-    settled in the order of identifiers. What stays though it wasn't compared with all that stay is looked at again, in its
-    buckets as they are then and for more links; so is what comes back. So in the end all that goes is like a smaller one
-    that stays, and no two that met and stay are like each other. Links grow with the documents, not with the pairs of a
-    group.
+    by sketches of the five-word shingles, with all of smaller identifier, and gets the first of those that it may be like, up
+    to a number. These are settled in the order of identifiers: what has no smaller one left stays, and only with what stays
+    are others compared by text. What isn't decided, as it may be like more than it got, asks again for more, of what hasn't
+    gone. Decisions are final, so in the end all that goes is like a smaller one that stays, and no two that met and stay are
+    like each other. Links grow with the documents, not with the pairs of a group.
 
     Rows alike in identifier and text share one fate; of rows with one identifier the texts decide, in the order of their
     hashes. Rows without identifier stay. Null and blank texts have no shingles and are copies of one another. An empty
@@ -587,25 +608,27 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
         return docs
     of = masks(plan_parts(n, both, distance, SKETCH_COST))
     named = nodes.select("_key", "_th", "_id")
-    texts = docs.where(key.isNotNull()).select(key.alias("_key"), hashed.alias("_th"), text.alias("_text")).join(named, ["_key", "_th"]).select("_id", "_text")
-    links, keys, rest, most = None, None, nodes, LINKS
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        wanted = materialize(named.join(pairs.select(F.explode(F.array("_a", "_b")).alias("_id")).distinct(), "_id", "left_semi"), "wanted")
+        texts = docs.where(key.isNotNull()).select(key.alias("_key"), hashed.alias("_th"), text.alias("_text")).join(_few(wanted), ["_key", "_th"])
+        return _linked(pairs, nodes, texts.select("_id", "_text"), least)
+
+    gone, keys, rest, most = None, None, nodes.withColumn("_asks", F.lit(1).cast("long")), LINKS
     while True:
-        pairs = _proposed(rest, of, least, keys, most)
-        new = _linked(pairs.where("_b is not null"), nodes, texts, least)
-        links = new if links is None else materialize(links.unionByName(new).distinct(), "links")
-        gone = _settled(links)
-        stay = materialize(nodes.join(gone, "_id", "left_anti"), "stay")
-        # Looked at again: what stays and wasn't compared with all, and what was gone when the others were compared.
-        again = pairs.where("_b is null").select(F.col("_a").alias("_id")).distinct().join(stay.select("_id"), "_id", "left_semi")
-        if keys is not None:
-            again = again.unionByName(stay.select("_id").join(rest.select("_id"), "_id", "left_anti")).distinct()
-        again = materialize(again, "again")
-        if again.isEmpty():
+        went, waits = _settled(_proposed(rest, of, least, keys, most), alike)
+        if went is not None:
+            gone = went if gone is None else gone.unionByName(went)
+        if waits.isEmpty():
             break
-        rest, most = stay, MORE * most
-        keys = materialize(_dealt(rest.join(again, "_id", "left_semi"), of).select("_m", "_k").distinct(), "keys")
-    left = gone.join(named, "_id").select(F.col("_key").alias("_near_key"), F.col("_th").alias("_near_hash"))
-    return docs.join(left, (key == F.col("_near_key")) & (hashed == F.col("_near_hash")), "left_anti")
+        stay = nodes if gone is None else nodes.join(gone, "_id", "left_anti")
+        asks = waits.withColumn("_asks", F.lit(1).cast("long"))
+        rest, most = materialize(stay.join(asks, "_id", "left").withColumn("_asks", F.coalesce("_asks", F.lit(0).cast("long"))), "rest"), MORE * most
+        keys = materialize(_dealt(rest.where("_asks > 0"), of).groupBy("_m", "_k").agg(F.max("_id").alias("_top")), "keys")
+    if gone is None:
+        return docs
+    left = materialize(gone.join(named, "_id").select(F.col("_key").alias("_near_key"), F.col("_th").alias("_near_hash")), "left")
+    return docs.join(_few(left), (key == F.col("_near_key")) & (hashed == F.col("_near_hash")), "left_anti")
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
