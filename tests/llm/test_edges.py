@@ -1,5 +1,6 @@
 """Nulls, empty and very long texts, ties, empty tables and clashing columns, for every operator."""
 
+import os
 import time
 
 import numpy as np
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tremorlens.llm import bpe, common, exact_dedup, langid, line_dedup, media, mixing, secrets, simhash, toxicity, warc
+from tremorlens.llm import bpe, collocations, common, exact_dedup, langid, line_dedup, media, mixing, secrets, simhash, toxicity, warc
 
 LONG = "Lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod. " * 4000
 ROWS = [
@@ -233,6 +234,22 @@ def test_materialize_leaves_no_shuffle_files(spark):
     assert not held() - before and rows.count() == 1000 and spark.conf.get(common.CLEANUP) == setting
 
 
+def test_collocations_drop_what_is_counted(spark, monkeypatch):
+    """Words and packs of pairs are off the disk before the next pairs are shuffled and written."""
+    folder, beside, materialize = common.shared_dir(spark).removeprefix("file://"), [], collocations.materialize
+
+    def noted(df, name, *a):
+        if name == "pairs":
+            beside.append({x for x in os.listdir(folder) if x.startswith(("words-", "pairs-"))} - before)
+        return materialize(df, name, *a)
+
+    before = set(os.listdir(folder))
+    monkeypatch.setattr(collocations, "materialize", noted)
+    docs = spark.createDataFrame([("a b c d. a b c d", "en")] * 40, "text string, lang string")
+    found, _ = collocations.phrases(docs)
+    assert {(r.phrase, r.a) for r in found.where("k = 4").collect()} == {("a b c d", 80)} and beside == [set()] * 3
+
+
 def test_keep_one_of_empty_and_single_tables(spark):
     docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     assert simhash.keep_one(docs).count() == 1 and simhash.keep_one(docs.limit(0)).count() == 0

@@ -212,8 +212,11 @@ def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", mos
     level = materialize(_once(names).select("id", "a", "lang", word.alias("phrase"), word.alias("last"), one.alias("opening"), one.alias("ending"), F.expr("cast(array() as array<struct<k:int,id:bigint>>)").alias("inner")), "phrases")
     found = None
     for k in range(2, most + 1):
-        sides = names.where("c is not null").select("c", "at", "id", "ids").groupBy("c"), chunks.where("seq is not null").select("c", "seq").groupBy("c")
-        done = [chunks, names]
+        # Words and packs are counted: only the sequences stay on disk beside what is shuffled and written next.
+        runs = materialize(chunks.where("seq is not null").select("c", "seq"), "runs")
+        discard(chunks)
+        sides = names.where("c is not null").select("c", "at", "id", "ids").groupBy("c"), runs.groupBy("c")
+        done = [runs, names]
         chunks = materialize(sides[0].cogroup(sides[1]).applyInArrow(lambda key, n, c: _pairs(key, n, c, shares), PAIRS), "pairs")
         for table in done:
             discard(table)
