@@ -250,6 +250,39 @@ def test_collocations_drop_what_is_counted(spark, monkeypatch):
     assert {(r.phrase, r.a) for r in found.where("k = 4").collect()} == {("a b c d", 80)} and beside == [set()] * 3
 
 
+def test_documents_below_the_threshold_make_no_pairs(spark, monkeypatch):
+    """40 texts that share a passage, too little to be copies and too much for sketches to tell: none is a row with another."""
+    passage = [f"p{j}" for j in range(60)]
+    text = {k: " ".join([*passage, *(f"own{k}x{j}" for j in range(40))]) for k in range(1, 41)}
+    compared, linked = [], simhash._linked
+    monkeypatch.setattr(simhash, "_linked", lambda pairs, *a: compared.append(pairs.count()) or linked(pairs, *a))
+    docs = spark.createDataFrame(list(text.items()), "doc_id long, text string").repartition(3)
+    assert simhash.keep_one(docs, distance=20).count() == 40 and sum(compared) <= len(text)
+
+
+def test_sets_and_first_buckets_equal_plain_ones():
+    """Similarities in a bucket against those of texts (hashes above 2**63 among them), and pairs against a search for their first bucket."""
+    words = [f"w{j}" for j in range(40)]
+    texts = [" ".join(words[: 40 - k] + [f"x{k}{j}" for j in range(k)]) for k in range(20)] + [" "]
+    sets = [simhash.shingle_hashes(t) for t in texts]
+    a, c = np.nonzero(np.tril(np.ones((21, 21), bool), -1))
+    want = [simhash.overlap(texts[x], texts[y]) >= 0.5 for x, y in zip(a, c)]
+    assert simhash._shared(sets, a, c, 0.5).tolist() == want and 0 < sum(want) < len(want)
+    holds = simhash._confirmed(sets, a, c, np.full(len(a), 80), 0.5, 2)
+    firsts = [[y for x, y, w in zip(a, c, want) if w and x == k][:2] for k in range(21)]
+    assert [c[holds & (a == k)].tolist()[:2] for k in range(21)] == firsts
+    fps = np.random.default_rng(5).integers(-2, 2, (30, 2))
+    of, seen = [1 << 63 | 1, 2, 3], []
+    buckets = [{(simhash._signed(m), int(f) & simhash._signed(m)) for m in of for f in row} for row in fps]
+    for m, k in sorted(set().union(*buckets)):
+        pairs = [(x, y) for x in range(30) for y in range(x) if (m, k) in buckets[x] & buckets[y]]
+        x, y = np.array(pairs).reshape(-1, 2).T
+        first = simhash._first_met(fps[x], fps[y], np.full(len(x), m), np.full(len(x), k), of)
+        assert [pairs[i] for i in first] == [(i, j) for i, j in pairs if min(buckets[i] & buckets[j]) == (m, k)]
+        seen += [pairs[i] for i in first]
+    assert sorted(seen) == sorted((x, y) for x in range(30) for y in range(x) if buckets[x] & buckets[y])
+
+
 def test_keep_one_of_empty_and_single_tables(spark):
     docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     assert simhash.keep_one(docs).count() == 1 and simhash.keep_one(docs.limit(0)).count() == 0

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import partial
-from itertools import combinations, count
+from itertools import combinations
 from math import ceil, comb, log2
 
 import numpy as np
@@ -405,57 +405,125 @@ def _first(a: np.ndarray, b: np.ndarray, most: int) -> tuple[np.ndarray, np.ndar
     return a[keep], b[keep], a[cut[size >= most]]
 
 
+def _shared(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """Of pairs in the order of a, which have at least this Jaccard similarity of their sets (sorted as unsigned words)."""
+    out, cut = np.zeros(len(a), bool), np.flatnonzero(np.diff(a, prepend=-1))
+    for lo, hi in zip(cut, np.append(cut[1:], len(a))):
+        own, others = sets[a[lo]].view(np.uint64), [sets[k] for k in b[lo:hi]]
+        sizes, held = np.array([len(x) for x in others]), np.concatenate(others).view(np.uint64)
+        place = np.minimum(np.searchsorted(own, held), max(len(own) - 1, 0))
+        hits = np.append(0, np.cumsum(own[place] == held if len(own) else np.zeros(len(held), bool)))
+        ends = np.cumsum(sizes)
+        both, total = hits[ends] - hits[ends - sizes], sizes + len(own)
+        out[lo:hi] = (total == 0) | (both >= least * (total - both))
+    return out
+
+
+def _confirmed(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, d: np.ndarray, least: float, most: int) -> np.ndarray:
+    """Which of the pairs (in order) hold, as far as it takes to find the first `most` of each a. Few differing bits (d) decide, else the sets."""
+    out, sure = np.zeros(len(a), bool), d <= _differing(least + MARGIN)
+    cut = np.flatnonzero(np.diff(a, prepend=-1))
+    size = np.diff(np.append(cut, len(a)))
+    of, lo, hi = np.repeat(np.arange(len(cut)), size), 0, 2 * most
+    rank, count_of = np.arange(len(a)) - np.repeat(cut, size), np.zeros(len(cut), np.int64)
+    while len(at := np.flatnonzero((rank >= lo) & (rank < hi) & (count_of < most)[of])):
+        out[at] = sure[at]
+        asked = at[~sure[at]]
+        out[asked] = _shared(sets, a[asked], b[asked], least)
+        count_of += np.bincount(of[at[out[at]]], minlength=len(cut))
+        lo, hi = hi, 2 * hi
+    return out
+
+
+def _first_met(x: np.ndarray, y: np.ndarray, m: np.ndarray, k: np.ndarray, masks_of: list[int]) -> np.ndarray:
+    """Of pairs of rows with these fingerprints, which share no bucket before (m, k): one bucket is enough for a pair."""
+    at = np.arange(len(x))
+    for mask in sorted(map(_signed, masks_of)):
+        if not len(at):
+            break
+        own, other, before = x[at] & mask, y[at] & mask, np.where(m[at] > mask, np.iinfo(np.int64).max, np.where(m[at] == mask, k[at], np.iinfo(np.int64).min))
+        met = np.zeros(len(at), bool)
+        for i in range(own.shape[1]):
+            met |= (own[:, i] < before) & (own[:, i, None] == other).any(axis=1)
+        at = at[~met]
+    return at
+
+
 FOUND = "_m long, _k long, _id long, _b long, " + ", ".join(f"_s{k} long" for k in range(SKETCH // BITS))
+#: The same with the hashes of a text's shingles.
+WITH_SET = FOUND + ", _set array<long>"
 
 
 #: Earlier documents that a document is linked to in the first round, and by how much that grows in the next ones.
 LINKS, MORE = 16, 8
-#: Steps in which only pairs with what stays are compared.
-FIRST = 2
 #: Rows of a large bucket that are compared with those held before them at a time.
 STEP_ROWS = 256
+#: Bytes of shingle hashes of a large bucket that a task holds at once.
+HELD = 1 << 26
 #: Rows of identifiers (and text hashes) that are sent to every task rather than the texts shuffled to meet them.
 FEW = 1 << 18
 
 
-def scan_sketches(batches: Iterator[pa.RecordBatch], least: float, whole: bool, most: int = LINKS, drop: bool = True) -> Iterator[pa.RecordBatch]:
+def scan_sketches(batches: Iterator[pa.RecordBatch], least: float, whole: bool, most: int = LINKS, drop: bool = True, members: list[int] | None = None) -> Iterator[pa.RecordBatch]:
     """Rows (_m, _k, _id, _b, sketch) in order of the first three; gives links (0, 0, later, earlier), marks and rows for another scan.
 
-    A row is linked to the first `most` before it that it may be like. One that has as many is marked (0, 1, row, 0) and, with
-    drop, compared with nothing after it. Without drop all rows of a bucket are compared, and only those whose _b is above 0
-    are linked or marked. whole: all rows of a bucket are here. What is compared with BUCKET others that are held goes on to the
-    next scan of the same bucket, so in the end all that aren't dropped have been compared. If not whole, this is one task's
-    share of the buckets, and rows that aren't dropped go on to meet those of the other tasks.
+    A row is linked to the first `most` before it that it may be like; where rows have a _set, to those that it is like. One
+    that has as many is marked (0, 1, row, 0) and, with drop, compared with nothing after it. Without drop all rows of a bucket
+    are compared, and only those whose _b is above 0 are linked or marked. members (the masks; rows end with their fingerprints):
+    in place of links, the rows (0, 2, row, 0, _m, _k) of either side of the pairs that share no bucket before this one. whole: all rows of a bucket are here. What is compared with BUCKET others that are held
+    (or HELD bytes of sets) goes on to the next scan of the same bucket, so in the end all that aren't dropped have been
+    compared. If not whole, this is one task's share of the buckets, and rows that aren't dropped go on to meet those of the
+    other tasks.
     """
-    names = [f.split()[0] for f in FOUND.split(", ")]
+    names, words = [f.split()[0] for f in FOUND.split(", ")], SKETCH // BITS
+    none = np.zeros(0, np.int64)
     key: tuple[int, int] | None = None
-    held_id, held_asks, held_bits = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, SKETCH // BITS), np.int64)
-    few, may = min(STEP_ROWS, BUCKET), _differing(least - MARGIN)
+    held_id, held_asks, held_seen, held_bits, held_sets = none, none, none.astype(bool), np.zeros((0, words), np.int64), []
+    few, may, with_sets = min(STEP_ROWS, BUCKET), _differing(least - MARGIN), False
 
-    def out(m, k, ids, other, bits):
-        columns = [m, k, ids, other, *bits.T]
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(np.broadcast_to(np.asarray(c, np.int64), ids.shape))) for c in columns], names)
+    def out(m, k, ids, other, bits, sets=None):
+        columns = [pa.array(np.ascontiguousarray(np.broadcast_to(np.asarray(c, np.int64), ids.shape))) for c in (m, k, ids, other, *bits.T)]
+        if with_sets:
+            columns.append(pa.array([none] * len(ids) if sets is None else sets, pa.list_(pa.int64())))
+        more = ["_set"] if with_sets else [f"_f{i}" for i in range(len(columns) - len(names))]
+        return pa.RecordBatch.from_arrays(columns, [*names, *more])
 
     def found(ids, a, b, full):
-        blank = np.zeros((max(len(a), len(full)), SKETCH // BITS), np.int64)
+        blank = np.zeros((max(len(a), len(full)), words), np.int64)
         if len(a):
             yield out(0, 0, ids[a], ids[b], blank[: len(a)])
         if len(full):
             yield out(0, 1, ids[full], 0, blank[: len(full)])
 
-    def asked(asks, a, c):
-        return (a, c) if drop else (a[asks[a] > 0], c[asks[a] > 0])
+    def met(m, k, ids, width):
+        place = np.zeros((len(ids), width), np.int64)
+        place[:, 0], place[:, 1] = m, k
+        return out(0, 2, ids, 0, place)
+
+    def linked(asks, a, c, d, sets):
+        if not drop:
+            a, c, d = (x[asks[a] > 0] for x in (a, c, d))
+        if with_sets and len(a):
+            holds = _confirmed(sets, a, c, d, least, most)
+            a, c = a[holds], c[holds]
+        return _first(a, c, most)
 
     def closed():
         """What is held of the run that ends, for the other tasks' rows."""
         if key and not whole and len(held_id):
-            yield out(*key, held_id, held_asks, held_bits)
+            yield out(*key, held_id, held_asks, held_bits, held_sets)
 
     for b in batches:
         m, k, ids, asks = (b.column(i).to_numpy().astype(np.int64) for i in range(4))
-        bits = np.stack([b.column(4 + i).to_numpy().astype(np.int64) for i in range(SKETCH // BITS)], axis=1) if len(m) else held_bits[:0]
         if not len(m):
             continue
+        with_sets = not members and b.num_columns > len(names)
+        bits = np.stack([b.column(i).to_numpy().astype(np.int64) for i in range(4, b.num_columns - with_sets)], axis=1)
+        if with_sets:
+            hashes, ends = b.column(len(names)).values.to_numpy(), b.column(len(names)).offsets.to_numpy()
+            sets = [hashes[x:y] for x, y in zip(ends, ends[1:])]
+        else:
+            sets = [none] * len(m)
         cut = np.flatnonzero(np.concatenate([[True], (m[1:] != m[:-1]) | (k[1:] != k[:-1])]))
         stop = np.append(cut[1:], len(m))
         first, last = (int(m[0]), int(k[0])) == key, len(cut) - 1
@@ -473,58 +541,106 @@ def scan_sketches(batches: Iterator[pa.RecordBatch], least: float, whole: bool,
                 done = work[np.searchsorted(steps, lo, "right") - 1] if lo else 0
                 hi = int(steps[max(np.searchsorted(work, done + PAIRS, "right") - 1, np.searchsorted(steps, lo, "right"))])
                 own = at[lo:hi]
-                a, c, _ = _alike(bits[own].view(np.uint64), end[lo:hi] - lo, may)
-                a, c, full = _first(*asked(asks[own], a, c), most)
-                yield from found(ids[own], a, c, full)
-                if not whole:
-                    left = np.delete(own, full) if drop else own
-                    yield out(m[left], k[left], ids[left], asks[left], bits[left])
+                a, c, d = _alike(np.ascontiguousarray(bits[own, :words]).view(np.uint64), end[lo:hi] - lo, may)
+                if members:
+                    a, c = own[a], own[c]
+                    new = _first_met(bits[a, words:], bits[c, words:], m[a], k[a], members)
+                    either = np.unique(np.concatenate([a[new], c[new]]))
+                    yield met(m[either], k[either], ids[either], bits.shape[1])
+                else:
+                    a, c, full = linked(asks[own], a, c, d, [sets[x] for x in own])
+                    yield from found(ids[own], a, c, full)
+                    if not whole:
+                        left = np.delete(own, full) if drop else own
+                        yield out(m[left], k[left], ids[left], asks[left], bits[left], [sets[x] for x in left])
                 lo = hi
         for r in np.flatnonzero(~inside):
             lo, hi = int(cut[r]), int(stop[r])
             if (int(m[lo]), int(k[lo])) != key:
                 yield from closed()
-                key, held_id, held_asks, held_bits = (int(m[lo]), int(k[lo])), ids[:0], asks[:0], bits[:0]
+                key = int(m[lo]), int(k[lo])
+                held_id, held_asks, held_seen, held_bits, held_sets = ids[:0], asks[:0], held_seen[:0], bits[:0], []
             for at in range(lo, hi, few):
                 to, n = min(hi, at + few), len(held_id)
                 both_id, both_asks, both = (np.concatenate([x, y[at:to]]) for x, y in ((held_id, ids), (held_asks, asks), (held_bits, bits)))
+                both_sets = [*held_sets, *(x.copy() for x in sets[at:to])]  # not the whole batch with them
+                seen = np.concatenate([held_seen, np.zeros(to - at, bool)])
                 own = both.view(np.uint64)  # of signed words the bits of the absolute value would be counted
-                far = sum(np.bitwise_count(own[n:, w, None] ^ own[None, :, w]).astype(np.int16) for w in range(SKETCH // BITS))
+                far = sum(np.bitwise_count(own[n:, w, None] ^ own[None, :, w]).astype(np.int16) for w in range(words))
                 a, c = np.nonzero(np.tril(far <= may, n - 1))
-                a, c, full = _first(*asked(both_asks, a + n, c), most)
-                yield from found(both_id, a, c, full)
-                if drop:
-                    both_id, both_asks, both = (np.delete(x, full, axis=0) for x in (both_id, both_asks, both))
-                if len(both_id) > BUCKET:
-                    yield out(*key, both_id[BUCKET:], both_asks[BUCKET:], both[BUCKET:])
-                held_id, held_asks, held_bits = both_id[:BUCKET], both_asks[:BUCKET], both[:BUCKET]
+                if members:
+                    here = _first_met(both[a + n, words:], both[c, words:], *(np.full(len(a), x) for x in key), members)
+                    either = np.unique(np.concatenate([a[here] + n, c[here]]))
+                    new = either[~seen[either]]
+                    yield met(*key, both_id[new], both.shape[1])
+                    seen[new] = True
+                else:
+                    a, c, full = linked(both_asks, a + n, c, far[a, c], both_sets)
+                    yield from found(both_id, a, c, full)
+                    if drop:
+                        both_id, both_asks, both, seen = (np.delete(x, full, axis=0) for x in (both_id, both_asks, both, seen))
+                        gone = set(full.tolist())
+                        both_sets = [x for i, x in enumerate(both_sets) if i not in gone]
+                room = BUCKET
+                if with_sets:
+                    room = min(room, max(1, int(np.searchsorted(np.cumsum([x.nbytes for x in both_sets]), HELD, "right"))))
+                if len(both_id) > room:
+                    yield out(*key, both_id[room:], both_asks[room:], both[room:], both_sets[room:])
+                held_id, held_asks, held_seen, held_bits, held_sets = both_id[:room], both_asks[:room], seen[:room], both[:room], both_sets[:room]
     yield from closed()
 
 
-def _proposed(rest: DataFrame, masks_of: list[int], least: float, keys: DataFrame | None = None, most: int = LINKS) -> DataFrame:
-    """_a > _b: documents of rest (_id, _fps, _sk, _asks) that a bucket brings together and sketches don't tell apart, for those
-    _a that ask. _b is null for each _a of which not all are given.
-
-    keys: (_m, _k, _top) of the buckets that are looked at, and to which document; all if None.
-    """
-    sketches = [F.col("_sk")[i].alias(f"_s{i}") for i in range(SKETCH // BITS)]
-    rows = _dealt(rest, masks_of).select("_m", "_k", "_id", F.col("_asks").alias("_b"), *sketches)
-    if keys is not None:
-        rows = rows.join(keys, ["_m", "_k"]).where(F.col("_id") <= F.col("_top")).drop("_top")
-    order, found = ["_m", "_k", "_id"], None
+def _scanned(rows: DataFrame, schema: str, least: float, most: int, members: list[int] | None = None) -> DataFrame:
+    """What scans of the buckets give until no rows are left for another: _k, _id, _b, _s0, _s1."""
+    found = None
     while True:
-        scanned = materialize(rows.repartition("_m", "_k").sortWithinPartitions(*order).mapInArrow(partial(scan_sketches, least=least, whole=True, most=most, drop=False), FOUND), "buckets")
-        met = scanned.where("_m = 0").select(F.col("_id").alias("_a"), F.when(F.col("_k") == 0, F.col("_b")).alias("_b"))
-        found, rows = met if found is None else found.unionByName(met), scanned.where("_m <> 0")
+        dealt = rows.repartition("_m", "_k").sortWithinPartitions("_m", "_k", "_id")
+        scanned = materialize(dealt.mapInArrow(partial(scan_sketches, least=least, whole=True, most=most, drop=False, members=members), schema), "buckets")
+        own, rows = scanned.where("_m = 0").select("_k", "_id", "_b", "_s0", "_s1"), scanned.where("_m <> 0")
+        found = own if found is None else found.unionByName(own)
         if rows.isEmpty():
-            return materialize(found.distinct(), "proposed")
+            return found
+
+
+def _sketches(at: str = "_sk") -> list:
+    return [F.col(at)[i].alias(f"_s{i}") for i in range(SKETCH // BITS)]
+
+
+def _members(nodes: DataFrame, masks_of: list[int], least: float, times: int) -> DataFrame:
+    """_m, _k, _id: documents in the first buckets in which they meet those that sketches don't tell apart from them."""
+    fps = [F.col("_fps")[i].alias(f"_f{i}") for i in range(times)]
+    rows = _dealt(nodes, masks_of).select("_m", "_k", "_id", F.lit(1).cast("long").alias("_b"), *_sketches(), *fps)
+    found = _scanned(rows, ", ".join([FOUND, *(f"_f{i} long" for i in range(times))]), least, 0, masks_of)
+    return materialize(found.select(F.col("_s0").alias("_m"), F.col("_s1").alias("_k"), "_id").distinct(), "members")
+
+
+def _links_up_to(rest: DataFrame, members: DataFrame, sets: DataFrame, least: float, most: int) -> DataFrame:
+    """_a > _b: documents of rest (_id, _sk, _asks) in one bucket that are like each other by the shingles of their texts (sets:
+    _id, _set), for those _a that ask: the first `most` in each bucket. _b is null for each _a of which not all are given.
+    """
+    rows = members.join(rest.select("_id", "_sk", "_asks"), "_id")
+    # Only buckets in which one asks, and what is before it there.
+    keys = rows.where("_asks > 0").groupBy("_m", "_k").agg(F.max("_id").alias("_top"))
+    rows = rows.join(keys, ["_m", "_k"]).where(F.col("_id") <= F.col("_top"))
+    found = _scanned(rows.join(sets, "_id").select("_m", "_k", "_id", F.col("_asks").alias("_b"), *_sketches(), "_set"), WITH_SET, least, most)
+    return materialize(found.select(F.col("_id").alias("_a"), F.when(F.col("_k") == 0, F.col("_b")).alias("_b")).distinct(), "proposed")
+
+
+def _smallest(rest: DataFrame, members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Only the first in each bucket: a group of copies hands on one row for each, and nearly all of them go by that."""
+    return _links_up_to(rest, members, sets, least, 1)
+
+
+def _proposed(rest: DataFrame, members: DataFrame, sets: DataFrame, least: float, most: int = LINKS) -> DataFrame:
+    """More of them, for what the smallest alone didn't decide."""
+    return _links_up_to(rest, members, sets, least, most)
 
 
 def _dealt(rest: DataFrame, masks_of: list[int]) -> DataFrame:
-    """A row for each document and bucket: _m, _k, _id, _sk, _asks."""
+    """A row for each document and bucket: _m, _k, _id, _fps, _sk."""
     places = lambda fp: F.array(*[F.struct(F.lit(_signed(m)).alias("_m"), fp.bitwiseAND(F.lit(_signed(m))).alias("_k")) for m in masks_of])
     each = F.explode(F.array_distinct(F.flatten(F.transform("_fps", places))))  # fingerprints may share buckets
-    return rest.select("_id", "_sk", "_asks", each.alias("_e")).select("_e._m", "_e._k", "_id", "_sk", "_asks")
+    return rest.select("_id", "_fps", "_sk", each.alias("_e")).select("_e._m", "_e._k", "_id", "_fps", "_sk")
 
 
 def _few(df: DataFrame) -> DataFrame:
@@ -532,6 +648,16 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= FEW else df
 
 
+def _sets(texts: DataFrame) -> DataFrame:
+    """_id, _set: the hashes of the shingles of texts (_id, _text), once where rows repeat."""
+
+    @F.pandas_udf("array<long>")
+    def shingles(texts: pd.Series) -> pd.Series:
+        return texts.map(shingle_hashes, na_action=None)
+
+    return materialize(texts.select("_id", shingles("_text").alias("_set")).groupBy("_id").agg(F.first("_set").alias("_set")), "shingles")
+
+
 def _linked(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """_a, _b: those of the pairs that are like each other. Sketches decide beyond their error, else the texts do."""
     left, right = nodes.select(F.col("_id").alias("_a"), F.col("_sk").alias("_x")), nodes.select(F.col("_id").alias("_b"), F.col("_sk").alias("_y"))
@@ -539,14 +665,10 @@ def _linked(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, least: float)
     met = pairs.join(left, "_a").join(right, "_b").select("_a", "_b", far.alias("_d")).where(F.col("_d") <= _differing(least - MARGIN))
     met = materialize(met.withColumn("_sure", F.col("_d") <= _differing(least + MARGIN)), "met")
 
-    @F.pandas_udf("array<long>")
-    def shingles(texts: pd.Series) -> pd.Series:
-        return texts.map(shingle_hashes, na_action=None)
-
     asked = met.where("not _sure").select("_a", "_b")
     ends = materialize(asked.select(F.explode(F.array("_a", "_b")).alias("_id")).distinct(), "ends")
     # Each text that is asked for is hashed once.
-    sets = materialize(texts.join(_few(ends), "_id", "left_semi").select("_id", shingles("_text").alias("_set")), "shingles")
+    sets = _sets(texts.join(_few(ends), "_id", "left_semi"))
     both = asked.join(sets.select(F.col("_id").alias("_a"), F.col("_set").alias("_x")), "_a").join(sets.select(F.col("_id").alias("_b"), F.col("_set").alias("_y")), "_b")
     shared, sizes = F.size(F.array_intersect("_x", "_y")), F.size("_x") + F.size("_y")
     by_text = both.where((sizes == 0) | (shared >= F.lit(least) * (sizes - shared))).select("_a", "_b")
@@ -556,25 +678,22 @@ def _linked(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, least: float)
 def _settled(pairs: DataFrame, alike: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame | None, DataFrame]:
     """_id of what goes (None: nothing), and of what these pairs (_a > _b) don't decide.
 
-    In each step those that wait for no other stay, and what is like them goes. In the first steps only these pairs are given
-    to `alike`, which rids a group of most of its pairs; then all that are left. A document without all its pairs (_b is
-    null) waits until it goes. So what is decided stays decided.
+    In each step those that wait for no other stay, and what is like them goes; each is given to `alike` with the smallest of
+    them, and with the next in the next step if they aren't. A document without all its pairs (_b is null) waits until it
+    goes. So what is decided stays decided.
     """
     went, a, b = None, F.col("_a"), F.col("_b")
     cut, left = pairs.where(b.isNull()).select(a.alias("_id")), pairs.where(b.isNotNull())
-    for step in count():
-        if step == FIRST and not left.isEmpty():
-            left = alike(left)
+    while True:
         waits = materialize(left.select(a.alias("_id")).unionByName(cut).distinct(), "waits")
-        now = materialize(left.join(waits.select(F.col("_id").alias("_b")), "_b", "left_anti").select("_a", "_b"), "now")
-        if not now.isEmpty():
-            gone = materialize((alike(now) if step < FIRST else now).select(a.alias("_id")).distinct(), "gone")
-            went = gone if went is None else went.unionByName(gone)
-            left = left.join(gone.select(F.col("_id").alias("_a")), "_a", "left_anti").join(gone.select(F.col("_id").alias("_b")), "_b", "left_anti")
-            left = materialize(left.join(waits.select(F.col("_id").alias("_b")), "_b", "left_semi").select("_a", "_b"), "left")
-            cut = materialize(cut.join(gone, "_id", "left_anti"), "cut")
-        elif step >= FIRST:
+        now = materialize(left.join(waits.select(F.col("_id").alias("_b")), "_b", "left_anti").groupBy("_a").agg(F.min("_b").alias("_b")), "now")
+        if now.isEmpty():
+            # Those left have pairs with what stays no more: they wait for others, or for pairs that aren't given.
             return went, waits
+        gone = materialize(alike(now).select(a.alias("_id")).distinct(), "gone")
+        went = gone if went is None else went.unionByName(gone)
+        left = left.join(now, ["_a", "_b"], "left_anti").join(gone.select(F.col("_id").alias("_a")), "_a", "left_anti").join(gone.select(F.col("_id").alias("_b")), "_b", "left_anti")
+        left, cut = materialize(left.select("_a", "_b"), "left"), materialize(cut.join(gone, "_id", "left_anti"), "cut")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 2, distance: int = 5, times: int = 3, least: float = 0.5) -> DataFrame:
@@ -582,12 +701,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
 
     A document goes if its text shares at least `least` of its five-word shingles (Jaccard) with one of smaller
     identifier that stays. Documents meet in the buckets of `times` fingerprints each, over shingles of `words` words: any
-    two with fingerprints within the distance meet, and most others that are like each other. In a bucket each is compared,
-    by sketches of the five-word shingles, with all of smaller identifier, and gets the first of those that it may be like, up
-    to a number. These are settled in the order of identifiers: what has no smaller one left stays, and only with what stays
-    are others compared by text. What isn't decided, as it may be like more than it got, asks again for more, of what hasn't
-    gone. Decisions are final, so in the end all that goes is like a smaller one that stays, and no two that met and stay are
-    like each other. Links grow with the documents, not with the pairs of a group.
+    two with fingerprints within the distance meet, and most others that are like each other. In a bucket each is compared
+    with all of smaller identifier, by sketches of the five-word shingles; those that sketches don't tell apart come again with
+    the shingles of their texts, in the first bucket that they share, and are told apart there, so pairs that aren't alike are
+    no rows. Each gets the smallest that it is like, and is settled in the order of identifiers: what has no smaller one left
+    stays, and what is like it goes, once compared by text. What isn't decided asks again for more, of what hasn't gone.
+    Decisions are final, so in the end all that goes is like a smaller one that stays, and no two that met and stay are like
+    each other. Links grow with the documents, not with the pairs of a group.
 
     Rows alike in identifier and text share one fate; of rows with one identifier the texts decide, in the order of their
     hashes. Rows without identifier stay. Null and blank texts have no shingles and are copies of one another. An empty
@@ -609,22 +729,27 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     of = masks(plan_parts(n, both, distance, SKETCH_COST))
     named = nodes.select("_key", "_th", "_id")
 
+    def texts_of(ids: DataFrame) -> DataFrame:
+        wanted = materialize(named.join(ids, "_id", "left_semi"), "wanted")
+        return docs.where(key.isNotNull()).select(key.alias("_key"), hashed.alias("_th"), text.alias("_text")).join(_few(wanted), ["_key", "_th"]).select("_id", "_text")
+
     def alike(pairs: DataFrame) -> DataFrame:
-        wanted = materialize(named.join(pairs.select(F.explode(F.array("_a", "_b")).alias("_id")).distinct(), "_id", "left_semi"), "wanted")
-        texts = docs.where(key.isNotNull()).select(key.alias("_key"), hashed.alias("_th"), text.alias("_text")).join(_few(wanted), ["_key", "_th"])
-        return _linked(pairs, nodes, texts.select("_id", "_text"), least)
+        return _linked(pairs, nodes, texts_of(pairs.select(F.explode(F.array("_a", "_b")).alias("_id")).distinct()), least)
 
-    gone, keys, rest, most = None, None, nodes.withColumn("_asks", F.lit(1).cast("long")), LINKS
+    members = _members(nodes, of, least, times)
+    sets = _sets(texts_of(members.select("_id").distinct()))
+    gone, most = None, LINKS
+    pairs = _smallest(nodes.withColumn("_asks", F.lit(1).cast("long")), members, sets, least)
     while True:
-        went, waits = _settled(_proposed(rest, of, least, keys, most), alike)
+        went, waits = _settled(pairs, alike)
         if went is not None:
             gone = went if gone is None else gone.unionByName(went)
-        if waits.isEmpty():
+        if most > LINKS and waits.isEmpty():
             break
         stay = nodes if gone is None else nodes.join(gone, "_id", "left_anti")
         asks = waits.withColumn("_asks", F.lit(1).cast("long"))
-        rest, most = materialize(stay.join(asks, "_id", "left").withColumn("_asks", F.coalesce("_asks", F.lit(0).cast("long"))), "rest"), MORE * most
-        keys = materialize(_dealt(rest.where("_asks > 0"), of).groupBy("_m", "_k").agg(F.max("_id").alias("_top")), "keys")
+        rest = materialize(stay.join(asks, "_id", "left").withColumn("_asks", F.coalesce("_asks", F.lit(0).cast("long"))), "rest")
+        pairs, most = _proposed(rest, members, sets, least, most), MORE * most
     if gone is None:
         return docs
     left = materialize(gone.join(named, "_id").select(F.col("_key").alias("_near_key"), F.col("_th").alias("_near_hash")), "left")
